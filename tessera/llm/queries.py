@@ -1,13 +1,56 @@
-"""The registered queries of this subpackage's operators."""
+"""The registered queries of this subpackage's operators, with SQL where SQL can express them."""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import concat_cut, simple8b
+from tessera.llm import concat_cut, content_sort, setsketch, simple8b, suffix_decontam
 from tessera.storage import table
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def op2_content_sort(spark: SparkSession, sf: str) -> DataFrame:
+    """Groups of equal documents, white space aside."""
+    return content_sort.label(table(spark, sf, "documents"))
+
+
+OP2_SQL = r"""
+WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
+g AS (SELECT doc_id, t, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size FROM n)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM g
+"""
+
+
+def op3_suffix_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that hold passages of benchmark items."""
+    found = suffix_decontam.report(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_match")
+
+
+OP3_SQL = rf"""
+WITH dw AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+iw AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+win AS (
+  SELECT item_id, least(len(w), 13) AS n, unnest([array_to_string(w[i:i + 12], ' ') FOR i IN range(1, greatest(len(w) - 12, 1) + 1)]) AS s FROM iw WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT n FROM win),
+spot AS (
+  SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS i, w FROM dw CROSS JOIN sizes WHERE len(w) >= n),
+hit AS (
+  SELECT s.doc_id, s.i, s.n, win.item_id FROM (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS s FROM spot) s JOIN win USING (n, s)),
+marked AS (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS p FROM hit),
+runs AS (SELECT doc_id, p - row_number() OVER (PARTITION BY doc_id ORDER BY p) AS run FROM marked),
+covered AS (SELECT doc_id, sum(k)::BIGINT AS n_hit, max(k) AS longest_match FROM (SELECT doc_id, run, count(*) AS k FROM runs GROUP BY ALL) GROUP BY doc_id),
+items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hit) GROUP BY doc_id)
+SELECT dw.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, coalesce(longest_match, 0) AS longest_match
+FROM dw LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
 
 def op5_simple8b(spark: SparkSession, sf: str) -> DataFrame:
     """Token ids of all documents, written in Simple-8b files and read back."""
@@ -20,5 +63,31 @@ def op8_concat_cut(spark: SparkSession, sf: str) -> DataFrame:
     return concat_cut.pack(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {"op5_simple8b": op5_simple8b, "op8_concat_cut": op8_concat_cut}
-ORACLE: dict[str, str] = {}
+def op9_setsketch(spark: SparkSession, sf: str) -> DataFrame:
+    """Groups of near-duplicate documents on shingles of four words."""
+    return setsketch.near_duplicates(table(spark, sf, "documents"), shingle=4, alike=80)
+
+
+OP9_SQL = rf"""
+WITH RECURSIVE dw AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS (
+  SELECT DISTINCT doc_id, hash(unnest([array_to_string(w[i:i + 3], ' ') FOR i IN range(1, greatest(len(w) - 3, 1) + 1)])) AS s FROM dw WHERE len(w) > 0),
+sizes AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (
+  SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT doc_id AS node, doc_id AS seen FROM sizes UNION SELECT reach.node, edge.b FROM reach JOIN edge ON reach.seen = edge.a)
+SELECT dw.doc_id, coalesce(n, 0) AS n_shingles, coalesce(c, dw.doc_id) AS component_id, coalesce(c, dw.doc_id) = dw.doc_id AS kept
+FROM dw LEFT JOIN sizes USING (doc_id) LEFT JOIN (SELECT node, min(seen) AS c FROM reach GROUP BY node) r ON r.node = dw.doc_id
+"""
+
+QUERIES = {
+    "op2_content_sort": op2_content_sort,
+    "op3_suffix_decontamination": op3_suffix_decontamination,
+    "op5_simple8b": op5_simple8b,
+    "op8_concat_cut": op8_concat_cut,
+    "op9_setsketch": op9_setsketch,
+}
+ORACLE = {"op2_content_sort": OP2_SQL, "op3_suffix_decontamination": OP3_SQL, "op9_setsketch": OP9_SQL}

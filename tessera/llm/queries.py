@@ -5,12 +5,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import concat_cut, content_sort, setsketch, simple8b, suffix_decontam
+from tessera.llm import concat_cut, content_sort, linmaxmatch, secret_crf, setsketch, simple8b, suffix_decontam
 from tessera.storage import table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def op1_secret_crf(spark: SparkSession, sf: str) -> DataFrame:
+    """Secrets in all documents: pattern matches and what the field adds."""
+    return secret_crf.find_secrets(table(spark, sf, "documents"))
+
+
 def op2_content_sort(spark: SparkSession, sf: str) -> DataFrame:
     """Groups of equal documents, white space aside."""
     return content_sort.label(table(spark, sf, "documents"))
@@ -58,6 +63,11 @@ def op5_simple8b(spark: SparkSession, sf: str) -> DataFrame:
     return simple8b.read_ids(simple8b.write_ids(docs, public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op6_longest_match(spark: SparkSession, sf: str) -> DataFrame:
+    """Greedy longest-match token counts of all documents."""
+    return linmaxmatch.token_counts(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 def op8_concat_cut(spark: SparkSession, sf: str) -> DataFrame:
     """All documents' token ids in windows of 2048."""
     return concat_cut.pack(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -84,9 +94,11 @@ FROM dw LEFT JOIN sizes USING (doc_id) LEFT JOIN (SELECT node, min(seen) AS c FR
 """
 
 QUERIES = {
+    "op1_secret_crf": op1_secret_crf,
     "op2_content_sort": op2_content_sort,
     "op3_suffix_decontamination": op3_suffix_decontamination,
     "op5_simple8b": op5_simple8b,
+    "op6_longest_match": op6_longest_match,
     "op8_concat_cut": op8_concat_cut,
     "op9_setsketch": op9_setsketch,
 }

@@ -7,7 +7,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from tessera.llm import bpe, concat_cut, simple8b
+from tessera.llm import bpe, concat_cut, linmaxmatch, simple8b
 
 TRICKY = [*"aZé9' \n\t.,!sStTmdrevlß½²", "'s", "'re", "'LL", " '", "  ", "İ", "中", "<|endoftext|>", "\xa0", "ſ", "é"]
 
@@ -78,3 +78,36 @@ def test_pack(spark):
             at += p.length
         assert at == 64 or s == len(by_sequence) - 1
     assert concat_cut.pack(docs.limit(0), public_tokenizers.path("byte_bpe_50k.json")).count() == 0
+
+
+def greedy(word, vocabulary):
+    n, longest = 0, max(map(len, vocabulary))
+    while word:
+        k = next(k for k in range(min(longest, len(word)), 0, -1) if word[:k] in vocabulary)
+        word, n = word[k:], n + 1
+    return n
+
+
+def test_longest_match_counts(spark):
+    import re
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    vocabulary = set(linmaxmatch.read_vocabulary(path))
+    texts = odd_texts(80) + ["Supercalifragilistic   unbelievable\n" * 3, "z" * 3000, "ÉCOLE École"]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, n_words int").repartition(3)
+    for r in linmaxmatch.token_counts(docs, path).collect():
+        lowered = re.sub("[A-Z]", lambda m: m[0].lower(), texts[r.doc_id] or "")
+        words = re.findall("[^\x20\x09-\x0d]+", lowered)
+        assert (r.n_words, r.n_tokens) == (len(words), sum(greedy(b" " + w.encode(), vocabulary) for w in words))
+    assert linmaxmatch.token_counts(docs.limit(0), path).count() == 0
+
+
+def test_automaton_against_greedy_on_random_vocabularies():
+    pick = random.Random(8)
+    for _ in range(30):
+        vocabulary = [bytes([b]) for b in range(256)] + [bytes(pick.choice(b" abc") for _ in range(pick.randint(2, 6))) for _ in range(pick.randint(0, 25))]
+        words = [bytes(pick.choice(b"abc") for _ in range(pick.randint(1, 14))) for _ in range(60)]
+        data = np.frombuffer(b"".join(words), np.uint8)
+        ends = np.cumsum([len(w) for w in words])
+        got = linmaxmatch.Automaton(vocabulary).counts(data, ends - [len(w) for w in words], ends)
+        assert got.tolist() == [greedy(b" " + w, set(vocabulary)) for w in words]

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import concat_cut, content_sort, linmaxmatch, secret_crf, setsketch, simple8b, suffix_decontam
+from tessera.llm import concat_cut, content_sort, linmaxmatch, secret_crf, setsketch, simple8b, suffix_decontam, warc_revisit
 from tessera.storage import table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -57,6 +58,40 @@ FROM dw LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+def op4_warc_revisits(spark: SparkSession, sf: str) -> DataFrame:
+    """Revisits of all pages, resolved as of their time."""
+    found = warc_revisit.resolve(warc_revisit.records_of(table(spark, sf, "pages")))
+    shown = F.concat_ws(";", F.transform("headers", lambda h: F.concat_ws(":", h["name"], h["value"])))
+    seconds = lambda c: F.unix_timestamp(c).alias(c)
+    return found.select("record_id", "canonical_url", seconds("ts"), "verdict", "refers_to", seconds("refers_ts"), "status", F.when(F.col("headers").isNotNull(), shown).alias("headers"))
+
+
+OP4_SQL = r"""
+WITH c0 AS (
+  SELECT page_id AS n, md5(coalesce(html, '')) AS digest, 1704067200 + page_id * 60 AS fetched, strftime(to_timestamp(1704067200 + page_id * 60) AT TIME ZONE 'UTC', '%Y-%m-%d') AS day,
+    regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS bare FROM pages),
+c1 AS (
+  SELECT *, regexp_replace(lower(regexp_extract(bare, '^([^/?]*)', 1)), '^www\.|:(80|443)$', '', 'g') AS host, regexp_replace(regexp_extract(bare, '^[^/?]*([^?]*)', 1), '/+$', '') AS path,
+    list_filter(string_split(regexp_extract(bare, '\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]+|ref|fbclid|gclid)(=|$)')) AS params FROM c0),
+c AS (SELECT *, host || path || CASE WHEN len(params) > 0 THEN '?' || array_to_string(list_sort(params), '&') ELSE '' END AS canonical_url FROM c1),
+response AS (
+  SELECT canonical_url, fetched AS ts, n * 2 AS record_id, CASE WHEN n % 3 <> 0 THEN digest END AS etag, CASE WHEN n % 4 <> 0 THEN day END AS last_modified, digest FROM c WHERE n % 11 <> 0),
+revisit AS (
+  SELECT canonical_url, fetched + 86400 AS ts, n, n * 2 + 1 AS record_id, CASE WHEN n % 5 = 0 THEN 'other' WHEN n % 3 <> 0 THEN digest END AS etag, CASE WHEN n % 2 = 0 THEN day END AS last_modified,
+    CASE WHEN n % 7 <> 0 THEN digest END AS digest FROM c),
+best AS (
+  SELECT v.record_id, r.record_id AS rid, r.ts AS rts, coalesce(v.etag = r.etag, v.last_modified = r.last_modified, v.digest = r.digest) AS agree, r.digest AS rdigest
+  FROM revisit v JOIN response r ON r.canonical_url = v.canonical_url AND r.ts < v.ts
+  QUALIFY row_number() OVER (PARTITION BY v.record_id ORDER BY r.ts DESC, r.record_id DESC) = 1),
+j AS (
+  SELECT v.*, rid, rts, rdigest, CASE WHEN rid IS NULL THEN 'no response' WHEN agree IS NULL THEN 'unverified' WHEN agree THEN 'resolved' ELSE 'changed' END AS verdict FROM revisit v LEFT JOIN best USING (record_id))
+SELECT record_id, canonical_url, ts, verdict, CASE WHEN verdict IN ('resolved', 'unverified') THEN rid END AS refers_to, CASE WHEN verdict IN ('resolved', 'unverified') THEN rts END AS refers_ts,
+  CASE WHEN verdict IN ('resolved', 'unverified') THEN 200 END AS status,
+  CASE WHEN verdict IN ('resolved', 'unverified') THEN 'Content-Type:text/html;ETag:' || rdigest || ';Expires:' || n || ';date:later' END AS headers
+FROM j
+"""
+
+
 def op5_simple8b(spark: SparkSession, sf: str) -> DataFrame:
     """Token ids of all documents, written in Simple-8b files and read back."""
     docs = table(spark, sf, "documents")
@@ -97,9 +132,10 @@ QUERIES = {
     "op1_secret_crf": op1_secret_crf,
     "op2_content_sort": op2_content_sort,
     "op3_suffix_decontamination": op3_suffix_decontamination,
+    "op4_warc_revisits": op4_warc_revisits,
     "op5_simple8b": op5_simple8b,
     "op6_longest_match": op6_longest_match,
     "op8_concat_cut": op8_concat_cut,
     "op9_setsketch": op9_setsketch,
 }
-ORACLE = {"op2_content_sort": OP2_SQL, "op3_suffix_decontamination": OP3_SQL, "op9_setsketch": OP9_SQL}
+ORACLE = {"op2_content_sort": OP2_SQL, "op3_suffix_decontamination": OP3_SQL, "op4_warc_revisits": OP4_SQL, "op9_setsketch": OP9_SQL}

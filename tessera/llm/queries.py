@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import concat_cut, content_sort, linmaxmatch, secret_crf, setsketch, simple8b, suffix_decontam, warc_revisit
+from tessera.llm import concat_cut, content_sort, linmaxmatch, secret_crf, setsketch, simple8b, suffix_decontam, url_gbt, warc_revisit
 from tessera.storage import table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -128,6 +128,15 @@ SELECT dw.doc_id, coalesce(n, 0) AS n_shingles, coalesce(c, dw.doc_id) AS compon
 FROM dw LEFT JOIN sizes USING (doc_id) LEFT JOIN (SELECT node, min(seen) AS c FROM reach GROUP BY node) r ON r.node = dw.doc_id
 """
 
+#: The rules of the URL query.
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+def op10_url_trees(spark: SparkSession, sf: str) -> DataFrame:
+    """Verdicts on all pages' URLs."""
+    return url_gbt.judge(table(spark, sf, "pages"), URL_RULES)
+
+
 QUERIES = {
     "op1_secret_crf": op1_secret_crf,
     "op2_content_sort": op2_content_sort,
@@ -137,5 +146,6 @@ QUERIES = {
     "op6_longest_match": op6_longest_match,
     "op8_concat_cut": op8_concat_cut,
     "op9_setsketch": op9_setsketch,
+    "op10_url_trees": op10_url_trees,
 }
 ORACLE = {"op2_content_sort": OP2_SQL, "op3_suffix_decontamination": OP3_SQL, "op4_warc_revisits": OP4_SQL, "op9_setsketch": OP9_SQL}

@@ -3,6 +3,8 @@
 Texts are compared after every run of ASCII white space has become one space.  Sampled
 splitters deal the normalised texts out by range, an external sort places equals next to each
 other, and the window over them compares neighbours in full and keeps the smallest identifier.
+Texts are ordered by their first ``LEAD`` characters, a hash and then the whole text, so that what is
+sampled for the splitters has a bounded size.
 
 A text with a large share of all rows would land in one task.  So texts that a sample finds
 often (``HOT_SHARE`` of its rows or more; there can be at most 1/HOT_SHARE of them) are dealt
@@ -22,6 +24,7 @@ from pyspark.sql import functions as F
 HOT_SHARE = 1 / 500
 HOT_SAMPLE = 20_000
 SALTS = 64
+LEAD = 48
 
 
 def normalised(text: Column) -> Column:
@@ -45,14 +48,17 @@ def label(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carry: bo
     hot = hot_keys(docs, text)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]) if carry else F.lit(None).cast("int")
     rows = docs.select(F.col(doc_id).alias("_id"), normalised(F.col(text)).alias("_norm"), row.alias("_row"))
-    key = F.xxhash64("_norm")
-    salt = F.when(key.isin(hot), F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0)) if hot else F.lit(0)
-    rows = rows.withColumn("_salt", salt)
-    dealt = rows.repartitionByRange("_norm", "_salt") if hot else rows.repartitionByRange("_norm")
-    same = Window.partitionBy("_norm", "_salt") if hot else Window.partitionBy("_norm")
-    first = F.row_number().over(same.orderBy(F.col("_id").asc_nulls_last())) == 1
-    found = dealt.select("_id", "_row", "_norm", "_salt", F.min("_id").over(same).alias("_least"), F.count(F.lit(1)).over(same).alias("_n"), first.alias("_first"))
-    found = found.select("_id", "_row", "_salt", "_least", "_n", "_first", F.sha2("_norm", 256).alias("_sha"), *([key.isin(hot).alias("_hot")] if hot else []))
+    rows = rows.withColumn("_lead", F.substring("_norm", 1, LEAD)).withColumn("_hash", F.xxhash64("_norm"))
+    place = ["_lead", "_hash"]
+    if hot:
+        rows = rows.withColumn("_salt", F.when(F.col("_hash").isin(hot), F.pmod(F.xxhash64("_id"), F.lit(SALTS))).otherwise(F.lit(0)))
+        place.append("_salt")
+    dealt = rows.repartitionByRange(*place)
+    ordered = Window.partitionBy(*place, "_norm").orderBy(F.col("_id").asc_nulls_last())
+    same = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    first = F.row_number().over(ordered) == 1
+    found = dealt.select("_id", "_row", "_norm", "_hash", F.min("_id").over(same).alias("_least"), F.count(F.lit(1)).over(same).alias("_n"), first.alias("_first"))
+    found = found.select("_id", "_row", "_least", "_n", "_first", F.sha2("_norm", 256).alias("_sha"), *([F.col("_hash").isin(hot).alias("_hot")] if hot else []))
     if hot:
         # hot groups: join the salted parts; one row for each hot text, so at most 1/HOT_SHARE and those that share its hash
         whole = found.where("_hot AND _first").groupBy(F.col("_sha").alias("_of")).agg(F.min("_least").alias("_all_least"), F.sum("_n").alias("_all_n"))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import concat_cut, content_sort, linmaxmatch, secret_crf, setsketch, simple8b, suffix_decontam, url_gbt, warc_revisit
+from tessera.llm import concat_cut, content_sort, cotrain, linmaxmatch, secret_crf, setsketch, simple8b, suffix_decontam, url_gbt, warc_revisit
 from tessera.storage import table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -103,6 +103,11 @@ def op6_longest_match(spark: SparkSession, sf: str) -> DataFrame:
     return linmaxmatch.token_counts(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op7_cotraining(spark: SparkSession, sf: str) -> DataFrame:
+    """Quality scores of all documents."""
+    return cotrain.quality(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 def op8_concat_cut(spark: SparkSession, sf: str) -> DataFrame:
     """All documents' token ids in windows of 2048."""
     return concat_cut.pack(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -144,6 +149,7 @@ QUERIES = {
     "op4_warc_revisits": op4_warc_revisits,
     "op5_simple8b": op5_simple8b,
     "op6_longest_match": op6_longest_match,
+    "op7_cotraining": op7_cotraining,
     "op8_concat_cut": op8_concat_cut,
     "op9_setsketch": op9_setsketch,
     "op10_url_trees": op10_url_trees,

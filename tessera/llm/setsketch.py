@@ -281,3 +281,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, alike: int = 80) -> DataF
     found = rows.drop("sketch").join(classed, same, "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
     return found.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def deduplicated(docs: DataFrame, shingle: int = 5, alike: int = 80) -> DataFrame:
+    """The rows whose document stays, with the input's columns."""
+    kept = near_duplicates(docs, shingle, alike).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
+    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept_id")), "left_semi")

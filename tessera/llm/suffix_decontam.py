@@ -156,10 +156,10 @@ class Shard:
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """One row a document: doc_id, n_words, ranges (array of hit word ranges), items (array of item ids as strings)."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, _row long, n_words long, ranges array<int>, items array<string>"
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    """One row a document: _doc (all input columns), n_words, ranges (hit word ranges), items (item ids as strings)."""
+    texts = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col("text").cast("string").alias("text"))
+    words = [T.StructField("ranges", T.ArrayType(T.IntegerType())), T.StructField("items", T.ArrayType(T.StringType()))]
+    schema = T.StructType([texts.schema["_doc"], T.StructField("_row", T.LongType()), T.StructField("n_words", T.LongType()), *words])
     blocks = list(item_blocks(benchmark)) or [[]]
     numbered = len(blocks) > 1
     if numbered:  # documents are told apart by their place, should a doc_id repeat
@@ -179,10 +179,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Data
                 at = 2 * np.searchsorted(text, np.arange(len(shard.count) + 1))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("doc_id"), batch.column("_row") if numbered else pa.array(np.zeros(len(shard.count), np.int64)), pa.array(shard.count.astype(np.int64)),
+                        batch.column("_doc"), batch.column("_row") if numbered else pa.array(np.zeros(len(shard.count), np.int64)), pa.array(shard.count.astype(np.int64)),
                         pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(places)), pa.array([sorted({items.names[i] for i in x}) for x in by_text], pa.list_(pa.string())),
                     ],
-                    ["doc_id", "_row", "n_words", "ranges", "items"],
+                    ["_doc", "_row", "n_words", "ranges", "items"],
                 )
 
         part = texts.mapInArrow(run, schema)
@@ -190,8 +190,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Data
     if not numbered:
         return found.drop("_row")
     # as many rows for each document as there are blocks
-    united = found.groupBy("_row").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("ranges")).alias("ranges"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return united.select("doc_id", "n_words", _united("ranges").alias("ranges"), "items")
+    united = found.groupBy("_row").agg(F.first("_doc").alias("_doc"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("ranges")).alias("ranges"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    return united.select("_doc", "n_words", _united("ranges").alias("ranges"), "items")
 
 
 def item_blocks(benchmark: DataFrame, limit: int = BLOCK_BYTES) -> Iterator[list[tuple[object, str | None]]]:
@@ -235,15 +235,26 @@ def longest_match(ranges: str):
     return F.coalesce(F.array_max(sizes), F.lit(0)).cast("long")
 
 
+def contaminated():
+    """Whether a document counts as contaminated: a twentieth of its words are hit."""
+    hit = n_hit("ranges")
+    return (hit > 0) & (20 * hit >= F.col("n_words"))
+
+
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, longest_match, and ranges and items themselves."""
-    found = matches(docs, benchmark, window).withColumn("n_hit", n_hit("ranges"))
+    found = matches(docs.select("doc_id", "text"), benchmark, window)
     return found.select(
-        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
-        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), longest_match("ranges").alias("longest_match"), "ranges", "items",
+        "_doc.doc_id", "n_words", n_hit("ranges").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
+        contaminated().alias("contaminated"), longest_match("ranges").alias("longest_match"), "ranges", "items",
     )
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The documents that aren't contaminated, with the input's columns."""
+    return matches(docs, benchmark, window).where(~contaminated()).select("_doc.*")
+
+
 def digest(items: list[str]) -> str:
     """What items_sha256 holds for some item ids."""
     return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()

@@ -1,17 +1,14 @@
-"""The registered queries over the input tables, each with its SQL counterpart."""
+"""The registered queries over the input tables, each with its SQL counterpart where SQL has one."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from tessera.storage import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
-FLAGSHIP = "a01_owner_counts"
+FLAGSHIP = "relation_facts"
 
 
 def query(name: str, sql: str | None = None):
@@ -26,12 +23,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-@query(
-    "a01_owner_counts",
-    "SELECT s_nationkey AS owner, count(*) AS n_projects, count_if(s_acctbal > 0) AS n_published FROM supplier GROUP BY s_nationkey",
-)
-def owner_counts(spark: SparkSession, sf: str) -> DataFrame:
-    s = table(spark, sf, "supplier")
-    return s.groupBy(F.col("s_nationkey").alias("owner")).agg(
-        F.count(F.lit(1)).alias("n_projects"), F.count_if(F.col("s_acctbal") > 0).alias("n_published")
-    )
+from tessera.plans import graph_queries, text_queries  # noqa: E402, F401  (they register themselves)

@@ -93,7 +93,7 @@ def inherited_properties(ancestors: DataFrame, properties: DataFrame) -> DataFra
     """
     found = ancestors.join(properties.select(F.col("class").alias("ancestor"), "property"), "ancestor")
     best = found.groupBy("child", "property").agg(F.min(F.struct("depth", "ancestor")).alias("b"))
-    source = F.when(F.col("b.depth") == 0, "direct").when(F.col("b.depth") == 1, F.col("b.ancestor"))
+    source = F.when(F.col("b.depth") == 0, "direct").when(F.col("b.depth") == 1, F.col("b.ancestor").cast("string"))
     return best.select(F.col("child").alias("class"), "property", F.col("b.depth").alias("depth"), source.alias("source"))
 
 

@@ -242,10 +242,10 @@ def graph_round_trip(spark, sf):
     return graph.with_ends(edges, nodes).select(F.col("source_label").alias("source"), "relation", F.col("target_label").alias("target"))
 
 
-@query("first_edge_wins", "SELECT l_orderkey, l_partkey, min(l_linenumber) AS l_linenumber, arg_min(l_returnflag, l_linenumber) AS l_returnflag FROM lineitem GROUP BY ALL")
+@query("first_edge_wins", "SELECT l_orderkey, l_partkey, min(l_linenumber) AS l_linenumber, arg_min(l_returnflag, l_linenumber || l_returnflag) AS l_returnflag FROM lineitem GROUP BY l_orderkey, l_partkey")
 def first_edge_wins(spark, sf):
     rows = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_returnflag")
-    return graph.first_by(rows, ["l_orderkey", "l_partkey"], ["l_linenumber"])
+    return graph.first_by(rows, ["l_orderkey", "l_partkey"], ["l_linenumber", "l_returnflag"])
 
 
 @query(
@@ -293,7 +293,7 @@ def snapshot_diff(spark, sf):
 
 
 PARTS_SQL = """WITH RECURSIVE e AS (SELECT p_partkey AS child, p_partkey // 2 AS parent FROM part WHERE p_partkey // 2 > 0),
-up AS (SELECT p_partkey AS child, p_partkey AS ancestor, 0 AS depth FROM part UNION ALL SELECT up.child, e.parent, depth + 1 FROM up JOIN e ON e.child = up.ancestor)"""
+up AS (SELECT p_partkey AS child, p_partkey AS ancestor, 0 AS depth FROM part WHERE p_partkey > 0 UNION ALL SELECT up.child, e.parent, depth + 1 FROM up JOIN e ON e.child = up.ancestor)"""
 
 
 def _part_tree(spark, sf) -> DataFrame:
@@ -313,7 +313,7 @@ def class_closure(spark, sf):
 )
 def inherited_properties(spark, sf):
     own = table(spark, sf, "part").select(F.col("p_partkey").alias("class"), F.col("p_brand").alias("property"))
-    return graph.inherited_properties(_part_tree(spark, sf), own).withColumn("source", F.col("source").cast("string"))
+    return graph.inherited_properties(_part_tree(spark, sf), own)
 
 
 @query("nearest_value", f"{PARTS_SQL} SELECT child AS node, arg_min(p_type, depth) AS value FROM up JOIN part ON p_partkey = ancestor WHERE p_size % 3 = 0 GROUP BY child")

@@ -37,7 +37,7 @@ def recursive_chunks(spark, sf):
 def global_chunk_index(spark, sf):
     """Chunks numbered through all documents, without one task that sees them all."""
     n = F.greatest(F.lit(1), F.ceil(F.length("text") / 800).cast("int"))
-    chunks = table(spark, sf, "documents").select("doc_id", F.explode(F.sequence(F.lit(0), n - 1)).cast("long").alias("chunk"))
+    chunks = table(spark, sf, "documents").select("doc_id", F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk")).withColumn("chunk", F.col("chunk").cast("long"))
     return graph.number_rows(chunks, "doc_id", "chunk").select("doc_id", "chunk", "index")
 
 
@@ -79,7 +79,7 @@ def local_times(spark, sf):
 )
 def citations(spark, sf):
     said = F.concat(F.lit("as in ["), F.col("turn") % 4, F.lit("] and ["), F.col("conv_id") % 3 + 1, F.lit("]"))
-    found = table(spark, sf, "conversations").select("conv_id", "turn", F.explode(text.citations(said, F.lit(2))).cast("long").alias("ref"))
+    found = table(spark, sf, "conversations").select("conv_id", "turn", F.explode(text.citations(said, F.lit(2))).alias("ref")).withColumn("ref", F.col("ref").cast("long"))
     return found.groupBy("conv_id", "turn", "ref").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -107,7 +107,7 @@ def answer_context(spark, sf):
     return retrieval.context(facts, rows)
 
 
-@query("searched", "SELECT doc_id FROM documents WHERE contains(lower(text), 'the') OR contains(lower(source), 'src1')")
+@query("searched", "SELECT doc_id FROM documents WHERE contains(lower(text), 'the') OR contains(lower(source), 'the')")
 def searched(spark, sf):
     return aggregates.searched(table(spark, sf, "documents").select("doc_id", "text", "source"), "the", "text", "source").select("doc_id")
 
@@ -146,7 +146,7 @@ def task_events(spark, sf) -> DataFrame:
     return table(spark, sf, "events").select("event_id", F.col("user_id").alias("task_id"), F.col("ts").cast("timestamp").alias("ts"), status.alias("status"), (F.col("value") / 100).alias("progress"))
 
 
-@query("task_latest", f"WITH {EVENTS_SQL} SELECT task_id, arg_max(event_id, epoch_us(ts) * 100000 + event_id % 100000) AS event_id, count(*) AS n FROM e GROUP BY task_id")
+@query("task_latest", f"WITH {EVENTS_SQL} SELECT task_id, event_id, n FROM (SELECT task_id, event_id, count(*) OVER (PARTITION BY task_id) AS n, row_number() OVER (PARTITION BY task_id ORDER BY ts DESC, event_id DESC) AS i FROM e) WHERE i = 1")
 def task_latest(spark, sf):
     rows = task_events(spark, sf)
     found = tasks.latest(rows)

@@ -277,12 +277,17 @@ def trained(docs: DataFrame, limit: int = TRAIN_DOCUMENTS) -> Field | None:
     cue = text.rlike(r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]|AKIA[A-Z0-9]{12}|[0-9a-f]{32}")
     columns = ["text", *[c for c in ("source", "lang") if c in docs.columns]]
     small = docs.where(F.length(text) < 20_000).select("doc_id", *columns, cue.alias("_cue"))
+    # shares by hash that give about so many rows of either kind; only those reach the driver
+    grain, at = 1 << 30, F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    total, cued = small.agg(F.count(F.lit(1)), F.count_if("_cue")).first()
     rows = []
-    for has in (True, False):
-        rows += small.where(F.col("_cue") == has).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).select(*columns).collect()
+    for has, n in ((True, cued), (False, total - cued)):
+        share = min(grain, int(grain * limit / max(n, 1)))
+        rows += small.where((at < share) & (F.col("_cue") == has)).select("doc_id", *columns).limit(limit).collect()
+    rows.sort(key=lambda r: (r.doc_id is None, r.doc_id or 0, r.text or ""))
     if not rows:
         return None
-    batch = pa.RecordBatch.from_pylist([r.asDict() for r in rows], pa.schema([(c, pa.string()) for c in columns]))
+    batch = pa.RecordBatch.from_pylist([{c: r[c] for c in columns} for r in rows], pa.schema([(c, pa.string()) for c in columns]))
     data, offsets = arrays.buffer(batch.column("text"))
     tokens = Tokens(data, offsets, file_features(batch, data, offsets))
     tags = gold_tags(tokens, base_spans(data, offsets), offsets)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera import model
 from tessera.functions import ids, text
-from tessera.operators import aggregates, export, extraction, graph, rdf, retrieval, vector
+from tessera.operators import aggregates, export, extraction, graph, matching, rdf, retrieval, vector
 from tessera.plans.catalog import query
 from tessera.storage import table
 
@@ -143,7 +143,7 @@ def related_either_way(spark, sf):
 
 @query(
     "owner_stats",
-    """SELECT c_nationkey AS owner, count(*) AS n_projects, count_if(c_acctbal > 0) AS n_published, count_if(c_mktsegment = 'BUILDING') AS n_building FROM customer GROUP BY 1""",
+    """SELECT c_nationkey AS owner, count(*) AS n_projects, count_if(c_acctbal > 0)::BIGINT AS n_published, count_if(c_mktsegment = 'BUILDING')::BIGINT AS n_building FROM customer GROUP BY 1""",
 )
 def owner_stats(spark, sf):
     c = table(spark, sf, "customer")
@@ -202,7 +202,7 @@ def triple_provenance(spark, sf):
     return rdf.provenance(_line_triples(spark, sf)).select("s", "p", "o", F.array_join("sources", ",").alias("sources"), "n_sources")
 
 
-@query("merge_report", f"WITH {TRIPLES_SQL}, c AS (SELECT s, p, o, count(DISTINCT source) AS n FROM t GROUP BY ALL) SELECT sum(n)::BIGINT AS total, count(*) AS merged, count_if(n = 1) AS unique_triples, sum(n - 1)::BIGINT AS duplicates FROM c")
+@query("merge_report", f"WITH {TRIPLES_SQL}, c AS (SELECT s, p, o, count(DISTINCT source) AS n FROM t GROUP BY ALL) SELECT sum(n)::BIGINT AS total, count(*) AS merged, count_if(n = 1)::BIGINT AS unique_triples, sum(n - 1)::BIGINT AS duplicates FROM c")
 def merge_report(spark, sf):
     return rdf.merge_report(_line_triples(spark, sf))
 
@@ -227,7 +227,7 @@ def triple_type_counts(spark, sf):
     return rdf.type_counts(rdf.graph_triples(model.nodes(spark, sf, ("nation", "region")), model.edges(spark, sf, ("IN_REGION",))).withColumn("source", F.lit("all")))
 
 
-@query("turtle_lines", "SELECT count(*) AS n, count_if(true) AS ended FROM (SELECT unnest(range(3)) FROM nation UNION ALL SELECT unnest(range(2)) FROM region)")
+@query("turtle_lines", "SELECT count(*) AS n, count_if(true)::BIGINT AS ended FROM (SELECT unnest(range(3)) FROM nation UNION ALL SELECT unnest(range(2)) FROM region)")
 def turtle_lines(spark, sf):
     """A graph written as lines, and how many are whole."""
     lines = rdf.turtle_lines(rdf.graph_triples(model.nodes(spark, sf, ("nation", "region")), model.edges(spark, sf, ("IN_REGION",))))
@@ -476,3 +476,25 @@ def lineitem_rollup(spark, sf):
 @query("masked_names", "SELECT c_custkey, CASE WHEN length(c_name) > 8 THEN substr(c_name, 1, 4) || '****' || right(c_name, 4) WHEN length(c_name) > 0 THEN '******' ELSE '' END AS masked FROM customer")
 def masked_names(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", text.masked(F.col("c_name")).alias("masked"))
+
+
+@query("fuzzy_attributes", "SELECT DISTINCT p_brand AS asked, p_brand AS name, 1 AS rank FROM part UNION SELECT DISTINCT upper(substr(p_brand, 2)), (SELECT min(p_brand) FROM part b WHERE contains(b.p_brand, upper(substr(part.p_brand, 2)))), 2 FROM part WHERE (SELECT min(p_brand) FROM part b WHERE contains(b.p_brand, upper(substr(part.p_brand, 2)))) IS NOT NULL")
+def fuzzy_attributes(spark, sf):
+    """Attribute names asked for whole or in part, matched to the known ones."""
+    brands = table(spark, sf, "part").select("p_brand").distinct()
+    known = brands.select(F.col("p_brand").alias("name"), F.col("p_brand").alias("pos"))
+    found = matching.attributes(brands.select(F.explode(F.array("p_brand", F.upper(F.substring("p_brand", 2, 99)))).alias("asked")), known)
+    return found.where(F.col("rank") <= 2)
+
+
+@query(
+    "ends_by_relation",
+    """SELECT 'I' || s_suppkey AS src, 'T' || n_nationkey AS dst, 'type' AS relation FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE s_suppkey % 2 = 0
+    UNION ALL SELECT 'I' || s_suppkey, 'T' || n_nationkey, 'located' FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE s_suppkey % 2 = 1""",
+)
+def ends_by_relation(spark, sf):
+    """Exchanged relationships of suppliers and nations with their ids."""
+    s, n = table(spark, sf, "supplier"), table(spark, sf, "nation")
+    rel = s.join(n, F.col("n_nationkey") == F.col("s_nationkey")).select(F.col("s_name").alias("source_name"), F.col("n_name").alias("target_name"), F.when(F.col("s_suppkey") % 2 == 0, "type").otherwise("located").alias("relation"))
+    ids_ = lambda t, name, key, mark: t.select(F.col(name).alias("name"), F.concat(F.lit(mark), F.col(key)).alias("id"))
+    return matching.ends_by_relation(rel, ids_(n, "n_name", "n_nationkey", "T"), ids_(s, "s_name", "s_suppkey", "I"))

@@ -158,7 +158,7 @@ def task_latest(spark, sf):
     f"""WITH {EVENTS_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY ts, event_id) AS i FROM e),
     f AS (SELECT task_id, min(i) FILTER (status IN ('completed', 'failed')) AS stop, min(i) FILTER (status = 'running') AS run FROM o GROUP BY task_id),
     k AS (SELECT o.task_id, o.i, o.status, o.progress, i <= coalesce(stop, i) AND NOT (status = 'pending' AND i > least(coalesce(run, 1000000000), coalesce(stop, 1000000000))) AS ok FROM o JOIN f ON f.task_id = o.task_id)
-    SELECT task_id, coalesce(max_by(status, i) FILTER (ok), 'pending') AS status, count_if(ok) AS accepted, count_if(NOT ok) AS refused FROM k GROUP BY task_id""",
+    SELECT task_id, coalesce(max_by(status, i) FILTER (ok), 'pending') AS status, count_if(ok)::BIGINT AS accepted, count_if(NOT ok)::BIGINT AS refused FROM k GROUP BY task_id""",
 )
 def task_states(spark, sf):
     return tasks.folded(task_events(spark, sf)).select("task_id", "status", "accepted", "refused")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import ids, text
-from tessera.operators import aggregates, export, extraction, graph, rdf, retrieval, vector
+from tessera.operators import aggregates, export, extraction, graph, matching, rdf, retrieval, vector
 from tessera.sources import files
 
 
@@ -213,3 +213,21 @@ def test_small_helpers(spark):
     assert sorted((r.k, r.v) for r in aggregates.unchanged_schema(a, b, "k", "v").collect()) == [(1, "x"), (2, "old")]
     assert sorted((r.k, r.v, r.created) for r in aggregates.upserted(b, a, "k", "v").collect()) == [(1, "x", True), (2, None, False), (3, "y", False)]
     assert sorted((r.k, r.value) for r in aggregates.folded(a.unionAll(a.withColumn("v", F.lit("z"))), ["k"], "v").collect()) == [(1, "[x,z]"), (2, "z")]
+
+
+def test_attribute_and_action_names(spark):
+    known = spark.createDataFrame([("投资周期", 1), ("业绩比较基准", 2), ("起点金额", 3), ("风险等级", 4), ("募集币种说明", 5)], "name string, pos int")
+    asked = spark.createDataFrame([(a,) for a in ("投资周期", "比较基准", "起点比例", "存续期", "币种", "险等的级", "xyz", "")], "asked string")
+    got = {r.asked: (r.name, r["rank"]) for r in matching.attributes(asked, known).collect()}
+    assert got == {"投资周期": ("投资周期", 1), "比较基准": ("业绩比较基准", 2), "起点比例": ("起点金额", 3), "存续期": ("投资周期", 4), "币种": ("募集币种说明", 2), "险等的级": ("风险等级", 6)}
+    types = spark.createDataFrame([("拒绝申请", "", 1), ("分红", "发红利", 2)], "name string, label string, pos int")
+    done = spark.createDataFrame([(a,) for a in ("分红", "发红利", "年度分红", "拒绝赎回", "别的")], "action string")
+    assert {r.action: (r.type_name, r["rank"]) for r in matching.actions(done, types).collect()} == {"分红": ("分红", 1), "发红利": ("分红", 1), "年度分红": ("分红", 2), "拒绝赎回": ("拒绝申请", 3)}
+
+
+def test_ends_by_relation(spark):
+    rel = spark.createDataFrame([("a", "a", "type"), ("a", "b", "owns"), ("b", "a", "action"), ("c", "a", "x")], "source_name string, target_name string, relation string")
+    types = spark.createDataFrame([("a", "T1")], "name string, id string")
+    inst = spark.createDataFrame([("a", "I1"), ("b", "I2")], "name string, id string")
+    got = sorted(tuple(r) for r in matching.ends_by_relation(rel, types, inst).collect())
+    assert got == [("I1", "T1", "type"), ("I2", "T1", "action"), ("T1", "I2", "owns")]

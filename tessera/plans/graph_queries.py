@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera import model
 from tessera.functions import ids, text
-from tessera.operators import aggregates, export, extraction, graph, matching, rdf, retrieval, vector
+from tessera.operators import aggregates, control, export, extraction, graph, matching, rdf, retrieval, vector
 from tessera.plans.catalog import query
 from tessera.storage import table
 
@@ -498,3 +498,44 @@ def ends_by_relation(spark, sf):
     rel = s.join(n, F.col("n_nationkey") == F.col("s_nationkey")).select(F.col("s_name").alias("source_name"), F.col("n_name").alias("target_name"), F.when(F.col("s_suppkey") % 2 == 0, "type").otherwise("located").alias("relation"))
     ids_ = lambda t, name, key, mark: t.select(F.col(name).alias("name"), F.concat(F.lit(mark), F.col(key)).alias("id"))
     return matching.ends_by_relation(rel, ids_(n, "n_name", "n_nationkey", "T"), ids_(s, "s_name", "s_suppkey", "I"))
+
+
+@query("edge_kinds", "SELECT CASE WHEN p_size % 4 = 0 THEN 'type' WHEN p_size % 4 = 1 THEN 'subclass' WHEN p_size % 4 = 2 THEN 'action' ELSE 'property' END AS kind, count(*) AS n FROM part GROUP BY 1")
+def edge_kinds(spark, sf):
+    k = F.col("p_size") % 4
+    relation = F.when(k == 0, "rdf:type").when(k == 1, "subClassOf").when(k == 2, "x").otherwise("owns")
+    kind = control.edge_kind(relation, F.lit(None).cast("string"), F.when(k == 2, "AT_1").otherwise("C_1"))
+    return table(spark, sf, "part").groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _projects(spark, sf) -> DataFrame:
+    c = table(spark, sf, "customer")
+    return c.select(F.col("c_custkey").alias("id"), F.when(F.col("c_nationkey") > 3, F.col("c_nationkey")).alias("domain"), (F.col("c_acctbal") > 5000).alias("published"))
+
+
+@query("moved_projects", "SELECT c_custkey AS id, CASE WHEN c_nationkey = 7 AND NOT c_acctbal > 5000 THEN 8 WHEN c_nationkey > 3 THEN c_nationkey END AS domain FROM customer")
+def moved_projects(spark, sf):
+    return control.moved(_projects(spark, sf), 7, 8).select("id", "domain")
+
+
+@query("published_projects", "SELECT c_custkey AS id, c_acctbal > 5000 OR (c_custkey < 100 AND c_nationkey > 3) AS published FROM customer")
+def published_projects(spark, sf):
+    return control.published(_projects(spark, sf), list(range(100)))[0].select("id", "published")
+
+
+@query("deletable_domains", "SELECT n_nationkey AS id FROM nation WHERE n_nationkey <= 3 OR n_nationkey NOT IN (SELECT c_nationkey FROM customer)")
+def deletable_domains(spark, sf):
+    return control.deletable(table(spark, sf, "nation").select(F.col("n_nationkey").alias("id")), _projects(spark, sf))
+
+
+@query("document_page", "SELECT doc_id, source FROM documents ORDER BY n_chars DESC, doc_id LIMIT 10 OFFSET 20")
+def document_page(spark, sf):
+    """The third page of a list; the limit is the page's."""
+    d = table(spark, sf, "documents").withColumn("shortest", -F.col("n_chars"))
+    return control.page(d, 3, "shortest", "doc_id").select("doc_id", "source")
+
+
+@query("tooltips", "SELECT p_partkey, p_name || chr(10) || 'p_brand: ' || substr(p_brand, 1, 20) || chr(10) || 'p_type: ' || substr(p_type, 1, 20) AS tip FROM part")
+def tooltips(spark, sf):
+    n = model.nodes(spark, sf, ("part",))
+    return n.select(F.col("pos").alias("p_partkey"), control.tooltip(F.col("properties"), F.col("label")).alias("tip"))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import ids, text
-from tessera.operators import aggregates, export, extraction, graph, matching, rdf, retrieval, vector
+from tessera.operators import aggregates, control, export, extraction, graph, matching, rdf, retrieval, vector
 from tessera.sources import files
 
 
@@ -231,3 +231,22 @@ def test_ends_by_relation(spark):
     inst = spark.createDataFrame([("a", "I1"), ("b", "I2")], "name string, id string")
     got = sorted(tuple(r) for r in matching.ends_by_relation(rel, types, inst).collect())
     assert got == [("I1", "T1", "type"), ("I2", "T1", "action"), ("T1", "I2", "owns")]
+
+
+def test_control_tables(spark, tmp_path):
+    p = spark.createDataFrame([(1, 5, False), (2, None, False), (3, 5, True)], "id int, domain int, published boolean")
+    new, refused = control.published(p, [1, 2])
+    assert {r.id: r.published for r in new.collect()} == {1: True, 2: False, 3: True} and [r.id for r in refused.collect()] == [2]
+    assert {r.id: r.domain for r in control.moved(p, 5, 6).collect()} == {1: 6, 2: None, 3: 5}
+    domains = spark.createDataFrame([(5,), (6,)], "id int")
+    assert [r.id for r in control.deletable(domains, p).collect()] == [6]
+    assert control.complete(p, [1, 3, 3]) and not control.complete(p, [1, 9])
+    assert [r.id for r in control.page(p, 2, "id", size=2).collect()] == [3]
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "project int, v string")
+    assert control.without_project(1, rows)[0].count() == 1
+    control.save_partition(rows, f"{tmp_path}/t")
+    control.save_partition(rows.where("project = 2").withColumn("v", F.lit("c")), f"{tmp_path}/t")
+    assert {r.project: r.v for r in spark.read.parquet(f"{tmp_path}/t").collect()} == {1: "a", 2: "c"}
+    assert [round(r.progress, 2) for r in control.progress(spark.range(2), "id").orderBy("id").collect()] == [0.45, 0.9]
+    tip = control.tooltip(F.create_map(F.lit("_h"), F.lit("x"), F.lit("k"), F.lit("v" * 30)), F.lit("doc"))
+    assert one(spark, tip) == "doc\nk: " + "v" * 20

@@ -107,3 +107,41 @@ def to_graph(triples: DataFrame) -> tuple[DataFrame, DataFrame]:
     nodes = kind.join(labels(triples), "s", "left").join(props, "s", "left").select(local("s").alias("id"), "label", "kind", "properties")
     edges = triples.where((F.col("o_kind") == "iri") & (F.col("p") != RDF + "type")).select(local("s").alias("src"), local("o").alias("dst"), local("p").alias("relation"))
     return nodes, edges.distinct()
+
+
+def class_table(triples: DataFrame) -> DataFrame:
+    """(class, label, parent): every class with a label, its own name if it has none, and a parent."""
+    parents = triples.where(F.col("p") == RDFS + "subClassOf").groupBy("s").agg(F.min("o").alias("parent"))
+    found = classes(triples).join(labels(triples), "s", "left").join(parents, "s", "left")
+    return found.select(F.col("s").alias("class"), F.coalesce("label", F.substring_index("s", "#", -1)).alias("label"), "parent")
+
+
+def data_properties(triples: DataFrame) -> DataFrame:
+    """(class, property, data_type): literal properties by their domain; the type as in a schema."""
+    p = F.col("p")
+    end = lambda name: triples.where(p == RDFS + name).select(F.col("s").alias("property"), F.col("o").alias(name))
+    declared = triples.where((p == RDF + "type") & F.col("o").isin(OWL + "DatatypeProperty", RDF + "Property")).select(F.col("s").alias("property")).distinct()
+    found = declared.join(end("domain"), "property").join(end("range"), "property", "left")
+    literal = found.where(F.col("range").isNull() | F.col("range").startswith(XSD))
+    kind = F.lit("string")
+    for name, xsd in reversed([("number", "decimal"), ("number", "integer"), ("boolean", "boolean"), ("date", "date"), ("datetime", "dateTime")]):
+        kind = F.when(F.col("range") == XSD + xsd, name).otherwise(kind)
+    return literal.select(F.col("domain").alias("class"), "property", kind.alias("data_type"))
+
+
+def schema_triples(types: DataFrame, links: DataFrame) -> DataFrame:
+    """A schema as triples: types (id, label, properties of name and data_type), links (src, dst, relation, label)."""
+    none = F.lit(None).cast("string")
+    iri = lambda c: F.concat(F.lit(BASE), c)
+    triple = lambda p, o, kind="iri", lang=none: F.struct(F.lit(p).alias("p"), o.alias("o"), F.lit(kind).alias("o_kind"), lang.alias("lang"), none.alias("datatype"))
+    a = types.select(iri(node_uri(F.col("id"))).alias("s"), F.inline(F.array(triple(RDF + "type", F.lit(OWL + "Class")), triple(RDFS + "label", F.col("label"), "literal", F.lit("zh")))))
+    xsd = F.lit(XSD + "string")
+    for name, value in XSD_TYPES.items():
+        xsd = F.when(F.col("q.data_type") == name, XSD + value).otherwise(xsd)
+    props = types.select(iri(node_uri(F.col("id"))).alias("owner"), F.explode("properties").alias("q"))
+    b = props.select(iri(property_uri(F.col("q.name"))).alias("s"), F.inline(F.array(triple(RDF + "type", F.lit(OWL + "DatatypeProperty")), triple(RDFS + "domain", F.col("owner")), triple(RDFS + "range", xsd))))
+    c = links.select(
+        iri(property_uri(F.col("relation"))).alias("s"),
+        F.inline(F.array(triple(RDF + "type", F.lit(OWL + "ObjectProperty")), triple(RDFS + "domain", iri(node_uri(F.col("src")))), triple(RDFS + "range", iri(node_uri(F.col("dst")))))),
+    )
+    return a.unionByName(b).unionByName(c).distinct()

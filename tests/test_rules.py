@@ -6,7 +6,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.functions import ids, text
+from tessera.functions import ids, models, text
 from tessera.operators import aggregates, control, export, extraction, graph, matching, rdf, retrieval, vector
 from tessera.sources import files
 
@@ -250,3 +250,36 @@ def test_control_tables(spark, tmp_path):
     assert [round(r.progress, 2) for r in control.progress(spark.range(2), "id").orderBy("id").collect()] == [0.45, 0.9]
     tip = control.tooltip(F.create_map(F.lit("_h"), F.lit("x"), F.lit("k"), F.lit("v" * 30)), F.lit("doc"))
     assert one(spark, tip) == "doc\nk: " + "v" * 20
+
+
+def test_schema_as_triples_and_back(spark):
+    types = spark.createDataFrame([("C_1", "基金", [("size", "number"), ("名", "string")]), ("C_2", "Bank", [])], "id string, label string, properties array<struct<name:string,data_type:string>>")
+    links = spark.createDataFrame([("C_2", "C_1", "sells", "")], "src string, dst string, relation string, label string")
+    t = rdf.schema_triples(types, links)
+    short = lambda x: x and x.split("#")[1]
+    assert {(short(r["class"]), r.label) for r in rdf.class_table(t).collect()} == {("C_1", "基金"), ("C_2", "Bank")}
+    assert {(short(r["class"]), r.data_type) for r in rdf.data_properties(t).collect()} == {("C_1", "number"), ("C_1", "string")}
+    assert [(short(r.property), short(r.domain), short(r.range)) for r in rdf.schema_links(t).collect()] == [("sells", "C_2", "C_1")]
+
+
+def test_model_seams(spark):
+    rows = spark.createDataFrame([("one two three",), ("",), (None,)], "t string")
+    v = [r.embedding for r in models.embedded(rows, "t", models.hashed_embedder(64)).collect()]
+    assert abs(sum(x * x for x in v[0]) - 1) < 1e-5 and v[1] == v[2] == [0.0] * 64
+
+    def broken(texts):
+        raise ValueError
+
+    assert {str(r.embedding) for r in models.embedded(rows, "t", broken).collect()} == {"None"}
+    waits, tried = [], []
+
+    def busy(prompt):
+        tried.append(prompt)
+        if len(tried) < 3:
+            raise models.Busy
+        return "{}"
+
+    assert models.called(busy, "p", waits.append) == "{}" and waits == [10, 20]
+    assert models.called(broken, "p", waits.append) is None
+    got = models.extracted(rows.where("t like 'one%'"), "t", lambda p: p.upper()).first()
+    assert got.payload == "ONE TWO THREE"

@@ -15,17 +15,32 @@ SLICE_BYTES = 2 << 20
 
 
 def slices(batches, text: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that a slice has about ``limit`` bytes of text; no text is cut."""
+    """Cut Arrow batches so that a slice has about ``limit`` bytes of text; no text is cut.
+
+    After the last, what the worker no longer uses goes back to the system: idle workers stay small.
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
-        ends = np.cumsum(lengths(batch.column(text)), dtype=np.int64)
+        column = batch.column(text) if text in batch.schema.names else batch.column(text.split(".")[0]).field(text.split(".")[1])
+        ends = np.cumsum(lengths(column), dtype=np.int64)
         low = 0
         while low < batch.num_rows:
             done = ends[low - 1] if low else 0
             high = max(low + 1, int(np.searchsorted(ends, done + limit, "right")))
             yield batch.slice(low, high - low)
             low = high
+    release()
+
+
+def release() -> None:
+    """Give freed memory back to the system, where the C library can."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def lengths(column: pa.Array) -> np.ndarray:

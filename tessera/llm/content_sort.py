@@ -46,14 +46,18 @@ def label(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carry: bo
     With ``carry`` all input columns, and ``_keep_id``, ``_group_size``, ``_kept`` and ``_sha256``.
     """
     hot = hot_keys(docs, text)
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]) if carry else F.lit(None).cast("int")
-    rows = docs.select(F.col(doc_id).alias("_id"), normalised(F.col(text)).alias("_norm"), row.alias("_row"))
-    rows = rows.withColumn("_lead", F.substring("_norm", 1, LEAD)).withColumn("_hash", F.xxhash64("_norm"))
+    norm = normalised(F.col(text))
+    body = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row") if carry else norm.alias("_norm")
+    rows = docs.select(F.col(doc_id).alias("_id"), body, F.substring(norm, 1, LEAD).alias("_lead"), F.xxhash64(norm).alias("_hash"))
     place = ["_lead", "_hash"]
     if hot:
         rows = rows.withColumn("_salt", F.when(F.col("_hash").isin(hot), F.pmod(F.xxhash64("_id"), F.lit(SALTS))).otherwise(F.lit(0)))
         place.append("_salt")
     dealt = rows.repartitionByRange(*place)
+    if carry:  # one text a row is shuffled
+        dealt = dealt.withColumn("_norm", normalised(F.col(f"_row.`{text}`")))
+    else:
+        dealt = dealt.withColumn("_row", F.lit(None).cast("int"))
     ordered = Window.partitionBy(*place, "_norm").orderBy(F.col("_id").asc_nulls_last())
     same = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     first = F.row_number().over(ordered) == 1

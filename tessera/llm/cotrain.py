@@ -232,11 +232,13 @@ def scored(docs: DataFrame, model: Model | None) -> DataFrame:
         return docs.select(whole, *[F.lit(1.0).alias(c) for c in ("content_score", "page_score", "score")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in arrays.slices(batches):
-            found = model.scores(content_features(batch.column("text")), page_features(batch))
+        for batch in arrays.slices(batches, "_row.text", arrays.SLICE_BYTES // 2) if plain else arrays.slices(batches):
+            text = batch.column("_row").field("text") if plain else batch.column("text")
+            found = model.scores(content_features(text), page_features(batch))
             yield pa.RecordBatch.from_arrays([batch.column("_row"), *map(pa.array, found)], ["_row", "content_score", "page_score", "score"])
 
-    frame = docs.select(whole, *_inputs(docs))
+    plain = docs.schema["text"].dataType == T.StringType()  # then the text isn't sent twice
+    frame = docs.select(whole, *_inputs(docs)[plain:])
     schema = T.StructType([frame.schema["_row"], *[T.StructField(c, T.DoubleType()) for c in ("content_score", "page_score", "score")]])
     return frame.mapInArrow(run, schema)
 

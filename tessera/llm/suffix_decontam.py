@@ -157,7 +157,9 @@ class Shard:
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """One row a document: _doc (all input columns), n_words, ranges (hit word ranges), items (item ids as strings)."""
-    texts = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col("text").cast("string").alias("text"))
+    plain = docs.schema["text"].dataType == T.StringType()  # then the text isn't sent twice
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
+    texts = docs.select(whole) if plain else docs.select(whole, F.col("text").cast("string").alias("text"))
     words = [T.StructField("ranges", T.ArrayType(T.IntegerType())), T.StructField("items", T.ArrayType(T.StringType()))]
     schema = T.StructType([texts.schema["_doc"], T.StructField("_row", T.LongType()), T.StructField("n_words", T.LongType()), *words])
     blocks = list(item_blocks(benchmark)) or [[]]
@@ -170,8 +172,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Data
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             items = Items(sent.value, window)
-            for batch in arrays.slices(batches):
-                shard = Shard(batch.column("text"))
+            for batch in arrays.slices(batches, "_doc.text" if plain else "text"):
+                shard = Shard(batch.column("_doc").field("text") if plain else batch.column("text"))
                 hit, by_text = shard.hits(items)
                 begin, end = arrays.runs(hit, np.append(shard.starts, len(shard.keys)))
                 text = np.searchsorted(shard.starts, begin, "right") - 1

@@ -161,7 +161,8 @@ def band_keys(classes: DataFrame) -> DataFrame:
 def families(classes: DataFrame) -> DataFrame:
     """(node, component): classes that buckets join, directly or through others."""
     bands = band_keys(classes)
-    least = bands.groupBy("key").agg(F.min("rep").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    # written, so that Spark can split the join where a bucket is very large
+    least = written(bands.groupBy("key").agg(F.min("rep").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "buckets")
     return components(bands.join(least, "key").where("rep <> v").select(F.col("rep").alias("u"), "v"))
 
 

@@ -9,7 +9,8 @@ sampled for the splitters has a bounded size.
 A text with a large share of all rows would land in one task.  So texts that a sample finds
 often (``HOT_SHARE`` of its rows or more; there can be at most 1/HOT_SHARE of them) are dealt
 out by text and a salt, and only their groups, one row for each text and salt, are joined
-again afterwards.  Hotness changes how rows are dealt, never the result.
+again afterwards.  The number of salts grows with the table, so that a salt has ``SALT_ROWS`` rows
+at most however large a text's share is.  Hotness changes how rows are dealt, never the result.
 
 Defined results: null counts as an empty text; of rows that repeat an identifier and a text one
 stays; a null identifier stays only where its group has no other; an empty table gives none.
@@ -21,9 +22,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOT_SHARE = 1 / 500
-HOT_SAMPLE = 20_000
+HOT_SHARE = 1 / 5000
+HOT_SAMPLE = 200_000
+LEAST_HOT = 20
 SALTS = 64
+SALT_ROWS = 100_000
 LEAD = 48
 
 
@@ -31,12 +34,11 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), r"[\x20\x09-\x0D]+", " ")
 
 
-def hot_keys(docs: DataFrame, text: str, sample: int = HOT_SAMPLE) -> list[int]:
-    """Hashes of texts that make up HOT_SHARE of a sample; at most 1/HOT_SHARE of them reach the driver."""
-    rows = docs.count()
+def hot_keys(docs: DataFrame, text: str, rows: int, sample: int = HOT_SAMPLE) -> list[int]:
+    """Hashes of texts that make up HOT_SHARE of a sample of the table's rows; at most 1/HOT_SHARE of them reach the driver."""
     share = min(1.0, sample / max(rows, 1))
     keys = docs.sample(share, seed=7).select(F.xxhash64(normalised(F.col(text))).alias("_k"))
-    often = keys.groupBy("_k").count().where(F.col("count") >= max(3, HOT_SHARE * share * rows))
+    often = keys.groupBy("_k").count().where(F.col("count") >= max(LEAST_HOT, HOT_SHARE * share * rows))
     return [r["_k"] for r in often.orderBy(F.desc("count")).limit(int(1 / HOT_SHARE)).collect()]
 
 
@@ -45,13 +47,14 @@ def label(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carry: bo
 
     With ``carry`` all input columns, and ``_keep_id``, ``_group_size``, ``_kept`` and ``_sha256``.
     """
-    hot = hot_keys(docs, text)
+    total = docs.count()
+    hot, salts = hot_keys(docs, text, total), max(SALTS, total // SALT_ROWS)
     norm = normalised(F.col(text))
     body = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row") if carry else norm.alias("_norm")
     rows = docs.select(F.col(doc_id).alias("_id"), body, F.substring(norm, 1, LEAD).alias("_lead"), F.xxhash64(norm).alias("_hash"))
     place = ["_lead", "_hash"]
     if hot:
-        rows = rows.withColumn("_salt", F.when(F.col("_hash").isin(hot), F.pmod(F.xxhash64("_id"), F.lit(SALTS))).otherwise(F.lit(0)))
+        rows = rows.withColumn("_salt", F.when(F.col("_hash").isin(hot), F.pmod(F.xxhash64("_id"), F.lit(salts))).otherwise(F.lit(0)))
         place.append("_salt")
     dealt = rows.repartitionByRange(*place)
     if carry:  # one text a row is shuffled

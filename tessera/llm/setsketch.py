@@ -126,6 +126,13 @@ def reaches(least: float, above: np.ndarray, equal: np.ndarray, below: np.ndarra
     return _likelihood(least + 1e-6, above, equal, below, u) >= _likelihood(least - 1e-6, above, equal, below, u)
 
 
+def prints(keys: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """Two 64-bit sums over each set, which tell sets apart."""
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    sums = [np.concatenate([[np.uint64(0)], np.cumsum(x)]) for x in (keys, arrays.mix(keys ^ np.uint64(0x5851F42D4C957F2D)))]
+    return [(s[ends[1:]] - s[ends[:-1]]).view(np.int64) for s in sums]
+
+
 def described(docs: DataFrame, shingle: int) -> DataFrame:
     """(doc_id, n_shingles, print_a, print_b, sketch) of every document."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -134,11 +141,8 @@ def described(docs: DataFrame, shingle: int) -> DataFrame:
         for batch in arrays.slices(batches):
             keys, sizes = shingle_sets(batch.column("text"), shingle)
             registers = sketches(keys, sizes)
-            ends = np.concatenate([[0], np.cumsum(sizes)])
-            sums = [np.concatenate([[np.uint64(0)], np.cumsum(x)]) for x in (keys, arrays.mix(keys ^ np.uint64(0x5851F42D4C957F2D)))]
-            prints = [(s[ends[1:]] - s[ends[:-1]]).view(np.int64) for s in sums]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes), *map(pa.array, prints), pa.array([r.tobytes() for r in registers], pa.binary())],
+                [batch.column("doc_id"), pa.array(sizes), *map(pa.array, prints(keys, sizes)), pa.array([r.tobytes() for r in registers], pa.binary())],
                 ["doc_id", "n_shingles", "print_a", "print_b", "sketch"],
             )
 
@@ -214,7 +218,7 @@ def _confirmed(reps: np.ndarray, side: np.ndarray, keys: np.ndarray, sizes: np.n
 
 
 def confirmed_links(members: DataFrame, shingle: int, alike: int) -> DataFrame:
-    """(u, v): links that hold on full sets; members has family, block, rep, side, text, sketch."""
+    """(u, v): links that hold on full sets; members has family, block, rep, side, text, sketch, print_a."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # rows come sorted by family and block; the last group of a slice may go on in the next
@@ -230,6 +234,12 @@ def confirmed_links(members: DataFrame, shingle: int, alike: int) -> DataFrame:
         for batch in arrays.slices(batches):
             family, block, reps, side = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("family", "block", "rep", "side"))
             keys, sizes = shingle_sets(batch.column("text"), shingle)
+            own = prints(keys, sizes)[0] == batch.column("print_a").to_numpy(zero_copy_only=False)
+            if not own.all():  # an identifier with several texts: the class has one of them
+                batch, keys, sizes = batch.filter(pa.array(own)), keys[np.repeat(own, sizes)], sizes[own]
+                family, block, reps, side = (x[own] for x in (family, block, reps, side))
+            if not len(sizes):
+                continue
             registers = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint16).reshape(batch.num_rows, REGISTERS)
             ends = np.concatenate([[0], np.cumsum(sizes)])
             cuts = (np.flatnonzero((family[1:] != family[:-1]) | (block[1:] != block[:-1])) + 1).tolist()
@@ -255,7 +265,7 @@ def blocked(members: DataFrame, stats: DataFrame) -> DataFrame:
     dealt = sized.withColumn("part", part).withColumn("block", F.explode(low))
     first, second = F.floor(F.col("block") / F.col("parts")), F.col("block") % F.col("parts")
     # side -1: all pairs of the block count; else only pairs of different sides
-    return dealt.withColumn("side", F.when(first == second, -1).when(F.col("part") == first, 0).otherwise(1)).select("family", "block", "rep", "side", "text", "sketch")
+    return dealt.withColumn("side", F.when(first == second, -1).when(F.col("part") == first, 0).otherwise(1)).select("family", "block", "rep", "side", "text", "sketch", "print_a")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, alike: int = 80) -> DataFrame:
@@ -270,9 +280,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, alike: int = 80) -> DataF
     classes = written(full.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")), "classes")
     joined = written(families(classes).withColumnRenamed("component", "family"), "families")
 
-    wanted = joined.join(classes.select(F.col("rep").alias("node"), "sketch"), "node")
+    wanted = joined.join(classes.select(F.col("rep").alias("node"), "sketch", "print_a"), "node")
     once = texts.where("text is not null")
-    members = once.join(wanted, F.col("doc_id") == F.col("node")).select("family", F.col("node").alias("rep"), "text", "sketch")
+    members = once.join(wanted, F.col("doc_id") == F.col("node")).select("family", F.col("node").alias("rep"), "text", "sketch", "print_a")
     sizes = classes.select(F.col("rep").alias("node"), "n_shingles").join(joined, "node").groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("w"))
     parts = F.ceil(F.greatest(F.col("n") / BLOCK_CLASSES, F.col("w") * 7 / BLOCK_BYTES)).cast("int")
     links = confirmed_links(blocked(members, sizes.select("family", parts.alias("parts"))), shingle, alike)

@@ -27,7 +27,7 @@ def test_content_sort(spark):
         least = min((i for i in ids if i is not None), default=None)
         assert len(mine) == len(ids) and {r.group_size for r in mine} == {len(ids)} and {r.keep_id for r in mine} == {least}
         assert [r.doc_id for r in mine if r.kept] == [least]
-    assert content_sort.hot_keys(docs, "text")
+    assert content_sort.hot_keys(docs, "text", len(rows))
     kept = content_sort.deduplicated(docs)
     assert kept.columns == docs.columns and kept.count() == len(want)
     assert content_sort.label(docs.limit(0)).count() == 0
@@ -163,6 +163,15 @@ def test_setsketch_near_duplicates(spark):
     assert setsketch.near_duplicates(frame.unionAll(frame.limit(3))).count() == len(docs) + 3
 
 
+def test_an_identifier_with_two_texts_makes_no_false_link(spark):
+    first, second = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    docs = [(1, first), (2, first + " x"), (1, second), (3, second + " y"), (4, "another text of some words")]
+    got = setsketch.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), 4)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == [(1, 37, 1), (1, 37, 1), (2, 38, 1), (3, 38, 1), (4, 2, 4)]
+    apart = setsketch.near_duplicates(spark.createDataFrame([(5, first), (5, "w"), (6, "w v"), (7, first + " x")], "doc_id long, text string"), 4)
+    assert sorted((r.doc_id, r.component_id) for r in apart.collect()) == [(5, 5), (5, 5), (6, 6), (7, 5)]
+
+
 def test_registers_are_mergeable_and_estimate():
     pick = np.random.default_rng(0)
     errors = []

@@ -45,7 +45,7 @@ def hot_keys(docs: DataFrame, text: str, rows: int, sample: int = HOT_SAMPLE) ->
 def label(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carry: bool = False) -> DataFrame:
     """One row a document: doc_id, keep_id, group_size, kept, text_sha256.
 
-    With ``carry`` all input columns, and ``_keep_id``, ``_group_size``, ``_kept`` and ``_sha256``.
+    With ``carry`` also ``row``, a struct of all input columns.
     """
     total = docs.count()
     hot, salts = hot_keys(docs, text, total), max(SALTS, total // SALT_ROWS)
@@ -72,11 +72,10 @@ def label(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carry: bo
         found = found.join(F.broadcast(whole), F.col("_hot") & (F.col("_sha") == F.col("_of")), "left")
         found = found.withColumn("_least", F.coalesce("_all_least", "_least")).withColumn("_n", F.coalesce("_all_n", "_n"))
     kept = F.col("_first") & F.col("_id").eqNullSafe(F.col("_least"))
-    if carry:
-        return found.select("_row.*", F.col("_least").alias("_keep_id"), F.col("_n").alias("_group_size"), kept.alias("_kept"), F.col("_sha").alias("_sha256"))
-    return found.select(F.col("_id").alias("doc_id"), F.col("_least").alias("keep_id"), F.col("_n").cast("long").alias("group_size"), kept.alias("kept"), F.col("_sha").alias("text_sha256"))
+    named = [F.col("_id").alias("doc_id"), F.col("_least").alias("keep_id"), F.col("_n").cast("long").alias("group_size"), kept.alias("kept"), F.col("_sha").alias("text_sha256")]
+    return found.select(*named, *([F.col("_row").alias("row")] if carry else []))
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows that stay, with the input's columns."""
-    return label(docs, doc_id, text, carry=True).where("_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return label(docs, doc_id, text, carry=True).where("kept").select("row.*")

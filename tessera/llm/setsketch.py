@@ -297,4 +297,5 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, alike: int = 80) -> DataF
 def deduplicated(docs: DataFrame, shingle: int = 5, alike: int = 80) -> DataFrame:
     """The rows whose document stays, with the input's columns."""
     kept = near_duplicates(docs, shingle, alike).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept_id")), "left_semi")
+    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    return rows.join(kept, rows["_id"].eqNullSafe(kept["_kept_id"]), "left_semi").select("_row.*")

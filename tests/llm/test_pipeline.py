@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 from tokenizers import Tokenizer
 
-from tessera.llm import cotrain
+from tessera.llm import content_sort, cotrain, setsketch, suffix_decontam
 
 from .test_duplicates import brute_near, brute_report
 
@@ -75,6 +75,17 @@ def test_stages_against_brute_force(spark, tmp_path):
         assert stage(spark, empty, str(tmp_path)).count() == 0
 
 
+def test_columns_with_clashing_names_pass_through(spark):
+    names = ["_kept", "_row", "row", "kept", "_id", "_kept_id", "_salt", "component_id", "score", "ranges"]
+    kind = "doc_id long, text string, " + ", ".join(f"{n} int" for n in names)
+    docs = spark.createDataFrame([(i, t, *range(len(names))) for i, t in enumerate(["a b c d e f", "a  b c d e f", None, "", "x " * 30, "A B C D E F"])], kind)
+    bench = spark.createDataFrame([(1, "x " * 13)], "item_id long, text string")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    for out, ids in ((content_sort.deduplicated(docs), [0, 2, 4, 5]), (setsketch.deduplicated(docs), [0, 2, 3, 4]), (suffix_decontam.clean(docs, bench), [0, 1, 2, 3, 5]), (cotrain.accepted(docs, labels), [0, 1, 2, 3, 4, 5])):
+        assert out.columns == docs.columns
+        assert sorted((r.doc_id, *r[2:]) for r in out.collect()) == [(i, *range(len(names))) for i in ids]
+
+
 def test_cotraining_on_held_out_labels(spark):
     docs, labels, _ = corpus(11, 600)
     extra = docs + [(9001, None, None, None, None, True), (9002, "", "xx", "", 0, True), (9003, "a " * 20_000, "en", "a", -5, True), docs[0]]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.storage import written
+
 
 def distinct_last(rows: DataFrame, key: str, order: str) -> DataFrame:
     """One row for each key, the last."""
@@ -30,11 +32,30 @@ def folded(rows: DataFrame, key: list[str], value: str) -> DataFrame:
     return values.select(*key, F.when(F.size("vs") == 1, F.col("vs")[0]).otherwise(F.concat(F.lit("["), F.array_join("vs", ","), F.lit("]"))).alias("value"))
 
 
+def sums_before(rows: DataFrame, value: str, order: list[str], group: str | None = None) -> DataFrame:
+    """Rows with ``before``: the sum of a value over the rows before each in a total order, of all rows or of each group.
+
+    Rows are dealt by range of group and order, so a large group is spread over tasks.  A window sums within a task's share,
+    and the shares' totals, one row for each task and group, give the rest.
+    """
+    keys = [group] if group else []
+    dealt = rows.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id())
+    dealt = written(dealt, "dealt")
+    until = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    within = F.coalesce(F.sum(value).over(until(Window.partitionBy("_part", *keys).orderBy(*order))), F.lit(0))
+    totals = dealt.groupBy(F.col("_part").alias("_share"), *[F.col(k).alias("_group") for k in keys]).agg(F.sum(value).alias("_total"))
+    earlier = Window.partitionBy("_group").orderBy("_share") if keys else Window.orderBy("_share")
+    bases = totals.withColumn("_base", F.coalesce(F.sum("_total").over(until(earlier)), F.lit(0))).drop("_total")
+    same = F.col("_part") == F.col("_share")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col("_group"))
+    found = dealt.withColumn("_within", within).join(bases, same)
+    return found.select(*rows.columns, (F.col("_within") + F.col("_base")).alias("before"))
+
+
 def eviction(files: DataFrame, size: str, order: list[str], need: float, group: str | None = None) -> DataFrame:
-    """The oldest files to delete until ``need`` is freed: those before which less has been freed."""
-    parts = Window.partitionBy(group) if group else Window.partitionBy(F.lit(0))
-    before = F.coalesce(F.sum(size).over(parts.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return files.withColumn("freed_before", before).where(F.col("freed_before") < need)
+    """The oldest files to delete until ``need`` is freed, in all or in each group: those before which less has been freed."""
+    return sums_before(files, size, order, group).withColumnRenamed("before", "freed_before").where(F.col("freed_before") < need)
 
 
 def unchanged_schema(new: DataFrame, old: DataFrame, key: str, column: str) -> DataFrame:

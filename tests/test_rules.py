@@ -283,3 +283,19 @@ def test_model_seams(spark):
     assert models.called(broken, "p", waits.append) is None
     got = models.extracted(rows.where("t like 'one%'"), "t", lambda p: p.upper()).first()
     assert got.payload == "ONE TWO THREE"
+
+
+@pytest.mark.parametrize("group", [None, "owner"])
+def test_sums_before_and_eviction(spark, group):
+    rows = [(i, i * 7 % 50, [None, "a", "a", "a", "b"][i % 5], None if i % 11 == 0 else i % 4) for i in range(200)]
+    files = spark.createDataFrame(rows, "id int, mtime int, owner string, size long").repartition(6)
+    want, freed = {}, {}
+    for i, _, owner, size in sorted(rows, key=lambda r: (r[1], r[0])):
+        key = owner if group else 0
+        want[i] = freed.get(key, 0)
+        freed[key] = want[i] + (size or 0)
+    assert {r.id: r.before for r in aggregates.sums_before(files, "size", ["mtime", "id"], group).collect()} == want
+    found = aggregates.eviction(files, "size", ["mtime", "id"], 30, group)
+    assert found.columns == [*files.columns, "freed_before"]
+    assert {r.id for r in found.collect()} == {i for i, before in want.items() if before < 30}
+    assert aggregates.sums_before(files.limit(0), "size", ["mtime", "id"], group).count() == 0

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
-FLAGSHIP = "relation_facts"
+FLAGSHIP = "relation_facts_all"
 
 
 def query(name: str, sql: str | None = None):

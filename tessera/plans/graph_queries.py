@@ -35,9 +35,23 @@ GRAPH_SQL = f"WITH {NODES_SQL}, {EDGES_SQL}"
     FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey JOIN customer ON c_custkey = o_custkey WHERE c_custkey <= 20 GROUP BY ALL""",
 )
 def relation_facts(spark: SparkSession, sf: str) -> DataFrame:
-    """Flagship: what the orders of some customers contain, as facts (a chain of three relations)."""
+    """What the orders of the customers that its SQL names contain, as facts (a chain of three relations)."""
+    return _relation_facts(spark, sf, table(spark, sf, "customer").where("c_custkey <= 20"))
+
+
+@query(
+    "relation_facts_all",
+    """SELECT 'edge' AS type, 'order ' || o_orderkey AS subject, 'CONTAINS' AS predicate, p_name AS object, c_name AS customer, sum(l_quantity)::BIGINT AS quantity
+    FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey JOIN customer ON c_custkey = o_custkey GROUP BY ALL""",
+)
+def relation_facts_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Flagship: what all orders contain, as facts; the whole tables are joined."""
+    return _relation_facts(spark, sf, table(spark, sf, "customer"))
+
+
+def _relation_facts(spark: SparkSession, sf: str, customers: DataFrame) -> DataFrame:
     line, orders = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_quantity"), table(spark, sf, "orders").select("o_orderkey", "o_custkey")
-    who = table(spark, sf, "customer").where("c_custkey <= 20").select("c_custkey", "c_name")
+    who = customers.select("c_custkey", "c_name")
     found = orders.join(who, F.col("o_custkey") == F.col("c_custkey")).join(line, F.col("o_orderkey") == F.col("l_orderkey"))
     found = found.join(table(spark, sf, "part").select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
     keys = [F.lit("edge").alias("type"), F.concat(F.lit("order "), "o_orderkey").alias("subject"), F.lit("CONTAINS").alias("predicate"), F.col("p_name").alias("object"), F.col("c_name").alias("customer")]

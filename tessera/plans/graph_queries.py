@@ -426,6 +426,30 @@ def vector_topk_filtered(spark, sf):
     return vector.top_k(e, e.where("vec_id = 7").select(F.col("vec_id").alias("query_id"), "embedding"), 5, F.col("label").isin(1, 2, 3))
 
 
+@query(
+    "vector_topk_all",
+    """WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 20 = 0),
+    s AS (SELECT query_id, vec_id, round(list_cosine_similarity(embedding::DOUBLE[], q::DOUBLE[]), 6) AS similarity FROM embeddings, q),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id)::INT AS rank FROM s) SELECT * FROM r WHERE rank <= 5""",
+)
+def vector_topk_all(spark, sf):
+    """The stated query set, every row whose id 20 divides, against all rows."""
+    e = table(spark, sf, "embeddings")
+    return vector.top_k(e, e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 5)
+
+
+@query(
+    "vector_topk_filtered_all",
+    """WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 20 = 0),
+    s AS (SELECT query_id, vec_id, round(list_cosine_similarity(embedding::DOUBLE[], q::DOUBLE[]), 6) AS similarity FROM embeddings, q WHERE label IN (1, 2, 3)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id)::INT AS rank FROM s) SELECT * FROM r WHERE rank <= 5""",
+)
+def vector_topk_filtered_all(spark, sf):
+    """The stated query set against the rows of some labels."""
+    e = table(spark, sf, "embeddings")
+    return vector.top_k(e, e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 5, F.col("label").isin(1, 2, 3))
+
+
 @query("vector_upsert", "SELECT sha256(text) AS content_hash, min(doc_id) AS doc_id FROM documents GROUP BY text HAVING max(CASE WHEN lang = 'de' THEN 1 ELSE 0 END) = 0")
 def vector_upsert(spark, sf):
     """Texts to add to a collection that has the German ones: each once."""

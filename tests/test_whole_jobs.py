@@ -1,6 +1,10 @@
 """Registered queries and operators do the whole job, on inputs that a cut would show."""
 
+import math
+import operator
+
 import __spark_entry__
+from tessera.operators import graph, vector
 from tessera.plans import catalog
 
 
@@ -14,3 +18,20 @@ def test_flagship_joins_all_customers(spark, tmp_path):
         spark.createDataFrame(rows, columns).write.parquet(f"{tmp_path}/{name}.parquet")
     found = __spark_entry__.queries()[catalog.FLAGSHIP](spark, str(tmp_path))
     assert sorted((r.subject, r.customer, r.quantity) for r in found.collect()) == [("order 10", "a", 1), ("order 11", "b", 2), ("order 12", "c", 7)]
+
+
+def test_vector_search_takes_any_number_of_queries(spark, monkeypatch):
+    monkeypatch.setattr(vector, "MOST_QUERIES", 3)
+    monkeypatch.setattr(vector, "PACK", 4, raising=False)
+    rows = [(i, [float(i % 7), float(i % 3), 1.0]) for i in range(40)] + [(90, [0.0, 0.0, 0.0]), (91, [1.0]), (92, None)]
+    v = spark.createDataFrame(rows, "vec_id int, embedding array<float>").repartition(3)
+    asked = [(i, x) for i, x in rows if i % 3 == 0]
+    got = vector.top_k(v, spark.createDataFrame(asked, "query_id int, embedding array<float>"), 3)
+    want = []
+    for q, x in asked:
+        if not x or not any(x):
+            continue
+        size = lambda y: math.sqrt(sum(z * z for z in y))
+        best = sorted((-round(sum(map(operator.mul, x, y)) / (size(x) * size(y)), 6), i) for i, y in rows if y and len(y) == len(x) and any(y))[:3]
+        want += [(q, i, -s, n + 1) for n, (s, i) in enumerate(best)]
+    assert sorted(map(tuple, got.collect())) == sorted(want)

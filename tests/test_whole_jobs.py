@@ -3,6 +3,8 @@
 import math
 import operator
 
+from pyspark.sql import functions as F
+
 import __spark_entry__
 from tessera.operators import graph, vector
 from tessera.plans import catalog
@@ -35,3 +37,15 @@ def test_vector_search_takes_any_number_of_queries(spark, monkeypatch):
         best = sorted((-round(sum(map(operator.mul, x, y)) / (size(x) * size(y)), 6), i) for i, y in rows if y and len(y) == len(x) and any(y))[:3]
         want += [(q, i, -s, n + 1) for n, (s, i) in enumerate(best)]
     assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_closure_has_no_depth_limit(spark):
+    n = 300
+    up = graph.closure(spark.createDataFrame([(i, i + 1) for i in range(n)], "child int, parent int"))
+    assert up.count() == (n + 1) * (n + 2) // 2
+    assert up.where(F.col("depth") != F.col("ancestor") - F.col("child")).count() == 0
+    links = spark.createDataFrame([(0, n), (n, 0)], "class int, expected int")
+    assert [r["class"] for r in graph.ancestor_violations(links, up).collect()] == [n]
+    values = spark.createDataFrame([(n, "top")], "node int, value string")
+    assert graph.nearest_value(up, values).where("node = 0").first().value == "top"
+    assert graph.closure(spark.createDataFrame([(i, i + 1) for i in range(9)], "child int, parent int"), 5).agg(F.max("depth")).first()[0] == 5

@@ -35,6 +35,11 @@ def op3_suffix_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_match")
 
 
+def op3_longest_verbatim(spark: SparkSession, sf: str) -> DataFrame:
+    """The longest verbatim match of each document with a benchmark item, with item and place."""
+    return suffix_decontam.longest_verbatim(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 OP3_SQL = rf"""
 WITH dw AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
@@ -146,6 +151,7 @@ QUERIES = {
     "op1_secret_crf": op1_secret_crf,
     "op2_content_sort": op2_content_sort,
     "op3_suffix_decontamination": op3_suffix_decontamination,
+    "op3_longest_verbatim": op3_longest_verbatim,
     "op4_warc_revisits": op4_warc_revisits,
     "op5_simple8b": op5_simple8b,
     "op6_longest_match": op6_longest_match,

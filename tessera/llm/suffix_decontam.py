@@ -30,19 +30,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import arrays
+from tessera.storage import written
 
 WINDOW = 13
 DEPTH = 16
 BLOCK_BYTES = 16 << 20
 
 
-def suffix_array(keys: np.ndarray) -> np.ndarray:
-    """Places of the suffixes of some word keys in the order of their first DEPTH words."""
+def suffix_array(keys: np.ndarray, depth: int = DEPTH) -> np.ndarray:
+    """Places of the suffixes of some word keys in the order of their first ``depth`` words."""
     n = len(keys)
     order = np.argsort(keys)
     rank = _ranks(keys[order], order, n)
     step = 1
-    while step < DEPTH:
+    while step < depth:
         pair = rank[:n].astype(np.uint64) << np.uint64(32)
         pair[: max(n - step, 0)] |= rank[step:n].astype(np.uint64)
         order = np.argsort(pair)
@@ -155,6 +156,163 @@ class Shard:
         return np.cumsum(cover[:-1]) > 0, found
 
 
+class Passages:
+    """The whole items of a block, to find the longest verbatim match of a text, however long.
+
+    Runs of 1, 2, 4, ... words of the items are numbered; a text's runs are looked up among them, and only the places
+    of its longest run that an item holds are extended to the match's true end, at their neighbours in the suffix array of the items.
+    """
+
+    def __init__(self, rows: list[tuple[object, str | None]]):
+        rows = sorted((str(i), t) for i, t in rows if t)
+        data, offsets = arrays.buffer(pa.array([t for _, t in rows], pa.string()))
+        _, keys, count = arrays.words(arrays.lower(data), offsets, arrays.ALNUM)
+        self.names = [i for i, _ in rows]
+        self.item = np.repeat(np.arange(len(rows)), count + 1)
+        # a key of 0 stands after each item, as after each text of a shard
+        self.keys = np.zeros(len(keys) + len(rows), np.uint64)
+        self.keys[np.arange(len(keys)) + np.repeat(np.arange(len(rows)), count)] = np.maximum(keys, 1)
+        most = int(count.max(initial=0))
+        self.array = suffix_array(self.keys, most + 1)
+        self.levels: list[np.ndarray] = []  # by level the different runs: words, then pairs of half a run's numbers
+        number = np.where(self.keys == 0, -1, 0)
+        step = 0
+        while True:
+            if step:
+                number, whole = self._pairs(number, step)
+            else:
+                whole = self.keys
+            at = np.flatnonzero(number >= 0)
+            if not len(at):
+                break
+            known, number[at] = np.unique(whole[at], return_inverse=True)
+            self.levels.append(known)
+            step = step * 2 or 1
+
+    @staticmethod
+    def _pairs(number: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+        """Each place's run of twice the words (-1: none, else 0) and its key, from the numbers of the runs of ``step`` words."""
+        other = np.full(len(number), -1, np.int64)
+        other[: max(len(number) - step, 0)] = number[step:]
+        both = (number >= 0) & (other >= 0)
+        return np.where(both, 0, -1), (np.maximum(number, 0).astype(np.uint64) << np.uint64(32)) | np.maximum(other, 0).astype(np.uint64)
+
+    def longest(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str | None]]:
+        """By text: words of the longest match with an item, the first word where one begins, and the item (of several the smallest id)."""
+        data, offsets = arrays.buffer(column)
+        _, words, count = arrays.words(arrays.lower(data), offsets, arrays.ALNUM)
+        text = np.repeat(np.arange(len(count)), count + 1)
+        starts = np.cumsum(count + 1) - (count + 1)
+        keys = np.zeros(len(words) + len(count), np.uint64)
+        keys[np.arange(len(words)) + np.repeat(np.arange(len(count)), count)] = np.maximum(words, 1)
+        level = np.full(len(count), -1)
+        number, step, held = np.where(keys == 0, -1, 0), 0, []
+        for known in self.levels:
+            if step:
+                number, whole = self._pairs(number, step)
+            else:
+                whole = keys
+            at = np.flatnonzero(number >= 0)
+            place = np.minimum(np.searchsorted(known, whole[at]), len(known) - 1)
+            same = known[place] == whole[at]
+            number[at] = np.where(same, place, -1)
+            level[text[at[same]]] = len(held)
+            held.append(at[same])
+            if not same.any():
+                break
+            step = step * 2 or 1
+        at = np.sort(np.concatenate([x[level[text[x]] == n] for n, x in enumerate(held)])) if held else np.zeros(0, np.int64)
+        size, near = self._extended(keys, at)
+        best = np.zeros(len(count), np.int64)
+        np.maximum.at(best, text[at], size)
+        first = np.full(len(count), -1)
+        won = np.flatnonzero(size == best[text[at]])[::-1]  # the first place is written last
+        first[text[at[won]]] = won
+        found = first >= 0
+        names: list[str | None] = [None] * len(count)
+        for t in np.flatnonzero(found).tolist():
+            names[t] = self.names[self._first_item(int(self.array[near[first[t]]]), int(near[first[t]]), int(best[t]))]
+        where = np.where(found, at[first] - starts, -1) if len(at) else first
+        return best, where, names
+
+    def _common(self, keys: np.ndarray, at: np.ndarray, mine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Words that the places of the texts and the items share, and -1, 0 or 1: the item's suffix is below, ends with it, above."""
+        size, state = np.zeros(len(at), np.int64), np.zeros(len(at), np.int8)
+        going = np.arange(len(at))
+        while len(going):
+            a, b = keys[at[going] + size[going]], self.keys[mine[going] + size[going]]
+            state[going] = np.where(b < a, -1, (b > a).astype(np.int8))
+            going = going[(a == b) & (a != 0)]
+            size[going] += 1
+        return size, state
+
+    def _extended(self, keys: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The words of the longest match at each of some places of the texts, and where in the suffix array one stands."""
+        low, high = np.zeros(len(at), np.int64), np.full(len(at), len(self.array))
+        going = np.arange(len(at))
+        while len(going):
+            middle = (low[going] + high[going]) // 2
+            _, state = self._common(keys, at[going], self.array[middle])
+            low[going[state < 0]] = middle[state < 0] + 1
+            high[going[state >= 0]] = middle[state >= 0]
+            going = going[low[going] < high[going]]
+        size, near = np.full(len(at), -1), low.copy()
+        for other in (low - 1, low):
+            ok = np.flatnonzero((other >= 0) & (other < len(self.array)))
+            n, _ = self._common(keys, at[ok], self.array[other[ok]])
+            better = n > size[ok]
+            size[ok[better]], near[ok[better]] = n[better], other[ok[better]]
+        return size, near
+
+    def _first_item(self, place: int, near: int, size: int) -> int:
+        """The smallest item that holds the ``size`` words at a place: all that do stand side by side in the array."""
+        words = self.keys[place : place + size]
+
+        def edge(low: int, high: int, inside_low: bool) -> int:
+            while low < high:
+                middle = (low + high) // 2
+                at = int(self.array[middle])
+                if np.array_equal(self.keys[at : at + size], words) == inside_low:
+                    low = middle + 1
+                else:
+                    high = middle
+            return low
+
+        return int(self.item[self.array[edge(0, near, False) : edge(near, len(self.array), True)]].min())
+
+
+def longest_verbatim(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """One row a document: doc_id, verbatim_words, verbatim_at, verbatim_item.
+
+    The words of the longest passage that stands verbatim in one item, whole to its true end and of whatever length; the first
+    word (from 0) where such a passage begins; and the item, of several the one whose id as a string is the smallest.  Without
+    a common word 0 and nulls.
+    """
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    blocks = list(item_blocks(benchmark)) or [[]]
+    if len(blocks) > 1:  # documents are told apart by a row number that is written once, should a doc_id repeat
+        texts = written(texts.withColumn("_row", F.monotonically_increasing_id()), "texts")
+    else:
+        texts = texts.withColumn("_row", F.lit(0).cast("long"))
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("_row", T.LongType()), *(T.StructField(f"verbatim_{n}", t) for n, t in (("words", T.LongType()), ("at", T.LongType()), ("item", T.StringType())))])
+    found = None
+    for block in blocks:
+        sent = docs.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            items = Passages(sent.value)
+            for batch in arrays.slices(batches):
+                size, at, names = items.longest(batch.column("text"))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_row"), pa.array(size), pa.array(at, mask=at < 0), pa.array(names, pa.string())], schema.names)
+
+        part = texts.mapInArrow(run, schema)
+        found = part if found is None else found.unionAll(part)
+    if len(blocks) > 1:
+        best = F.min_by(F.struct("doc_id", "verbatim_words", "verbatim_at", "verbatim_item"), F.struct(-F.col("verbatim_words"), "verbatim_at", "verbatim_item"))
+        found = found.groupBy("_row").agg(best.alias("_b")).select("_b.*")
+    return found.select("doc_id", "verbatim_words", "verbatim_at", "verbatim_item")
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """One row a document: _doc (all input columns), n_words, ranges (hit word ranges), items (item ids as strings)."""
     plain = docs.schema["text"].dataType == T.StringType()  # then the text isn't sent twice
@@ -232,7 +390,7 @@ def n_hit(ranges: str):
 
 
 def longest_match(ranges: str):
-    """Words of the longest stretch that windows cover without a gap."""
+    """Words of the longest stretch that windows cover without a gap; verbatim matches are in ``longest_verbatim``."""
     sizes = F.transform(ranges, lambda x, i: F.when(i % 2 == 1, x - F.get(ranges, i - 1)).otherwise(0))
     return F.coalesce(F.array_max(sizes), F.lit(0)).cast("long")
 

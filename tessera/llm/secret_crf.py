@@ -4,9 +4,17 @@ The field tags tokens as O (outside), B (a secret begins) or I (inside).  A toke
 letters, digits, ``+/_.-`` and characters outside ASCII, or one other character.  Its features are
 its shape, its own, neighbouring and leading characters' words by hash, and those of its file: source,
 language, length and share of digits.  It is trained here, by gradient ascent on the conditional
-likelihood, on at most ``TRAIN_DOCUMENTS`` documents with pattern matches and as many without,
-whose matched values are the labels; what it learns about shapes and neighbours then also finds
-secrets that no pattern names.
+likelihood, on windows of ``WINDOW_BYTES`` from at most ``TRAIN_DOCUMENTS`` documents with pattern matches
+and as many without; texts of any length give windows.  The matched values are the labels.  In half of the
+windows the key word and the value are masked by other characters, so that shape, signs and context have to
+carry the decision; so the field also finds secrets that no pattern names.
+
+The windows come from one pass: of the rows with the smallest hashes, each task keeps ``TRAIN_DOCUMENTS`` of
+either kind, and the smallest of all tasks' go on.  A share of all rows by hash is looked at, large enough where one in
+a thousand rows has a match; only if that finds too few, all rows are, in a second pass.
+
+The field's spans mark the secrets themselves, without the key word.  One that is not exactly a pattern's span is
+added, with the kind ``crf``, whether or not it overlaps a pattern's; pattern spans stay.
 
 Decoding is Viterbi over whole texts.  All transition scores are finite, so a token whose score
 for O exceeds its others by more than any two transitions can make good is O on the best path; the
@@ -26,11 +34,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import arrays
 
+#: What stands in for masked values: the characters of usual kinds of keys.
+ALPHABETS = [np.frombuffer(x, np.uint8) for x in (b"0123456789abcdef", b"0123456789ABCDEF", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", b"abcdefghijklmnopqrstuvwxyz0123456789", b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")]
 #: The patterns, in the order in which kinds are listed, and their least lengths.
 KINDS = ("assign", "access", "hex", "crf")
 ASSIGN = re.compile(rb"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([a-z0-9+/_.=-]+)""")
@@ -38,7 +48,7 @@ ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 LEAST = {"assign": 8, "access": 16, "hex": 32}
 
 TRAIN_DOCUMENTS = 600
-TRAIN_TOKENS = 100_000
+WINDOW_BYTES = 640
 CHUNK = 64
 TABLE = 1 << 12
 TEMPLATES = 11
@@ -271,36 +281,80 @@ def gold_tags(tokens: Tokens, spans: list[list[tuple[int, int, int, int]]], offs
     return tags
 
 
-def trained(docs: DataFrame, limit: int = TRAIN_DOCUMENTS) -> Field | None:
-    """A field fitted on a bounded sample; None if no pattern matches in it."""
+def window_of(text: bytes, spans: list[tuple[int, int, int, int]], key: int) -> bytes:
+    """About WINDOW_BYTES of a text around one of its matches, or anywhere; cut at white space."""
+    if len(text) <= WINDOW_BYTES:
+        return text
+    if spans:
+        start, _, end, _ = spans[key % len(spans)]
+        low = max(0, min(start - WINDOW_BYTES // 3, end + WINDOW_BYTES // 3 - WINDOW_BYTES))
+    else:
+        low = key % (len(text) - WINDOW_BYTES + 1)
+    piece = text[low : low + WINDOW_BYTES]
+    first = re.search(rb"\s", piece) if low else None
+    last = piece.rfind(b" ") if low + WINDOW_BYTES < len(text) else -1
+    return piece[first.end() if first and first.end() < len(piece) // 4 else 0 : last if last > 3 * len(piece) // 4 else None].decode("utf-8", "ignore").encode()
+
+
+def windows(docs: DataFrame, limit: int) -> list:
+    """(cued, at, file, window): training windows of up to ``limit`` rows of either kind, those with the smallest hashes ``at``."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    cue = text.rlike(r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]|AKIA[A-Z0-9]{12}|[0-9a-f]{32}")
-    columns = ["text", *[c for c in ("source", "lang") if c in docs.columns]]
-    small = docs.where(F.length(text) < 20_000).select("doc_id", *columns, cue.alias("_cue"))
-    # shares by hash that give about so many rows of either kind; only those reach the driver
-    grain, at = 1 << 30, F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    total, cued = small.agg(F.count(F.lit(1)), F.count_if("_cue")).first()
-    rows = []
-    for has, n in ((True, cued), (False, total - cued)):
-        share = min(grain, int(grain * limit / max(n, 1)))
-        rows += small.where((at < share) & (F.col("_cue") == has)).select("doc_id", *columns).limit(limit).collect()
-    rows.sort(key=lambda r: (r.doc_id is None, r.doc_id or 0, r.text or ""))
-    if not rows:
+    grain, rows = 1 << 30, docs.count()
+    share = lambda often: min(grain, int(grain * often * limit / max(rows, 1)))
+    names = [c for c in ("source", "lang") if c in docs.columns]
+    keyed = docs.select(text.alias("text"), *[F.col(c).cast("string").alias(c) for c in names], F.pmod(F.xxhash64("doc_id", text), F.lit(grain)).alias("at"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[bool, list] = {True: [], False: []}
+        for batch in arrays.slices(batches):
+            data, offsets = arrays.buffer(batch.column("text"))
+            found, files = base_spans(data, offsets), file_features(batch, data, offsets)
+            for t, at in enumerate(batch.column("at").to_pylist()):
+                mine = kept[bool(found[t])]
+                if len(mine) < 2 * limit or at < mine[limit - 1][0]:
+                    mine.append((at, int(files[t]), window_of(data[offsets[t] : offsets[t + 1]].tobytes(), found[t], at)))
+                if len(mine) >= 4 * limit:
+                    mine.sort()
+                    del mine[limit:]
+        for cued, mine in kept.items():
+            mine.sort()
+            if mine[:limit]:
+                at, files, pieces = zip(*mine[:limit], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array([cued] * len(at)), pa.array(at, pa.int64()), pa.array(files, pa.int64()), pa.array(pieces, pa.binary())], ["cued", "at", "file", "window"])
+
+    def taken(often_cued: float) -> DataFrame:
+        found = keyed.where(F.col("at") < max(share(often_cued), share(64))).mapInArrow(run, "cued boolean, at long, file long, window binary")
+        place = F.row_number().over(Window.partitionBy("cued").orderBy("at", "window"))
+        return found.withColumn("_n", place).where(F.col("_n") <= limit).drop("_n")
+
+    some = taken(1000).collect()
+    if share(1000) < grain and sum(r.cued for r in some) < limit // 4:  # matches are rarer: look at every row
+        some = taken(float(rows)).collect()
+    return sorted(some)
+
+
+def masked(data: np.ndarray, spans: list[tuple[int, int, int, int]], pick: np.random.Generator) -> None:
+    """Other characters for key words and values, in place: letters for letters, a usual kind of key for a value."""
+    for start, _, end, value in spans:
+        word = np.flatnonzero(np.isin(_KIND[data[start:value]], (2, 3))) + start
+        data[word] = pick.integers(97, 123, len(word))
+        data[value:end] = pick.choice(ALPHABETS[pick.integers(len(ALPHABETS))], end - value)
+
+
+def trained(docs: DataFrame, limit: int = TRAIN_DOCUMENTS) -> Field | None:
+    """A field fitted on a bounded sample of windows; None if no pattern matches in it."""
+    rows = windows(docs, limit)
+    data, offsets = arrays.buffer(pa.array([r.window for r in rows], pa.binary()))
+    data, spans = data.copy(), base_spans(data, offsets)
+    if not any(spans):
         return None
-    batch = pa.RecordBatch.from_pylist([{c: r[c] for c in columns} for r in rows], pa.schema([(c, pa.string()) for c in columns]))
-    data, offsets = arrays.buffer(batch.column("text"))
-    tokens = Tokens(data, offsets, file_features(batch, data, offsets))
-    tags = gold_tags(tokens, base_spans(data, offsets), offsets)
+    pick = np.random.default_rng(len(rows))
+    for t in range(0, len(rows), 2):
+        masked(data[offsets[t] : offsets[t + 1]], spans[t], pick)
+    tokens = Tokens(data, offsets, np.array([r.file for r in rows]))
+    tags = gold_tags(tokens, spans, offsets)
     cuts = np.concatenate([np.arange(a, b, CHUNK) for a, b in zip(tokens.first[:-1], tokens.first[1:], strict=True)] + [[len(tags)]])
-    holds = np.add.reduceat(tags > 0, cuts[:-1]) > 0 if len(tags) else np.zeros(0, bool)
-    # every sequence with a secret, and the others as far as the bound goes
-    order = np.argsort(~holds, kind="stable")[: max(1, TRAIN_TOKENS // CHUNK)]
-    if not holds.any():
-        return None
-    order = np.sort(order)
-    pick = np.concatenate([np.arange(cuts[i], cuts[i + 1]) for i in order])
-    bounds = np.concatenate([[0], np.cumsum((cuts[1:] - cuts[:-1])[order])])
-    return train(tokens.features[pick], tags[pick], bounds)
+    return train(tokens.features, tags, cuts)
 
 
 def spans_of(tokens: Tokens, tags: np.ndarray) -> list[tuple[int, int, int]]:
@@ -315,7 +369,7 @@ def spans_of(tokens: Tokens, tags: np.ndarray) -> list[tuple[int, int, int]]:
 
 
 def scan(docs: DataFrame, field: Field | None) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_crf; places are code points."""
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_crf (added spans), n_field (all spans of the field); places are code points."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     sent = docs.sparkSession.sparkContext.broadcast(field)  # a table of fixed size
 
@@ -329,22 +383,24 @@ def scan(docs: DataFrame, field: Field | None) -> DataFrame:
                 for t, a, b in spans_of(tokens, sent.value.tags(tokens)):
                     added[t].append((a - int(offsets[t]), b - int(offsets[t])))
             points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-            out: dict[str, list] = {k: [] for k in ("n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_crf")}
+            out: dict[str, list] = {k: [] for k in ("n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_crf", "n_field")}
             for t, base in enumerate(found):
                 origin = int(offsets[t])
                 place = lambda x, origin=origin: int(points[origin + x] - points[origin])
-                extra = [(a, 3, b) for a, b in added[t] if all(b <= s or e <= a for s, _, e, _ in base)]
+                known = {(s, e) for s, _, e, _ in base}
+                extra = [(a, 3, b) for a, b in added[t] if (a, b) not in known]
                 every = [f"{KINDS[k]}:{place(a)}:{place(b)}" for a, k, b in sorted([(s, k, e) for s, k, e, _ in base] + extra)]
                 first = ",".join(x for x in every if not x.startswith("crf"))
                 for k, name in enumerate(("n_assign", "n_access", "n_hex")):
                     out[name].append(sum(x[1] == k for x in base))
                 out["n_crf"].append(len(extra))
+                out["n_field"].append(len(added[t]))
                 out["base_sha256"].append(hashlib.sha256(first.encode()).hexdigest())
                 out["spans"].append(",".join(every))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(v, pa.string() if isinstance(v[0], str) else pa.int64()) for v in out.values()]], ["doc_id", *out])
 
     columns = ["doc_id", F.col("text").cast("string").alias("text"), *[F.col(c).cast("string").alias(c) for c in ("source", "lang") if c in docs.columns]]
-    return docs.select(*columns).mapInArrow(run, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_crf long")
+    return docs.select(*columns).mapInArrow(run, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_crf long, n_field long")
 
 
 def find_secrets(docs: DataFrame, limit: int = TRAIN_DOCUMENTS) -> DataFrame:

@@ -103,3 +103,32 @@ def test_field_finds_what_no_pattern_names(spark):
     got = {r.doc_id: r for r in secret_crf.scan(spark.createDataFrame(hidden, "doc_id long, text string"), field).collect()}
     assert sum(got[i].n_crf == 1 for i in range(1, 100, 2)) >= 40
     assert sum(got[i].n_crf for i in range(0, 100, 2)) <= 2
+
+
+def test_masked_training_finds_planted_secrets_of_other_kinds(spark):
+    """Keys of four alphabets, too short for the hex pattern, behind five words that no pattern names: precision and recall of exact spans."""
+    pick = random.Random(9)
+    word = lambda: "".join(pick.choice("aeinorstüé") for _ in range(pick.randint(2, 8)))
+    some = lambda letters, n: "".join(pick.choice(letters) for _ in range(n))
+    say = lambda n: " ".join(pick.choice([word(), word(), word() + ".", some("0123456789", 16), word() + "@mail.example.com"]) for _ in range(n))
+    low, up, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    rows = [(i, f'{say(60)} token = "{some(digits + "abcdef", 40)}" {say(60)}' if i % 3 == 0 else say(90)) for i in range(600)]
+    field = secret_crf.trained(spark.createDataFrame(rows, "doc_id long, text string"), 150)
+    planted, truth = [], set()
+    for i in range(200):
+        lead = pick.choice(["bearer = ", "signing_key: ", "credential = ", "auth = ", "passphrase: "])
+        before, value = say(30) + " " + lead + '"', some(pick.choice([digits + "abcdef", low + digits, up + digits, low + up + digits + "+/"]), pick.randint(20, 31))
+        truth.add((i, f"crf:{len(before)}:{len(before) + len(value)}"))
+        planted.append((i, f'{before}{value}" {say(30)}'))
+    planted += [(1000 + i, say(60)) for i in range(200)]
+    got = {(r.doc_id, x) for r in secret_crf.scan(spark.createDataFrame(planted, "doc_id long, text string"), field).collect() for x in r.spans.split(",") if x.startswith("crf")}
+    assert len(got & truth) >= 0.85 * len(truth) and len(got & truth) >= 0.9 * len(got)
+
+
+def test_training_windows_come_from_texts_of_any_length(spark):
+    long = "word and word " * 5000 + 'token = "0123456789abcdef0123456789abcdef" ' + "more words " * 5000
+    docs = spark.createDataFrame([(None, long), (None, None), (1, ""), (2, "x y"), *[(3, long + str(i)) for i in range(30)]], "doc_id long, text string").repartition(3)
+    rows = secret_crf.windows(docs, 5)
+    assert [r.cued for r in rows].count(True) == 5 and [r.cued for r in rows].count(False) == 3
+    assert all(len(r.window) <= secret_crf.WINDOW_BYTES and b"token" in r.window for r in rows if r.cued)
+    assert secret_crf.windows(docs.limit(0), 5) == []

@@ -334,8 +334,11 @@ def windows(docs: DataFrame, limit: int) -> list:
 
 
 def masked(data: np.ndarray, spans: list[tuple[int, int, int, int]], pick: np.random.Generator) -> None:
-    """Other characters for key words and values, in place: letters for letters, a usual kind of key for a value."""
+    """Other characters for key words, signs and values, in place: letters for letters, a usual kind of key for a value."""
     for start, _, end, value in spans:
+        for signs in (b":=", b"\"'"):
+            at = np.flatnonzero(np.isin(data[start:value], list(signs))) + start
+            data[at] = pick.choice(list(signs), len(at))
         word = np.flatnonzero(np.isin(_KIND[data[start:value]], (2, 3))) + start
         data[word] = pick.integers(97, 123, len(word))
         data[value:end] = pick.choice(ALPHABETS[pick.integers(len(ALPHABETS))], end - value)

@@ -1,17 +1,19 @@
 """Document quality by co-training two views.
 
-One classifier sees the text's content, the other the page's metadata: source, language and length.  Both are
-logistic regressions on binned features.  In each of ``ROUNDS`` rounds either labels the pool's rows of
-which it is most confident, and the other learns from those labels too, at a lower weight.  At the end each view is
-calibrated on labelled rows held out, and a last regression on both calibrated views gives the score of every
-document.
-
-Training sees at most ``TRAIN_ROWS`` labelled rows and ``POOL_ROWS`` others, picked by hash; bins and weights
+One classifier sees the text's content: its characters and words.  The other sees the page's metadata: source, language, source
+by language, length, and the layout of its lines.  No number is in both views.  Both are logistic regressions on binned
+features.  In each of ``ROUNDS`` rounds either labels those rows of a pool without labels of which it is most confident, a share
+of the pool for either class that grows from round to round (``SHARE``), and the other learns from those labels
+too, at a lower weight.  At the end each view is calibrated on labelled rows held out, and a last regression on both
+calibrated views gives the score of every document.
+
+Training sees at most ``TRAIN_ROWS`` labelled rows and ``POOL_ROWS`` others, those with the smallest hashes; bins and weights
 are of fixed size.  Scoring is one pass over all documents without a shuffle.
 
 Defined results: a null or empty text has the features of an empty text; null metadata is a value of its
 own; labels that are null, or of documents that don't exist, are left out, and a document labelled twice
-counts twice; without labels, or with labels of one kind only, every document is accepted with score 1; repeated
+counts twice; of a labelled doc_id that several documents have, one of them counts; without labels, or with labels of one
+kind only, every document is accepted with score 1; repeated
 rows are scored each; an empty table gives none; other columns pass through unread.
 """
 
@@ -27,17 +29,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import arrays
+from tessera.storage import written
 
 TRAIN_ROWS = 8_000
 POOL_ROWS = 8_000
 ROUNDS = 4
-CONFIDENT = 0.97
+SHARE = 0.05
 PSEUDO_WEIGHT = 0.3
 BINS = 10
 ACCEPT = 0.5
-SOURCES, LANGS, SIZES = 64, 16, 24
-#: Numbers of a text's and a page's features.
-WIDTH = 20 + 3
+SOURCES, LANGS, SIZES, PAIRS = 64, 16, 24, 256
+#: Numbers of a text's features, of a page's named ones and of its layout.
+CONTENT, NAMED, LAYOUT = 17, 4, 8
+WIDTH = CONTENT + NAMED + LAYOUT
 
 _LETTER = np.array([65 <= b <= 90 or 97 <= b <= 122 or b >= 128 for b in range(256)])
 _UPPER = np.array([65 <= b <= 90 for b in range(256)])
@@ -49,7 +53,7 @@ _LINE = np.array([b not in (10, 13) for b in range(256)])
 
 
 def content_features(column: pa.Array) -> np.ndarray:
-    """A row of numbers for each text, out of its characters, words and lines."""
+    """A row of numbers for each text, out of its characters and words."""
     data, offsets = arrays.buffer(column)
     n = len(offsets) - 1
     size = np.diff(offsets)
@@ -72,24 +76,38 @@ def content_features(column: pa.Array) -> np.ndarray:
     lone = ~(_LETTER | _DIGIT)[data[starts]] & (ends - starts == 1) if len(ends) else marked
     _, first = np.unique(arrays.mix(keys + text.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True)
     different = np.bincount(text[first], minlength=n)
-    a, b = arrays.runs(_LINE[data], offsets)
-    row = np.searchsorted(offsets, a, "right") - 1
-    lines = np.bincount(row, minlength=n)
-    _, first = np.unique(arrays.mix(arrays.hashes(data, a, b) + row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True)
-    unlike = np.bincount(row[first], minlength=n)
     some = lambda x: np.maximum(x, 1)
     return np.column_stack(
         [
             np.log1p(words), size / some(words), letters / some(size), upper / some(letters), digits / some(size), plain / some(size), symbols / some(size), wide / some(size),
             stops / some(words), tally(same) / some(words), tally(marked) / some(words), tally(shout) / some(words), tally(lone) / some(words), different / some(words),
-            different / np.sqrt(some(words)), words / some(lines), unlike / some(lines), lines / some(words), tally(ends - starts > 20) / some(words), tally((ends - starts) <= 2) / some(words),
+            different / np.sqrt(some(words)), tally(ends - starts > 20) / some(words), tally((ends - starts) <= 2) / some(words),
         ]
     )
 
 
+def layout_features(column: pa.Array) -> np.ndarray:
+    """A row of numbers for each text, out of its lines alone: how many, how long, how often the same."""
+    data, offsets = arrays.buffer(column)
+    n = len(offsets) - 1
+    start, end = arrays.runs(_LINE[data], offsets)
+    row, size = np.searchsorted(offsets, start, "right") - 1, end - start
+    lines = np.bincount(row, minlength=n)
+    keys = arrays.hashes(data, start, end)
+    _, first = np.unique(arrays.mix(keys + row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True)
+    unlike = np.bincount(row[first], minlength=n)
+    longest, total = np.zeros(n, np.int64), np.bincount(row, size, n)
+    np.maximum.at(longest, row, size)
+    ended = np.isin(data[end - 1], [33, 46, 63]) if len(end) else np.zeros(0, bool)
+    some = np.maximum(lines, 1)
+    tally = lambda flag: np.bincount(row, flag, n) / some
+    spread = np.sqrt(np.maximum(np.bincount(row, size.astype(float) ** 2, n) / some - (total / some) ** 2, 0))
+    return np.column_stack([np.log1p(lines), np.log1p(total / some), np.log1p(longest), unlike / some, tally(ended), tally(size < 30), spread / np.maximum(total / some, 1), lines / np.sqrt(np.maximum(total, 1))])
+
+
 def page_features(batch: pa.RecordBatch) -> np.ndarray:
-    """Three small numbers for each row: source, language and length class."""
-    out = []
+    """Four small numbers for each row: source, language, length class, and source by language."""
+    out, keys_of = [], []
     for name, width in (("source", SOURCES), ("lang", LANGS)):
         column = batch.column(name)
         data, offsets = arrays.buffer(column)
@@ -98,8 +116,10 @@ def page_features(batch: pa.RecordBatch) -> np.ndarray:
         keys[full] = arrays.hashes(data, offsets[full], offsets[full + 1])
         out.append((keys % np.uint64(width - 1)).astype(np.int64) + 1)
         out[-1][column.is_null().to_numpy(zero_copy_only=False)] = 0
+        keys_of.append(keys)
     size = batch.column("n_chars").cast(pa.float64()).fill_null(-1).to_numpy(zero_copy_only=False)
     out.append(np.clip(np.where(size < 0, 0, 1 + np.log2(np.maximum(size, 1)).astype(int)), 0, SIZES - 1))
+    out.append((arrays.mix(keys_of[0] + arrays.mix(keys_of[1])) % np.uint64(PAIRS)).astype(np.int64))
     return np.column_stack(out)
 
 
@@ -125,17 +145,19 @@ def regression(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float =
 
 @dataclass
 class Model:
-    """Bin edges, the weights of both views, their calibration and the weights that combine them."""
+    """Bin edges of both views, their weights, their calibration and the weights that combine them; and how many labels each view gave in each round."""
 
     edges: np.ndarray
+    page_edges: np.ndarray
     content: np.ndarray
     page: np.ndarray
     calibration: tuple[np.ndarray, np.ndarray]
     joint: np.ndarray
+    given: list[tuple[int, int]]
 
     def scores(self, content: np.ndarray, page: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Calibrated chances of good quality: by content, by page, and by both."""
-        views = [hot_bins(content, self.edges) @ self.content[:-1] + self.content[-1], hot_page(page) @ self.page[:-1] + self.page[-1]]
+        views = [hot_bins(content, self.edges) @ self.content[:-1] + self.content[-1], hot_page(page, self.page_edges) @ self.page[:-1] + self.page[-1]]
         logits = [c[0] * v + c[1] for c, v in zip(self.calibration, views, strict=True)]
         return _expit(logits[0]), _expit(logits[1]), _expit(np.column_stack(logits) @ self.joint[:-1] + self.joint[-1])
 
@@ -148,40 +170,49 @@ def hot_bins(x: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return out
 
 
-def hot_page(x: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(x), SOURCES + LANGS + SIZES), np.float32)
-    for k, base in enumerate((0, SOURCES, SOURCES + LANGS)):
-        out[np.arange(len(x)), base + x[:, k]] = 1
-    return out
+def hot_page(x: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """1 for each named feature at its value and each number of the layout at its bin."""
+    widths = (SOURCES, LANGS, SIZES, PAIRS)
+    out = np.zeros((len(x), sum(widths)), np.float32)
+    for k, base in enumerate(np.cumsum(widths) - widths):
+        out[np.arange(len(x)), base + x[:, k].astype(np.int64)] = 1
+    return np.concatenate([out, hot_bins(x[:, NAMED:], edges)], axis=1)
 
 
-def _most_confident(p: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows that a view is sure of, as many of either class as goes with the labelled rows."""
+def _most_confident(p: np.ndarray, y: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """The rows that a view is surest of, a share of the pool, of either class as many as goes with the labelled rows."""
     keep = []
     for label, sure in ((1.0, p), (0.0, 1 - p)):
-        order = np.argsort(-sure, kind="stable")[: max(1, int(0.3 * len(p) * (y == label).mean()))]
-        keep.append(order[sure[order] >= CONFIDENT])
+        keep.append(np.argsort(-sure, kind="stable")[: max(1, int(share * len(p) * (y == label).mean())) if len(p) else 0])
     return np.concatenate(keep), np.concatenate([np.ones(len(keep[0])), np.zeros(len(keep[1]))])
 
 
-def fit(content: np.ndarray, page: np.ndarray, y: np.ndarray, pool_content: np.ndarray, pool_page: np.ndarray) -> Model:
-    """Co-train on labelled rows (every fourth is held out for calibration) and a pool without labels."""
-    edges = np.quantile(content, np.linspace(0, 1, BINS + 1)[1:-1], axis=0).T
-    views = [(hot_bins(content, edges), hot_bins(pool_content, edges)), (hot_page(page), hot_page(pool_page))]
+def _edges(x: np.ndarray) -> np.ndarray:
+    return np.quantile(x, np.linspace(0, 1, BINS + 1)[1:-1], axis=0).T
+
+
+def fit(content: np.ndarray, page: np.ndarray, y: np.ndarray, pool_content: np.ndarray, pool_page: np.ndarray, exchange: bool = True) -> Model:
+    """Co-train on labelled rows (every fourth is held out for calibration) and a pool without labels; without ``exchange`` each view learns alone."""
+    edges, page_edges = _edges(np.concatenate([content, pool_content])), _edges(np.concatenate([page, pool_page])[:, NAMED:])
+    views = [(hot_bins(content, edges), hot_bins(pool_content, edges)), (hot_page(page, page_edges), hot_page(pool_page, page_edges))]
     held = np.arange(len(y)) % 4 == 3
-    given: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0))] * 2
-    for _ in range(ROUNDS):
+    known = [(np.zeros(0, np.int64), np.zeros(0))] * 2
+    given = []
+    for turn in range(ROUNDS + 1):
         fitted = []
-        for (x, pool), (rows, labels) in zip(views, given, strict=True):
-            weight = np.concatenate([np.ones((~held).sum()), np.full(len(rows), PSEUDO_WEIGHT)])
+        for (x, pool), (rows, labels) in zip(views, known, strict=True):
+            taught = (~held).sum()  # all pseudo-labels together weigh PSEUDO_WEIGHT of what the labels do at most
+            weight = np.concatenate([np.ones(taught), np.full(len(rows), PSEUDO_WEIGHT * min(1, taught / max(len(rows), 1)))])
             fitted.append(regression(np.concatenate([x[~held], pool[rows]]), np.concatenate([y[~held], labels]), weight))
-        sure = [_most_confident(_expit(pool @ b[:-1] + b[-1]), y[~held]) for (_, pool), b in zip(views, fitted, strict=True)]
-        given = [sure[1], sure[0]]  # each learns from the other's labels
+        if turn < ROUNDS and exchange:
+            sure = [_most_confident(_expit(pool @ b[:-1] + b[-1]), y[~held], (turn + 1) * SHARE) for (_, pool), b in zip(views, fitted, strict=True)]
+            given.append((len(sure[0][0]), len(sure[1][0])))
+            known = [sure[1], sure[0]]  # each learns from the other's labels
     logits = [x @ b[:-1] + b[-1] for (x, _), b in zip(views, fitted, strict=True)]
     ones = np.ones(held.sum())
     calibration = tuple(regression(v[held, None], y[held], ones, 1e-3) for v in logits)
     joined = np.column_stack([c[0] * v + c[1] for c, v in zip(calibration, logits, strict=True)])
-    return Model(edges, fitted[0], fitted[1], calibration, regression(joined[held], y[held], ones, 1e-2))
+    return Model(edges, page_edges, fitted[0], fitted[1], calibration, regression(joined[held], y[held], ones, 1e-2), given)
 
 
 def _inputs(docs: DataFrame) -> list[Column]:
@@ -190,9 +221,18 @@ def _inputs(docs: DataFrame) -> list[Column]:
     return [have("text", "string"), have("source", "string"), have("lang", "string"), have("n_chars", "double")]
 
 
-def _share(rows: int, limit: int, *key: str) -> Column:
-    grain = 1 << 30
-    return F.pmod(F.xxhash64(*key), F.lit(grain)) < min(grain, int(grain * limit / max(rows, 1)))
+def _views(batch: pa.RecordBatch, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The features of both views of a batch."""
+    return content_features(text), np.column_stack([page_features(batch), layout_features(text)])
+
+
+def _at(*key: str | Column) -> Column:
+    return F.pmod(F.xxhash64(*key), F.lit(1 << 30))
+
+
+def _share(rows: int, limit: int) -> int:
+    """Below which of 2^30 hashes about one and a half times ``limit`` of so many rows lie, so that seldom fewer do."""
+    return min(1 << 30, int((1 << 30) * 1.5 * limit / max(rows, 1)) + 1)
 
 
 def _sampled(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -200,28 +240,42 @@ def _sampled(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrays.slices(batches):
-            both = np.column_stack([content_features(batch.column("text")), page_features(batch)])
+            both = np.column_stack(_views(batch, batch.column("text")))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(both.tolist(), pa.list_(pa.float64()))], ["doc_id", "label", "x"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.mapInArrow(run, f"doc_id {kind}, label double, x array<double>").collect()
     rows.sort(key=lambda r: (r.doc_id is None, r.doc_id or 0, r.label, r.x))
     x = np.array([r.x for r in rows] or np.zeros((0, WIDTH)))
-    return x[:, :-3], x[:, -3:].astype(np.int64), np.array([r.label for r in rows], float)
+    return x[:, :CONTENT], x[:, CONTENT:], np.array([r.label for r in rows], float)
+
+
+def samples(docs: DataFrame, labels: DataFrame, label: str = "quality") -> tuple[np.ndarray, ...]:
+    """Both views' features and labels of the labelled sample, and both views' features of the pool.
+
+    The rows with the smallest hashes of their doc_id are taken.  Where a doc_id has several rows, which of them is labelled can't be
+    told, so the one with the smallest text hash is; the pool breaks ties by the text's hash too.  A sample is the same at every run.
+    """
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("double").alias("label"), _at("doc_id").alias("_at"))
+    picked = known.where(F.col("_at") < _share(known.count(), TRAIN_ROWS)).orderBy("_at", "doc_id", "label").limit(TRAIN_ROWS).drop("_at")
+    picked = written(picked, "labels")  # TRAIN_ROWS numbers: small enough to broadcast
+    texts = docs.select("doc_id", *_inputs(docs))
+    found = texts.join(F.broadcast(picked.select("doc_id").distinct()), "doc_id", "left_semi")
+    one = found.groupBy("doc_id").agg(F.min_by(F.struct(*[c for c in found.columns if c != "doc_id"]), F.xxhash64("text")).alias("_d")).select("doc_id", "_d.*")
+    content, page, y = _sampled(one.join(F.broadcast(picked), "doc_id"))
+    at = _at("doc_id", F.lit("pool"))
+    others = texts.withColumn("_at", at).where(F.col("_at") < _share(docs.count(), POOL_ROWS)).join(F.broadcast(picked.select("doc_id").distinct()), "doc_id", "left_anti")
+    ids = written(others.select("_at", F.xxhash64("text").alias("_h"), "doc_id").orderBy("_at", "_h").limit(POOL_ROWS).distinct(), "pool")
+    pool = others.withColumn("_h", F.xxhash64("text")).join(F.broadcast(ids.drop("doc_id")), ["_at", "_h"], "left_semi").limit(POOL_ROWS)
+    pool_content, pool_page, _ = _sampled(pool.withColumn("label", F.lit(0.0)))
+    return content, page, y, pool_content, pool_page
 
 
 def trained(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model | None:
     """A model fitted on bounded samples, or None where the labels are not of both kinds."""
-    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("double").alias("label"))
-    picked = F.broadcast(known.where(_share(known.count(), TRAIN_ROWS, "doc_id")).limit(TRAIN_ROWS))
-    texts = docs.select("doc_id", *_inputs(docs))
-    content, page, y = _sampled(texts.join(picked, "doc_id"))
+    content, page, y, pool_content, pool_page = samples(docs, labels, label)
     if len(np.unique(y)) < 2 or len(y) < 8:
         return None
-    others = texts.where(_share(docs.count(), POOL_ROWS, "doc_id", F.lit("pool"))).limit(POOL_ROWS)
-    pool_content, pool_page, _ = _sampled(others.join(picked, "doc_id", "left_anti").withColumn("label", F.lit(0.0)))
-    if not len(pool_content):
-        pool_content, pool_page = content[:0], page[:0]
     return fit(content, page, y, pool_content, pool_page)
 
 
@@ -234,7 +288,7 @@ def scored(docs: DataFrame, model: Model | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrays.slices(batches, "_row.text", arrays.SLICE_BYTES // 2) if plain else arrays.slices(batches):
             text = batch.column("_row").field("text") if plain else batch.column("text")
-            found = model.scores(content_features(text), page_features(batch))
+            found = model.scores(*_views(batch, text))
             yield pa.RecordBatch.from_arrays([batch.column("_row"), *map(pa.array, found)], ["_row", "content_score", "page_score", "score"])
 
     plain = docs.schema["text"].dataType == T.StringType()  # then the text isn't sent twice

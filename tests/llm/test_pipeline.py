@@ -114,3 +114,28 @@ def test_regression_recovers_weights():
 def test_content_features_of_odd_texts():
     x = cotrain.content_features(pa.array(["", None, "a a A", "\n\n", "é %%% 1", "x" * 100_000]))
     assert np.isfinite(x).all() and x.shape[0] == 6
+
+
+def test_views_teach_each_other(spark):
+    """Both views label the pool in every round, and with few labels each does better for it, or no worse, than alone."""
+    docs, labels, _ = corpus(11, 900)
+    frame = spark.createDataFrame([d[:5] for d in docs], "doc_id long, text string, lang string, source string, n_chars long")
+    content, page, y, pool_content, pool_page = cotrain.samples(frame, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert len(y) and len(pool_content) and page.shape[1] == cotrain.NAMED + cotrain.LAYOUT
+    pick, right = np.random.default_rng(0), {True: [], False: []}
+    for _ in range(6):
+        order = pick.permutation(len(y))
+        few, rest = order[:48], order[48:]
+        for exchange in right:
+            model = cotrain.fit(content[few], page[few], y[few], pool_content, pool_page, exchange)
+            assert len(model.given) == (cotrain.ROUNDS if exchange else 0) and all(a > 1 and b > 1 for a, b in model.given)
+            right[exchange].append([np.mean((s >= 0.5) == y[rest]) for s in model.scores(content[rest], page[rest])])
+    alone, together = np.mean(right[False], axis=0), np.mean(right[True], axis=0)
+    assert (together >= alone - 0.01).all() and together[2] > 0.9
+
+
+def test_samples_repeat_and_a_repeated_identifier_is_one_row(spark):
+    docs = spark.createDataFrame([(7, f"text {i}", "en", "a", 9) for i in range(500)] + [(i, "w " * i, "en", "b", 2 * i) for i in range(8, 60)], "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(7, 40)], "doc_id long, quality int")
+    first, again = cotrain.samples(docs, labels), cotrain.samples(docs.repartition(3), labels)
+    assert len(first[2]) == 33 and all(np.array_equal(a, b) for a, b in zip(first, again, strict=True))

@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 2 << 20
+PART_BYTES = 1 << 20
 
 
 def slices(batches, text: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -99,7 +100,19 @@ def runs(member: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit key of each values[start:end]: a random linear sum over positions, then mixed."""
+    """A 64-bit key of each values[start:end]: a random linear sum over positions, then mixed.
+
+    Some ``PART_BYTES`` at a time, or one longer value: each takes several 8-byte numbers.
+    """
+    done = np.concatenate([[0], np.cumsum(ends - starts)])
+    if done[-1] <= PART_BYTES:
+        return _hashes(values, starts, ends)
+    cuts = np.unique(np.searchsorted(done, np.arange(0, done[-1], PART_BYTES)).clip(0, len(starts)))
+    cuts = np.unique(np.concatenate([[0], cuts, [len(starts)]]))
+    return np.concatenate([_hashes(values, starts[a:b], ends[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+
+
+def _hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     if not len(starts):
         return np.zeros(0, np.uint64)
     size = ends - starts

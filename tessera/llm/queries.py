@@ -32,7 +32,7 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_
 def op3_suffix_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     """Documents that hold passages of benchmark items."""
     found = suffix_decontam.report(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
-    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_match")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_match", "longest_at", "longest_item")
 
 
 def op3_longest_verbatim(spark: SparkSession, sf: str) -> DataFrame:
@@ -53,13 +53,17 @@ spot AS (
 hit AS (
   SELECT s.doc_id, s.i, s.n, win.item_id FROM (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS s FROM spot) s JOIN win USING (n, s)),
 marked AS (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS p FROM hit),
-runs AS (SELECT doc_id, p - row_number() OVER (PARTITION BY doc_id ORDER BY p) AS run FROM marked),
-covered AS (SELECT doc_id, sum(k)::BIGINT AS n_hit, max(k) AS longest_match FROM (SELECT doc_id, run, count(*) AS k FROM runs GROUP BY ALL) GROUP BY doc_id),
+covered AS (SELECT doc_id, count(*) AS n_hit FROM marked GROUP BY doc_id),
+dword AS (SELECT doc_id, unnest(range(len(w))) AS p, unnest(w) AS x FROM dw),
+iword AS (SELECT item_id::VARCHAR AS item, unnest(range(len(w))) AS q, unnest(w) AS x FROM iw),
+runs AS (SELECT doc_id, item, p, p - q AS d, p - row_number() OVER (PARTITION BY doc_id, item, p - q ORDER BY p) AS run FROM dword JOIN iword USING (x)),
+verbatim AS (SELECT doc_id, item, count(*) AS k, min(p) AS p FROM runs GROUP BY doc_id, item, d, run),
+longest AS (SELECT doc_id, k, p, item FROM verbatim QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY k DESC, p, item) = 1),
 items AS (
   SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hit) GROUP BY doc_id)
 SELECT dw.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
-  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, coalesce(longest_match, 0) AS longest_match
-FROM dw LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, coalesce(k, 0) AS longest_match, p AS longest_at, item AS longest_item
+FROM dw LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN longest USING (doc_id)
 """
 
 

@@ -67,6 +67,9 @@ FROM dw LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOI
 """
 
 
+OP3_VERBATIM_SQL = f"SELECT doc_id, longest_match AS verbatim_words, longest_at AS verbatim_at, longest_item AS verbatim_item FROM ({OP3_SQL})"
+
+
 def op4_warc_revisits(spark: SparkSession, sf: str) -> DataFrame:
     """Revisits of all pages, resolved as of their time."""
     found = warc_revisit.resolve(warc_revisit.records_of(table(spark, sf, "pages")))
@@ -164,4 +167,4 @@ QUERIES = {
     "op9_setsketch": op9_setsketch,
     "op10_url_trees": op10_url_trees,
 }
-ORACLE = {"op2_content_sort": OP2_SQL, "op3_suffix_decontamination": OP3_SQL, "op4_warc_revisits": OP4_SQL, "op9_setsketch": OP9_SQL}
+ORACLE = {"op2_content_sort": OP2_SQL, "op3_suffix_decontamination": OP3_SQL, "op3_longest_verbatim": OP3_VERBATIM_SQL, "op4_warc_revisits": OP4_SQL, "op9_setsketch": OP9_SQL}

@@ -10,17 +10,24 @@ maxima of the parts' registers and the registers of similar sets tend to be equa
 2.  Bands of ``ROWS`` registers deal classes into buckets.  Within a bucket each class is linked to
     the smallest only, so a bucket of n classes makes n - 1 links however large it is.  Components
     of these links are families: all that share buckets, closely alike or not.
-3.  Families are read again with their texts, in blocks of bounded size.  Within a family each
+3.  A family of up to ``BLOCK_CLASSES`` classes is read again with its texts.  Each
     pair's similarity is estimated from both sketches jointly, by likelihood; pairs whose estimate
     comes within ``SLACK`` standard errors of the threshold are confirmed or refused on full sets.
-4.  Components of the confirmed links are the near-duplicate groups.
+4.  In a larger family (a common header makes one of texts that are not alike) no text meets all others.  First
+    each class is confirmed against the smallest class that shares a bucket with it, which joins the copies of one text.
+    Then shingles are ordered by how many of the family's classes have them, and of each class the rarest are taken, so many
+    that two sets as alike as asked share one of theirs (the prefix filter, which is exact).  Classes that share such a shingle and
+    are not joined yet are compared by their sketches, in blocks, and the pairs that remain confirmed on full sets.  A shingle
+    of a common header is among no class's rarest, so such a family costs work in proportion to its size.
+5.  Components of the confirmed links are the near-duplicate groups.
 
 Bands miss a pair of similarity 0.8 with a chance of about (1 - 0.8^ROWS)^BANDS = 3e-6.  The
 rest is exact: full sets hold 64-bit keys of whole shingles.
 
 Defined results: null and empty texts and texts without words have the empty set and link to
 nothing; fewer words than a shingle give one shingle of all of them; repeated rows are members of
-one class; an empty table gives none; other columns aren't read.
+one class, and stay or go together; rows of one doc_id with different texts are told apart; a null doc_id names a class only where no other
+does; doc_id is of an integer type, others are an error; an empty table gives none; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -29,8 +36,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm import arrays
 from tessera.llm.components import components
@@ -42,7 +50,7 @@ BASE = 1.001
 RATE = 20.0
 LARGEST = 65_534
 SLACK = 5.0
-#: A block of a family has about this many classes and bytes of text at most.
+#: A family or block has about this many classes and bytes of text at most.
 BLOCK_CLASSES, BLOCK_BYTES = 1024, 8 << 20
 
 _MULTIPLY = arrays.mix(np.arange(1, REGISTERS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
@@ -134,7 +142,7 @@ def prints(keys: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
 
 
 def described(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, n_shingles, print_a, print_b, sketch) of every document."""
+    """(doc_id, text_hash, n_shingles, print_a, print_b, sketch) of every document."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,11 +150,11 @@ def described(docs: DataFrame, shingle: int) -> DataFrame:
             keys, sizes = shingle_sets(batch.column("text"), shingle)
             registers = sketches(keys, sizes)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes), *map(pa.array, prints(keys, sizes)), pa.array([r.tobytes() for r in registers], pa.binary())],
-                ["doc_id", "n_shingles", "print_a", "print_b", "sketch"],
+                [batch.column("doc_id"), batch.column("text_hash"), pa.array(sizes), *map(pa.array, prints(keys, sizes)), pa.array([r.tobytes() for r in registers], pa.binary())],
+                ["doc_id", "text_hash", "n_shingles", "print_a", "print_b", "sketch"],
             )
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, n_shingles long, print_a long, print_b long, sketch binary")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, f"doc_id {kind}, text_hash long, n_shingles long, print_a long, print_b long, sketch binary")
 
 
 def band_keys(classes: DataFrame) -> DataFrame:
@@ -162,12 +170,12 @@ def band_keys(classes: DataFrame) -> DataFrame:
     return classes.select("rep", "sketch").mapInArrow(run, f"key long, rep {classes.schema['rep'].dataType.simpleString()}")
 
 
-def families(classes: DataFrame) -> DataFrame:
-    """(node, component): classes that buckets join, directly or through others."""
+def bucket_links(classes: DataFrame) -> DataFrame:
+    """(u, v): each class with the smallest of each bucket that it is in."""
     bands = band_keys(classes)
     # written, so that Spark can split the join where a bucket is very large
     least = written(bands.groupBy("key").agg(F.min("rep").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "buckets")
-    return components(bands.join(least, "key").where("rep <> v").select(F.col("rep").alias("u"), "v"))
+    return bands.join(least, "key").where("rep <> v").select(F.col("rep").alias("u"), "v").distinct()
 
 
 def _confirmed(reps: np.ndarray, side: np.ndarray, keys: np.ndarray, sizes: np.ndarray, registers: np.ndarray, alike: int) -> list[tuple[int, int]]:
@@ -217,8 +225,12 @@ def _confirmed(reps: np.ndarray, side: np.ndarray, keys: np.ndarray, sizes: np.n
     return links
 
 
-def confirmed_links(members: DataFrame, shingle: int, alike: int) -> DataFrame:
-    """(u, v): links that hold on full sets; members has family, block, rep, side, text, sketch, print_a."""
+def confirmed_links(blocks: DataFrame, texts: DataFrame, classes: DataFrame, shingle: int, alike: int) -> DataFrame:
+    """(u, v): links that hold on full sets, within blocks of bounded size.
+
+    blocks: family, block, rep, side (-1: all pairs count, else those of different sides); texts: node, text; classes: node, sketch, print_a.
+    """
+    members = blocks.join(classes.select(F.col("node").alias("rep"), "sketch", "print_a"), "rep").join(texts.withColumnRenamed("node", "rep"), "rep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # rows come sorted by family and block; the last group of a slice may go on in the next
@@ -253,49 +265,183 @@ def confirmed_links(members: DataFrame, shingle: int, alike: int) -> DataFrame:
         if out := flush():
             yield out
 
-    ordered = members.repartition("family", "block").sortWithinPartitions("family", "block")
+    ordered = members.select("family", "block", "rep", "side", "text", "sketch", "print_a").repartition("family", "block").sortWithinPartitions("family", "block")
     return ordered.mapInArrow(run, "u long, v long")
 
 
-def blocked(members: DataFrame, stats: DataFrame) -> DataFrame:
-    """Members dealt into blocks: one for a family of usual size, else all pairs of its parts."""
-    sized = members.join(stats, "family")
-    part = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
-    low = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.least(k, F.col("part")) * F.col("parts") + F.greatest(k, F.col("part")))
-    dealt = sized.withColumn("part", part).withColumn("block", F.explode(low))
-    first, second = F.floor(F.col("block") / F.col("parts")), F.col("block") % F.col("parts")
-    # side -1: all pairs of the block count; else only pairs of different sides
-    return dealt.withColumn("side", F.when(first == second, -1).when(F.col("part") == first, 0).otherwise(1)).select("family", "block", "rep", "side", "text", "sketch", "print_a")
+def _parts(classes: Column, shingles: Column) -> Column:
+    """Into how many blocks so many classes with so many shingles go."""
+    return F.ceil(F.greatest(classes / BLOCK_CLASSES, shingles * 7 / BLOCK_BYTES)).cast("int")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, alike: int = 80) -> DataFrame:
-    """One row a document: doc_id, n_shingles, component_id, kept.
+def star_blocks(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(family, block, rep, side): blocks in which the pairs (u, v) meet, all of v's in blocks of bounded size, each with v itself.
 
-    alike: 100 times the least similarity of a link.  doc_id is an integer column.
+    sizes: node, n_shingles.
+    """
+    weighed = pairs.join(sizes.withColumnRenamed("node", "u"), "u")
+    parts = weighed.groupBy("v").agg(_parts(F.count(F.lit(1)), F.sum("n_shingles")).alias("parts"))
+    part = F.pmod(F.xxhash64("u"), F.col("parts")).cast("int")
+    others = pairs.join(parts, "v").select(F.col("v").alias("family"), part.alias("block"), F.col("u").alias("rep"), F.lit(1).alias("side"))
+    centres = parts.select(F.col("v").alias("family"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("block"), F.col("v").alias("rep"), F.lit(0).alias("side"))
+    return others.unionByName(centres)
+
+
+def rare_shingles(held: DataFrame, shingle: int, alike: int) -> DataFrame:
+    """(family, key, node): of each class its rarest shingles, as many as the prefix filter needs, but for those that no other class of the family has.
+
+    held: family, node, print_a, text.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in arrays.slices(batches):
+            keys, sizes = shingle_sets(batch.column("text"), shingle)
+            own = prints(keys, sizes)[0] == batch.column("print_a").to_numpy(zero_copy_only=False)
+            cuts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            sets = pa.ListArray.from_arrays(pa.array(cuts), pa.array(keys.view(np.int64)))
+            whole = pa.RecordBatch.from_arrays([batch.column("family"), batch.column("node"), sets], ["family", "node", "keys"])
+            yield whole.filter(pa.array(own))
+
+    kind = held.schema["node"].dataType.simpleString()
+    # an identifier that repeats with its text is one class
+    sets = written(held.mapInArrow(run, f"family {kind}, node {kind}, keys array<long>").dropDuplicates(["node"]), "sets")
+    single = sets.select("family", "node", F.size("keys").alias("n"), F.explode("keys").alias("key"))
+    often = single.groupBy("family", "key").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    ordered = single.join(often, ["family", "key"]).groupBy("family", "node", "n").agg(F.array_sort(F.collect_list(F.struct("f", "key"))).alias("shared"))
+    # a set of n shingles shares ceil(alike n / 100) with any that is as alike; its single shingles come first, and no other set has them
+    need = F.col("n") - F.ceil(F.col("n") * alike / 100).cast("int") + 1 - (F.col("n") - F.size("shared"))
+    return ordered.where(need > 0).select("family", "node", F.explode(F.slice("shared", 1, need)).alias("s")).select("family", "s.key", "node")
+
+
+def shingle_blocks(postings: DataFrame) -> DataFrame:
+    """(family, key, block, side, node, component) of the classes that share a shingle, where these are of several components.
+
+    Those of the shingle's largest component, which are joined already, meet the others only; the others meet each other too.
+    postings: family, key, node, component.
+    """
+    of = postings.groupBy("family", "key", "component").agg(F.count(F.lit(1)).alias("c"))
+    groups = of.groupBy("family", "key").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.max("c").alias("a"), F.sum("c").alias("n"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    parts = lambda n: F.ceil(n / BLOCK_CLASSES).cast("int")
+    groups = groups.select("family", "key", "main", parts(F.col("a")).alias("pa"), parts(F.col("n") - F.col("a")).alias("pb"))
+    met = postings.join(groups, ["family", "key"]).withColumn("is_main", F.col("component") == F.col("main"))
+    mine = F.pmod(F.xxhash64("node"), F.when(F.col("is_main"), F.col("pa")).otherwise(F.col("pb"))).cast("int")
+    met = met.withColumn("part", mine)
+    place = lambda block, side: F.struct(block.alias("block"), side.alias("side"))
+    count = lambda n: F.sequence(F.lit(0), n - 1)
+    first = F.transform(count(F.col("pb")), lambda j: place(F.col("part") * F.col("pb") + j, F.lit(0)))
+    second = F.transform(count(F.col("pa")), lambda i: place(i * F.col("pb") + F.col("part"), F.lit(1)))
+    among = F.transform(
+        count(F.col("pb")),
+        lambda j: place(
+            F.col("pa") * F.col("pb") + F.least(j, F.col("part")) * F.col("pb") + F.greatest(j, F.col("part")),
+            F.when(j == F.col("part"), -1).when(F.col("part") < j, 0).otherwise(1),
+        ),
+    )
+    return met.select("family", "key", F.inline(F.when(F.col("is_main"), first).otherwise(F.concat(second, among))), "node", "component")
+
+
+def hopeful_pairs(blocks: DataFrame, alike: int) -> DataFrame:
+    """(u, v), u > v: pairs of different components in a block whose sketches may be of sets as alike as asked; blocks: those of ``shingle_blocks`` with n_shingles and sketch."""
+    keys = ["family", "key", "block"]
+
+    def pairs(side, node, component, size, registers) -> list[tuple[int, int]]:
+        order = np.argsort(size, kind="stable")
+        side, node, component, size, registers = (x[order] for x in (side, node, component, size, registers))
+        least = alike / 100 - SLACK * np.sqrt(alike / 100 * (1 - alike / 100) / REGISTERS)
+        found = []
+        for i in range(len(node)):
+            end = np.searchsorted(size, size[i] * 100 // alike, "right")
+            others = np.arange(i + 1, end)
+            others = others[(component[others] != component[i]) & ((side[others] != side[i]) | (side[i] < 0))]
+            if len(others):
+                equal, above = (registers[others] == registers[i]).sum(1), (registers[others] < registers[i]).sum(1)
+                near = reaches(least, above, equal, REGISTERS - equal - above, np.full(len(others), size[i]), size[others])
+                found += [(max(node[i], node[j]), min(node[i], node[j])) for j in others[near].tolist()]
+        return found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, waiting = None, []
+
+        def flush():
+            found = pairs(*(np.concatenate(x) for x in zip(*waiting, strict=True))) if waiting else []
+            waiting.clear()
+            u, v = zip(*found, strict=True) if found else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            at = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+            columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in ("side", "node", "component", "n_shingles")]
+            registers = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint16).reshape(batch.num_rows, REGISTERS)
+            cuts = (np.flatnonzero(np.any([a[1:] != a[:-1] for a in at], axis=0)) + 1).tolist()
+            for low, high in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+                now = tuple(a[low] for a in at)
+                if now != group:
+                    yield flush()
+                    group = now
+                waiting.append((*(c[low:high] for c in columns), registers[low:high]))
+        yield flush()
+
+    return blocks.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "u long, v long").distinct()
+
+
+def large_family_links(edges: DataFrame, wanted: DataFrame, texts: DataFrame, shingle: int, alike: int) -> DataFrame:
+    """(u, v): confirmed links within families of more than a block.
+
+    edges: those of ``bucket_links``; wanted: node, family, n_shingles, sketch, print_a of the classes of such families.
     """
+    held = written(texts.join(wanted.select("node", "family", "print_a"), F.col("doc_id") == F.col("node")).select("node", "family", "print_a", "text"), "held")
+    sizes = wanted.select("node", "n_shingles")
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        return confirmed_links(star_blocks(pairs, sizes), held.select("node", "text"), wanted, shingle, alike)
+
+    stars = edges.join(wanted.select(F.col("node").alias("u")), "u", "left_semi").groupBy("u").agg(F.min("v").alias("v"))
+    joined = written(confirmed(stars), "star-links")
+    component = components(joined)
+    postings = rare_shingles(held, shingle, alike).join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    blocks = shingle_blocks(written(postings, "postings")).join(wanted.select("node", "n_shingles", "sketch"), "node")
+    return joined.unionByName(confirmed(written(hopeful_pairs(blocks, alike), "pairs")))
+
+
+def _grouped(docs: DataFrame, shingle: int, alike: int) -> DataFrame:
+    """doc_id, text_hash, n_shingles, component_id, kept of every row."""
+    if not isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        raise TypeError("doc_id must be of an integer type")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = written(described(texts, shingle), "sketches")
     same = ["n_shingles", "print_a", "print_b"]
     full = rows.where("n_shingles > 0")
     classes = written(full.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")), "classes")
-    joined = written(families(classes).withColumnRenamed("component", "family"), "families")
+    edges = written(bucket_links(classes), "edges")
+    wanted = written(components(edges).withColumnRenamed("component", "family").join(classes.withColumnRenamed("rep", "node"), "node"), "families")
+    large = written(wanted.groupBy("family").agg(_parts(F.count(F.lit(1)), F.sum("n_shingles")).alias("parts")).where("parts > 1").select("family"), "large")
 
-    wanted = joined.join(classes.select(F.col("rep").alias("node"), "sketch", "print_a"), "node")
     once = texts.where("text is not null")
-    members = once.join(wanted, F.col("doc_id") == F.col("node")).select("family", F.col("node").alias("rep"), "text", "sketch", "print_a")
-    sizes = classes.select(F.col("rep").alias("node"), "n_shingles").join(joined, "node").groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("w"))
-    parts = F.ceil(F.greatest(F.col("n") / BLOCK_CLASSES, F.col("w") * 7 / BLOCK_BYTES)).cast("int")
-    links = confirmed_links(blocked(members, sizes.select("family", parts.alias("parts"))), shingle, alike)
+    small = wanted.join(large, "family", "left_anti")
+    blocks = small.select("family", F.lit(0).alias("block"), F.col("node").alias("rep"), F.lit(-1).alias("side"))
+    links = confirmed_links(blocks, once.withColumnRenamed("doc_id", "node"), small, shingle, alike)
+    if not large.isEmpty():
+        links = links.unionByName(large_family_links(edges, wanted.join(large, "family", "left_semi"), once, shingle, alike))
     groups = components(links)
 
     classed = classes.select(*same, "rep").join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left").select(*same, F.coalesce("component", "rep").alias("component"))
     found = rows.drop("sketch").join(classed, same, "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return found.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return found.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, alike: int = 80) -> DataFrame:
+    """One row a document: doc_id, n_shingles, component_id, kept.
+
+    alike: 100 times the least similarity of a link.  doc_id is an integer column.
+    """
+    return _grouped(docs, shingle, alike).drop("text_hash")
 
 
 def deduplicated(docs: DataFrame, shingle: int = 5, alike: int = 80) -> DataFrame:
     """The rows whose document stays, with the input's columns."""
-    kept = near_duplicates(docs, shingle, alike).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    return rows.join(kept, rows["_id"].eqNullSafe(kept["_kept_id"]), "left_semi").select("_row.*")
+    kept = _grouped(docs, shingle, alike).where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_hash").alias("_kept_hash")).distinct()
+    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64(F.col("text").cast("string")).alias("_hash"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    return rows.join(kept, rows["_id"].eqNullSafe(kept["_kept_id"]) & (rows["_hash"] == kept["_kept_hash"]), "left_semi").select("_row.*")

@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from tessera.llm import content_sort, setsketch, suffix_decontam
 from tessera.llm.components import components
@@ -180,3 +181,40 @@ def test_registers_are_mergeable_and_estimate():
             union = np.unique(np.concatenate([both, other]))
             assert (setsketch.sketches(union, np.array([len(union)]))[0] == np.maximum(a, b)).all()
     assert abs(np.mean(errors)) < 0.02 and np.max(np.abs(errors)) < 0.17
+
+
+def header_case(n, words=60, own=70, seed=3):
+    """Texts that share a long header, similarity about 0.46 and no link, but for a few copies with a changed word."""
+    pick = random.Random(seed)
+    word = lambda: "".join(pick.choice("abcdefghij") for _ in range(6))
+    header = " ".join(word() for _ in range(words))
+    docs = [(i, header + " " + " ".join(word() for _ in range(own))) for i in range(n)]
+    for i in range(0, n // 10):
+        changed = docs[i][1].split()
+        changed[words + pick.randrange(own)] = word()
+        docs.append((n + i, " ".join(changed)))
+    return docs
+
+
+def test_a_family_with_a_common_header_costs_work_in_proportion(spark, monkeypatch):
+    monkeypatch.setattr(setsketch, "BLOCK_CLASSES", 40)
+    dealt, plain = [], setsketch.confirmed_links
+
+    def counted(blocks, *rest):
+        dealt[-1] += blocks.count()
+        return plain(blocks, *rest)
+
+    monkeypatch.setattr(setsketch, "confirmed_links", counted)
+    docs = header_case(500)
+    dealt.append(0)
+    got = sorted(tuple(r) for r in setsketch.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), 4).collect())
+    assert got == brute_near(docs, 4, 80)
+    assert dealt[-1] <= 2 * len(docs)  # each text once or twice as a star, and the few pairs; all pairs of blocks would be 13 times as many
+
+
+def test_rows_of_one_identifier_with_two_texts_are_told_apart(spark):
+    first, second = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, first), (5, first + " x"), (5, second), (9, second + " y"), (None, first), (None, None)], "doc_id long, text string")
+    assert sorted((r.doc_id or -1, r.text or "") for r in setsketch.deduplicated(docs).collect()) == sorted([(1, first), (5, second), (-1, "")])
+    with np.testing.assert_raises(TypeError):
+        setsketch.near_duplicates(docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text"))

@@ -26,8 +26,8 @@ rest is exact: full sets hold 64-bit keys of whole shingles.
 
 Defined results: null and empty texts and texts without words have the empty set and link to
 nothing; fewer words than a shingle give one shingle of all of them; repeated rows are members of
-one class, and stay or go together; rows of one doc_id with different texts are told apart; a null doc_id names a class only where no other
-does; doc_id is of an integer type, others are an error; an empty table gives none; other columns aren't read.
+one class, and stay or go together; rows of one doc_id with different texts are told apart; a null doc_id goes with rows of the same set only, as a copy where another
+has an identifier; doc_id is of an integer type, others are an error; an empty table gives none; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -167,7 +167,7 @@ def band_keys(classes: DataFrame) -> DataFrame:
                 keys = arrays.mix((registers * _PLACE[:ROWS]).sum(2, dtype=np.uint64) + _FLIP[:BANDS]).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), batch.column("rep").take(pa.array(np.repeat(np.arange(batch.num_rows), BANDS)))], ["key", "rep"])
 
-    return classes.select("rep", "sketch").mapInArrow(run, f"key long, rep {classes.schema['rep'].dataType.simpleString()}")
+    return classes.select(F.col("node").alias("rep"), "sketch").mapInArrow(run, f"key long, rep {classes.schema['node'].dataType.simpleString()}")
 
 
 def bucket_links(classes: DataFrame) -> DataFrame:
@@ -228,9 +228,10 @@ def _confirmed(reps: np.ndarray, side: np.ndarray, keys: np.ndarray, sizes: np.n
 def confirmed_links(blocks: DataFrame, texts: DataFrame, classes: DataFrame, shingle: int, alike: int) -> DataFrame:
     """(u, v): links that hold on full sets, within blocks of bounded size.
 
-    blocks: family, block, rep, side (-1: all pairs count, else those of different sides); texts: node, text; classes: node, sketch, print_a.
+    blocks: family, block, rep, side (-1: all pairs count, else those of different sides); texts: key, text; classes: node, sketch, print_a, key.
+    Of the texts of a key, those that aren't the class's own are passed over.
     """
-    members = blocks.join(classes.select(F.col("node").alias("rep"), "sketch", "print_a"), "rep").join(texts.withColumnRenamed("node", "rep"), "rep")
+    members = blocks.join(classes.select(F.col("node").alias("rep"), "sketch", "print_a", "key"), "rep").join(texts, "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # rows come sorted by family and block; the last group of a slice may go on in the next
@@ -389,13 +390,13 @@ def hopeful_pairs(blocks: DataFrame, alike: int) -> DataFrame:
 def large_family_links(edges: DataFrame, wanted: DataFrame, texts: DataFrame, shingle: int, alike: int) -> DataFrame:
     """(u, v): confirmed links within families of more than a block.
 
-    edges: those of ``bucket_links``; wanted: node, family, n_shingles, sketch, print_a of the classes of such families.
+    edges: those of ``bucket_links``; wanted: node, family, n_shingles, sketch, print_a, key of the classes of such families; texts: key, text.
     """
-    held = written(texts.join(wanted.select("node", "family", "print_a"), F.col("doc_id") == F.col("node")).select("node", "family", "print_a", "text"), "held")
+    held = written(texts.join(wanted.select("node", "family", "print_a", "key"), "key").select("node", "family", "print_a", "text"), "held")
     sizes = wanted.select("node", "n_shingles")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        return confirmed_links(star_blocks(pairs, sizes), held.select("node", "text"), wanted, shingle, alike)
+        return confirmed_links(star_blocks(pairs, sizes), held.select(F.col("node").alias("key"), "text"), wanted.withColumn("key", F.col("node")), shingle, alike)
 
     stars = edges.join(wanted.select(F.col("node").alias("u")), "u", "left_semi").groupBy("u").agg(F.min("v").alias("v"))
     joined = written(confirmed(stars), "star-links")
@@ -413,20 +414,27 @@ def _grouped(docs: DataFrame, shingle: int, alike: int) -> DataFrame:
     rows = written(described(texts, shingle), "sketches")
     same = ["n_shingles", "print_a", "print_b"]
     full = rows.where("n_shingles > 0")
-    classes = written(full.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")), "classes")
-    edges = written(bucket_links(classes), "edges")
-    wanted = written(components(edges).withColumnRenamed("component", "family").join(classes.withColumnRenamed("rep", "node"), "node"), "families")
+    classes = written(full.groupBy(*same).agg(F.min("doc_id").alias("key"), F.first("sketch").alias("sketch")), "classes")
+    # a class goes by its smallest doc_id, or by a hash where several classes have the same
+    twice = written(classes.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1 and key is not null").select("key", F.lit(True).alias("_twice")), "twice")
+    classes = classes.join(twice, "key", "left").withColumn("node", F.when(F.col("_twice"), F.xxhash64(*same)).otherwise(F.col("key"))).drop("_twice")
+    edges = written(bucket_links(classes.where("node is not null")), "edges")
+    wanted = written(components(edges).withColumnRenamed("component", "family").join(classes, "node"), "families")
     large = written(wanted.groupBy("family").agg(_parts(F.count(F.lit(1)), F.sum("n_shingles")).alias("parts")).where("parts > 1").select("family"), "large")
 
-    once = texts.where("text is not null")
+    once = texts.where("text is not null").withColumnRenamed("doc_id", "key")
     small = wanted.join(large, "family", "left_anti")
     blocks = small.select("family", F.lit(0).alias("block"), F.col("node").alias("rep"), F.lit(-1).alias("side"))
-    links = confirmed_links(blocks, once.withColumnRenamed("doc_id", "node"), small, shingle, alike)
+    links = confirmed_links(blocks, once, small, shingle, alike)
     if not large.isEmpty():
         links = links.unionByName(large_family_links(edges, wanted.join(large, "family", "left_semi"), once, shingle, alike))
     groups = components(links)
 
-    classed = classes.select(*same, "rep").join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left").select(*same, F.coalesce("component", "rep").alias("component"))
+    classed = classes.select(*same, "key", "node").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    if not twice.isEmpty():  # a component's name is its smallest doc_id, which the hash of a class isn't
+        classed = written(classed, "classed")
+        classed = classed.drop("key").join(classed.groupBy("component").agg(F.min("key").alias("name")), "component", "left").withColumn("component", F.col("name"))
+    classed = classed.select(*same, "component")
     found = rows.drop("sketch").join(classed, same, "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
     return found.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))

@@ -16,8 +16,8 @@ maxima of the parts' registers and the registers of similar sets tend to be equa
 4.  In a larger family (a common header makes one of texts that are not alike) no text meets all others.  First
     each class is confirmed against the smallest class that shares a bucket with it, which joins the copies of one text.
     Then shingles are ordered by how many of the family's classes have them, and of each class the rarest are taken, so many
-    that two sets as alike as asked share one of theirs (the prefix filter, which is exact).  Classes that share such a shingle and
-    are not joined yet are compared by their sketches, in blocks, and the pairs that remain confirmed on full sets.  A shingle
+ that two sets as alike as asked share one of theirs (the prefix filter, which is exact).  Classes that share such a shingle and
+    are not joined yet meet in blocks, where their pairs are confirmed as in step 3.  A shingle
     of a common header is among no class's rarest, so such a family costs work in proportion to its size.
 5.  Components of the confirmed links are the near-duplicate groups.
 
@@ -178,8 +178,8 @@ def bucket_links(classes: DataFrame) -> DataFrame:
     return bands.join(least, "key").where("rep <> v").select(F.col("rep").alias("u"), "v").distinct()
 
 
-def _confirmed(reps: np.ndarray, side: np.ndarray, keys: np.ndarray, sizes: np.ndarray, registers: np.ndarray, alike: int) -> list[tuple[int, int]]:
-    """Links within a block, or between the sides of a pair of blocks: a spanning forest of them."""
+def _confirmed(reps: np.ndarray, side: np.ndarray, label: np.ndarray, keys: np.ndarray, sizes: np.ndarray, registers: np.ndarray, alike: int) -> list[tuple[int, int]]:
+    """Links within a block, or between the sides of a pair of blocks: a spanning forest of them; classes of one label are joined already."""
     n = len(reps)
     owner = np.repeat(np.arange(n), sizes)
     # only keys that two sets share matter for what they have in common
@@ -190,7 +190,8 @@ def _confirmed(reps: np.ndarray, side: np.ndarray, keys: np.ndarray, sizes: np.n
     hopeful = np.flatnonzero(100 * most >= alike * sizes)  # else too few of its keys are in any other set
     hopeful = hopeful[np.argsort(sizes[hopeful], kind="stable")]
     ordered = sizes[hopeful]
-    parent = list(range(n))
+    _, first, of = np.unique(label, return_index=True, return_inverse=True)
+    parent = first[of].tolist()
 
     def root(i):
         while parent[i] != i:
@@ -206,7 +207,7 @@ def _confirmed(reps: np.ndarray, side: np.ndarray, keys: np.ndarray, sizes: np.n
         # larger sets, up to the size at which the smaller set is too small a part
         end = np.searchsorted(ordered, sizes[i] * 100 // alike, "right")
         others = hopeful[place + 1 : end]
-        others = others[side[others] != side[i]] if side[i] >= 0 else others
+        others = others[(label[others] != label[i]) & ((side[i] < 0) | (side[others] != side[i]))]
         if not len(others):
             continue
         mine, theirs = registers[i], registers[others]
@@ -225,13 +226,12 @@ def _confirmed(reps: np.ndarray, side: np.ndarray, keys: np.ndarray, sizes: np.n
     return links
 
 
-def confirmed_links(blocks: DataFrame, texts: DataFrame, classes: DataFrame, shingle: int, alike: int) -> DataFrame:
+def confirmed_links(members: DataFrame, shingle: int, alike: int) -> DataFrame:
     """(u, v): links that hold on full sets, within blocks of bounded size.
 
-    blocks: family, block, rep, side (-1: all pairs count, else those of different sides); texts: key, text; classes: node, sketch, print_a, key.
-    Of the texts of a key, those that aren't the class's own are passed over.
+    members: family, block, rep, side (-1: all pairs count, else those of different sides), label (equal ones are joined), text, sketch, print_a.
+    Of the texts of a class, those that aren't its own are passed over.
     """
-    members = blocks.join(classes.select(F.col("node").alias("rep"), "sketch", "print_a", "key"), "rep").join(texts, "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # rows come sorted by family and block; the last group of a slice may go on in the next
@@ -245,12 +245,12 @@ def confirmed_links(blocks: DataFrame, texts: DataFrame, classes: DataFrame, shi
             return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
         for batch in arrays.slices(batches):
-            family, block, reps, side = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("family", "block", "rep", "side"))
+            family, block, reps, side, label = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("family", "block", "rep", "side", "label"))
             keys, sizes = shingle_sets(batch.column("text"), shingle)
             own = prints(keys, sizes)[0] == batch.column("print_a").to_numpy(zero_copy_only=False)
             if not own.all():  # an identifier with several texts: the class has one of them
                 batch, keys, sizes = batch.filter(pa.array(own)), keys[np.repeat(own, sizes)], sizes[own]
-                family, block, reps, side = (x[own] for x in (family, block, reps, side))
+                family, block, reps, side, label = (x[own] for x in (family, block, reps, side, label))
             if not len(sizes):
                 continue
             registers = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint16).reshape(batch.num_rows, REGISTERS)
@@ -262,11 +262,11 @@ def confirmed_links(blocks: DataFrame, texts: DataFrame, classes: DataFrame, shi
                         yield out
                     group = (family[low], block[low])
                     waiting.clear()
-                waiting.append((reps[low:high], side[low:high], keys[ends[low] : ends[high]], sizes[low:high], registers[low:high]))
+                waiting.append((reps[low:high], side[low:high], label[low:high], keys[ends[low] : ends[high]], sizes[low:high], registers[low:high]))
         if out := flush():
             yield out
 
-    ordered = members.select("family", "block", "rep", "side", "text", "sketch", "print_a").repartition("family", "block").sortWithinPartitions("family", "block")
+    ordered = members.select("family", "block", "rep", "side", "label", "text", "sketch", "print_a").repartition("family", "block").sortWithinPartitions("family", "block")
     return ordered.mapInArrow(run, "u long, v long")
 
 
@@ -276,15 +276,15 @@ def _parts(classes: Column, shingles: Column) -> Column:
 
 
 def star_blocks(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(family, block, rep, side): blocks in which the pairs (u, v) meet, all of v's in blocks of bounded size, each with v itself.
+    """(family, block, rep, side, label): blocks in which the pairs (u, v) meet, all of v's in blocks of bounded size, each with v itself.
 
     sizes: node, n_shingles.
     """
     weighed = pairs.join(sizes.withColumnRenamed("node", "u"), "u")
     parts = weighed.groupBy("v").agg(_parts(F.count(F.lit(1)), F.sum("n_shingles")).alias("parts"))
     part = F.pmod(F.xxhash64("u"), F.col("parts")).cast("int")
-    others = pairs.join(parts, "v").select(F.col("v").alias("family"), part.alias("block"), F.col("u").alias("rep"), F.lit(1).alias("side"))
-    centres = parts.select(F.col("v").alias("family"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("block"), F.col("v").alias("rep"), F.lit(0).alias("side"))
+    others = pairs.join(parts, "v").select(F.col("v").alias("family"), part.alias("block"), F.col("u").alias("rep"), F.lit(1).alias("side"), F.col("u").alias("label"))
+    centres = parts.select(F.col("v").alias("family"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("block"), F.col("v").alias("rep"), F.lit(0).alias("side"), F.col("v").alias("label"))
     return others.unionByName(centres)
 
 
@@ -315,95 +315,38 @@ def rare_shingles(held: DataFrame, shingle: int, alike: int) -> DataFrame:
 
 
 def shingle_blocks(postings: DataFrame) -> DataFrame:
-    """(family, key, block, side, node, component) of the classes that share a shingle, where these are of several components.
+    """(family, block, rep, side, label): blocks of classes that share a shingle, where these have several labels.
 
-    Those of the shingle's largest component, which are joined already, meet the others only; the others meet each other too.
-    postings: family, key, node, component.
+    Those of the shingle's commonest label, which are joined already, meet the others only; the others meet each other too.
+    postings: family, key, node, label.
     """
-    of = postings.groupBy("family", "key", "component").agg(F.count(F.lit(1)).alias("c"))
-    groups = of.groupBy("family", "key").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.max("c").alias("a"), F.sum("c").alias("n"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    of = postings.groupBy("family", "key", "label").agg(F.count(F.lit(1)).alias("c"))
+    groups = of.groupBy("family", "key").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.max("c").alias("a"), F.sum("c").alias("n"), F.count(F.lit(1)).alias("k")).where("k > 1")
     parts = lambda n: F.ceil(n / BLOCK_CLASSES).cast("int")
     groups = groups.select("family", "key", "main", parts(F.col("a")).alias("pa"), parts(F.col("n") - F.col("a")).alias("pb"))
-    met = postings.join(groups, ["family", "key"]).withColumn("is_main", F.col("component") == F.col("main"))
-    mine = F.pmod(F.xxhash64("node"), F.when(F.col("is_main"), F.col("pa")).otherwise(F.col("pb"))).cast("int")
-    met = met.withColumn("part", mine)
+    met = postings.join(groups, ["family", "key"]).withColumn("is_main", F.col("label") == F.col("main"))
+    met = met.withColumn("part", F.pmod(F.xxhash64("node"), F.when(F.col("is_main"), F.col("pa")).otherwise(F.col("pb"))).cast("int"))
     place = lambda block, side: F.struct(block.alias("block"), side.alias("side"))
     count = lambda n: F.sequence(F.lit(0), n - 1)
     first = F.transform(count(F.col("pb")), lambda j: place(F.col("part") * F.col("pb") + j, F.lit(0)))
     second = F.transform(count(F.col("pa")), lambda i: place(i * F.col("pb") + F.col("part"), F.lit(1)))
-    among = F.transform(
-        count(F.col("pb")),
-        lambda j: place(
-            F.col("pa") * F.col("pb") + F.least(j, F.col("part")) * F.col("pb") + F.greatest(j, F.col("part")),
-            F.when(j == F.col("part"), -1).when(F.col("part") < j, 0).otherwise(1),
-        ),
-    )
-    return met.select("family", "key", F.inline(F.when(F.col("is_main"), first).otherwise(F.concat(second, among))), "node", "component")
-
-
-def hopeful_pairs(blocks: DataFrame, alike: int) -> DataFrame:
-    """(u, v), u > v: pairs of different components in a block whose sketches may be of sets as alike as asked; blocks: those of ``shingle_blocks`` with n_shingles and sketch."""
-    keys = ["family", "key", "block"]
-
-    def pairs(side, node, component, size, registers) -> list[tuple[int, int]]:
-        order = np.argsort(size, kind="stable")
-        side, node, component, size, registers = (x[order] for x in (side, node, component, size, registers))
-        least = alike / 100 - SLACK * np.sqrt(alike / 100 * (1 - alike / 100) / REGISTERS)
-        found = []
-        for i in range(len(node)):
-            end = np.searchsorted(size, size[i] * 100 // alike, "right")
-            others = np.arange(i + 1, end)
-            others = others[(component[others] != component[i]) & ((side[others] != side[i]) | (side[i] < 0))]
-            if len(others):
-                equal, above = (registers[others] == registers[i]).sum(1), (registers[others] < registers[i]).sum(1)
-                near = reaches(least, above, equal, REGISTERS - equal - above, np.full(len(others), size[i]), size[others])
-                found += [(max(node[i], node[j]), min(node[i], node[j])) for j in others[near].tolist()]
-        return found
+    block = lambda j: F.col("pa") * F.col("pb") + F.least(j, F.col("part")) * F.col("pb") + F.greatest(j, F.col("part"))
+    among = F.transform(count(F.col("pb")), lambda j: place(block(j), F.when(j == F.col("part"), -1).when(F.col("part") < j, 0).otherwise(1)))
+    return met.select(F.xxhash64("family", "key").alias("family"), F.inline(F.when(F.col("is_main"), first).otherwise(F.concat(second, among))), F.col("node").alias("rep"), "label").select("family", "block", "rep", "side", "label")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, waiting = None, []
 
-        def flush():
-            found = pairs(*(np.concatenate(x) for x in zip(*waiting, strict=True))) if waiting else []
-            waiting.clear()
-            u, v = zip(*found, strict=True) if found else ((), ())
-            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+def large_family_members(edges: DataFrame, held: DataFrame, shingle: int, alike: int) -> tuple[DataFrame, DataFrame]:
+    """(u, v), the confirmed star links of families of more than a block; and the members of the blocks in which their other links are to be found.
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            at = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
-            columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in ("side", "node", "component", "n_shingles")]
-            registers = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint16).reshape(batch.num_rows, REGISTERS)
-            cuts = (np.flatnonzero(np.any([a[1:] != a[:-1] for a in at], axis=0)) + 1).tolist()
-            for low, high in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
-                now = tuple(a[low] for a in at)
-                if now != group:
-                    yield flush()
-                    group = now
-                waiting.append((*(c[low:high] for c in columns), registers[low:high]))
-        yield flush()
-
-    return blocks.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "u long, v long").distinct()
-
-
-def large_family_links(edges: DataFrame, wanted: DataFrame, texts: DataFrame, shingle: int, alike: int) -> DataFrame:
-    """(u, v): confirmed links within families of more than a block.
-
-    edges: those of ``bucket_links``; wanted: node, family, n_shingles, sketch, print_a, key of the classes of such families; texts: key, text.
+    edges: those of ``bucket_links``; held: node, family, n_shingles, sketch, print_a, text of the classes of such families.
     """
-    held = written(texts.join(wanted.select("node", "family", "print_a", "key"), "key").select("node", "family", "print_a", "text"), "held")
-    sizes = wanted.select("node", "n_shingles")
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        return confirmed_links(star_blocks(pairs, sizes), held.select(F.col("node").alias("key"), "text"), wanted.withColumn("key", F.col("node")), shingle, alike)
-
-    stars = edges.join(wanted.select(F.col("node").alias("u")), "u", "left_semi").groupBy("u").agg(F.min("v").alias("v"))
-    joined = written(confirmed(stars), "star-links")
-    component = components(joined)
-    postings = rare_shingles(held, shingle, alike).join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    blocks = shingle_blocks(written(postings, "postings")).join(wanted.select("node", "n_shingles", "sketch"), "node")
-    return joined.unionByName(confirmed(written(hopeful_pairs(blocks, alike), "pairs")))
+    sizes, texts = held.select("node", "n_shingles"), held.select(F.col("node").alias("rep"), "text", "sketch", "print_a")
+    stars = edges.join(sizes.select(F.col("node").alias("u")), "u", "left_semi").groupBy("u").agg(F.min("v").alias("v"))
+    links = written(confirmed_links(star_blocks(written(stars, "stars"), sizes).join(texts, "rep"), shingle, alike), "star-links")
+    # finer than components, which costs some pairs and no link
+    label = links.select(F.greatest("u", "v").alias("node"), F.least("u", "v").alias("label")).groupBy("node").agg(F.min("label").alias("label"))
+    postings = rare_shingles(held, shingle, alike).join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    return links, shingle_blocks(written(postings, "postings")).join(texts, "rep")
 
 
 def _grouped(docs: DataFrame, shingle: int, alike: int) -> DataFrame:
@@ -419,15 +362,17 @@ def _grouped(docs: DataFrame, shingle: int, alike: int) -> DataFrame:
     twice = written(classes.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1 and key is not null").select("key", F.lit(True).alias("_twice")), "twice")
     classes = classes.join(twice, "key", "left").withColumn("node", F.when(F.col("_twice"), F.xxhash64(*same)).otherwise(F.col("key"))).drop("_twice")
     edges = written(bucket_links(classes.where("node is not null")), "edges")
-    wanted = written(components(edges).withColumnRenamed("component", "family").join(classes, "node"), "families")
-    large = written(wanted.groupBy("family").agg(_parts(F.count(F.lit(1)), F.sum("n_shingles")).alias("parts")).where("parts > 1").select("family"), "large")
-
+    wanted = components(edges).withColumnRenamed("component", "family").join(classes, "node")
     once = texts.where("text is not null").withColumnRenamed("doc_id", "key")
-    small = wanted.join(large, "family", "left_anti")
-    blocks = small.select("family", F.lit(0).alias("block"), F.col("node").alias("rep"), F.lit(-1).alias("side"))
-    links = confirmed_links(blocks, once, small, shingle, alike)
-    if not large.isEmpty():
-        links = links.unionByName(large_family_links(edges, wanted.join(large, "family", "left_semi"), once, shingle, alike))
+    held = written(once.join(wanted, "key").select("node", "family", "n_shingles", "sketch", "print_a", "text"), "held")
+    large = written(held.groupBy("family").agg(_parts(F.count(F.lit(1)), F.sum("n_shingles")).alias("parts")).where("parts > 1").select("family"), "large")
+    small = held.join(large, "family", "left_anti")
+    members = small.select("family", F.lit(0).alias("block"), F.col("node").alias("rep"), F.lit(-1).alias("side"), F.col("node").alias("label"), "text", "sketch", "print_a")
+    if large.isEmpty():
+        links = confirmed_links(members, shingle, alike)
+    else:
+        stars, others = large_family_members(edges, held.join(large, "family", "left_semi"), shingle, alike)
+        links = confirmed_links(members.unionByName(others), shingle, alike).unionByName(stars)
     groups = components(links)
 
     classed = classes.select(*same, "key", "node").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))

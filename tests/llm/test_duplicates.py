@@ -200,9 +200,9 @@ def test_a_family_with_a_common_header_costs_work_in_proportion(spark, monkeypat
     monkeypatch.setattr(setsketch, "BLOCK_CLASSES", 40)
     dealt, plain = [], setsketch.confirmed_links
 
-    def counted(blocks, *rest):
-        dealt[-1] += blocks.count()
-        return plain(blocks, *rest)
+    def counted(members, *rest):
+        dealt[-1] += members.count()
+        return plain(members, *rest)
 
     monkeypatch.setattr(setsketch, "confirmed_links", counted)
     docs = header_case(500)

@@ -9,6 +9,10 @@ from tessera.functions.text import relation_type
 from tessera.storage import written
 
 
+#: Keys that say where a node comes from; they are no part of a schema.
+METADATA_KEYS = ("id", "project_id", "source_file", "source_chunk_index", "source_quote", "chunk_text")
+
+
 def first_by(rows: DataFrame, keys: list[str], order: list[str], last: bool = False) -> DataFrame:
     """One row for each key: the first (or last) in the given order.
 
@@ -29,12 +33,22 @@ def merge_nodes(nodes: DataFrame) -> DataFrame:
     return heads.join(maps, ["kind", "id", "tenant"], "left")
 
 
+def of_tenant(rows: DataFrame, tenant: object) -> DataFrame:
+    """The rows of a tenant, which may be given as a number or as text."""
+    return rows.where(F.col("tenant").cast("string") == F.lit(str(tenant)))
+
+
+def tenant_key(*tables: DataFrame) -> list[str]:
+    """What ids are joined with besides: the tenant, where all the tables have one.  Ids are unique within a tenant only."""
+    return ["tenant"] if all("tenant" in t.columns for t in tables) else []
+
+
 def merge_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges merged by (src, dst, type), the last wins; an edge without both ends is dropped."""
+    """Edges merged by (tenant, src, dst, type), the last wins; an edge without both ends in its tenant is dropped."""
+    tenant = tenant_key(edges, nodes)
     typed = edges.withColumn("type", relation_type(F.col("relation")))
-    once = first_by(typed, ["src", "dst", "type"], ["pos"], last=True)
-    ids = nodes.select("id").distinct()
-    return once.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    once = first_by(typed, [*tenant, "src", "dst", "type"], ["pos"], last=True)
+    return visible_edges(once, nodes.select(*tenant, "id").distinct())
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -43,9 +57,10 @@ def undirected(edges: DataFrame) -> DataFrame:
 
 
 def with_ends(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges with source_label, source_class, target_label and target_class."""
-    end = lambda side, key: nodes.select(F.col("id").alias(key), F.col("label").alias(f"{side}_label"), F.col("class_label").alias(f"{side}_class"))
-    return edges.join(end("source", "src"), "src").join(end("target", "dst"), "dst")
+    """Edges with source_label, source_class, target_label and target_class, of nodes of the same tenant where both tables have one."""
+    tenant = tenant_key(edges, nodes)
+    end = lambda side, key: nodes.select(*tenant, F.col("id").alias(key), F.col("label").alias(f"{side}_label"), F.col("class_label").alias(f"{side}_class"))
+    return edges.join(end("source", "src"), [*tenant, "src"]).join(end("target", "dst"), [*tenant, "dst"])
 
 
 def matched_properties(properties: Column, keyword: str) -> Column:
@@ -58,11 +73,12 @@ def keyword_match(nodes: DataFrame, edges: DataFrame, keyword: str) -> DataFrame
 
     An optional match: the condition on the neighbour is part of the join.
     """
-    near = undirected(edges.select("src", "dst", "relation"))
-    other = nodes.select(F.col("id").alias("dst"), F.col("label").alias("neighbour"))
-    far = near.join(other.where(F.contains("neighbour", F.lit(keyword))), "dst")
-    mine = nodes.select(F.col("id").alias("src"), "label", matched_properties(F.col("properties"), keyword).alias("matched"))
-    return mine.join(far, "src", "left").where((F.size("matched") > 0) | F.col("relation").isNotNull())
+    tenant = tenant_key(edges, nodes)
+    near = undirected(edges.select(*tenant, "src", "dst", "relation"))
+    other = nodes.select(*tenant, F.col("id").alias("dst"), F.col("label").alias("neighbour"))
+    far = near.join(other.where(F.contains("neighbour", F.lit(keyword))), [*tenant, "dst"])
+    mine = nodes.select(*tenant, F.col("id").alias("src"), "label", matched_properties(F.col("properties"), keyword).alias("matched"))
+    return mine.join(far, [*tenant, "src"], "left").where((F.size("matched") > 0) | F.col("relation").isNotNull())
 
 
 def closure(pairs: DataFrame, depth: int | None = None) -> DataFrame:
@@ -111,19 +127,23 @@ def ancestor_violations(links: DataFrame, ancestors: DataFrame) -> DataFrame:
 
 
 def isolated(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Nodes without an edge."""
-    ends = edges.select(F.col("src").alias("id")).union(edges.select("dst"))
-    return nodes.join(ends, "id", "left_anti")
+    """Nodes without an edge in their tenant."""
+    tenant = tenant_key(edges, nodes)
+    ends = edges.select(*tenant, F.col("src").alias("id")).union(edges.select(*tenant, "dst"))
+    return nodes.join(ends, [*tenant, "id"], "left_anti")
 
 
 def visible_edges(edges: DataFrame, visible: DataFrame) -> DataFrame:
-    """Edges both of whose ends are in a set of ids."""
-    return edges.join(visible.select(F.col("id").alias("src")), "src", "left_semi").join(visible.select(F.col("id").alias("dst")), "dst", "left_semi")
+    """Edges both of whose ends are in a set of ids, of their tenant where both tables have one."""
+    tenant = tenant_key(edges, visible)
+    for end in ("src", "dst"):
+        edges = edges.join(visible.select(*tenant, F.col("id").alias(end)), [*tenant, end], "left_semi")
+    return edges
 
 
 def schema_keys(nodes: DataFrame) -> DataFrame:
     """(class_label, keys): the property names that a class's nodes use, sorted."""
-    used = nodes.select("class_label", F.explode(F.map_keys("properties")).alias("k"))
+    used = nodes.select("class_label", F.explode(F.map_keys("properties")).alias("k")).where(~F.col("k").isin(*METADATA_KEYS))
     return used.groupBy("class_label").agg(F.array_sort(F.collect_set("k")).alias("keys"))
 
 

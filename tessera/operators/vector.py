@@ -38,7 +38,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, where: Column | No
     ``vectors`` and ``queries`` have id and embedding columns vec_id/query_id, embedding.  Both are put in packs, and every
     pack of queries meets every pack of vectors: up to MOST_QUERIES queries are broadcast, more are joined as blocks.
     A task's best k of each query are found before anything is shuffled.
-    Ties go to the smaller vec_id.  Vectors of another length than the query's don't count.
+    The exact similarity ranks, and is rounded to six digits afterwards; ties go to the smaller vec_id.  Vectors of another length than the query's don't count.
     """
     pool = vectors if where is None else vectors.where(where)
     asked = _packs(queries, "query_id", "_q")
@@ -67,9 +67,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, where: Column | No
         for query_ids, query, found, exact in best.values():
             yield pa.RecordBatch.from_arrays([query_ids.take(pa.array(query)), found, pa.array(exact)], schema.names)
 
-    pairs = blocks.select("_v_ids", "_v_data", "_v_size", "_q_pack", "_q_ids", "_q_data").mapInArrow(run, schema).withColumn("similarity", F.round("similarity", 6))
+    pairs = blocks.select("_v_ids", "_v_data", "_v_size", "_q_pack", "_q_ids", "_q_data").mapInArrow(run, schema)
     best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
-    return pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).withColumn("similarity", F.round("similarity", 6))
 
 
 def _packs(rows: DataFrame, key: str, name: str) -> DataFrame:

@@ -32,11 +32,11 @@ GRAPH_SQL = f"WITH {NODES_SQL}, {EDGES_SQL}"
 @query(
     "relation_facts",
     """SELECT 'edge' AS type, 'order ' || o_orderkey AS subject, 'CONTAINS' AS predicate, p_name AS object, c_name AS customer, sum(l_quantity)::BIGINT AS quantity
-    FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey JOIN customer ON c_custkey = o_custkey WHERE c_custkey <= 20 GROUP BY ALL""",
+    FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey JOIN customer ON c_custkey = o_custkey GROUP BY ALL""",
 )
 def relation_facts(spark: SparkSession, sf: str) -> DataFrame:
-    """What the orders of the customers that its SQL names contain, as facts (a chain of three relations)."""
-    return _relation_facts(spark, sf, table(spark, sf, "customer").where("c_custkey <= 20"))
+    """What all orders contain, as facts (a chain of three relations)."""
+    return _relation_facts(spark, sf, table(spark, sf, "customer"))
 
 
 @query(
@@ -124,6 +124,42 @@ def optional_keyword_match(spark, sf):
     return found.select("src", "label", F.size("matched").cast("long").alias("n_matched"), "neighbour")
 
 
+TENANTS_SQL = """n AS (SELECT c_custkey // 100 AS tenant, c_custkey % 100 AS id, c_name AS label, c_mktsegment AS class_label FROM customer),
+    e AS (SELECT o_custkey // 100 AS tenant, o_custkey % 100 AS src, o_orderkey % 100 AS dst, o_orderstatus AS relation, o_orderkey AS pos FROM orders)"""
+
+
+def _tenants(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Customers and orders as nodes and edges of tenants whose ids clash."""
+    part = lambda c: F.floor(F.col(c) / 100).cast("long").alias("tenant")
+    nodes = table(spark, sf, "customer").select(part("c_custkey"), (F.col("c_custkey") % 100).alias("id"), F.col("c_name").alias("label"), F.col("c_mktsegment").alias("class_label"))
+    edges = table(spark, sf, "orders").select(part("o_custkey"), (F.col("o_custkey") % 100).alias("src"), (F.col("o_orderkey") % 100).alias("dst"), F.col("o_orderstatus").alias("relation"), F.col("o_orderkey").alias("pos"))
+    return nodes, edges
+
+
+@query("tenant_facts", f"WITH {TENANTS_SQL} SELECT tenant, pos, a.label AS source, b.label AS target FROM e JOIN n a USING (tenant) JOIN n b USING (tenant) WHERE a.id = src AND b.id = dst")
+def tenant_facts(spark, sf):
+    """Edges with their ends, which are nodes of the edge's tenant though other tenants have the same ids."""
+    nodes, edges = _tenants(spark, sf)
+    return graph.with_ends(edges, nodes).select("tenant", "pos", F.col("source_label").alias("source"), F.col("target_label").alias("target"))
+
+
+@query(
+    "tenant_merged_edges",
+    f"WITH {TENANTS_SQL} SELECT tenant, src, dst, relation AS type, max(pos) AS pos FROM e WHERE EXISTS (SELECT 1 FROM n WHERE n.tenant = e.tenant AND id = src) AND EXISTS (SELECT 1 FROM n WHERE n.tenant = e.tenant AND id = dst) GROUP BY ALL",
+)
+def tenant_merged_edges(spark, sf):
+    """Edges merged by tenant, ends and type; those without both ends in their tenant are dropped."""
+    nodes, edges = _tenants(spark, sf)
+    return graph.merge_edges(edges, nodes).select("tenant", "src", "dst", "type", "pos")
+
+
+@query("tenant_nodes", f"WITH {TENANTS_SQL} SELECT id, label FROM n WHERE tenant = 3 AND NOT EXISTS (SELECT 1 FROM e WHERE e.tenant = n.tenant AND n.id IN (src, dst))")
+def tenant_nodes(spark, sf):
+    """The nodes of one tenant that have no edge there."""
+    nodes, edges = _tenants(spark, sf)
+    return graph.isolated(graph.of_tenant(nodes, "3"), edges).select("id", "label")
+
+
 @query("keyword_facts", "SELECT 'edge' AS type, s_name AS subject, 'LOCATED_IN' AS predicate, n_name AS object FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE s_name LIKE '%7%' OR n_name LIKE '%7%'")
 def keyword_facts(spark, sf):
     return retrieval.keyword_facts(model.edges(spark, sf, ("LOCATED_IN",)), model.nodes(spark, sf, ("supplier", "nation")), "7")
@@ -406,31 +442,31 @@ def discarded(spark, sf):
 
 @query(
     "vector_topk",
-    """WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id < 5),
-    s AS (SELECT query_id, vec_id, round(list_cosine_similarity(embedding::DOUBLE[], q::DOUBLE[]), 6) AS similarity FROM embeddings, q),
-    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id)::INT AS rank FROM s) SELECT * FROM r WHERE rank <= 5""",
+    """WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 20 = 0),
+    s AS (SELECT query_id, vec_id, list_cosine_similarity(embedding::DOUBLE[], q::DOUBLE[]) AS similarity FROM embeddings, q),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id)::INT AS rank FROM s) SELECT query_id, vec_id, round(similarity, 6) AS similarity, rank FROM r WHERE rank <= 5""",
 )
 def vector_topk(spark, sf):
     e = table(spark, sf, "embeddings")
-    return vector.top_k(e, e.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), "embedding"), 5)
+    return vector.top_k(e, e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 5)
 
 
 @query(
     "vector_topk_filtered",
-    """WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id = 7),
-    s AS (SELECT query_id, vec_id, round(list_cosine_similarity(embedding::DOUBLE[], q::DOUBLE[]), 6) AS similarity FROM embeddings, q WHERE label IN (1, 2, 3)),
-    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id)::INT AS rank FROM s) SELECT * FROM r WHERE rank <= 5""",
+    """WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 20 = 0),
+    s AS (SELECT query_id, vec_id, list_cosine_similarity(embedding::DOUBLE[], q::DOUBLE[]) AS similarity FROM embeddings, q WHERE label IN (1, 2, 3)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id)::INT AS rank FROM s) SELECT query_id, vec_id, round(similarity, 6) AS similarity, rank FROM r WHERE rank <= 5""",
 )
 def vector_topk_filtered(spark, sf):
     e = table(spark, sf, "embeddings")
-    return vector.top_k(e, e.where("vec_id = 7").select(F.col("vec_id").alias("query_id"), "embedding"), 5, F.col("label").isin(1, 2, 3))
+    return vector.top_k(e, e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 5, F.col("label").isin(1, 2, 3))
 
 
 @query(
     "vector_topk_all",
     """WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 20 = 0),
-    s AS (SELECT query_id, vec_id, round(list_cosine_similarity(embedding::DOUBLE[], q::DOUBLE[]), 6) AS similarity FROM embeddings, q),
-    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id)::INT AS rank FROM s) SELECT * FROM r WHERE rank <= 5""",
+    s AS (SELECT query_id, vec_id, list_cosine_similarity(embedding::DOUBLE[], q::DOUBLE[]) AS similarity FROM embeddings, q),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id)::INT AS rank FROM s) SELECT query_id, vec_id, round(similarity, 6) AS similarity, rank FROM r WHERE rank <= 5""",
 )
 def vector_topk_all(spark, sf):
     """The stated query set, every row whose id 20 divides, against all rows."""
@@ -441,8 +477,8 @@ def vector_topk_all(spark, sf):
 @query(
     "vector_topk_filtered_all",
     """WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 20 = 0),
-    s AS (SELECT query_id, vec_id, round(list_cosine_similarity(embedding::DOUBLE[], q::DOUBLE[]), 6) AS similarity FROM embeddings, q WHERE label IN (1, 2, 3)),
-    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id)::INT AS rank FROM s) SELECT * FROM r WHERE rank <= 5""",
+    s AS (SELECT query_id, vec_id, list_cosine_similarity(embedding::DOUBLE[], q::DOUBLE[]) AS similarity FROM embeddings, q WHERE label IN (1, 2, 3)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id)::INT AS rank FROM s) SELECT query_id, vec_id, round(similarity, 6) AS similarity, rank FROM r WHERE rank <= 5""",
 )
 def vector_topk_filtered_all(spark, sf):
     """The stated query set against the rows of some labels."""

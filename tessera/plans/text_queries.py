@@ -125,7 +125,7 @@ def conversation_turns(spark, sf):
     return found.select("conv_id", F.size("values").cast("long").alias("n"), F.md5(F.array_join("values", "\n")).alias("digest"))
 
 
-@query("file_markers", "SELECT doc_id, md5('=== ' || source || ' ===' || chr(10) || text || chr(10) || '=== end ===') AS digest FROM documents WHERE trim(text) <> ''")
+@query("file_markers", "SELECT doc_id, md5(chr(10) || chr(10) || '<<<<<< 文件开始：' || source || ' >>>>>>' || chr(10) || text || chr(10) || '<<<<<< 文件结束：' || source || ' >>>>>>' || chr(10)) AS digest FROM documents WHERE trim(text) <> ''")
 def file_markers(spark, sf):
     return files.marked(table(spark, sf, "documents").select("doc_id", F.col("source").alias("name"), "text")).select("doc_id", F.md5("text").alias("digest"))
 

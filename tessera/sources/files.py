@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 #: How files of each kind begin, and which ends of names say the kind.
 MAGIC = ((b"%PDF", "pdf"), (b"PK\x03\x04", "zip"), (b"\xd0\xcf\x11\xe0", "ole"))
 ENDINGS = {"docx": "docx", "pptx": "pptx", "xlsx": "xlsx", "htm": "html", "html": "html", "mht": "html", "txt": "text", "md": "text", "csv": "text", "pdf": "pdf", "doc": "doc", "ttl": "text", "json": "text"}
+#: The words of the marks at the begin and end of a file's text.
+BEGINS, ENDS = "文件开始", "文件结束"
 #: The keys of an empty payload.
 PAYLOAD_KEYS = ("classes", "instances", "object_types", "link_types", "action_types", "links")
 
@@ -36,6 +38,12 @@ def _texts(element, tag: str) -> str:
     return "".join(t.text or "" for t in element.iter() if t.tag.endswith("}" + tag))
 
 
+def _table_rows(table) -> list[str]:
+    """The rows of an office table that aren't blank, their cells between bars."""
+    rows = [[_texts(c, "t").strip() for c in r if c.tag.endswith("}tc")] for r in table.iter() if r.tag.endswith("}tr")]
+    return [" | ".join(cells) for cells in rows if any(cells)]
+
+
 def docx_text(data: bytes) -> str:
     """Paragraphs that aren't blank, then the rows of tables."""
     with zipfile.ZipFile(io.BytesIO(data)) as archive:
@@ -43,17 +51,36 @@ def docx_text(data: bytes) -> str:
     tables = [e for e in body.iter() if e.tag.endswith("}tbl")]
     inside = {id(p) for t in tables for p in t.iter()}
     lines = [_texts(p, "t") for p in body.iter() if p.tag.endswith("}p") and id(p) not in inside]
-    rows = [" | ".join(_texts(c, "t") for c in r if c.tag.endswith("}tc")) for t in tables for r in t.iter() if r.tag.endswith("}tr")]
-    return "\n".join([x for x in lines if x.strip()] + rows)
+    return "\n".join([x for x in lines if x.strip()] + [r for t in tables for r in _table_rows(t)])
 
 
 def pptx_text(data: bytes) -> str:
-    """The text of every slide under its number."""
+    """The text of every slide that has any under its number: shapes and tables in the slide's order."""
     with zipfile.ZipFile(io.BytesIO(data)) as archive:
         slides = sorted((int(m[1]), n) for n in archive.namelist() if (m := re.fullmatch(r"ppt/slides/slide(\d+)\.xml", n)))
         pages = [ElementTree.fromstring(archive.read(n)) for _, n in slides]
-    said = [[_texts(p, "t") for p in page.iter() if p.tag.endswith("}p")] for page in pages]
-    return "\n".join(f"[Page {i}]:\n" + "\n".join(x for x in lines if x.strip()) for i, lines in enumerate(said, 1))
+    out = []
+    for i, page in enumerate(pages, 1):
+        said = []
+        for shape in [e for e in page.iter() if e.tag.rsplit("}", 1)[-1] in ("sp", "graphicFrame")] or [page]:
+            tables = [e for e in shape.iter() if e.tag.endswith("}tbl")]
+            rows = [r for t in tables for r in _table_rows(t)]
+            if rows:
+                said.append("\n[表格内容]:\n" + "\n".join(rows) + "\n")
+            elif not tables:
+                said.append("\n".join(_texts(p, "t") for p in shape.iter() if p.tag.endswith("}p")).strip())
+        if any(said):
+            out.append(f"[Page {i}]:\n" + "\n".join(x for x in said if x))
+    return "\n".join(out)
+
+
+def _column(reference: str | None, after: int) -> int:
+    """The number from 0 of a cell's column by its name, such as C7; without one it is the next."""
+    letters = re.match("[A-Z]+", reference or "")
+    at = 0
+    for letter in letters[0] if letters else "":
+        at = 26 * at + ord(letter) - 64
+    return at - 1 if at else after
 
 
 def xlsx_text(data: bytes) -> str:
@@ -61,16 +88,26 @@ def xlsx_text(data: bytes) -> str:
     with zipfile.ZipFile(io.BytesIO(data)) as archive:
         names = archive.namelist()
         shared = [_texts(e, "t") for e in ElementTree.fromstring(archive.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in names else []
-        titles = [e.get("name") for e in ElementTree.fromstring(archive.read("xl/workbook.xml")).iter() if e.tag.endswith("}sheet")]
+        sheets = [e for e in ElementTree.fromstring(archive.read("xl/workbook.xml")).iter() if e.tag.endswith("}sheet")]
+        relations = ElementTree.fromstring(archive.read("xl/_rels/workbook.xml.rels")) if "xl/_rels/workbook.xml.rels" in names else ()
+        target = {e.get("Id"): e.get("Target") for e in relations}
         out = []
-        for i, title in enumerate(titles, 1):
-            if f"xl/worksheets/sheet{i}.xml" not in names:
+        for i, sheet in enumerate(sheets, 1):
+            title, related = sheet.get("name"), next((v for k, v in sheet.attrib.items() if k.endswith("}id")), None)
+            path = target.get(related, f"worksheets/sheet{i}.xml")
+            path = path[1:] if path.startswith("/") else f"xl/{path}"
+            if path not in names:
                 continue
             rows = []
-            for row in ElementTree.fromstring(archive.read(f"xl/worksheets/sheet{i}.xml")).iter():
+            for row in ElementTree.fromstring(archive.read(path)).iter():
                 if row.tag.endswith("}row"):
-                    cells = [(c.get("t"), _texts(c, "v") or _texts(c, "t")) for c in row if c.tag.endswith("}c")]
-                    rows.append("\t".join(shared[int(v)] if t == "s" and v else v for t, v in cells))
+                    cells: list[str] = []
+                    for c in row:
+                        if c.tag.endswith("}c"):
+                            value = _texts(c, "v") or _texts(c, "t")
+                            cells += [""] * (_column(c.get("r"), len(cells)) - len(cells))  # empty cells are left out of the file
+                            cells.append(shared[int(value)] if c.get("t") == "s" and value else value)
+                    rows.append("\t".join(cells))
             if any(r.strip() for r in rows):
                 out.append(f"-- Sheet: {title} --\n" + "\n".join(rows))
     return "\n".join(out)
@@ -79,6 +116,7 @@ def xlsx_text(data: bytes) -> str:
 def html_text(data: bytes) -> str:
     text = re.sub(r"(?is)<(script|style)\b.*?</\1\s*>", " ", data.decode("utf-8", "ignore"))
     text = html.unescape(re.sub(r"(?s)<[^>]*>", " ", text))
+    text = re.sub(r"\\u([0-9a-fA-F]{4})", lambda m: chr(int(m[1], 16)), text)
     return re.sub(r"\s+", " ", text).strip()
 
 
@@ -99,8 +137,13 @@ def file_text(name: str, data: bytes) -> str | None:
     if kind == "doc":  # old files: whatever they hold that is text
         if b"<html" in data[:4000].lower() or b"mime-version" in data[:4000].lower():
             return html_text(data)
+        if data.startswith(b"PK\x03\x04"):
+            try:
+                return docx_text(data)
+            except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
+                return None
         plain = data.decode("utf-8", "ignore")
-        return plain if len(plain) > 10 and plain.isprintable() else None
+        return plain if len(plain) > 10 else None
     return html_text(data) if kind == "html" else data.decode("utf-8", "ignore")
 
 
@@ -118,15 +161,18 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
 def marked(files: DataFrame) -> DataFrame:
     """Texts between markers with their file's name; blank ones go."""
-    shown = F.concat(F.lit("=== "), "name", F.lit(" ===\n"), "text", F.lit("\n=== end ==="))
+    mark = lambda word: F.format_string(f"<<<<<< {word}：%s >>>>>>", "name")
+    shown = F.concat(F.lit("\n\n"), mark(BEGINS), F.lit("\n"), "text", F.lit("\n"), mark(ENDS), F.lit("\n"))
     return files.where(F.trim("text") != "").withColumn("text", shown)
 
 
 def unmarked(texts: DataFrame, column: str) -> DataFrame:
     """(name, text): the files of a text of ``marked``."""
-    parts = F.regexp_extract_all(column, F.lit(r"(?s)=== ([^\n]*?) ===\n.*?\n=== end ==="), 0)
-    one = texts.select(F.explode(parts).alias("_p"))
-    return one.select(F.regexp_extract("_p", r"^=== ([^\n]*?) ===\n", 1).alias("name"), F.regexp_replace("_p", r"(?s)^=== [^\n]*? ===\n|\n=== end ===$", "").alias("text"))
+    begin, end = (rf"<<<<<< {word}：{{}} >>>>>>" for word in (BEGINS, ENDS))
+    first, last = begin.format(r"([^\n]*?)") + r"\n", r"\n" + end.format(r"\1")
+    one = texts.select(F.explode(F.regexp_extract_all(column, F.lit(rf"(?s){first}.*?{last}"), 0)).alias("_p"))
+    name = F.regexp_extract("_p", f"^{first}", 1)
+    return one.select(name.alias("name"), F.regexp_extract("_p", rf"(?s)^{first}(.*){last}$", 2).alias("text"))
 
 
 def repair(payload: str | None) -> str:
@@ -260,19 +306,36 @@ def parse_turtle(text: str) -> list[tuple[str, str, str, str, str | None, str |
     return out
 
 
+def _parsed_or_error(text: str) -> tuple[list[tuple], str | None]:
+    try:
+        return parse_turtle(text), None
+    except (ValueError, IndexError) as error:  # a file that ends within a statement runs out of tokens
+        return [], str(error) or "cut short"
+
+
 def read_turtle(texts: DataFrame) -> DataFrame:
-    """Triples of Turtle texts (source, text); a file is parsed in one task."""
+    """Triples of Turtle texts (source, text); a file is parsed in one task.  A file that can't be read gives none, see ``turtle_errors``."""
 
     def run(frames: Iterator) -> Iterator:
         import pandas as pd
 
         for rows in frames:
-            found = [(s, *t) for s, x in zip(rows["source"], rows["text"], strict=True) if x for t in parse_turtle(x)]
+            found = [(s, *t) for s, x in zip(rows["source"], rows["text"], strict=True) if x for t in _parsed_or_error(x)[0]]
             yield pd.DataFrame(found, columns=["source", "s", "p", "o", "o_kind", "lang", "datatype"])
 
     return texts.select("source", "text").mapInPandas(run, "source string, s string, p string, o string, o_kind string, lang string, datatype string")
 
 
+def turtle_errors(texts: DataFrame) -> DataFrame:
+    """(source, error): the Turtle texts that can't be read, such as those with blank nodes or cut short, and why."""
+
+    @F.pandas_udf(T.StringType())
+    def error(values):
+        return values.map(lambda x: _parsed_or_error(x)[1] if x else None)
+
+    return texts.select("source", error("text").alias("error")).where("error is not null")
+
+
 def read_interchange(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Entities (with pos) and relationships of interchange JSON files."""
     schema = "entities array<struct<name:string,type:string,properties:map<string,string>>>, relationships array<struct<source_name:string,target_name:string,relation:string>>"

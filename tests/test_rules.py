@@ -45,7 +45,12 @@ def test_ids(spark):
         (text.masked, "abcdefghijkl", "abcd****ijkl"),
         (text.masked, "short", "******"),
         (text.domain_code, " 机器学习 ", "TOPIC_ML"),
-        (text.domain_code, "data lake", "TOPIC_DATA_LAKE"),
+        (text.domain_code, "AI", "AI"),
+        (text.domain_code, "machine_learning", "MACHINE_LEARNING"),
+        (text.domain_code, "财务", "DEPT_FINANCE"),
+        (text.domain_code, "北京", "REGION_BEIJING"),
+        (text.domain_code, "智能大学", "TOPIC_ZNDX"),
+        (text.domain_code, " ", None),
         (text.type_name, "owl:Class", "类"),
         (text.without_upload_prefix, "uuid_a_b.txt", "a_b.txt"),
         (text.html_to_text, "<p>a&amp;b<script>x</script>\n <!-- c -->d</p>", "a&b d"),
@@ -176,13 +181,18 @@ def test_file_readers(spark, tmp_path):
 
     w = 'xmlns:w="http://w"'
     archive("a.docx", {"word/document.xml": f"<w:document {w}><w:body><w:p><w:r><w:t>Hi</w:t></w:r></w:p><w:p/><w:tbl><w:tr><w:tc><w:p><w:r><w:t>x</w:t></w:r></w:p></w:tc><w:tc><w:p><w:r><w:t>y</w:t></w:r></w:p></w:tc></w:tr></w:tbl></w:body></w:document>"})
-    archive("b.pptx", {"ppt/slides/slide1.xml": '<a:s xmlns:a="http://a"><a:p><a:t>One</a:t></a:p></a:s>'})
+    cell = lambda x: f"<a:tc><a:p><a:t>{x}</a:t></a:p></a:tc>"
+    table = f"<a:graphicFrame><a:tbl><a:tr>{cell('p')}{cell(' q ')}</a:tr><a:tr>{cell('')}{cell('')}</a:tr></a:tbl></a:graphicFrame>"
+    archive("b.pptx", {"ppt/slides/slide1.xml": '<a:s xmlns:a="http://a"><a:p><a:t>One</a:t></a:p></a:s>', "ppt/slides/slide2.xml": '<a:s xmlns:a="http://a"/>', "ppt/slides/slide3.xml": f'<a:s xmlns:a="http://a"><a:sp><a:p><a:t>T</a:t></a:p></a:sp>{table}</a:s>'})
+    gaps = '<m:w xmlns:m="http://m"><m:row><m:c r="A1"><m:v>1</m:v></m:c><m:c r="D1"><m:v>4</m:v></m:c></m:row></m:w>'
+    archive("g.xlsx", {"xl/workbook.xml": '<m:w xmlns:m="http://m" xmlns:r="http://r"><m:sheet name="G" r:id="x7"/></m:w>', "xl/_rels/workbook.xml.rels": '<r:R xmlns:r="http://r"><r:Relationship Id="x7" Target="worksheets/other.xml"/></r:R>', "xl/worksheets/other.xml": gaps})
+    (tmp_path / "h.doc").write_bytes(b"plain text of\nseveral lines")
     archive("c.xlsx", {"xl/workbook.xml": '<m:w xmlns:m="http://m"><m:sheet name="S"/></m:w>', "xl/sharedStrings.xml": '<m:s xmlns:m="http://m"><m:si><m:t>k</m:t></m:si></m:s>', "xl/worksheets/sheet1.xml": '<m:w xmlns:m="http://m"><m:row><m:c t="s"><m:v>0</m:v></m:c><m:c><m:v>5</m:v></m:c></m:row></m:w>'})
     (tmp_path / "d.html").write_text("<html><style>x</style><p>A &amp; B</p></html>")
     (tmp_path / "e.txt").write_bytes(b"plain \xff text")
     (tmp_path / "f.docx").write_bytes(b"PK\x03\x04 broken")
     got = {r.name: r.text for r in files.read_files(spark, str(tmp_path)).collect()}
-    assert got == {"a.docx": "Hi\nx | y", "b.pptx": "[Page 1]:\nOne", "c.xlsx": "-- Sheet: S --\nk\t5", "d.html": "A & B", "e.txt": "plain  text", "f.docx": None}
+    assert got == {"a.docx": "Hi\nx | y", "b.pptx": "[Page 1]:\nOne\n[Page 3]:\nT\n\n[表格内容]:\np | q\n", "g.xlsx": "-- Sheet: G --\n1\t\t\t4", "h.doc": "plain text of\nseveral lines", "c.xlsx": "-- Sheet: S --\nk\t5", "d.html": "A & B", "e.txt": "plain  text", "f.docx": None}
 
 
 def test_marked_files(spark):
@@ -299,3 +309,32 @@ def test_sums_before_and_eviction(spark, group):
     assert found.columns == [*files.columns, "freed_before"]
     assert {r.id for r in found.collect()} == {i for i, before in want.items() if before < 30}
     assert aggregates.sums_before(files.limit(0), "size", ["mtime", "id"], group).count() == 0
+
+
+def test_ids_of_two_tenants_do_not_meet(spark):
+    n = spark.createDataFrame([(1, "a", "A1", "T", {"k": "v"}), (1, "b", "B1", "T", {}), (2, "a", "A2", "T", {}), (2, "b", "B2", "T", {}), (2, "c", "C2", "T", {})], "tenant int, id string, label string, class_label string, properties map<string,string>")
+    e = spark.createDataFrame([(1, "a", "b", "r", 1), (2, "b", "a", "r", 2), (1, "a", "c", "r", 3)], "tenant int, src string, dst string, relation string, pos int")
+    assert sorted((r.source_label, r.target_label) for r in graph.with_ends(e, n).collect()) == [("A1", "B1"), ("B2", "A2")]
+    assert sorted(r.pos for r in graph.merge_edges(e, n).collect()) == [1, 2]
+    assert sorted((r.tenant, r.id) for r in graph.isolated(n, e).collect()) == [(2, "c")]
+    assert {r.tenant for r in graph.keyword_match(n, e, "B1").collect()} == {1}
+    assert graph.of_tenant(n, "2").count() == graph.of_tenant(n, 2).count() == 3
+
+
+def test_the_exact_similarity_ranks(spark):
+    v = spark.createDataFrame([(1, [1.0, 0.0005]), (2, [1.0, 0.0])], "vec_id int, embedding array<double>")
+    q = spark.createDataFrame([(9, [1.0, 0.0])], "query_id int, embedding array<double>")
+    assert [(r.vec_id, r.similarity) for r in vector.top_k(v, q, 1).collect()] == [(2, 1.0)]
+
+
+def test_turtle_that_cannot_be_read_is_an_error_row(spark):
+    texts = spark.createDataFrame([("good", "<a> <b> <c> ."), ("blank", "_:x <b> [ <c> <d> ] ."), ("cut", "<a> <b>"), ("none", None)], "source string, text string")
+    assert [r.source for r in files.read_turtle(texts).collect()] == ["good"]
+    assert sorted(r.source for r in files.turtle_errors(texts).collect()) == ["blank", "cut"]
+
+
+def test_overlap_must_be_smaller_than_a_chunk(spark):
+    with pytest.raises(ValueError):
+        text.split_recursively("x" * 50, 10, 10)
+    with pytest.raises(ValueError):
+        text.fixed_chunks(F.lit("x"), 10, 12)

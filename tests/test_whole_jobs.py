@@ -34,8 +34,8 @@ def test_vector_search_takes_any_number_of_queries(spark, monkeypatch):
         if not x or not any(x):
             continue
         size = lambda y: math.sqrt(sum(z * z for z in y))
-        best = sorted((-round(sum(map(operator.mul, x, y)) / (size(x) * size(y)), 6), i) for i, y in rows if y and len(y) == len(x) and any(y))[:3]
-        want += [(q, i, -s, n + 1) for n, (s, i) in enumerate(best)]
+        best = sorted((-sum(map(operator.mul, x, y)) / (size(x) * size(y)), i) for i, y in rows if y and len(y) == len(x) and any(y))[:3]
+        want += [(q, i, round(-s, 6), n + 1) for n, (s, i) in enumerate(best)]
     assert sorted(map(tuple, got.collect())) == sorted(want)
 
 

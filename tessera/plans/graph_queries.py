@@ -153,11 +153,11 @@ def tenant_merged_edges(spark, sf):
     return graph.merge_edges(edges, nodes).select("tenant", "src", "dst", "type", "pos")
 
 
-@query("tenant_nodes", f"WITH {TENANTS_SQL} SELECT id, label FROM n WHERE tenant = 3 AND NOT EXISTS (SELECT 1 FROM e WHERE e.tenant = n.tenant AND n.id IN (src, dst))")
+@query("tenant_nodes", f"WITH {TENANTS_SQL} SELECT id, label FROM n WHERE tenant = 3 AND NOT EXISTS (SELECT 1 FROM e WHERE e.relation = 'P' AND e.tenant = n.tenant AND n.id IN (src, dst))")
 def tenant_nodes(spark, sf):
-    """The nodes of one tenant that have no edge there."""
+    """The nodes of one tenant that have no edge of a kind there."""
     nodes, edges = _tenants(spark, sf)
-    return graph.isolated(graph.of_tenant(nodes, "3"), edges).select("id", "label")
+    return graph.isolated(graph.of_tenant(nodes, "3"), edges.where("relation = 'P'")).select("id", "label")
 
 
 @query("keyword_facts", "SELECT 'edge' AS type, s_name AS subject, 'LOCATED_IN' AS predicate, n_name AS object FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE s_name LIKE '%7%' OR n_name LIKE '%7%'")

@@ -125,14 +125,14 @@ def optional_keyword_match(spark, sf):
 
 
 TENANTS_SQL = """n AS (SELECT c_custkey // 100 AS tenant, c_custkey % 100 AS id, c_name AS label, c_mktsegment AS class_label FROM customer),
-    e AS (SELECT o_custkey // 100 AS tenant, o_custkey % 100 AS src, o_orderkey % 100 AS dst, o_orderstatus AS relation, o_orderkey AS pos FROM orders)"""
+    e AS (SELECT o_custkey // 100 AS tenant, o_custkey % 100 AS src, o_orderkey % 100 AS dst, o_orderstatus AS relation, o_orderkey AS pos, o_totalprice AS price FROM orders)"""
 
 
 def _tenants(spark, sf) -> tuple[DataFrame, DataFrame]:
     """Customers and orders as nodes and edges of tenants whose ids clash."""
     part = lambda c: F.floor(F.col(c) / 100).cast("long").alias("tenant")
     nodes = table(spark, sf, "customer").select(part("c_custkey"), (F.col("c_custkey") % 100).alias("id"), F.col("c_name").alias("label"), F.col("c_mktsegment").alias("class_label"))
-    edges = table(spark, sf, "orders").select(part("o_custkey"), (F.col("o_custkey") % 100).alias("src"), (F.col("o_orderkey") % 100).alias("dst"), F.col("o_orderstatus").alias("relation"), F.col("o_orderkey").alias("pos"))
+    edges = table(spark, sf, "orders").select(part("o_custkey"), (F.col("o_custkey") % 100).alias("src"), (F.col("o_orderkey") % 100).alias("dst"), F.col("o_orderstatus").alias("relation"), F.col("o_orderkey").alias("pos"), F.col("o_totalprice").alias("price"))
     return nodes, edges
 
 
@@ -153,11 +153,11 @@ def tenant_merged_edges(spark, sf):
     return graph.merge_edges(edges, nodes).select("tenant", "src", "dst", "type", "pos")
 
 
-@query("tenant_nodes", f"WITH {TENANTS_SQL} SELECT id, label FROM n WHERE tenant = 3 AND NOT EXISTS (SELECT 1 FROM e WHERE e.relation = 'P' AND e.tenant = n.tenant AND n.id IN (src, dst))")
+@query("tenant_nodes", f"WITH {TENANTS_SQL} SELECT id, label FROM n WHERE tenant = 3 AND NOT EXISTS (SELECT 1 FROM e WHERE e.price > 400000 AND e.tenant = n.tenant AND n.id IN (src, dst))")
 def tenant_nodes(spark, sf):
-    """The nodes of one tenant that have no edge of a kind there."""
+    """The nodes of one tenant that have no edge of a high price there."""
     nodes, edges = _tenants(spark, sf)
-    return graph.isolated(graph.of_tenant(nodes, "3"), edges.where("relation = 'P'")).select("id", "label")
+    return graph.isolated(graph.of_tenant(nodes, "3"), edges.where("price > 400000")).select("id", "label")
 
 
 @query("keyword_facts", "SELECT 'edge' AS type, s_name AS subject, 'LOCATED_IN' AS predicate, n_name AS object FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE s_name LIKE '%7%' OR n_name LIKE '%7%'")

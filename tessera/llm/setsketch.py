@@ -362,7 +362,7 @@ def _grouped(docs: DataFrame, shingle: int, alike: int) -> DataFrame:
     twice = written(classes.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1 and key is not null").select("key", F.lit(True).alias("_twice")), "twice")
     classes = classes.join(twice, "key", "left").withColumn("node", F.when(F.col("_twice"), F.xxhash64(*same)).otherwise(F.col("key"))).drop("_twice")
     edges = written(bucket_links(classes.where("node is not null")), "edges")
-    wanted = components(edges).withColumnRenamed("component", "family").join(classes, "node")
+    wanted = components(edges, plain=True).withColumnRenamed("component", "family").join(classes, "node")
     once = texts.where("text is not null").withColumnRenamed("doc_id", "key")
     held = written(once.join(wanted, "key").select("node", "family", "n_shingles", "sketch", "print_a", "text"), "held")
     large = written(held.groupBy("family").agg(_parts(F.count(F.lit(1)), F.sum("n_shingles")).alias("parts")).where("parts > 1").select("family"), "large")

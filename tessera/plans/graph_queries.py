@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera import model
 from tessera.functions import ids, text
-from tessera.operators import aggregates, control, export, extraction, graph, matching, rdf, retrieval, vector
+from tessera.operators import aggregates, control, export, extraction, graph, listings, matching, rdf, retrieval, vector
 from tessera.plans.catalog import query
 from tessera.storage import table
 
@@ -613,3 +613,42 @@ def document_page(spark, sf):
 def tooltips(spark, sf):
     n = model.nodes(spark, sf, ("part",))
     return n.select(F.col("pos").alias("p_partkey"), control.tooltip(F.col("properties"), F.col("label")).alias("tip"))
+
+
+@query("project_listing", "SELECT c_custkey AS id, n_name AS domain_name, r_name AS owner_name FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey LEFT JOIN region ON r_regionkey = c_custkey % 7")
+def project_listing(spark, sf):
+    """Customers as projects; their nation is the domain, and some have no owner."""
+    projects = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("domain"), (F.col("c_custkey") % 7).alias("owner"))
+    domains = table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
+    owners = table(spark, sf, "region").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name"))
+    return listings.project_rows(projects, domains, owners).select("id", "domain_name", "owner_name")
+
+
+@query("relation_targets", f"{GRAPH_SQL} SELECT DISTINCT relation, coalesce(label, dst) AS target FROM edges LEFT JOIN nodes ON id = dst")
+def relation_targets(spark, sf):
+    return listings.relation_targets(model.edges(spark, sf), model.nodes(spark, sf))
+
+
+@query("referenced_documents", "SELECT DISTINCT source FROM documents WHERE source NOT IN ('', 'unknown')")
+def referenced_documents(spark, sf):
+    return listings.referenced_documents(table(spark, sf, "documents"))
+
+
+@query(
+    "missing_actions",
+    """
+    WITH known AS (SELECT p_name AS name FROM part WHERE p_name > 'g' UNION SELECT 'AT_' || p_partkey FROM part WHERE p_size = 1),
+    led AS (SELECT l_partkey, arg_min('supplier:' || l_suppkey, (l_orderkey, 'supplier:' || l_suppkey)) AS dst FROM lineitem GROUP BY l_partkey)
+    SELECT 'AT_' || p_partkey AS id, p_name AS label, coalesce(s_name, dst) AS target
+    FROM part LEFT JOIN led ON l_partkey = p_partkey LEFT JOIN supplier ON 'supplier:' || s_suppkey = dst
+    WHERE p_name NOT IN (SELECT name FROM known) AND 'AT_' || p_partkey NOT IN (SELECT name FROM known)""",
+)
+def missing_actions(spark, sf):
+    """Parts as action classes; a schema knows the names after g, and the smallest parts by id."""
+    part = table(spark, sf, "part")
+    action = F.concat(F.lit("AT_"), F.col("p_partkey").cast("string"))
+    classes = part.select(action.alias("id"), F.col("p_name").alias("label"), F.lit("Class").alias("kind"))
+    nodes = classes.unionByName(model.nodes(spark, sf, ("supplier",)).select("id", "label", "kind"))
+    leads = table(spark, sf, "lineitem").select(F.concat(F.lit("AT_"), F.col("l_partkey").cast("string")).alias("src"), model.key("supplier", "l_suppkey").alias("dst"), F.lit("action").alias("relation"), F.col("l_orderkey").alias("pos"))
+    names = part.where("p_name > 'g'").select(F.col("p_name").alias("name")).unionByName(part.where("p_size = 1").select(action.alias("name")))
+    return listings.missing_actions(nodes, leads, names)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import ids, models, text
-from tessera.operators import aggregates, control, export, extraction, graph, matching, rdf, retrieval, vector
+from tessera.operators import aggregates, control, export, extraction, graph, listings, matching, rdf, retrieval, vector
 from tessera.sources import files
 
 
@@ -338,3 +338,15 @@ def test_overlap_must_be_smaller_than_a_chunk(spark):
         text.split_recursively("x" * 50, 10, 10)
     with pytest.raises(ValueError):
         text.fixed_chunks(F.lit("x"), 10, 12)
+
+
+def test_lists_of_pages(spark):
+    nodes = spark.createDataFrame([("AT_1", "Pay", "Class"), ("AT_2", "Sell", "Class"), ("AT_3", "Buy", "Class"), ("AT_4", None, "Class"), ("AT_5", "Run", "NamedIndividual"), ("t", "Bill", "Class")], "id string, label string, kind string")
+    edges = spark.createDataFrame([("AT_1", "x", "action", 2), ("AT_1", "t", "action", 1), ("AT_4", "y", "action", 3)], "src string, dst string, relation string, pos int")
+    names = spark.createDataFrame([("Sell",), ("AT_3",), (None,)], "name string")
+    assert sorted(tuple(r) for r in listings.missing_actions(nodes, edges, names).collect()) == [("AT_1", "Pay", "Bill"), ("AT_4", None, "y")]
+    assert sorted(tuple(r) for r in listings.relation_targets(edges, nodes).collect()) == [("action", "Bill"), ("action", "x"), ("action", "y")]
+    rows = spark.createDataFrame([("a",), ("a",), ("unknown",), ("",), (None,)], "source string")
+    assert [r.source for r in listings.referenced_documents(rows).collect()] == ["a"]
+    kept = spark.range(1).select(listings.only_keys(F.create_map(F.lit("a"), F.lit("1"), F.lit("b"), F.lit("2")), ["b", "c"]).alias("m"))
+    assert kept.first().m == {"b": "2"}

@@ -185,7 +185,7 @@ def grid_places(nodes: DataFrame, order: str, total: int) -> DataFrame:
     return numbered.withColumns({"col": (F.col("index") % int(width)).cast("int"), "row": F.floor(F.col("index") / int(width)).cast("int")})
 
 
-def number_rows(rows: DataFrame, *order: str) -> DataFrame:
+def number_rows(rows: DataFrame, *order: str | Column) -> DataFrame:
     """Rows with ``index``, their place from 0 in a total order.
 
     The order is dealt by range and sorted in every partition, and the partitions' row counts, one number

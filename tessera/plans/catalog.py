@@ -23,4 +23,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from tessera.plans import graph_queries, text_queries  # noqa: E402, F401  (they register themselves)
+from tessera.plans import answer_queries, graph_queries, text_queries  # noqa: E402, F401  (they register themselves)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import concat_cut, content_sort, cotrain, linmaxmatch, secret_crf, setsketch, simple8b, suffix_decontam, url_gbt, warc_revisit
+from tessera.llm import concat_cut, content_sort, cotrain, linmaxmatch, mixing, secret_crf, setsketch, simple8b, suffix_decontam, url_gbt, warc_revisit
 from tessera.storage import table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -154,6 +154,11 @@ def op10_url_trees(spark: SparkSession, sf: str) -> DataFrame:
     return url_gbt.judge(table(spark, sf, "pages"), URL_RULES)
 
 
+def op11_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    """How many words a mix of all sources by weight takes of each document."""
+    return mixing.taken(table(spark, sf, "documents"))
+
+
 QUERIES = {
     "op1_secret_crf": op1_secret_crf,
     "op2_content_sort": op2_content_sort,
@@ -166,5 +171,6 @@ QUERIES = {
     "op8_concat_cut": op8_concat_cut,
     "op9_setsketch": op9_setsketch,
     "op10_url_trees": op10_url_trees,
+    "op11_mixing": op11_mixing,
 }
 ORACLE = {"op2_content_sort": OP2_SQL, "op3_suffix_decontamination": OP3_SQL, "op3_longest_verbatim": OP3_VERBATIM_SQL, "op4_warc_revisits": OP4_SQL, "op9_setsketch": OP9_SQL}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import concat_cut, content_sort, cotrain, linmaxmatch, mixing, secret_crf, setsketch, simple8b, suffix_decontam, url_gbt, warc_revisit
+from tessera.llm import block_max, concat_cut, content_sort, cotrain, linmaxmatch, mixing, secret_crf, setsketch, simple8b, suffix_decontam, url_gbt, warc_revisit
 from tessera.storage import table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -159,6 +159,26 @@ def op11_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.taken(table(spark, sf, "documents"))
 
 
+def op12_block_max(spark: SparkSession, sf: str) -> DataFrame:
+    """The 10 best documents for each benchmark item."""
+    return block_max.search(block_max.build(table(spark, sf, "documents")), table(spark, sf, "benchmark"))
+
+
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+OP12_SQL = rf"""
+WITH dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{_TERM}') AS w FROM documents),
+stat AS (SELECT count(*) AS nn, sum(len(w))::BIGINT AS ll FROM dw WHERE len(w) > 0),
+tf AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(w)::BIGINT AS n, unnest(w) AS term FROM dw) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+item AS (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{_TERM}')) AS term FROM benchmark),
+scored AS (
+  SELECT item_id, doc_id, sum(floor(1000 * ln((2 * nn + 2) / (2 * df + 1)))::BIGINT * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * nn) // ll))))::BIGINT AS score
+  FROM item JOIN tf USING (term) JOIN df USING (term) CROSS JOIN stat GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM scored WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 10
+"""
+
+
 QUERIES = {
     "op1_secret_crf": op1_secret_crf,
     "op2_content_sort": op2_content_sort,
@@ -172,5 +192,6 @@ QUERIES = {
     "op9_setsketch": op9_setsketch,
     "op10_url_trees": op10_url_trees,
     "op11_mixing": op11_mixing,
+    "op12_block_max": op12_block_max,
 }
-ORACLE = {"op2_content_sort": OP2_SQL, "op3_suffix_decontamination": OP3_SQL, "op3_longest_verbatim": OP3_VERBATIM_SQL, "op4_warc_revisits": OP4_SQL, "op9_setsketch": OP9_SQL}
+ORACLE = {"op2_content_sort": OP2_SQL, "op3_suffix_decontamination": OP3_SQL, "op3_longest_verbatim": OP3_VERBATIM_SQL, "op4_warc_revisits": OP4_SQL, "op9_setsketch": OP9_SQL, "op12_block_max": OP12_SQL}

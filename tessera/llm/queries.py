@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import block_max, concat_cut, content_sort, cotrain, linmaxmatch, mixing, secret_crf, setsketch, simple8b, suffix_decontam, url_gbt, warc_revisit
+from tessera.llm import block_max, collocations, concat_cut, content_sort, cotrain, linmaxmatch, mixing, secret_crf, setsketch, simple8b, suffix_decontam, url_gbt, warc_revisit
 from tessera.storage import table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -179,6 +179,35 @@ QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <=
 """
 
 
+def op13_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    """The first 2000 phrases of each language, of all documents."""
+    return collocations.mine(table(spark, sf, "documents"))
+
+
+OP13_SQL = rf"""
+WITH piece AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+w AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM piece),
+total AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+gram AS (
+  SELECT lang, k, unnest([array_to_string(w[i:i + k - 1], ' ') FOR i IN range(1, len(w) - k + 2)]) AS phrase FROM w CROSS JOIN (VALUES (1), (2), (3)) AS s(k) WHERE len(w) >= k),
+f AS (SELECT lang, k, phrase, lang || chr(9) || phrase AS id, count(*) AS f FROM gram GROUP BY ALL),
+cand AS (SELECT lang, k AS size, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 10),
+way AS (
+  SELECT lang, size, phrase, a, 1 AS k, w[1] AS lp, array_to_string(w[2:], ' ') AS rp FROM cand UNION ALL
+  SELECT lang, size, phrase, a, 2, array_to_string(w[1:2], ' '), w[3] FROM cand WHERE size = 3),
+cuts AS (
+  SELECT way.*, x.f AS l, y.f AS r, (1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f) AS score
+  FROM way JOIN f x ON x.id = way.lang || chr(9) || lp JOIN f y ON y.id = way.lang || chr(9) || rp),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+part AS (
+  SELECT lang, p, max(a) AS most FROM (SELECT lang, array_to_string(w[1:2], ' ') AS p, a FROM cand WHERE size = 3 UNION ALL SELECT lang, array_to_string(w[2:3], ' '), a FROM cand WHERE size = 3) GROUP BY ALL),
+kept AS (SELECT best.* FROM best LEFT JOIN part ON part.lang = best.lang AND part.p = best.phrase WHERE most IS NULL OR size = 3 OR 100 * most < 50 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score
+FROM kept JOIN total USING (lang) QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000
+"""
+
+
 QUERIES = {
     "op1_secret_crf": op1_secret_crf,
     "op2_content_sort": op2_content_sort,
@@ -193,5 +222,6 @@ QUERIES = {
     "op10_url_trees": op10_url_trees,
     "op11_mixing": op11_mixing,
     "op12_block_max": op12_block_max,
+    "op13_collocations": op13_collocations,
 }
-ORACLE = {"op2_content_sort": OP2_SQL, "op3_suffix_decontamination": OP3_SQL, "op3_longest_verbatim": OP3_VERBATIM_SQL, "op4_warc_revisits": OP4_SQL, "op9_setsketch": OP9_SQL, "op12_block_max": OP12_SQL}
+ORACLE = {"op2_content_sort": OP2_SQL, "op3_suffix_decontamination": OP3_SQL, "op3_longest_verbatim": OP3_VERBATIM_SQL, "op4_warc_revisits": OP4_SQL, "op9_setsketch": OP9_SQL, "op12_block_max": OP12_SQL, "op13_collocations": OP13_SQL}

@@ -1,20 +1,21 @@
 """Document quality by co-training two views.
 
-One classifier sees the text's content: its characters and words.  The other sees the page's metadata: source, language, source
-by language, length, and the layout of its lines.  No number is in both views.  Both are logistic regressions on binned
-features.  In each of ``ROUNDS`` rounds either labels those rows of a pool without labels of which it is most confident, a share
-of the pool for either class that grows from round to round (``SHARE``), and the other learns from those labels
-too, at a lower weight.  At the end each view is calibrated on labelled rows held out, and a last regression on both
-calibrated views gives the score of every document.
-
-Training sees at most ``TRAIN_ROWS`` labelled rows and ``POOL_ROWS`` others, those with the smallest hashes; bins and weights
-are of fixed size.  Scoring is one pass over all documents without a shuffle.
-
-Defined results: a null or empty text has the features of an empty text; null metadata is a value of its
-own; labels that are null, or of documents that don't exist, are left out, and a document labelled twice
-counts twice; of a labelled doc_id that several documents have, one of them counts; without labels, or with labels of one
-kind only, every document is accepted with score 1; repeated
-rows are scored each; an empty table gives none; other columns pass through unread.
+One classifier sees the text's content: its characters, words and lines.  The other sees the page's metadata alone: source, language, source
+by language, and length.  Both are logistic regressions on binned features, fitted on the labelled rows of which a quarter of either class, by the
+hash of the doc_id, is held out.  In each of ``ROUNDS`` rounds either labels those documents without labels of which it is most
+confident, a share of all such documents for either class that grows from round to round (``SHARE``), and the other learns from those
+labels too.  They weigh together at most ``PSEUDO_WEIGHT`` of what the labels do, and less the nearer the giving view's order of the held-out rows
+is to chance.  At the end each view is calibrated on the held-out rows, and a last regression on both calibrated views gives the score of every document.
+
+The exchange covers all documents.  Their binned features are written once; a round is two passes over them: histograms of both views' scores,
+whose tails are the confident documents (a bin of the histogram is taken whole, so ties are), and the sums of first and second derivatives of
+what those documents' labels cost, by which they enter the regression as its second-order expansion.  Tasks sum both before anything is sent; the driver sees sums of
+fixed size.  Only labelled rows are sampled: at most ``TRAIN_ROWS``, those with the smallest hashes, and the edges of bins come from them.
+
+Defined results: a null or empty text has the features of an empty text; null metadata is a value of its own; labels other than 0 and 1, or
+of documents that don't exist, are left out, and a document labelled twice counts twice; of a labelled doc_id that several documents have, one
+of them counts; without labels of both kinds every document is accepted with score 1; with a single label of one kind none of that kind is held
+out, and the views are combined uncalibrated; repeated rows are scored each; an empty table gives none; other columns pass through unread.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,16 +34,16 @@ from tessera.llm import arrays
 from tessera.storage import written
 
 TRAIN_ROWS = 8_000
-POOL_ROWS = 8_000
 ROUNDS = 4
 SHARE = 0.05
 PSEUDO_WEIGHT = 0.3
 BINS = 10
 ACCEPT = 0.5
 SOURCES, LANGS, SIZES, PAIRS = 64, 16, 24, 256
-#: Numbers of a text's features, of a page's named ones and of its layout.
-CONTENT, NAMED, LAYOUT = 17, 4, 8
-WIDTH = CONTENT + NAMED + LAYOUT
+#: Numbers of a text's features and of a page's.
+CONTENT, NAMED = 25, 4
+#: Histogram bins of a view's logits between -35 and 35.
+STEPS = 7000
 
 _LETTER = np.array([65 <= b <= 90 or 97 <= b <= 122 or b >= 128 for b in range(256)])
 _UPPER = np.array([65 <= b <= 90 for b in range(256)])
@@ -52,7 +54,7 @@ _STOP = np.array([chr(b) in ".?!" for b in range(256)])
 _LINE = np.array([b not in (10, 13) for b in range(256)])
 
 
-def content_features(column: pa.Array) -> np.ndarray:
+def word_features(column: pa.Array) -> np.ndarray:
     """A row of numbers for each text, out of its characters and words."""
     data, offsets = arrays.buffer(column)
     n = len(offsets) - 1
@@ -127,16 +129,24 @@ def _expit(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
 
-def regression(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0, steps: int = 12) -> np.ndarray:
-    """Ridge logistic regression by Newton's method; the last coefficient is the constant."""
+def regression(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float | np.ndarray = 1.0, steps: int = 12, near: np.ndarray | None = None, beside: tuple | None = None) -> np.ndarray:
+    """Ridge logistic regression by Newton's method; the last coefficient is the constant.
+
+    The ridge pulls towards ``near``.  ``beside`` is a further cost by its expansion (where, gradient, second derivatives).
+    """
     x = np.column_stack([x, np.ones(len(x))])
-    b = np.zeros(x.shape[1])
-    penalty = np.full(len(b), ridge)
-    penalty[-1] = 1e-6
+    b = np.zeros(x.shape[1]) if near is None else near.astype(float).copy()
+    near = b.copy()
+    penalty = np.broadcast_to(np.asarray(ridge, float), b.shape).copy()
+    if np.ndim(ridge) == 0:
+        penalty[-1] = 1e-6
     for _ in range(steps):
         p = _expit(x @ b)
         h = (x.T * (weight * np.maximum(p * (1 - p), 1e-6))) @ x + np.diag(penalty)
-        step = np.linalg.solve(h, x.T @ (weight * (y - p)) - penalty * b)
+        g = x.T @ (weight * (y - p)) - penalty * (b - near)
+        if beside is not None:
+            h, g = h + beside[2], g - beside[1] - beside[2] @ (b - beside[0])
+        step = np.linalg.solve(h, g)
         b += step
         if np.abs(step).max() < 1e-6:
             break
@@ -145,10 +155,9 @@ def regression(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float =
 
 @dataclass
 class Model:
-    """Bin edges of both views, their weights, their calibration and the weights that combine them; and how many labels each view gave in each round."""
+    """Bin edges, the weights of both views, their calibration and the weights that combine them; and how many labels each view gave in each round."""
 
     edges: np.ndarray
-    page_edges: np.ndarray
     content: np.ndarray
     page: np.ndarray
     calibration: tuple[np.ndarray, np.ndarray]
@@ -157,62 +166,170 @@ class Model:
 
     def scores(self, content: np.ndarray, page: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Calibrated chances of good quality: by content, by page, and by both."""
-        views = [hot_bins(content, self.edges) @ self.content[:-1] + self.content[-1], hot_page(page, self.page_edges) @ self.page[:-1] + self.page[-1]]
+        views = [hot(binned(content, self.edges), BINS_OF[0]) @ self.content[:-1] + self.content[-1], hot(page, BINS_OF[1]) @ self.page[:-1] + self.page[-1]]
         logits = [c[0] * v + c[1] for c, v in zip(self.calibration, views, strict=True)]
         return _expit(logits[0]), _expit(logits[1]), _expit(np.column_stack(logits) @ self.joint[:-1] + self.joint[-1])
 
 
-def hot_bins(x: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    """1 for each feature at its bin."""
-    out = np.zeros((len(x), x.shape[1] * BINS), np.float32)
-    for k in range(x.shape[1]):
-        out[np.arange(len(x)), k * BINS + np.searchsorted(edges[k], x[:, k], "right")] = 1
-    return out
+#: By view the number of values of each feature.
+BINS_OF = ((BINS,) * CONTENT, (SOURCES, LANGS, SIZES, PAIRS))
 
 
-def hot_page(x: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    """1 for each named feature at its value and each number of the layout at its bin."""
-    widths = (SOURCES, LANGS, SIZES, PAIRS)
+def binned(x: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    return np.column_stack([np.searchsorted(edges[k], x[:, k], "right") for k in range(x.shape[1])])
+
+
+def hot(x: np.ndarray, widths: tuple[int, ...]) -> np.ndarray:
+    """1 for each feature at its value."""
     out = np.zeros((len(x), sum(widths)), np.float32)
     for k, base in enumerate(np.cumsum(widths) - widths):
         out[np.arange(len(x)), base + x[:, k].astype(np.int64)] = 1
-    return np.concatenate([out, hot_bins(x[:, NAMED:], edges)], axis=1)
+    return out
+
+
+def _logits(x: np.ndarray, widths: tuple[int, ...], b: np.ndarray) -> np.ndarray:
+    return b[:-1][x.astype(np.int64) + (np.cumsum(widths) - widths)].sum(axis=1) + b[-1]
+
+
+def _step(logits: np.ndarray) -> np.ndarray:
+    """The histogram bin of each logit."""
+    return np.clip((logits + 35) * (STEPS / 70), 0, STEPS - 1).astype(np.int64)
+
+
+def histograms(views: tuple[np.ndarray, np.ndarray], fitted: list[np.ndarray]) -> np.ndarray:
+    """How often each bin of either view's logits comes."""
+    return np.stack([np.bincount(_step(_logits(x, w, b)), minlength=STEPS) for x, w, b in zip(views, BINS_OF, fitted, strict=True)])
+
+
+def tails(histogram: np.ndarray, positive: float, share: float) -> tuple[int, int]:
+    """The bins up to which (downwards and upwards) a view is confident: shares of all documents in the proportion of the labels, at least one document each."""
+    total = histogram.sum()
+    low = int(np.searchsorted(np.cumsum(histogram), max(1, int(share * total * (1 - positive))), "left"))
+    high = STEPS - 1 - int(np.searchsorted(np.cumsum(histogram[::-1]), max(1, int(share * total * positive)), "left"))
+    return (low, high) if low < high else (-1, STEPS)
+
+
+def moments(views: tuple[np.ndarray, np.ndarray], fitted: list[np.ndarray], bounds: list[tuple[int, int]]) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """By view: gradient and second derivatives, at its weights, of what the other view's confident labels cost, and how many there are."""
+    out = []
+    for me, other in ((0, 1), (1, 0)):
+        step = _step(_logits(views[other], BINS_OF[other], fitted[other]))
+        low, high = bounds[other]
+        rows = np.flatnonzero((step <= low) | (step >= high))
+        x = np.column_stack([hot(views[me][rows], BINS_OF[me]), np.ones(len(rows))]).astype(float)
+        p = _expit(x @ fitted[me])
+        out.append((x.T @ (p - (step[rows] >= high)), (x.T * np.maximum(p * (1 - p), 1e-6)) @ x, len(rows)))
+    return out
+
+
+class Rows:
+    """Documents without labels, in memory: the sums that a round of the exchange needs."""
+
+    def __init__(self, content: np.ndarray, page: np.ndarray):
+        self.views = (content, page)
+
+    def histograms(self, fitted: list[np.ndarray]) -> np.ndarray:
+        return histograms(self.views, fitted)
+
+    def moments(self, fitted: list[np.ndarray], bounds: list[tuple[int, int]]) -> list[tuple]:
+        return moments(self.views, fitted, bounds)
+
+
+class Table:
+    """The same of a table of packed rows (content, page: small numbers of many documents)."""
 
+    def __init__(self, packed: DataFrame):
+        self.packed = packed
 
-def _most_confident(p: np.ndarray, y: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
-    """The rows that a view is surest of, a share of the pool, of either class as many as goes with the labelled rows."""
-    keep = []
-    for label, sure in ((1.0, p), (0.0, 1 - p)):
-        keep.append(np.argsort(-sure, kind="stable")[: max(1, int(share * len(p) * (y == label).mean())) if len(p) else 0])
-    return np.concatenate(keep), np.concatenate([np.ones(len(keep[0])), np.zeros(len(keep[1]))])
+    def _summed(self, function, size: int) -> np.ndarray:
+        """The sum of a function's flat array over all packed rows: by task, then by parts of the array."""
+        part = 1 << 14
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(size)
+            for batch in batches:
+                for content, page in zip(batch.column("content").to_pylist(), batch.column("page").to_pylist(), strict=True):
+                    total += function((np.frombuffer(content, np.uint8).reshape(-1, CONTENT), np.frombuffer(page, "<u2").reshape(-1, NAMED)))
+            task = TaskContext.get().partitionId() % 16
+            for k in range(0, size, part):
+                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([task]), pa.array([total[k : k + part].tobytes()], pa.binary())], ["k", "task", "sums"])
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for k, x in zip(batch.column("k").to_pylist(), batch.column("sums").to_pylist(), strict=True):
+                    sums[k] = sums.get(k, 0) + np.frombuffer(x)
+            for k, x in sums.items():
+                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([x.tobytes()], pa.binary())], ["k", "sums"])
+
+        kind, out = "k long, sums binary", np.zeros(size)
+        mapped = self.packed.mapInArrow(run, "k long, task long, sums binary")
+        once = mapped.repartition("k", "task").mapInArrow(add, kind)  # a part's arrays are added by up to 16 tasks, then by one
+        for r in once.repartition("k").mapInArrow(add, kind).collect():
+            x = np.frombuffer(r["sums"])
+            out[r["k"] : r["k"] + len(x)] = x
+        return out
+
+    def histograms(self, fitted: list[np.ndarray]) -> np.ndarray:
+        return self._summed(lambda views: histograms(views, fitted).astype(float).ravel(), 2 * STEPS).reshape(2, STEPS)
+
+    def moments(self, fitted: list[np.ndarray], bounds: list[tuple[int, int]]) -> list[tuple]:
+        flat = lambda views: np.concatenate([y for g, h, n in moments(views, fitted, bounds) for y in (g, h.ravel(), [float(n)])])
+        width = [sum(w) + 1 for w in BINS_OF]
+        got, out, at = self._summed(flat, sum(w + w * w + 1 for w in width)), [], 0
+        for w in width:
+            out.append((got[at : at + w], got[at + w : at + w + w * w].reshape(w, w), int(round(got[at + w + w * w]))))
+            at += w + w * w + 1
+        return out
+
+
+def held_out(y: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Of either class the quarter with the smallest keys, one row at least, but never the only one."""
+    held = np.zeros(len(y), bool)
+    for label in (0, 1):
+        rows = np.flatnonzero(y == label)
+        n = max(1, len(rows) // 4) if len(rows) > 1 else 0
+        held[rows[np.lexsort((rows, order[rows]))[:n]]] = True
+    return held
+
+
+def _skill(score: np.ndarray, y: np.ndarray) -> float:
+    """How far the order of scores beats chance: 1 for a perfect one, 0 for chance or worse."""
+    rank = np.searchsorted(np.sort(score[y == 0]), score[y == 1], "left") + np.searchsorted(np.sort(score[y == 0]), score[y == 1], "right")
+    return max(0.0, rank.mean() / max((y == 0).sum(), 1) - 1)
 
 
 def _edges(x: np.ndarray) -> np.ndarray:
     return np.quantile(x, np.linspace(0, 1, BINS + 1)[1:-1], axis=0).T
 
 
-def fit(content: np.ndarray, page: np.ndarray, y: np.ndarray, pool_content: np.ndarray, pool_page: np.ndarray, exchange: bool = True) -> Model:
-    """Co-train on labelled rows (every fourth is held out for calibration) and a pool without labels; without ``exchange`` each view learns alone."""
-    edges, page_edges = _edges(np.concatenate([content, pool_content])), _edges(np.concatenate([page, pool_page])[:, NAMED:])
-    views = [(hot_bins(content, edges), hot_bins(pool_content, edges)), (hot_page(page, page_edges), hot_page(pool_page, page_edges))]
-    held = np.arange(len(y)) % 4 == 3
-    known = [(np.zeros(0, np.int64), np.zeros(0))] * 2
-    given = []
-    for turn in range(ROUNDS + 1):
-        fitted = []
-        for (x, pool), (rows, labels) in zip(views, known, strict=True):
-            taught = (~held).sum()  # all pseudo-labels together weigh PSEUDO_WEIGHT of what the labels do at most
-            weight = np.concatenate([np.ones(taught), np.full(len(rows), PSEUDO_WEIGHT * min(1, taught / max(len(rows), 1)))])
-            fitted.append(regression(np.concatenate([x[~held], pool[rows]]), np.concatenate([y[~held], labels]), weight))
-        if turn < ROUNDS and exchange:
-            sure = [_most_confident(_expit(pool @ b[:-1] + b[-1]), y[~held], (turn + 1) * SHARE) for (_, pool), b in zip(views, fitted, strict=True)]
-            given.append((len(sure[0][0]), len(sure[1][0])))
-            known = [sure[1], sure[0]]  # each learns from the other's labels
-    logits = [x @ b[:-1] + b[-1] for (x, _), b in zip(views, fitted, strict=True)]
-    ones = np.ones(held.sum())
-    calibration = tuple(regression(v[held, None], y[held], ones, 1e-3) for v in logits)
+def fit(content: np.ndarray, page: np.ndarray, y: np.ndarray, order: np.ndarray, edges: np.ndarray, pool: Rows | Table, exchange: bool = True) -> Model:
+    """Co-train on labelled rows, of both kinds, and a pool without labels; without ``exchange`` each view learns alone."""
+    views = [hot(binned(content, edges), BINS_OF[0]), hot(page, BINS_OF[1])]
+    held = held_out(y, order)
+    both = len(np.unique(y[held])) == 2
+    taught, ones = int((~held).sum()), np.ones(int((~held).sum()))
+    fitted = [regression(x[~held], y[~held], ones) for x in views]
+    given: list[tuple[int, int]] = []
+    for turn in range(ROUNDS if exchange else 0):
+        bounds = [tails(h, y[~held].mean(), (turn + 1) * SHARE) for h in pool.histograms(fitted)]
+        skill = [_skill(x[held] @ b[:-1], y[held]) if both else 1.0 for x, b in zip(views, fitted, strict=True)]
+        got = pool.moments(fitted, bounds)
+        given.append((got[1][2], got[0][2]))
+        new = []
+        for me, (g, h, n) in enumerate(got):
+            weight = PSEUDO_WEIGHT * skill[1 - me] * min(1.0, taught / max(n, 1))
+            new.append(regression(views[me][~held], y[~held], ones, beside=(fitted[me], weight * g, weight * h)))
+        fitted = new
+    logits = [x @ b[:-1] + b[-1] for x, b in zip(views, fitted, strict=True)]
+    if not both:
+        return Model(edges, *fitted, (np.array([1.0, 0.0]),) * 2, np.array([0.5, 0.5, 0.0]), given)
+    # few rows are held out where labels are few: towards unchanged views, equally combined, and to chances short of 0 and 1
+    yes, no = (y[held] == 1).sum(), (y[held] == 0).sum()
+    goal, ones = np.where(y[held] == 1, (yes + 1) / (yes + 2), 1 / (no + 2)), np.ones(int(held.sum()))
+    calibration = tuple(regression(v[held, None], goal, ones, np.array([1.0, 0.1]), near=np.array([1.0, 0.0])) for v in logits)
     joined = np.column_stack([c[0] * v + c[1] for c, v in zip(calibration, logits, strict=True)])
-    return Model(edges, page_edges, fitted[0], fitted[1], calibration, regression(joined[held], y[held], ones, 1e-2), given)
+    return Model(edges, *fitted, calibration, regression(joined[held], goal, ones, np.array([1.0, 1.0, 0.1]), near=np.array([0.5, 0.5, 0.0])), given)
 
 
 def _inputs(docs: DataFrame) -> list[Column]:
@@ -221,9 +338,9 @@ def _inputs(docs: DataFrame) -> list[Column]:
     return [have("text", "string"), have("source", "string"), have("lang", "string"), have("n_chars", "double")]
 
 
-def _views(batch: pa.RecordBatch, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The features of both views of a batch."""
-    return content_features(text), np.column_stack([page_features(batch), layout_features(text)])
+def content_features(column: pa.Array) -> np.ndarray:
+    """A row of numbers for each text: characters, words and lines."""
+    return np.column_stack([word_features(column), layout_features(column)])
 
 
 def _at(*key: str | Column) -> Column:
@@ -235,48 +352,53 @@ def _share(rows: int, limit: int) -> int:
     return min(1 << 30, int((1 << 30) * 1.5 * limit / max(rows, 1)) + 1)
 
 
-def _sampled(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features of both views, and labels, of a bounded frame with doc_id, label and the inputs."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in arrays.slices(batches):
-            both = np.column_stack(_views(batch, batch.column("text")))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(both.tolist(), pa.list_(pa.float64()))], ["doc_id", "label", "x"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.mapInArrow(run, f"doc_id {kind}, label double, x array<double>").collect()
-    rows.sort(key=lambda r: (r.doc_id is None, r.doc_id or 0, r.label, r.x))
-    x = np.array([r.x for r in rows] or np.zeros((0, WIDTH)))
-    return x[:, :CONTENT], x[:, CONTENT:], np.array([r.label for r in rows], float)
+def _picked(labels: DataFrame, label: str) -> DataFrame:
+    """(doc_id, label, key): the labelled sample."""
+    known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("double").alias("label"), _at("doc_id").alias("_at"))
+    picked = known.where(F.col("_at") < _share(known.count(), TRAIN_ROWS)).orderBy("_at", "doc_id", "label").limit(TRAIN_ROWS)
+    return written(picked.select("doc_id", "label", _at("doc_id", F.lit("held")).alias("key")), "labels")  # TRAIN_ROWS numbers: small enough to broadcast
 
 
-def samples(docs: DataFrame, labels: DataFrame, label: str = "quality") -> tuple[np.ndarray, ...]:
-    """Both views' features and labels of the labelled sample, and both views' features of the pool.
+def samples(docs: DataFrame, picked: DataFrame) -> tuple[np.ndarray, ...]:
+    """Content features, page features, labels and keys of the labelled sample.
 
-    The rows with the smallest hashes of their doc_id are taken.  Where a doc_id has several rows, which of them is labelled can't be
-    told, so the one with the smallest text hash is; the pool breaks ties by the text's hash too.  A sample is the same at every run.
+    Where a doc_id has several rows, which of them is labelled can't be told, so the one with the smallest text hash is.  A sample is the same at every run.
     """
-    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("double").alias("label"), _at("doc_id").alias("_at"))
-    picked = known.where(F.col("_at") < _share(known.count(), TRAIN_ROWS)).orderBy("_at", "doc_id", "label").limit(TRAIN_ROWS).drop("_at")
-    picked = written(picked, "labels")  # TRAIN_ROWS numbers: small enough to broadcast
     texts = docs.select("doc_id", *_inputs(docs))
     found = texts.join(F.broadcast(picked.select("doc_id").distinct()), "doc_id", "left_semi")
     one = found.groupBy("doc_id").agg(F.min_by(F.struct(*[c for c in found.columns if c != "doc_id"]), F.xxhash64("text")).alias("_d")).select("doc_id", "_d.*")
-    content, page, y = _sampled(one.join(F.broadcast(picked), "doc_id"))
-    at = _at("doc_id", F.lit("pool"))
-    others = texts.withColumn("_at", at).where(F.col("_at") < _share(docs.count(), POOL_ROWS)).join(F.broadcast(picked.select("doc_id").distinct()), "doc_id", "left_anti")
-    ids = written(others.select("_at", F.xxhash64("text").alias("_h"), "doc_id").orderBy("_at", "_h").limit(POOL_ROWS).distinct(), "pool")
-    pool = others.withColumn("_h", F.xxhash64("text")).join(F.broadcast(ids.drop("doc_id")), ["_at", "_h"], "left_semi").limit(POOL_ROWS)
-    pool_content, pool_page, _ = _sampled(pool.withColumn("label", F.lit(0.0)))
-    return content, page, y, pool_content, pool_page
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in arrays.slices(batches):
+            both = np.column_stack([content_features(batch.column("text")), page_features(batch)])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("label"), pa.array(both.tolist(), pa.list_(pa.float64()))], ["key", "label", "x"])
+
+    rows = one.join(F.broadcast(picked), "doc_id").mapInArrow(run, "key long, label double, x array<double>").collect()
+    rows.sort(key=lambda r: (r.key, r.label, r.x))
+    x = np.array([r.x for r in rows] or np.zeros((0, CONTENT + NAMED)))
+    return x[:, :CONTENT], x[:, CONTENT:], np.array([r.label for r in rows], float), np.array([r.key for r in rows], np.int64)
+
+
+def _pool(docs: DataFrame, picked: DataFrame, edges: np.ndarray) -> Table:
+    """The binned features of all documents without a label that counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in arrays.slices(batches):
+            content, page = binned(content_features(batch.column("text")), edges), page_features(batch)
+            yield pa.RecordBatch.from_arrays([pa.array([content.astype(np.uint8).tobytes()], pa.binary()), pa.array([page.astype("<u2").tobytes()], pa.binary())], ["content", "page"])
+
+    others = docs.select("doc_id", *_inputs(docs)).join(F.broadcast(picked.select("doc_id").distinct()), "doc_id", "left_anti").drop("doc_id")
+    return Table(written(others.mapInArrow(run, "content binary, page binary"), "views"))
 
 
 def trained(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model | None:
-    """A model fitted on bounded samples, or None where the labels are not of both kinds."""
-    content, page, y, pool_content, pool_page = samples(docs, labels, label)
-    if len(np.unique(y)) < 2 or len(y) < 8:
+    """A model of all documents and a bounded sample of labels, or None where the labels are not of both kinds."""
+    picked = _picked(labels, label)
+    content, page, y, keys = samples(docs, picked)
+    if len(np.unique(y)) < 2:
         return None
-    return fit(content, page, y, pool_content, pool_page)
+    edges = _edges(content)
+    return fit(content, page, y, keys, edges, _pool(docs, picked, edges))
 
 
 def scored(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -288,7 +410,7 @@ def scored(docs: DataFrame, model: Model | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrays.slices(batches, "_row.text", arrays.SLICE_BYTES // 2) if plain else arrays.slices(batches):
             text = batch.column("_row").field("text") if plain else batch.column("text")
-            found = model.scores(*_views(batch, text))
+            found = model.scores(content_features(text), page_features(batch))
             yield pa.RecordBatch.from_arrays([batch.column("_row"), *map(pa.array, found)], ["_row", "content_score", "page_score", "score"])
 
     plain = docs.schema["text"].dataType == T.StringType()  # then the text isn't sent twice

@@ -3,8 +3,6 @@ import re
 
 import corpus_pipeline
 import public_tokenizers
-import numpy as np
-import pyarrow as pa
 from tokenizers import Tokenizer
 
 from tessera.llm import content_sort, cotrain, setsketch, suffix_decontam
@@ -84,58 +82,3 @@ def test_columns_with_clashing_names_pass_through(spark):
     for out, ids in ((content_sort.deduplicated(docs), [0, 2, 4, 5]), (setsketch.deduplicated(docs), [0, 2, 3, 4]), (suffix_decontam.clean(docs, bench), [0, 1, 2, 3, 5]), (cotrain.accepted(docs, labels), [0, 1, 2, 3, 4, 5])):
         assert out.columns == docs.columns
         assert sorted((r.doc_id, *r[2:]) for r in out.collect()) == [(i, *range(len(names))) for i in ids]
-
-
-def test_cotraining_on_held_out_labels(spark):
-    docs, labels, _ = corpus(11, 600)
-    extra = docs + [(9001, None, None, None, None, True), (9002, "", "xx", "", 0, True), (9003, "a " * 20_000, "en", "a", -5, True), docs[0]]
-    frame = spark.createDataFrame([(*d[:5], 1.0) for d in extra], "doc_id long, text string, lang string, source string, n_chars long, score double").repartition(3)
-    known = spark.createDataFrame(labels + [(None, 1, 0), (77_777, 0, 0), (3, None, 1)], "doc_id long, quality int, toxic int")
-    got = cotrain.quality(frame, known).collect()
-    assert len(got) == len(extra) and all(0 <= r.score <= 1 for r in got)
-    taught = {i for i, _, _ in labels}
-    held = [(r.accepted, d[5]) for d in docs for r in got if r.doc_id == d[0] and d[0] not in taught]
-    assert np.mean([a == b for a, b in held]) > 0.97
-    assert {r.score for r in cotrain.quality(frame, known.limit(0)).collect()} == {1.0}
-    assert cotrain.accepted(frame, known).columns == frame.columns
-    bare = frame.select("doc_id", "text")
-    assert cotrain.quality(bare, known).count() == len(extra)
-    assert cotrain.quality(frame.limit(0), known).count() == 0
-
-
-def test_regression_recovers_weights():
-    pick = np.random.default_rng(1)
-    x = pick.normal(size=(20_000, 3))
-    b = np.array([1.0, -2.0, 0.5])
-    y = (pick.random(20_000) < 1 / (1 + np.exp(-(x @ b + 0.3)))).astype(float)
-    assert np.allclose(cotrain.regression(x, y, np.ones(len(y)), 1e-6), [*b, 0.3], atol=0.1)
-
-
-def test_content_features_of_odd_texts():
-    x = cotrain.content_features(pa.array(["", None, "a a A", "\n\n", "é %%% 1", "x" * 100_000]))
-    assert np.isfinite(x).all() and x.shape[0] == 6
-
-
-def test_views_teach_each_other(spark):
-    """Both views label the pool in every round, and with few labels each does better for it, or no worse, than alone."""
-    docs, labels, _ = corpus(11, 900)
-    frame = spark.createDataFrame([d[:5] for d in docs], "doc_id long, text string, lang string, source string, n_chars long")
-    content, page, y, pool_content, pool_page = cotrain.samples(frame, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
-    assert len(y) and len(pool_content) and page.shape[1] == cotrain.NAMED + cotrain.LAYOUT
-    pick, right = np.random.default_rng(0), {True: [], False: []}
-    for _ in range(6):
-        order = pick.permutation(len(y))
-        few, rest = order[:48], order[48:]
-        for exchange in right:
-            model = cotrain.fit(content[few], page[few], y[few], pool_content, pool_page, exchange)
-            assert len(model.given) == (cotrain.ROUNDS if exchange else 0) and all(a > 1 and b > 1 for a, b in model.given)
-            right[exchange].append([np.mean((s >= 0.5) == y[rest]) for s in model.scores(content[rest], page[rest])])
-    alone, together = np.mean(right[False], axis=0), np.mean(right[True], axis=0)
-    assert (together >= alone - 0.01).all() and together[2] > 0.9
-
-
-def test_samples_repeat_and_a_repeated_identifier_is_one_row(spark):
-    docs = spark.createDataFrame([(7, f"text {i}", "en", "a", 9) for i in range(500)] + [(i, "w " * i, "en", "b", 2 * i) for i in range(8, 60)], "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
-    labels = spark.createDataFrame([(i, i % 2) for i in range(7, 40)], "doc_id long, quality int")
-    first, again = cotrain.samples(docs, labels), cotrain.samples(docs.repartition(3), labels)
-    assert len(first[2]) == 33 and all(np.array_equal(a, b) for a, b in zip(first, again, strict=True))

@@ -39,7 +39,7 @@ from tessera.storage import written
 
 BLOCK_BYTES = 512 << 10
 ITEM_BYTES = 16 << 20
-RUN_BLOCKS = 32
+RUN_BLOCKS = 16
 FIRST = 2
 BEST = 10
 
@@ -146,11 +146,12 @@ class Block:
         slot = slot[terms]
         kept = slot >= 0
         doc = np.repeat(np.arange(len(doc_ends)), np.diff(np.concatenate([[0], doc_ends])))
-        self.slot, self.tf, self.doc = slot[kept], tf[kept], doc[kept]
+        self.slot, self.tf, self.doc = slot[kept].astype(np.int32), tf[kept], doc[kept].astype(np.int32)
 
     def impacts(self, n: int, total: int) -> Block:
         m = lengths(self.count, n, total)[self.doc]
-        self.impact = 1_000_000_000 * self.tf // (1000 * self.tf + 8 * m)
+        self.impact = (1_000_000_000 * self.tf // (1000 * self.tf + 8 * m)).astype(np.int32)  # below 10 ** 6
+        del self.tf
         return self
 
     def peaks(self, vocabulary: int) -> np.ndarray:
@@ -204,6 +205,7 @@ def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
         for i in range(batch.num_rows):
             yield {c: batch.column(c)[i].as_py() for c in batch.schema.names}
+    arrays.release()
 
 
 def _bounds(peaks: np.ndarray, items: Items) -> np.ndarray:

@@ -41,14 +41,15 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, where: Column | No
     The exact similarity ranks, and is rounded to six digits afterwards; ties go to the smaller vec_id.  Vectors of another length than the query's don't count.
     """
     pool = vectors if where is None else vectors.where(where)
-    asked = _packs(queries, "query_id", "_q")
+    asked, packs = _packs(queries, "query_id", "_q"), _packs(pool, "vec_id", "_v")
     if queries.limit(MOST_QUERIES + 1).count() <= MOST_QUERIES:
-        asked = F.broadcast(asked)
-    else:
-        asked = written(asked, "queries")
+        blocks = packs.join(F.broadcast(asked), F.col("_v_size") == F.col("_q_size"))
+    else:  # dealt by length and share: the vectors' packs are spread over the shares, each of which gets all queries
+        shares = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        spread = packs.withColumn("_share", F.pmod(F.xxhash64("_v_pack"), F.lit(shares)).cast("int"))
+        every = written(asked, "queries").withColumn("_to", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+        blocks = spread.join(every, (F.col("_v_size") == F.col("_q_size")) & (F.col("_share") == F.col("_to")))
     schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("vec_id", vectors.schema["vec_id"].dataType), T.StructField("similarity", T.DoubleType())])
-    # not an equality of columns: packs of one length, often all, would meet in one task
-    blocks = _packs(pool, "vec_id", "_v").join(asked, F.col("_v_size") - F.col("_q_size") == 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[str, tuple] = {}  # by pack of queries, what the task's vectors have given so far

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera import model
 from tessera.functions import ids, text
-from tessera.operators import aggregates, control, export, extraction, graph, listings, matching, rdf, retrieval, vector
+from tessera.operators import aggregates, control, export, extraction, graph, ivf, listings, matching, rdf, retrieval, vector
 from tessera.plans.catalog import query
 from tessera.storage import table
 
@@ -469,9 +469,9 @@ def vector_topk_filtered(spark, sf):
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id)::INT AS rank FROM s) SELECT query_id, vec_id, round(similarity, 6) AS similarity, rank FROM r WHERE rank <= 5""",
 )
 def vector_topk_all(spark, sf):
-    """The stated query set, every row whose id 20 divides, against all rows."""
+    """The stated query set through the inverted-file index, all of whose cells are probed."""
     e = table(spark, sf, "embeddings")
-    return vector.top_k(e, e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 5)
+    return ivf.search(ivf.build(e), _asked(e), 5, ivf.NLIST)
 
 
 @query(
@@ -481,9 +481,30 @@ def vector_topk_all(spark, sf):
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id)::INT AS rank FROM s) SELECT query_id, vec_id, round(similarity, 6) AS similarity, rank FROM r WHERE rank <= 5""",
 )
 def vector_topk_filtered_all(spark, sf):
-    """The stated query set against the rows of some labels."""
+    """The stated query set against the rows of some labels, through the inverted-file index."""
     e = table(spark, sf, "embeddings")
-    return vector.top_k(e, e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 5, F.col("label").isin(1, 2, 3))
+    return ivf.search(ivf.build(e, payload=("label",)), _asked(e), 5, ivf.NLIST, lambda x: x["label"].isin(1, 2, 3))
+
+
+def _asked(e):
+    return e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+@query("vector_ivf")
+def vector_ivf(spark, sf):
+    """The stated query set, approximately: as many cells as a recall of 0.95 takes."""
+    e = table(spark, sf, "embeddings")
+    index = ivf.build(e)
+    return ivf.search(index, _asked(e), 5, ivf.probes(index, e, 5, 0.95))
+
+
+@query("vector_ivf_recall", "SELECT count(DISTINCT vec_id) AS queries, count(*) * 5 AS wanted, true AS enough FROM embeddings WHERE vec_id % 20 = 0")
+def vector_ivf_recall(spark, sf):
+    """The approximate search held against the exact one, over all rows."""
+    e = table(spark, sf, "embeddings")
+    index = ivf.build(e)
+    found = ivf.search(index, _asked(e), 5, ivf.probes(index, e, 5, 0.95))
+    return ivf.recall(found, vector.top_k(e, _asked(e), 5)).select("queries", "wanted", (F.col("found") >= 0.9 * F.col("wanted")).alias("enough"))
 
 
 @query("vector_upsert", "SELECT sha256(text) AS content_hash, min(doc_id) AS doc_id FROM documents GROUP BY text HAVING max(CASE WHEN lang = 'de' THEN 1 ELSE 0 END) = 0")

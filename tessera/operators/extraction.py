@@ -10,11 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import name_key, unicode_trim, version_stem
+from tessera.operators import containment
 from tessera.operators.graph import first_by
 
-#: Schema tables are broadcast for matches that aren't equalities; a larger one is an error.
-MOST_TYPES = 5_000
-
 NEW_SCHEMA = "struct<object_types:array<struct<name:string,label:string,sub_class_of:string,properties:array<struct<name:string,data_type:string>>>>,link_types:array<struct<name:string,label:string,source_object_type:string,target_object_type:string>>>"
 OLD_SCHEMA = "struct<classes:array<struct<id:string,label:string,sub_class_of:string,data_properties:array<struct<name:string,data_type:string>>>>,object_properties:array<struct<id:string,label:string,domain:string,range:string>>>"
 
@@ -27,12 +25,6 @@ def schema_payload(rows: DataFrame, payload: str = "payload") -> DataFrame:
     return rows.withColumns({"object_types": F.coalesce(new["object_types"], types), "link_types": F.coalesce(new["link_types"], links)})
 
 
-def _bounded(types: DataFrame) -> DataFrame:
-    if types.limit(MOST_TYPES + 1).count() > MOST_TYPES:
-        raise ValueError(f"a schema of more than {MOST_TYPES} types")
-    return F.broadcast(types)
-
-
 def resolve_references(references: DataFrame, types: DataFrame) -> DataFrame:
     """(ref, type_id, rank): the type that a reference names.
 
@@ -49,8 +41,9 @@ def resolve_references(references: DataFrame, types: DataFrame) -> DataFrame:
     in_any_case = types.select("id", "pos", F.lower("name").alias("low"))
     found = found.unionByName(refs.withColumn("low", F.lower("ref")).join(in_any_case, "low").select("ref", F.lit(4).alias("rank"), "pos", "id"))
     left = refs.join(found, "ref", "left_anti")
-    labelled = _bounded(types.where("label <> ''").select("id", "pos", "label"))
-    contained = left.join(labelled, F.contains("ref", "label") | F.contains("label", "ref")).select("ref", F.lit(5).alias("rank"), "pos", "id")
+    labelled = types.where("label <> ''").select("id", "pos", "label")
+    pairs = containment.either_way(left.select(F.col("ref").alias("a")), labelled.select(F.col("label").alias("b")))
+    contained = pairs.select(F.col("a").alias("ref"), F.col("b").alias("label")).join(labelled, "label").select("ref", F.lit(5).alias("rank"), "pos", "id")
     best = found.unionByName(contained).groupBy("ref").agg(F.min(F.struct("rank", "pos", "id")).alias("b"))
     return best.select("ref", F.col("b.id").alias("type_id"), F.col("b.rank").alias("rank"))
 
@@ -140,10 +133,9 @@ def discarded(unknown_types: DataFrame, bad_relations: DataFrame) -> DataFrame:
 
 def action_types(actions: DataFrame, types: DataFrame) -> DataFrame:
     """(action, type_name): equal names first, then containment either way, the first type of the schema."""
-    known = _bounded(types.select("name", F.col("pos").alias("_p")))
-    rank = F.when(F.col("action") == F.col("name"), 1).when(F.contains("action", "name") | F.contains("name", "action"), 2)
-    found = actions.select("action").distinct().join(known, rank.isNotNull()).withColumn("rank", rank)
-    return found.groupBy("action").agg(F.min_by("name", F.struct("rank", "_p")).alias("type_name"))
+    pairs = containment.either_way(actions.select(F.col("action").alias("a")), types.select(F.col("name").alias("b")))
+    found = pairs.select(F.col("a").alias("action"), F.col("b").alias("name")).join(types.select("name", F.col("pos").alias("_p")), "name")
+    return found.groupBy("action").agg(F.min_by("name", F.struct(F.col("action") != F.col("name"), "_p")).alias("type_name"))
 
 
 def without_class_instances(instances: DataFrame, types: DataFrame) -> DataFrame:

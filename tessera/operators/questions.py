@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import PRODUCT_CODE, keywords_in, quoted
-from tessera.operators import matching
+from tessera.operators import containment, matching
 from tessera.operators.retrieval import edge_facts, top
 
 #: The forms of product codes, the strictest first.
@@ -70,20 +70,6 @@ def entity(question: Column) -> Column:
     return F.coalesce(*[F.get(found, 0) for found in firsts], F.when(question.rlike(GENERAL), "*"), question)
 
 
-def holders(texts: DataFrame, terms: DataFrame) -> DataFrame:
-    """(id, term): the rows whose text holds a term; texts: id, text; terms: term.
-
-    Every substring as long as some term is a key of an ordinary join, so no row meets every term and neither side need be
-    small.  What is broadcast is the terms' different lengths.  Meant for names: a text gives a row a character and length.
-    Null and empty texts and terms match nothing.
-    """
-    wanted = terms.select("term").where("term <> ''").distinct()
-    lengths = F.broadcast(wanted.select(F.length("term").alias("_n")).distinct())
-    sized = texts.select("id", "text").where("text <> ''").join(lengths, F.length("text") >= F.col("_n"))
-    parts = sized.select("id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("text") - F.col("_n") + 1), lambda i: F.substring("text", i, F.col("_n"))))).alias("term"))
-    return parts.join(wanted, "term", "left_semi").distinct().select("id", "term")
-
-
 def _first(rows: DataFrame, keys: list[str], n: int, *order: str) -> DataFrame:
     return rows.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_k") <= n).drop("_k")
 
@@ -107,7 +93,7 @@ def ladder(questions: DataFrame, nodes: DataFrame, edges: DataFrame, number: str
     prop = lambda key: F.try_element_at("properties", F.lit(key))
     single = F.coalesce(F.col("kind") == "NamedIndividual", F.lit(False))
     texts = nodes.select("id", single.alias("single"), F.inline(F.array(*[F.struct(F.lit(f).alias("field"), c.alias("text")) for f, c in (("label", F.col("label")), ("id", F.col("id")), ("number", prop(number)), ("share", prop(share)))])))
-    found = holders(texts.select(F.struct("id", "field", "single").alias("id"), "text"), terms).select("id.*", "term")
+    found = containment.holders(texts.select(F.struct("id", "field", "single").alias("id"), "text"), terms).select("id.*", "term")
     fits = {1: ("label", "id", "number"), 2: ("label", "share"), 3: ("label",)}
     ok = F.lit(False)
     for rung, fields in fits.items():

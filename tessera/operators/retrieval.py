@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import PRODUCT_CODE
+from tessera.operators import containment
 from tessera.operators.graph import undirected, with_ends
 
 #: How many facts, references of a kind and characters a context takes.
@@ -34,6 +35,24 @@ def attribute(nodes: DataFrame, entity: str, name: str) -> DataFrame:
     return nodes.where(named(nodes, entity)).select("id", "label", F.try_element_at("properties", F.lit(name)).alias("value"))
 
 
+def going_by(nodes: DataFrame, names: DataFrame) -> DataFrame:
+    """(name, id): the nodes that go by each name, whatever the number of either: by id, or by a label or property that holds it; names: name.
+
+    Null and empty names go by nothing; a pair comes once.
+    """
+    wanted = names.select("name").where("name <> ''").distinct()
+    said = nodes.select("id", F.explode(F.concat(F.array("label"), F.coalesce(F.map_values("properties"), F.array().cast("array<string>")))).alias("text"))
+    held = containment.holders(said, wanted.select(F.col("name").alias("term"))).select(F.col("term").alias("name"), "id")
+    return held.unionByName(nodes.select("id").join(wanted, F.col("id") == F.col("name")).select("name", "id")).distinct()
+
+
+def attributes(nodes: DataFrame, asked: DataFrame) -> DataFrame:
+    """(question, id, label, value): the property asked for of all nodes that go by the name asked for; asked: question, entity, attribute."""
+    by = going_by(nodes, asked.select(F.col("entity").alias("name")))
+    found = asked.select("question", F.col("entity").alias("name"), "attribute").join(by, "name").join(nodes.select("id", "label", "properties"), "id")
+    return found.select("question", "id", "label", F.try_element_at("properties", F.col("attribute")).alias("value"))
+
+
 def with_attribute(nodes: DataFrame, name: str) -> DataFrame:
     """(id, label, value): all nodes that have a property."""
     return nodes.select("id", "label", F.try_element_at("properties", F.lit(name)).alias("value")).where("value is not null")

@@ -573,13 +573,74 @@ def masked_names(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", text.masked(F.col("c_name")).alias("masked"))
 
 
-@query("fuzzy_attributes", "SELECT DISTINCT p_brand AS asked, p_brand AS name, 1 AS rank FROM part UNION SELECT DISTINCT upper(substr(p_brand, 2)), (SELECT min(p_brand) FROM part b WHERE contains(b.p_brand, upper(substr(part.p_brand, 2)))), 2 FROM part WHERE (SELECT min(p_brand) FROM part b WHERE contains(b.p_brand, upper(substr(part.p_brand, 2)))) IS NOT NULL")
+_ENDINGS = "(VALUES " + ", ".join(f"('{e}', {i})" for i, e in enumerate(matching.ENDINGS)) + ") AS e(ending, i)"
+_NAMES = "(VALUES " + ", ".join(f"('{a}', '{m}')" for a, m in matching.ATTRIBUTE_NAMES.items()) + ") AS m(also, means)"
+_STOP = ", ".join(f"'{c}'" for c in matching.STOP)
+
+
+@query(
+    "fuzzy_attributes",
+    f"""WITH known AS (SELECT p_partkey AS pos, CASE p_partkey % 3 WHEN 0 THEN p_brand || ' ' || p_partkey WHEN 1 THEN p_type || p_size ELSE means || p_partkey END AS name
+      FROM part JOIN (SELECT means, row_number() OVER (ORDER BY means) - 1 AS r FROM (SELECT DISTINCT means FROM {_NAMES})) ON r = p_partkey % (SELECT count(DISTINCT means) FROM {_NAMES})),
+    asked AS (SELECT DISTINCT CASE p_partkey % 5 WHEN 0 THEN p_brand || ' ' || p_partkey WHEN 1 THEN substr(p_brand, 2) WHEN 2 THEN p_type || p_size || (SELECT ending FROM {_ENDINGS} WHERE i = p_partkey % {len(matching.ENDINGS)})
+      WHEN 3 THEN (SELECT list(also ORDER BY also) FROM {_NAMES})[p_partkey % {len(matching.ATTRIBUTE_NAMES)} + 1] ELSE 'x' || reverse(p_brand) END AS asked FROM part),
+    stem AS (SELECT asked, i, left(asked, len(asked) - len(ending)) AS stem FROM asked JOIN {_ENDINGS} ON ends_with(asked, ending)),
+    letters AS (SELECT asked, list_filter(string_split(asked, ''), lambda c: c NOT IN ('', {_STOP})) AS t FROM asked),
+    pair AS (SELECT a.asked, k.name, k.pos, m.means, t, (SELECT min(i) FROM stem s WHERE s.asked = a.asked AND contains(k.name, s.stem)) AS fit FROM asked a CROSS JOIN known k LEFT JOIN {_NAMES} ON also = a.asked JOIN letters l ON l.asked = a.asked),
+    ranked AS (SELECT *, len(list_filter(t, lambda c: contains(name, c))) / len(t) AS share, CASE WHEN name = asked THEN 1 WHEN contains(name, asked) THEN 2 WHEN fit IS NOT NULL THEN 3 WHEN name = means THEN 4
+      WHEN contains(name, means) THEN 5 WHEN len(t) > 0 AND len(list_filter(t, lambda c: contains(name, c))) / len(t) >= 0.5 THEN 6 END AS rank FROM pair)
+    SELECT asked, name, rank::INTEGER AS rank FROM ranked WHERE rank IS NOT NULL
+    QUALIFY row_number() OVER (PARTITION BY asked ORDER BY rank, CASE rank WHEN 3 THEN fit WHEN 6 THEN -share ELSE 0 END, pos, name) = 1""",
+)
 def fuzzy_attributes(spark, sf):
-    """Attribute names asked for whole or in part, matched to the known ones."""
-    brands = table(spark, sf, "part").select("p_brand").distinct()
-    known = brands.select(F.col("p_brand").alias("name"), F.col("p_brand").alias("pos"))
-    found = matching.attributes(brands.select(F.explode(F.array("p_brand", F.upper(F.substring("p_brand", 2, 99)))).alias("asked")), known)
-    return found.where(F.col("rank") <= 2)
+    """Attribute names asked for whole, in part, with an ending too many, by another name and misspelt, matched to a known one for every part."""
+    k, means = F.col("p_partkey"), sorted(set(matching.ATTRIBUTE_NAMES.values()))
+    listed = lambda words, at: F.get(F.array(*[F.lit(w) for w in words]), at.cast("int"))
+    p = table(spark, sf, "part")
+    name = F.when(k % 3 == 0, F.concat_ws(" ", "p_brand", k.cast("string"))).when(k % 3 == 1, F.concat("p_type", F.col("p_size").cast("string"))).otherwise(F.concat(listed(means, k % len(means)), k.cast("string")))
+    said = F.when(k % 5 == 0, F.concat_ws(" ", "p_brand", k.cast("string"))).when(k % 5 == 1, F.substring("p_brand", 2, 99)).when(k % 5 == 2, F.concat("p_type", F.col("p_size").cast("string"), listed(matching.ENDINGS, k % len(matching.ENDINGS))))
+    said = said.when(k % 5 == 3, listed(sorted(matching.ATTRIBUTE_NAMES), k % len(matching.ATTRIBUTE_NAMES))).otherwise(F.concat(F.lit("x"), F.reverse("p_brand")))
+    return matching.attributes(p.select(said.alias("asked")), p.select(name.alias("name"), k.alias("pos")))
+
+
+_ACTIONS = "(VALUES " + ", ".join(f"('{a}', {i * 10 + k}, '{t}')" for i, (a, ts) in enumerate(matching.ACTION_NAMES.items()) for k, t in enumerate(ts)) + ") AS m(known, spot, target)"
+
+
+@query(
+    "action_types",
+    f"""WITH t AS (SELECT p_partkey AS spot, p_brand || ' ' || p_name AS name, CASE p_partkey % 3 WHEN 0 THEN p_type || p_partkey WHEN 1 THEN ['分红', '拒绝申请', ''][p_partkey % 3 + p_size % 3] END AS label FROM part),
+    a AS (SELECT DISTINCT CASE s_suppkey % 4 WHEN 0 THEN p_name WHEN 1 THEN 'the ' || p_brand || ' ' || p_name || ' ' || s_suppkey WHEN 2 THEN p_type || p_partkey ELSE ['年度分配收益', '拒绝赎回', 'none'][s_nationkey % 3 + 1] END AS action FROM supplier JOIN part ON p_partkey = s_suppkey),
+    c AS (
+      SELECT action, name, CASE WHEN action IN (name, label) THEN 1 ELSE 2 END AS rank, spot FROM a JOIN t ON contains(action, name) OR contains(name, action) OR (label <> '' AND (contains(action, label) OR contains(label, action)))
+      UNION ALL SELECT action, name, 3, m.spot FROM a JOIN {_ACTIONS} ON contains(action, known) OR contains(known, action) JOIN t ON target IN (name, label))
+    SELECT action, name AS type_name, rank::INTEGER AS rank FROM c QUALIFY row_number() OVER (PARTITION BY action ORDER BY rank, spot, name) = 1""",
+)
+def action_types(spark, sf):
+    """What suppliers do, by four kinds of saying it, matched to an action type for every part."""
+    k, none = F.col("p_partkey"), F.lit(None).cast("string")
+    words = F.array(F.lit("分红"), F.lit("拒绝申请"), F.lit(""))
+    label = F.when(k % 3 == 0, F.concat("p_type", k.cast("string"))).when(k % 3 == 1, F.get(words, (k % 3 + F.col("p_size") % 3 - 1).cast("int"))).otherwise(none)
+    p = table(spark, sf, "part")
+    types = p.select(F.concat_ws(" ", "p_brand", "p_name").alias("name"), label.alias("label"), k.alias("pos"))
+    s, n = F.col("s_suppkey"), F.array(F.lit("年度分配收益"), F.lit("拒绝赎回"), F.lit("none"))
+    said = F.when(s % 4 == 0, F.col("p_name")).when(s % 4 == 1, F.concat_ws(" ", F.lit("the"), "p_brand", "p_name", s.cast("string"))).when(s % 4 == 2, F.concat("p_type", k.cast("string"))).otherwise(F.get(n, (F.col("s_nationkey") % 3).cast("int")))
+    return matching.actions(table(spark, sf, "supplier").join(p, F.col("p_partkey") == s).select(said.alias("action")), types)
+
+
+@query(
+    "attribute_answers",
+    """WITH n AS (
+      SELECT 'customer:' || c_custkey AS id, c_name AS label, [c_mktsegment] AS vals, NULL AS value FROM customer UNION ALL SELECT 'part:' || p_partkey, p_name, [p_brand, p_type], p_type FROM part
+      UNION ALL SELECT 'supplier:' || s_suppkey, s_name, [], NULL FROM supplier),
+    a AS (SELECT s_suppkey AS question, CASE s_suppkey % 4 WHEN 0 THEN s_name WHEN 1 THEN lpad(s_suppkey::VARCHAR, 9, '0') WHEN 2 THEN 'part:' || s_suppkey ELSE 'Brand#1' || s_suppkey % 10 END AS entity FROM supplier)
+    SELECT question, id, label, value FROM a JOIN n ON id = entity OR contains(label, entity) OR list_bool_or([contains(v, entity) FOR v IN vals])""",
+)
+def attribute_answers(spark, sf):
+    """A question of every supplier after the type of what goes by a name, an id, a number or a brand, answered in one job."""
+    k = F.col("s_suppkey")
+    named = F.when(k % 4 == 0, F.col("s_name")).when(k % 4 == 1, F.lpad(k.cast("string"), 9, "0")).when(k % 4 == 2, F.concat(F.lit("part:"), k.cast("string"))).otherwise(F.concat(F.lit("Brand#1"), (k % 10).cast("string")))
+    asked = table(spark, sf, "supplier").select(k.alias("question"), named.alias("entity"), F.lit("p_type").alias("attribute"))
+    return retrieval.attributes(model.nodes(spark, sf, ("customer", "part", "supplier")), asked)
 
 
 @query(

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import text
-from tessera.operators import answers, listings, merging, questions
+from tessera.operators import answers, containment, listings, merging, questions
 
 NODE = "id string, kind string, label string, class_label string, properties map<string,string>"
 LINK = "src string, dst string, relation string"
@@ -28,7 +28,7 @@ def test_entity_of_a_question(spark, asked, want):
 def test_holders_by_brute_force(spark):
     texts = [(i, t) for i, t in enumerate(["abcabc", "b", "", None, "xabx", "ab", "产品ab"])]
     terms = ["ab", "b", "abcabcd", "", None, "品a", "ab"]
-    got = questions.holders(spark.createDataFrame(texts, "id int, text string"), spark.createDataFrame([(t,) for t in terms], "term string"))
+    got = containment.holders(spark.createDataFrame(texts, "id int, text string"), spark.createDataFrame([(t,) for t in terms], "term string"))
     assert sorted(map(tuple, got.collect())) == sorted({(i, m) for i, t in texts for m in terms if t and m and m in t})
 
 

@@ -9,9 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.text import name_key, unicode_trim, version_stem
+from tessera.functions.text import name_key, version_stem
 from tessera.operators import containment
-from tessera.operators.graph import first_by
 
 NEW_SCHEMA = "struct<object_types:array<struct<name:string,label:string,sub_class_of:string,properties:array<struct<name:string,data_type:string>>>>,link_types:array<struct<name:string,label:string,source_object_type:string,target_object_type:string>>>"
 OLD_SCHEMA = "struct<classes:array<struct<id:string,label:string,sub_class_of:string,data_properties:array<struct<name:string,data_type:string>>>>,object_properties:array<struct<id:string,label:string,domain:string,range:string>>>"
@@ -64,40 +63,43 @@ def moved_properties(instances: DataFrame, data_keys: Column) -> DataFrame:
 
 
 def merged_instances(instances: DataFrame) -> DataFrame:
-    """One row for each id: relation targets united in order, later data values win, the first source stays."""
-    data = instances.select("id", "pos", F.explode("data_props").alias("k", "v")).groupBy("id", "k").agg(F.max_by("v", "pos").alias("v"))
-    data = data.groupBy("id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("data_props"))
-    targets = instances.select("id", "pos", F.explode("object_props").alias("k", "vs")).groupBy("id", "k")
-    lists = F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "vs"))), lambda s: s["vs"])))
-    objects = targets.agg(lists.alias("vs")).groupBy("id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "vs")))).alias("object_props"))
-    heads = instances.groupBy("id").agg(F.min_by(F.struct("label", "type_id", "source"), "pos").alias("h"), F.count(F.lit(1)).alias("n")).select("id", "h.*", "n")
-    return heads.join(objects, "id", "left").join(data, "id", "left")
+    """One row for each id: relation targets united in order, later data values win, the first source stays.
+
+    A null id is one id like any other; an instance without data or relations has null for that map.
+    """
+    none = F.lit(None)
+    part = lambda kind, k, v, vs: F.struct(F.lit(kind).alias("part"), k.cast("string").alias("k"), v.cast(value).alias("v"), vs.cast(values).alias("vs"))
+    value, values = (instances.schema[c].dataType.valueType for c in ("data_props", "object_props"))
+    entries = lambda c, make: F.coalesce(F.transform(F.map_entries(c), make), F.array())
+    parts = F.concat(F.array(part("h", none, none, none)), entries("data_props", lambda e: part("d", e["key"], e["value"], none)), entries("object_props", lambda e: part("o", e["key"], none, e["value"])))
+    rows = instances.select("id", "pos", F.struct("label", "type_id", "source").alias("h"), F.explode(parts).alias("p")).select("id", "pos", "h", "p.*")
+    once = rows.groupBy("id", "part", "k").agg(
+        F.max_by("v", "pos").alias("v"), F.min_by("h", "pos").alias("h"), F.count(F.lit(1)).alias("n"),
+        F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.col("part") == "o", F.struct("pos", "vs")))), lambda s: s["vs"]))).alias("vs"),
+    )
+    mapped = lambda kind, c: F.array_sort(F.collect_list(F.when(F.col("part") == kind, F.struct(F.col("k"), F.col(c)))))
+    head = lambda c: F.max(F.when(F.col("part") == "h", F.col(c)))
+    whole = once.groupBy("id").agg(head("h").alias("h"), head("n").alias("n"), mapped("o", "vs").alias("o"), mapped("d", "v").alias("d"))
+    filled = lambda c: F.when(F.size(c) > 0, F.map_from_entries(c))
+    return whole.select("id", "h.*", "n", filled("o").alias("object_props"), filled("d").alias("data_props"))
 
 
 def collapsed_versions(instances: DataFrame) -> DataFrame:
     """Instances that differ by a version at the end of their label, as one for each type.
 
     The one with most properties stays (of equals the first), its values kept and missing ones filled in from the others.
+    An instance without a label is a version of none and stays; a null type is a type like any other.
     instances: id, label, type_id, props (map), pos.  Returns stem, type_id, id, label, props, n.
     """
-    rows = instances.withColumns({"stem": version_stem(F.col("label")), "rich": -F.size("props")})
-    keys = ["stem", "type_id"]
-    winner = first_by(rows.select(*keys, "rich", "pos", "id", "label"), keys, ["rich", "pos"]).select(*keys, "id", "label")
-    values = rows.select(*keys, "rich", "pos", F.explode("props").alias("k", "v")).groupBy(*keys, "k").agg(F.min_by("v", F.struct("rich", "pos")).alias("v"))
-    props = values.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("props"))
-    n = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return winner.join(n, keys).join(props, keys, "left")
-
-
-def same_types(types: DataFrame) -> DataFrame:
-    """(pos, keep): types with a spelling of the same name, or the same label, go with the first such type.
-
-    types: name, label, pos.
-    """
-    spelled = types.withColumns({"k": name_key(F.col("name")), "l": unicode_trim(F.col("label"))})
-    by_name = spelled.groupBy("k").agg(F.min("pos").alias("a"))
-    by_label = spelled.where("l <> ''").groupBy("l").agg(F.min("pos").alias("b"))
-    return spelled.join(by_name, "k").join(by_label, "l", "left").select("pos", F.least("a", "b").alias("keep"))
+    rows = instances.withColumns({"stem": version_stem(F.col("label")), "order": F.struct((-F.coalesce(F.size("props"), F.lit(0))).alias("rich"), F.col("pos").alias("pos"))})
+    rows = rows.withColumn("alone", F.when(F.col("stem").isNull(), F.col("pos")))
+    keys = ["stem", "type_id", "alone"]
+    none = F.struct(F.lit(None).cast("string").alias("key"), F.lit(None).cast(instances.schema["props"].dataType.valueType).alias("value"))
+    parts = rows.select(*keys, "order", F.struct("id", "label").alias("h"), F.explode(F.concat(F.array(none), F.coalesce(F.map_entries("props"), F.array()))).alias("p"))
+    once = parts.groupBy(*keys, F.col("p.key").alias("k")).agg(F.min_by("p.value", "order").alias("v"), F.min_by("h", "order").alias("h"), F.count(F.lit(1)).alias("n"))
+    head = lambda c: F.max(F.when(F.col("k").isNull(), F.col(c)))
+    whole = once.groupBy(*keys).agg(head("h").alias("h"), head("n").alias("n"), F.array_sort(F.collect_list(F.when(F.col("k").isNotNull(), F.struct("k", "v")))).alias("e"))
+    return whole.select("stem", "type_id", "h.*", "n", F.when(F.size("e") > 0, F.map_from_entries("e")).alias("props"))
 
 
 def merged_types(types: DataFrame) -> DataFrame:

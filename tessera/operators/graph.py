@@ -25,12 +25,17 @@ def first_by(rows: DataFrame, keys: list[str], order: list[str], last: bool = Fa
 
 
 def merge_nodes(nodes: DataFrame) -> DataFrame:
-    """Nodes merged by (kind, id, tenant): later properties win, earlier ones that they don't name stay."""
-    pairs = nodes.select("kind", "id", "tenant", "pos", "label", F.explode_outer("properties").alias("k", "v"))
-    last = pairs.where("k is not null").groupBy("kind", "id", "tenant", "k").agg(F.max_by("v", "pos").alias("v"))
-    maps = last.groupBy("kind", "id", "tenant").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("properties"))
-    heads = nodes.groupBy("kind", "id", "tenant").agg(F.max_by("label", "pos").alias("label"), F.max("pos").alias("pos"))
-    return heads.join(maps, ["kind", "id", "tenant"], "left")
+    """Nodes merged by (kind, id, tenant): later properties win, earlier ones that they don't name stay.
+
+    A null in the key is a value like any other; a node without properties has null for them.
+    """
+    key = ["kind", "id", "tenant"]
+    none = F.struct(F.lit(None).cast("string").alias("key"), F.lit(None).cast(nodes.schema["properties"].dataType.valueType).alias("value"))
+    parts = nodes.select(*key, "pos", "label", F.explode(F.concat(F.array(none), F.coalesce(F.map_entries("properties"), F.array()))).alias("p"))
+    once = parts.groupBy(*key, F.col("p.key").alias("k")).agg(F.max_by("p.value", "pos").alias("v"), F.max_by("label", "pos").alias("label"), F.max("pos").alias("pos"))
+    head = lambda c: F.max(F.when(F.col("k").isNull(), F.col(c))).alias(c)
+    whole = once.groupBy(*key).agg(head("label"), head("pos"), F.array_sort(F.collect_list(F.when(F.col("k").isNotNull(), F.struct("k", "v")))).alias("e"))
+    return whole.select(*key, "label", "pos", F.when(F.size("e") > 0, F.map_from_entries("e")).alias("properties"))
 
 
 def of_tenant(rows: DataFrame, tenant: object) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera import model
 from tessera.functions import ids, text
-from tessera.operators import aggregates, control, export, extraction, graph, ivf, listings, matching, rdf, retrieval, vector
+from tessera.operators import aggregates, control, export, extraction, graph, ivf, listings, matching, rdf, retrieval, schema_merge, vector
 from tessera.plans.catalog import query
 from tessera.storage import table
 
@@ -431,7 +431,56 @@ def same_types(spark, sf):
     """Types with spellings of one name are one."""
     name = F.when(F.col("p_partkey") % 2 == 0, F.upper(F.replace("p_type", F.lit(" "), F.lit("_")))).otherwise(F.replace("p_type", F.lit(" "), F.lit("_")))
     types = table(spark, sf, "part").select(F.lower(name).alias("name"), F.lit("").alias("label"), F.col("p_partkey").alias("pos"))
-    return extraction.same_types(types)
+    return schema_merge.same_types(types)
+
+
+def _greedy_sql(rows: str) -> str:
+    """One type after the other, in order of pos: to the first staying one with its name key (nk) or label key (lk)."""
+    return f"""t AS (SELECT row_number() OVER (ORDER BY pos) AS r, pos, coalesce(nk, '?' || pos) AS nk, coalesce(lk, '?' || pos) AS lk FROM ({rows})),
+    g AS (SELECT 0::BIGINT AS r, ['']::VARCHAR[] AS ns, ['']::VARCHAR[] AS ls, [-1]::BIGINT[] AS ks, -1::BIGINT AS pos, -1::BIGINT AS keep UNION ALL
+      SELECT r, CASE WHEN hit IS NULL THEN list_append(ns, nk) ELSE ns END, CASE WHEN hit IS NULL THEN list_append(ls, lk) ELSE ls END, CASE WHEN hit IS NULL THEN list_append(ks, pos) ELSE ks END, pos, coalesce(ks[hit], pos)
+      FROM (SELECT t.r, t.pos, nk, lk, ns, ls, ks, least(nullif(list_position(ns, nk), 0), nullif(list_position(ls, lk), 0)) AS hit FROM g JOIN t ON t.r = g.r + 1))"""
+
+
+_TYPES = """SELECT p_partkey AS pos, CASE WHEN p_partkey % 13 > 0 THEN CASE p_partkey % 2 WHEN 0 THEN 'Type_' ELSE 'type' END || (p_partkey * 7) % 90 END AS name,
+    CASE WHEN p_partkey % 11 = 0 THEN NULL WHEN p_partkey % 5 = 0 THEN '' ELSE CASE p_size % 2 WHEN 0 THEN 'L' ELSE 'l' END || (p_partkey * 3) % 70 END AS label FROM part"""
+_KEYED = "SELECT *, 'type' || nullif(regexp_replace(name, '^\\D*', ''), '') AS nk, nullif(lower(label), '') AS lk"
+
+
+def _types(spark, sf):
+    k = F.col("p_partkey")
+    name = F.when(k % 13 > 0, F.concat(F.when(k % 2 == 0, "Type_").otherwise("type"), (k * 7 % 90).cast("string")))
+    label = F.when(k % 11 == 0, None).when(k % 5 == 0, "").otherwise(F.concat(F.when(F.col("p_size") % 2 == 0, "L").otherwise("l"), (k * 3 % 70).cast("string")))
+    return table(spark, sf, "part").select(k.alias("pos"), name.alias("name"), label.alias("label"))
+
+
+@query("same_types_by_either", f"WITH RECURSIVE {_greedy_sql(f'{_KEYED} FROM ({_TYPES})')} SELECT pos, keep FROM g WHERE r > 0")
+def same_types_by_either(spark, sf):
+    """Types that are spellings of one name or of one label, some without either, in order."""
+    return schema_merge.same_types(_types(spark, sf))
+
+
+@query(
+    "merged_schema_links",
+    f"""WITH RECURSIVE heads AS (SELECT name, min(pos) AS pos, first(label ORDER BY pos) AS label FROM ({_TYPES}) WHERE name <> '' GROUP BY name), {_greedy_sql(f'{_KEYED} FROM heads')},
+    stays AS (SELECT a.name, b.name AS stays FROM g JOIN heads a ON a.pos = g.pos JOIN heads b ON b.pos = g.keep WHERE r > 0),
+    asked AS (SELECT 'order' || l_orderkey AS name, l_orderkey * 10 + l_linenumber AS pos, 'Type_' || l_partkey % 120 AS source, 'type' || l_suppkey % 95 AS target FROM lineitem),
+    once AS (SELECT * FROM asked QUALIFY row_number() OVER (PARTITION BY name ORDER BY pos, source, target) = 1)
+    SELECT once.name, s.stays AS source, t.stays AS target FROM once JOIN stays s ON s.name = source JOIN stays t ON t.name = target""",
+)
+def merged_schema_links(spark, sf):
+    """A link type for every order, whose ends are sent to the types that stay; those with an end that names no type are gone."""
+    none = F.lit(None).cast("array<struct<name:string,data_type:string>>")
+    types = _types(spark, sf).select("name", "label", F.lit(None).cast("string").alias("sub_class_of"), none.alias("properties"), "pos")
+    lines = table(spark, sf, "lineitem")
+    text = lambda prefix, c: F.concat(F.lit(prefix), c.cast("string"))
+    links = lines.select(
+        text("order", F.col("l_orderkey")).alias("name"), F.lit("").alias("label"), text("Type_", F.col("l_partkey") % 120).alias("source"), text("type", F.col("l_suppkey") % 95).alias("target"),
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"),
+    )
+    once = graph.first_by(links, ["name"], ["pos", "source", "target"])
+    actions = types.select("name", "label", F.lit("").alias("target"), none.alias("parameters"), "pos")
+    return schema_merge.merged_schema(types, once, actions)[1].select("name", "source", "target")
 
 
 @query("discarded", "SELECT (SELECT count(*) FROM part WHERE p_size = 1) + (SELECT count(*) * 3 FROM part WHERE p_size = 2) AS n")

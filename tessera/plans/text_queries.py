@@ -11,6 +11,7 @@ from tessera.plans.catalog import query
 from tessera.sources import files
 from tessera.storage import shared_dir, table
 from tessera.streaming import tasks
+from tessera.streaming.expiry import expiring_states, uncancelled, use_rocksdb
 
 
 @query(
@@ -148,18 +149,54 @@ def task_events(spark, sf) -> DataFrame:
 
 @query("task_latest", f"WITH {EVENTS_SQL} SELECT task_id, event_id, n FROM (SELECT task_id, event_id, count(*) OVER (PARTITION BY task_id) AS n, row_number() OVER (PARTITION BY task_id ORDER BY ts DESC, event_id DESC) AS i FROM e) WHERE i = 1")
 def task_latest(spark, sf):
-    rows = task_events(spark, sf)
-    found = tasks.latest(rows)
-    return found.join(rows.select("task_id", "ts", "status", "progress", "event_id"), ["task_id", "ts", "status", "progress"]).groupBy("task_id").agg(F.max("event_id").alias("event_id"), F.first("n").alias("n"))
+    return tasks.latest(task_events(spark, sf)).select("task_id", "event_id", "n")
 
 
-@query(
-    "task_states",
-    f"""WITH {EVENTS_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY ts, event_id) AS i FROM e),
+_STATES_SQL = f"""WITH {EVENTS_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY ts, event_id) AS i FROM e),
     f AS (SELECT task_id, min(i) FILTER (status IN ('completed', 'failed')) AS stop, min(i) FILTER (status = 'running') AS run FROM o GROUP BY task_id),
     k AS (SELECT o.task_id, o.i, o.status, o.progress, i <= coalesce(stop, i) AND NOT (status = 'pending' AND i > least(coalesce(run, 1000000000), coalesce(stop, 1000000000))) AS ok FROM o JOIN f ON f.task_id = o.task_id)
-    SELECT task_id, coalesce(max_by(status, i) FILTER (ok), 'pending') AS status, count_if(ok)::BIGINT AS accepted, count_if(NOT ok)::BIGINT AS refused FROM k GROUP BY task_id""",
+    SELECT task_id, coalesce(max_by(status, i) FILTER (ok), 'pending') AS status, count_if(ok)::BIGINT AS accepted, count_if(NOT ok)::BIGINT AS refused FROM k GROUP BY task_id"""
+
+
+@query("task_states_disordered", _STATES_SQL)
+def task_states_disordered(spark, sf):
+    """The stateful stream over events that arrive up to an hour late, in four lots; an event far ahead lets the watermark pass them all."""
+    import uuid
+
+    rows = task_events(spark, sf)
+    arrival = F.unix_micros("ts") + F.pmod(F.xxhash64("event_id"), F.lit(3_600_000_000))
+    lots = rows.withColumn("_at", arrival)
+    cuts = lots.approxQuantile("_at", [0.25, 0.5, 0.75], 0.01)
+    path = f"{shared_dir(spark)}/arrivals-{uuid.uuid4().hex}"
+    for low, high in zip([None, *cuts], [*cuts, None], strict=True):  # four lots, one after the other
+        mine = lots.where((F.col("_at") > low if low is not None else F.lit(True)) & (F.col("_at") <= high if high is not None else F.lit(True))).drop("_at")
+        if high is None:
+            mine = mine.unionByName(rows.agg(F.max("ts").alias("ts")).select(F.lit(-1).cast("long").alias("event_id"), F.lit(-1).cast("long").alias("task_id"), (F.col("ts") + F.expr("interval 1000 days")).alias("ts"), F.lit("running").alias("status"), F.lit(0.0).alias("progress")))
+        mine.coalesce(1).write.mode("append").parquet(path)
+    use_rocksdb(spark)
+    out = f"{path}-states"
+
+    def keep(batch: DataFrame, n: int) -> None:
+        batch.withColumn("batch", F.lit(n)).write.mode("append").parquet(out)
+
+    stream = expiring_states(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path), hours=10**6)
+    stream.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{path}-progress").trigger(availableNow=True).start().awaitTermination()
+    last = graph.first_by(spark.read.parquet(out), ["task_id"], ["batch", "accepted", "refused"], last=True)
+    return last.where("task_id >= 0").select("task_id", "status", "accepted", "refused")
+
+
+@query(
+    "chunks_cancelled",
+    f"""WITH {EVENTS_SQL} SELECT event_id, NOT EXISTS (SELECT 1 FROM e c WHERE c.status = 'failed' AND c.task_id = e.task_id AND c.ts <= e.ts AND c.ts >= e.ts - INTERVAL 24 HOURS) AS passed FROM e""",
 )
+def chunks_cancelled(spark, sf):
+    """Every event, as a piece of work, held against what its task's failures of the day before stop."""
+    rows = task_events(spark, sf)
+    passed, stopped = uncancelled(rows.select("event_id", "task_id", "ts"), rows.where("status = 'failed'").select("task_id", F.col("ts").alias("at")))
+    return passed.select("event_id", F.lit(True).alias("passed")).unionByName(stopped.select("event_id", F.lit(False).alias("passed")))
+
+
+@query("task_states", _STATES_SQL)
 def task_states(spark, sf):
     return tasks.folded(task_events(spark, sf)).select("task_id", "status", "accepted", "refused")
 

@@ -28,7 +28,7 @@ def step(state: tuple[str, float], status: str | None, progress: float | None) -
 
 def latest(events: DataFrame) -> DataFrame:
     """The newest event of each task; for streams in update mode too."""
-    newest = events.groupBy("task_id").agg(F.max_by(F.struct("ts", "status", "progress"), F.struct("ts", "event_id")).alias("e"), F.count(F.lit(1)).alias("n"))
+    newest = events.groupBy("task_id").agg(F.max_by(F.struct("ts", "status", "progress", "event_id"), F.struct("ts", "event_id")).alias("e"), F.count(F.lit(1)).alias("n"))
     return newest.select("task_id", "e.*", "n", F.col("e.status").isin(*FINAL).alias("final"))
 
 

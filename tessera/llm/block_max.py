@@ -37,9 +37,9 @@ from pyspark.sql import functions as F
 from tessera.llm import arrays
 from tessera.storage import written
 
-BLOCK_BYTES = 512 << 10
+BLOCK_BYTES = 128 << 10
 ITEM_BYTES = 16 << 20
-RUN_BLOCKS = 16
+RUN_BLOCKS = 64
 FIRST = 2
 BEST = 10
 

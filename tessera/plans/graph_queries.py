@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera import model
 from tessera.functions import ids, text
-from tessera.operators import aggregates, control, export, extraction, graph, ivf, listings, matching, rdf, retrieval, schema_merge, vector
+from tessera.operators import aggregates, ancestry, control, export, extraction, graph, ivf, listings, matching, rdf, retrieval, schema_merge, vector
 from tessera.plans.catalog import query
 from tessera.storage import table
 
@@ -381,6 +381,55 @@ def domain_violations(spark, sf):
     return graph.ancestor_violations(links, _part_tree(spark, sf))
 
 
+#: A class for each part, below the part of half its number; every tenth has a second parent, and three stand in a circle.
+_CLASSES_SQL = """cls AS (SELECT p_partkey AS child, p_partkey // 2 AS parent FROM part WHERE p_partkey > 0 UNION ALL SELECT p_partkey, p_partkey // 3 FROM part WHERE p_partkey % 10 = 3 AND p_partkey > 3 UNION ALL SELECT * FROM (VALUES (5, 11), (11, 5), (7, 15), (15, 31), (31, 7))),
+    up AS (SELECT DISTINCT child, child AS ancestor FROM cls UNION SELECT 0, 0 UNION SELECT up.child, cls.parent FROM up JOIN cls ON cls.child = up.ancestor)"""
+
+
+def _classes(spark, sf):
+    k = F.col("p_partkey")
+    p = table(spark, sf, "part")
+    half = p.where(k > 0).select(k.alias("child"), F.floor(k / 2).alias("parent"))
+    second = p.where((k % 10 == 3) & (k > 3)).select(k.alias("child"), F.floor(k / 3).alias("parent"))
+    return half.unionByName(second).unionByName(spark.createDataFrame([(5, 11), (11, 5), (7, 15), (15, 31), (31, 7)], "child long, parent long"))
+
+
+_CHECKED_SQL = f"""WITH RECURSIVE {_CLASSES_SQL},
+    rel AS (SELECT 'R' || i AS id, CASE WHEN i % 2 = 1 THEN 'is ' || i END AS label, CASE WHEN i <> 4 THEN i END AS domain, CASE WHEN i <> 5 THEN (i * 3) % 8 END AS range FROM range(1, 7) r(i)),
+    inst AS (SELECT p_partkey AS id, 'Part' || p_partkey AS label, CASE WHEN p_partkey % 17 > 0 THEN p_partkey END AS type_id FROM part),
+    l AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_orderkey % 2 = 0 THEN 'R' ELSE 'is ' END || l_linenumber AS relation, CASE l_orderkey % 3 WHEN 0 THEN 'Part' WHEN 1 THEN ' Part' ELSE 'PART_' END || l_partkey AS source,
+      CASE WHEN l_orderkey % 11 = 0 THEN 'nobody' ELSE 'Part' || l_suppkey END AS target FROM lineitem),
+    f AS (SELECT l.*, r.id AS relation_id, domain, range, s.id AS source_id, s.type_id AS st, t.id AS target_id, t.type_id AS tt FROM l LEFT JOIN rel r ON r.id = relation OR r.label = relation
+      LEFT JOIN inst s ON s.id = l_partkey LEFT JOIN inst t ON t.id = l_suppkey AND target <> 'nobody')
+    SELECT l_orderkey, l_linenumber, l_partkey, relation_id, source_id, target_id, array_to_string(list_filter([
+      CASE WHEN relation_id IS NULL THEN 'relation' END, CASE WHEN source_id IS NULL THEN 'source' END, CASE WHEN target_id IS NULL THEN 'target' END,
+      CASE WHEN source_id IS NOT NULL AND domain IS NOT NULL AND a.child IS NULL THEN 'domain' END, CASE WHEN target_id IS NOT NULL AND range IS NOT NULL AND b.child IS NULL THEN 'range' END], lambda x: x IS NOT NULL), ',') AS reasons
+    FROM f LEFT JOIN up a ON a.child = st AND a.ancestor = domain LEFT JOIN up b ON b.child = tt AND b.ancestor = range"""
+
+
+@query("checked_links", _CHECKED_SQL)
+def checked_links(spark, sf):
+    """A link for every line: its relation, ends, domain and range checked, with all that speaks against it."""
+    k, n = F.col("l_orderkey"), F.col("l_linenumber").cast("string")
+    text = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string"))
+    links = table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", F.when(k % 2 == 0, F.concat(F.lit("R"), n)).otherwise(F.concat(F.lit("is "), n)).alias("relation"),
+        F.when(k % 3 == 0, text("Part", "l_partkey")).when(k % 3 == 1, text(" Part", "l_partkey")).otherwise(text("PART_", "l_partkey")).alias("source"), F.when(k % 11 == 0, "nobody").otherwise(text("Part", "l_suppkey")).alias("target"),
+    )
+    relations = spark.createDataFrame([(f"R{i}", f"is {i}" if i % 2 else None, str(i) if i != 4 else None, str(i * 3 % 8) if i != 5 else None) for i in range(1, 7)], "id string, label string, domain string, range string")
+    p = F.col("p_partkey")
+    instances = table(spark, sf, "part").select(p.alias("id"), text("Part", "p_partkey").alias("label"), F.when(p % 17 > 0, p).alias("type_id"), p.alias("pos"))
+    found = ancestry.validated_links(links, relations, instances, ancestry.build(_classes(spark, sf)))
+    return found.select("l_orderkey", "l_linenumber", "l_partkey", "relation_id", "source_id", "target_id", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query("ancestors_with_cycles", f"WITH RECURSIVE {_CLASSES_SQL} SELECT DISTINCT l_partkey AS child, l_suppkey AS ancestor FROM lineitem JOIN up ON up.child = l_partkey AND up.ancestor = l_suppkey")
+def ancestors_with_cycles(spark, sf):
+    """Which lines' suppliers' numbers are ancestors of their parts', by interval labels."""
+    asked = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("child"), F.col("l_suppkey").alias("ancestor"))
+    return ancestry.holds(asked, ancestry.build(_classes(spark, sf))).select(F.col("child").cast("long").alias("child"), F.col("ancestor").cast("long").alias("ancestor"))
+
+
 @query(
     "reference_resolution",
     """WITH t AS (SELECT n_nationkey AS id, n_name AS name, n_name || '/' || n_regionkey AS label FROM nation),

@@ -72,14 +72,17 @@ def other_domains(domains: DataFrame, current: object, text: str = "") -> DataFr
     return domains.where((F.col("id") != F.lit(current)) & (holds("name") | holds("description")))
 
 
-def extraction_counts(instances: DataFrame, actions: DataFrame, chunks: int, discarded: DataFrame) -> DataFrame:
-    """One row of counts about an extraction: chunks (all of which succeed), instances, relations, actions and what was discarded (n)."""
+def extraction_counts(instances: DataFrame, actions: DataFrame, chunks: DataFrame, discarded: DataFrame) -> DataFrame:
+    """One row of counts about an extraction: chunks by outcome (ok; null counts as failed), instances, relations, actions and what was discarded (n).
+
+    Without chunks the success rate is 0.
+    """
     a = instances.agg(F.count(F.lit(1)).alias("total_instances"), F.coalesce(F.sum(F.coalesce(F.greatest(F.size("object_props"), F.lit(0)), F.lit(0))), F.lit(0)).cast("long").alias("total_edges"))
     b = actions.agg(F.count(F.lit(1)).alias("total_action_instances"))
     c = discarded.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("discarded_edges_count"))
-    n = F.lit(chunks).cast("long")
-    whole = [n.alias("total_chunks"), n.alias("successful_chunks"), F.lit(0).cast("long").alias("failed_chunks"), F.lit(1.0).alias("success_rate")]
-    return a.join(b, F.lit(True)).join(c, F.lit(True)).select(*whole, "*")  # one row each
+    done = F.count_if(F.coalesce("ok", F.lit(False)))
+    d = chunks.agg(F.count(F.lit(1)).alias("total_chunks"), done.alias("successful_chunks"), (F.count(F.lit(1)) - done).alias("failed_chunks"), F.coalesce(F.try_divide(done, F.count(F.lit(1))), F.lit(0.0)).alias("success_rate"))
+    return d.join(a, F.lit(True)).join(b, F.lit(True)).join(c, F.lit(True))  # one row each
 
 
 def moves(projects: DataFrame, domains: DataFrame, wanted: DataFrame, source: object) -> DataFrame:

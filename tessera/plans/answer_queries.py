@@ -280,12 +280,13 @@ def other_domains(spark, sf):
 
 @query(
     "extraction_counts",
-    """SELECT (SELECT count(*) FROM documents) AS total_chunks, (SELECT count(*) FROM documents) AS successful_chunks, 0::BIGINT AS failed_chunks, 1.0::DOUBLE AS success_rate, (SELECT count(*) FROM part) AS total_instances,
+    """SELECT (SELECT count(*) FROM documents) AS total_chunks, (SELECT count(*) FROM documents WHERE n_chars % 7 > 0) AS successful_chunks, (SELECT count(*) FROM documents WHERE n_chars % 7 = 0) AS failed_chunks,
+    (SELECT avg((n_chars % 7 > 0)::INT) FROM documents) AS success_rate, (SELECT count(*) FROM part) AS total_instances,
     (SELECT count_if(p_size % 2 = 0)::BIGINT FROM part) AS total_edges, (SELECT count(*) FROM orders) AS total_action_instances, (SELECT sum(n_regionkey)::BIGINT FROM nation) AS discarded_edges_count""",
 )
 def extraction_counts(spark, sf):
     links = F.when(F.col("p_size") % 2 == 0, F.create_map(F.lit("r"), F.array("p_name")))
-    return listings.extraction_counts(table(spark, sf, "part").select(links.alias("object_props")), table(spark, sf, "orders"), table(spark, sf, "documents").count(), table(spark, sf, "nation").select(F.col("n_regionkey").alias("n")))
+    return listings.extraction_counts(table(spark, sf, "part").select(links.alias("object_props")), table(spark, sf, "orders"), table(spark, sf, "documents").select((F.col("n_chars") % 7 > 0).alias("ok")), table(spark, sf, "nation").select(F.col("n_regionkey").alias("n")))
 
 
 @query(

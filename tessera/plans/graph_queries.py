@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera import model
 from tessera.functions import ids, text
-from tessera.operators import aggregates, ancestry, control, export, extraction, graph, ivf, listings, matching, rdf, retrieval, schema_merge, vector
+from tessera.operators import aggregates, ancestry, control, export, extraction, graph, graph_sync, ivf, listings, matching, rdf, retrieval, schema_merge, vector
 from tessera.plans.catalog import query
-from tessera.storage import table
+from tessera.storage import shared_dir, table
 
 NODES_SQL = """
 nodes AS (
@@ -532,6 +534,26 @@ def merged_schema_links(spark, sf):
     return schema_merge.merged_schema(types, once, actions)[1].select("name", "source", "target")
 
 
+def _older(rows):
+    """A graph as it was: labels that have changed since, nodes not there yet and others gone; a third of the tenants is as it is now."""
+    moved = F.col("tenant") % 3 != 0
+    n = F.col("pos")
+    renamed = rows.where(~(moved & (n % 11 == 5))).withColumn("label", F.when(moved & (n % 7 == 3), F.concat("label", F.lit(" (old)"))).otherwise(F.col("label")))
+    return renamed.unionByName(rows.where(moved & (n % 13 == 1)).withColumn("id", F.concat("id", F.lit("-gone"))))
+
+
+@query(
+    "graph_changes",
+    f"""WITH {NODES_SQL}, n AS (SELECT tenant, id, split_part(id, ':', 2)::BIGINT AS pos FROM nodes WHERE tenant % 3 <> 0)
+    SELECT 'added' AS change, tenant, id FROM n WHERE pos % 11 = 5 UNION ALL SELECT 'changed', tenant, id FROM n WHERE pos % 7 = 3 AND pos % 11 <> 5 UNION ALL SELECT 'removed', tenant, id || '-gone' FROM n WHERE pos % 13 = 1""",
+)
+def graph_changes(spark, sf):
+    """What brings a stored graph up to date, found by digests of its tenants and of their slots."""
+    now = model.nodes(spark, sf)
+    store = graph_sync.Store(spark, f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}", ["kind", "id"]).create(_older(now).drop("pos"))
+    return store.update(now.drop("pos")).select("change", "tenant", "id")
+
+
 @query("discarded", "SELECT (SELECT count(*) FROM part WHERE p_size = 1) + (SELECT count(*) * 3 FROM part WHERE p_size = 2) AS n")
 def discarded(spark, sf):
     p = table(spark, sf, "part")

@@ -170,7 +170,7 @@ def test_lists(spark):
     a = (rows.withColumn("pos", F.col("id")), spark.createDataFrame([("a", "b", "r", 1)], f"{LINK}, pos int"))
     nodes, edges = listings.united(a, a)
     assert (nodes.count(), edges.count()) == (3, 1)
-    assert tuple(listings.extraction_counts(spark.createDataFrame([], "object_props map<string,string>"), rows.limit(0), 0, spark.createDataFrame([], "n int")).first()) == (0, 0, 0, 1.0, 0, 0, 0, 0)
+    assert tuple(listings.extraction_counts(spark.createDataFrame([], "object_props map<string,string>"), rows.limit(0), spark.createDataFrame([], "ok boolean"), spark.createDataFrame([], "n int")).first()) == (0, 0, 0, 0.0, 0, 0, 0, 0)
 
 
 def test_plain_triples_and_download(spark):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera import model
 from tessera.functions import text
-from tessera.operators import answers, listings, merging, questions
+from tessera.operators import answering, answers, listings, merging, questions
 from tessera.plans.catalog import query
 from tessera.storage import table
 
@@ -45,6 +45,27 @@ def search_ladder(spark, sf):
     return questions.ladder(asked, everything, lives)
 
 
+@query(
+    "answered_questions",
+    """WITH either AS (SELECT *, row_number() OVER (ORDER BY a, b) AS rank FROM (SELECT c_name AS a, n_name AS b FROM customer JOIN nation ON n_nationkey = c_nationkey UNION ALL SELECT n_name, c_name FROM customer JOIN nation ON n_nationkey = c_nationkey)),
+    having AS (SELECT 'part:' || p_partkey AS id, p_name, p_type, row_number() OVER (ORDER BY 'part:' || p_partkey) AS rank FROM part)
+    SELECT s_suppkey AS question, 1::INTEGER AS rank, 'edge|' || s_name || '|LOCATED_IN|' || n_name AS cells FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE s_suppkey % 4 = 0
+    UNION ALL SELECT s_suppkey, rank::INTEGER, a || '|LIVES_IN|' || b FROM supplier, either WHERE s_suppkey % 4 = 1 AND rank <= 20
+    UNION ALL SELECT s_suppkey, 1, 'part:' || s_suppkey || '|' || p_name || '|' || p_brand FROM supplier JOIN part ON p_partkey = s_suppkey WHERE s_suppkey % 4 = 2
+    UNION ALL SELECT s_suppkey, rank::INTEGER, id || '|' || p_name || '|' || p_type FROM supplier, having WHERE s_suppkey % 4 = 3 AND rank <= 20""",
+)
+def answered_questions(spark, sf):
+    """A question of every supplier, in four templates, planned and answered in one job."""
+    k = F.col("s_suppkey")
+    suppliers = table(spark, sf, "supplier")
+    text = F.when(k % 4 == 0, F.concat(F.lit("where is "), "s_name", F.lit("?"))).when(k % 4 == 1, "who LIVES_IN what").when(k % 4 == 2, F.concat(F.lit('the p_brand of "part:'), k.cast("string"), F.lit('"'))).otherwise("all of p_type")
+    listed = lambda *names: spark.createDataFrame([(n, i) for i, n in enumerate(names)], "name string, pos long")
+    plans = answering.planned(suppliers.select(k.alias("question"), text.alias("text")), suppliers.select(F.col("s_name").alias("name"), k.alias("pos")), listed("p_brand", "p_type"), listed("LIVES_IN", "LOCATED_IN"))
+    nodes = model.nodes(spark, sf, ("customer", "supplier", "nation", "part"))
+    found = answering.answered(plans, nodes, model.edges(spark, sf, ("LIVES_IN", "LOCATED_IN")))
+    return found.select("question", "rank", F.array_join("cells", "|", "").alias("cells"))
+
+
 @query(
     "corrected_intents",
     """SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN 'attribute_query' WHEN p_partkey % 3 = 1 THEN 'attribute_query' ELSE 'general_query' END AS query_type,

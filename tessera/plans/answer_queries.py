@@ -48,11 +48,11 @@ def search_ladder(spark, sf):
 @query(
     "answered_questions",
     """WITH either AS (SELECT *, row_number() OVER (ORDER BY a, b) AS rank FROM (SELECT c_name AS a, n_name AS b FROM customer JOIN nation ON n_nationkey = c_nationkey UNION ALL SELECT n_name, c_name FROM customer JOIN nation ON n_nationkey = c_nationkey)),
-    having AS (SELECT 'part:' || p_partkey AS id, p_name, p_type, row_number() OVER (ORDER BY 'part:' || p_partkey) AS rank FROM part)
+    typed AS (SELECT 'part:' || p_partkey AS id, p_name, p_type, row_number() OVER (ORDER BY 'part:' || p_partkey) AS rank FROM part)
     SELECT s_suppkey AS question, 1::INTEGER AS rank, 'edge|' || s_name || '|LOCATED_IN|' || n_name AS cells FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE s_suppkey % 4 = 0
     UNION ALL SELECT s_suppkey, rank::INTEGER, a || '|LIVES_IN|' || b FROM supplier, either WHERE s_suppkey % 4 = 1 AND rank <= 20
     UNION ALL SELECT s_suppkey, 1, 'part:' || s_suppkey || '|' || p_name || '|' || p_brand FROM supplier JOIN part ON p_partkey = s_suppkey WHERE s_suppkey % 4 = 2
-    UNION ALL SELECT s_suppkey, rank::INTEGER, id || '|' || p_name || '|' || p_type FROM supplier, having WHERE s_suppkey % 4 = 3 AND rank <= 20""",
+    UNION ALL SELECT s_suppkey, rank::INTEGER, id || '|' || p_name || '|' || p_type FROM supplier, typed WHERE s_suppkey % 4 = 3 AND rank <= 20""",
 )
 def answered_questions(spark, sf):
     """A question of every supplier, in four templates, planned and answered in one job."""

@@ -130,6 +130,28 @@ def single_path_context(spark, sf):
     return answers.single_path(table(spark, sf, "conversations").select(F.col("conv_id").alias("question"), F.col("turn").alias("rank"), F.col("role").alias("file"), F.col("text").alias("quote")))[0]
 
 
+@query(
+    "single_path_sources",
+    """WITH c AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) SELECT conv_id AS question, n::BIGINT AS ref, role AS file FROM c WHERE n <= 5""",
+)
+def single_path_sources(spark, sf):
+    """The sources that the context of one path cites."""
+    found = answers.single_path(table(spark, sf, "conversations").select(F.col("conv_id").alias("question"), F.col("turn").alias("rank"), F.col("role").alias("file"), F.col("text").alias("quote")))[1]
+    return found.select("question", F.col("ref").cast("long").alias("ref"), "file")
+
+
+@query("both_paths", "SELECT conv_id AS question, turn, role, false AS failed FROM conversations WHERE role = 'user'")
+def both_paths(spark, sf):
+    """What both searches give where one of them fails: the other's rows, and the error."""
+    rows = table(spark, sf, "conversations").select(F.col("conv_id").alias("question"), "turn", "role")
+
+    def broken():
+        raise ConnectionError("no vectors")
+
+    a, b, errors = answers.both_paths(lambda: rows.where("role = 'user'"), broken, rows.limit(0), rows.limit(0))
+    return a.unionByName(b).withColumn("failed", F.lit(list(errors) != ["vector"]))
+
+
 @query("path_counts", "SELECT conv_id AS question, count_if(role = 'user')::BIGINT AS n_graph, count_if(role <> 'user')::BIGINT AS n_vector FROM conversations GROUP BY conv_id")
 def path_counts(spark, sf):
     rows = table(spark, sf, "conversations").withColumnRenamed("conv_id", "question")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera import model
 from tessera.functions import ids, text
-from tessera.operators import aggregates, ancestry, control, export, extraction, graph, graph_sync, ivf, listings, matching, rdf, retrieval, schema_merge, vector
+from tessera.operators import aggregates, ancestry, control, export, extraction, graph, graph_documents, graph_sync, ivf, listings, matching, rdf, retrieval, schema_merge, validation, vector
 from tessera.plans.catalog import query
 from tessera.storage import shared_dir, table
 
@@ -274,26 +274,93 @@ def graph_triples(spark, sf):
     return found.groupBy(F.substring_index("p", "#", -1).alias("p")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("s").alias("subjects"))
 
 
-@query("triple_type_counts", "SELECT 'all' AS source, 'NamedIndividual' AS type, (SELECT count(*) FROM nation) + (SELECT count(*) FROM region) AS n")
+_ALL_EDGES = ("IN_REGION", "LIVES_IN", "LOCATED_IN", "SUPPLIED_BY")
+#: Every node and edge as the lines in which the graph is written.
+_LINES_SQL = f"""WITH {NODES_SQL}, u AS (SELECT id, '<http://www.example.org/auto_ontology#Node_' || substr(md5(id), 1, 8) || '>' AS uri, label, class_label FROM nodes),
+    props AS (SELECT 'customer:' || c_custkey AS id, 'c_mktsegment' AS k, c_mktsegment AS v FROM customer UNION ALL SELECT 'part:' || p_partkey, 'p_brand', p_brand FROM part UNION ALL SELECT 'part:' || p_partkey, 'p_type', p_type FROM part),
+    links AS (SELECT 'nation:' || n_nationkey AS src, 'IN_REGION' AS r, 'region:' || n_regionkey AS dst FROM nation UNION ALL SELECT 'customer:' || c_custkey, 'LIVES_IN', 'nation:' || c_nationkey FROM customer
+      UNION ALL SELECT 'supplier:' || s_suppkey, 'LOCATED_IN', 'nation:' || s_nationkey FROM supplier UNION ALL SELECT DISTINCT 'part:' || l_partkey, 'SUPPLIED_BY', 'supplier:' || l_suppkey FROM lineitem),
+    line AS (
+      SELECT class_label AS source, uri || ' <http://www.w3.org/1999/02/22-rdf-syntax-ns#type> <http://www.w3.org/2002/07/owl#NamedIndividual> .' AS value FROM u
+      UNION ALL SELECT class_label, uri || ' <http://www.w3.org/2000/01/rdf-schema#label> "' || label || '"@zh .' FROM u
+      UNION ALL SELECT class_label, uri || ' <http://www.example.org/auto_ontology#prop_' || substr(md5(k), 1, 8) || '> "' || v || '" .' FROM u JOIN props USING (id)
+      UNION ALL SELECT 'edges', s.uri || ' <http://www.example.org/auto_ontology#' || r || '> ' || t.uri || ' .' FROM links JOIN u s ON s.id = src JOIN u t ON t.id = dst)"""
+
+
+def _all_triples(spark, sf) -> DataFrame:
+    """The triples of all nodes and edges by source: the table of a node, 'edges' for relations."""
+    nodes, edges = model.nodes(spark, sf), model.edges(spark, sf, _ALL_EDGES)
+    out = rdf.graph_triples(nodes.limit(0), edges).withColumn("source", F.lit("edges"))
+    for name, *_ in model.ENTITIES:
+        out = out.unionByName(rdf.graph_triples(nodes.where(F.col("class_label") == name), edges.limit(0)).withColumn("source", F.lit(name)))
+    return out.distinct()
+
+
+@query("triple_type_counts", f"{_LINES_SQL} SELECT source, 'NamedIndividual' AS type, count(*) AS n FROM line WHERE contains(value, 'syntax-ns#type') GROUP BY source")
 def triple_type_counts(spark, sf):
-    return rdf.type_counts(rdf.graph_triples(model.nodes(spark, sf, ("nation", "region")), model.edges(spark, sf, ("IN_REGION",))).withColumn("source", F.lit("all")))
+    """How many of each type the triples of each table declare."""
+    return rdf.type_counts(_all_triples(spark, sf))
 
 
-@query("turtle_lines", "SELECT count(*) AS n, count_if(true)::BIGINT AS ended FROM (SELECT unnest(range(3)) FROM nation UNION ALL SELECT unnest(range(2)) FROM region)")
+@query("turtle_lines", f"{_LINES_SQL} SELECT value FROM line")
 def turtle_lines(spark, sf):
-    """A graph written as lines, and how many are whole."""
-    lines = rdf.turtle_lines(rdf.graph_triples(model.nodes(spark, sf, ("nation", "region")), model.edges(spark, sf, ("IN_REGION",))))
-    return lines.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("value").rlike(r'^<[^>]+> <[^>]+> (<[^>]+>|".*"(@zh)?) \.$')).alias("ended"))
+    """The whole graph written as lines."""
+    return rdf.turtle_lines(_all_triples(spark, sf))
 
 
-@query("graph_round_trip", "SELECT n_name AS source, 'IN_REGION' AS relation, r_name AS target FROM nation JOIN region ON r_regionkey = n_regionkey")
+@query(
+    "graph_round_trip",
+    """SELECT n_name AS source, 'IN_REGION' AS relation, r_name AS target FROM nation JOIN region ON r_regionkey = n_regionkey UNION ALL SELECT c_name, 'LIVES_IN', n_name FROM customer JOIN nation ON n_nationkey = c_nationkey
+    UNION ALL SELECT s_name, 'LOCATED_IN', n_name FROM supplier JOIN nation ON n_nationkey = s_nationkey UNION ALL SELECT p_name, 'SUPPLIED_BY', s_name FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey""",
+)
 def graph_round_trip(spark, sf):
-    """A graph as triples and back."""
-    nodes, edges = rdf.to_graph(rdf.graph_triples(model.nodes(spark, sf, ("nation", "region")), model.edges(spark, sf, ("IN_REGION",))))
+    """The whole graph as triples and back."""
+    nodes, edges = rdf.to_graph(_all_triples(spark, sf))
     nodes = nodes.withColumn("class_label", F.col("kind"))
     return graph.with_ends(edges, nodes).select(F.col("source_label").alias("source"), "relation", F.col("target_label").alias("target"))
 
 
+@query("graph_document_nodes", f"WITH {NODES_SQL} SELECT tenant, id, label, class_label, CASE WHEN id LIKE 'customer:%' THEN (SELECT c_mktsegment FROM customer WHERE 'customer:' || c_custkey = id) END AS segment FROM nodes")
+def graph_document_nodes(spark, sf):
+    """Each tenant's graph stored as one document, and the nodes read back."""
+    found = graph_documents.nodes(_documents(spark, sf))
+    return found.select("tenant", "id", "label", "class_label", F.try_element_at("properties", F.lit("c_mktsegment")).alias("segment"))
+
+
+@query(
+    "graph_document_counts",
+    f"""WITH {NODES_SQL}, {EDGES_SQL}, n AS (SELECT tenant, count(*) AS n_nodes FROM nodes GROUP BY tenant), e AS (SELECT tenant, count(*) AS n_edges FROM edges JOIN nodes ON nodes.id = src WHERE relation IN ('IN_REGION', 'LIVES_IN', 'LOCATED_IN', 'SUPPLIED_BY') GROUP BY tenant)
+    SELECT tenant, coalesce(n_nodes, 0) AS n_nodes, coalesce(n_edges, 0) AS n_edges FROM n FULL JOIN e USING (tenant)""",
+)
+def graph_document_counts(spark, sf):
+    """The sizes of the stored graphs, by the lengths of their lists."""
+    return graph_documents.counts(_documents(spark, sf))
+
+
+def _documents(spark, sf) -> DataFrame:
+    nodes = model.nodes(spark, sf)
+    edges = model.edges(spark, sf, _ALL_EDGES).join(nodes.select(F.col("id").alias("src"), "tenant"), "src")
+    return graph_documents.stored(nodes, edges)
+
+
+@query(
+    "rows_with_reasons",
+    """WITH l AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey % 5 > 0 THEN l_returnflag WHEN l_partkey % 2 = 0 THEN ' ' END AS relation, CASE WHEN l_suppkey % 7 > 0 THEN 's' || l_suppkey ELSE '' END AS source, CASE WHEN l_partkey % 11 > 0 THEN 'p' || l_partkey END AS target FROM lineitem)
+    SELECT l_orderkey, l_linenumber, source, target, array_to_string(list_filter([CASE WHEN coalesce(trim(relation), '') = '' THEN 'relation is blank' END, CASE WHEN source = '' THEN 'source is blank' END, CASE WHEN target IS NULL THEN 'target is blank' END,
+      CASE WHEN l_linenumber > 6 THEN 'too many' END], lambda x: x IS NOT NULL), ',') AS reasons FROM l""",
+)
+def rows_with_reasons(spark, sf):
+    """A link for every line, accepted or refused by one scan, with all reasons."""
+    p, s = F.col("l_partkey"), F.col("l_suppkey")
+    rows = table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.when(p % 5 > 0, F.col("l_returnflag")).when(p % 2 == 0, " ").alias("relation"), F.when(s % 7 > 0, F.concat(F.lit("s"), s.cast("string"))).otherwise("").alias("source"),
+        F.when(p % 11 > 0, F.concat(F.lit("p"), p.cast("string"))).alias("target"),
+    )
+    found = validation.split(rows, validation.rules_of(rows, "link") | {"too many": F.col("l_linenumber") > 6})
+    whole = found.accepted.withColumn("reasons", F.array().cast("array<string>")).unionByName(found.refused)
+    return whole.select("l_orderkey", "l_linenumber", "source", "target", F.array_join("reasons", ",").alias("reasons"))
+
+
 @query("first_edge_wins", "SELECT l_orderkey, l_partkey, min(l_linenumber) AS l_linenumber, arg_min(l_returnflag, l_linenumber || l_returnflag) AS l_returnflag FROM lineitem GROUP BY l_orderkey, l_partkey")
 def first_edge_wins(spark, sf):
     rows = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_returnflag")
@@ -656,11 +723,17 @@ def search_upsert(spark, sf):
     return aggregates.upserted(p.where("p_size < 30").select(F.col("p_partkey").alias("k"), F.col("p_type").alias("v")), p.where("p_size > 20").select(F.col("p_partkey").alias("k"), F.col("p_brand").alias("v")), "k", "v")
 
 
-@query("interchange_round_trip", "SELECT 'node_' || substr(md5(n_name), 1, 12) AS src, 'node_' || substr(md5(r_name), 1, 12) AS dst, 'IN_REGION' AS relation FROM nation JOIN region ON r_regionkey = n_regionkey")
+@query(
+    "interchange_round_trip",
+    """WITH e AS (SELECT p_name AS a, 'SUPPLIED_BY' AS relation, s_name AS b FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey UNION ALL SELECT c_name, 'LIVES_IN', n_name FROM customer JOIN nation ON n_nationkey = c_nationkey
+      UNION ALL SELECT s_name, 'LOCATED_IN', n_name FROM supplier JOIN nation ON n_nationkey = s_nationkey UNION ALL SELECT n_name, 'IN_REGION', r_name FROM nation JOIN region ON r_regionkey = n_regionkey)
+    SELECT DISTINCT 'node_' || substr(md5(a), 1, 12) AS src, 'node_' || substr(md5(b), 1, 12) AS dst, relation FROM e""",
+)
 def interchange_round_trip(spark, sf):
-    """A graph exported and imported again."""
-    entities, relationships = export.interchange(model.nodes(spark, sf, ("nation", "region")), model.edges(spark, sf, ("IN_REGION",)))
-    return export.imported(entities.withColumn("pos", F.col("name")), relationships)[1]
+    """The whole graph exported and imported again; what goes by one name comes back as one."""
+    nodes = model.nodes(spark, sf)
+    entities, relationships = export.interchange(nodes, model.edges(spark, sf, _ALL_EDGES))
+    return export.imported(entities.withColumn("pos", F.concat_ws(":", "type", "name")), relationships)[1]
 
 
 @query("class_tree", "SELECT n_name AS class, count(*) AS n FROM supplier JOIN nation ON n_nationkey = s_nationkey GROUP BY n_name HAVING count_if(contains(lower(s_name), '99')) > 0 OR contains(lower(n_name), '99')")

@@ -99,12 +99,12 @@ def fused_references(spark, sf):
 
 @query(
     "answer_context",
-    r"""WITH f AS (SELECT conv_id AS question, turn, '- ' || role || ' says ' || substr(text, 1, 20) AS line, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations)
+    r"""WITH f AS (SELECT conv_id AS question, turn, '- ' || role || ' says ' || text AS line, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations)
     SELECT question, 'Facts' || chr(10) || string_agg(line, chr(10) ORDER BY n) FILTER (n <= 20) || chr(10) || 'Passages' || chr(10) || (SELECT string_agg('- ' || substr(text, 1, 300), chr(10) ORDER BY turn) FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations) c WHERE c.conv_id = question AND k <= 5) AS context FROM f GROUP BY question""",
 )
 def answer_context(spark, sf):
     rows = table(spark, sf, "conversations").withColumnsRenamed({"conv_id": "question", "turn": "pos"})
-    facts = rows.select("question", "pos", F.col("role").alias("subject"), F.lit("says").alias("predicate"), F.substring("text", 1, 20).alias("object"))
+    facts = rows.select("question", "pos", F.col("role").alias("subject"), F.lit("says").alias("predicate"), F.col("text").alias("object"))
     return retrieval.context(facts, rows)
 
 

@@ -4,18 +4,22 @@ A rule is a host and the start of a path, such as ``example.org/en/``; it fits i
 and the longest that fits decides.  URLs that rules decide are the labelled ones: trees are trained on a sample
 of them, of ``TRAIN_ROWS`` rows at most, picked by hash, and judge all other URLs.  Features are lengths, depth,
 digit and sign ratios, entropy, parameter counts, and how many of the sample's URLs under the same host suffix
-were to be blocked; that table has no more rows than the sample.
+were to be blocked.  The sample falls into ``FOLDS`` parts by a hash of the host.  One part is held out; a training row's suffix statistics come from the other
+training parts only, so they don't hold its own label or host.  The score from which a URL is blocked is the one that decides most held-out URLs
+rightly (of equals the one nearest to a half), and ``held_out`` says how well it and the scores do there.
 
 Everything is DataFrame functions and Spark's own tree ensemble.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, no rule and features of an
-empty text; without labelled URLs, or with labels all alike, that verdict (allow, if none) holds for the rest; repeated
+empty text; without labelled URLs, or with labels all alike, that verdict (allow, if none) holds for the rest, and so does the training
+parts' commonest where they are all alike; where the held-out part hasn't both labels, the score is a half; equal scores have equal verdicts; repeated
 rows are judged each; an empty table gives none; other columns aren't read.
 """
 
 from __future__ import annotations
 
 from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -24,6 +28,7 @@ from pyspark.sql import functions as F
 from tessera.storage import written
 
 TRAIN_ROWS = 20_000
+FOLDS = 5
 MOST_RULES = 500
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -80,38 +85,78 @@ def lexical(urls: DataFrame) -> DataFrame:
     return urls.withColumns({k: v.cast("double") for k, v in values.items()} | {"suffix": F.substring_index(host, ".", -2), "top": F.substring_index(host, ".", -1)})
 
 
-def _suffix_table(sample: DataFrame, column: str) -> DataFrame:
-    """Smoothed share of blocked URLs, and their number, by a suffix; no more rows than the sample."""
-    return sample.groupBy(column).agg(((F.sum("label") + 1) / (F.count(F.lit(1)) + 2)).alias(f"{column}_blocked"), F.log1p(F.count(F.lit(1))).alias(f"{column}_count"))
+def _suffix_tables(sample: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """Smoothed share of blocked URLs, and their number, by a suffix: of the whole sample, and for each part of the other parts; no more rows than the sample has."""
+    sums = sample.groupBy(column, "fold").agg(F.sum("label").alias("b"), F.count(F.lit(1)).alias("n"))
+    whole = sums.groupBy(column).agg(F.sum("b").alias("b_all"), F.sum("n").alias("n_all"))
+    named = lambda b, n: (((b + 1) / (n + 2)).alias(f"{column}_blocked"), F.log1p(n).alias(f"{column}_count"))
+    others = sums.join(whole, column).select(column, "fold", *named(F.col("b_all") - F.col("b"), F.col("n_all") - F.col("n")))
+    return whole.select(column, *named(F.col("b_all"), F.col("n_all"))), others
+
+
+class Judge:
+    """Trees with their suffix statistics and the score from which a URL is blocked; ``held_out``: urls, blocked, accuracy, auc of the part held out, or None."""
+
+    def __init__(self, sample: DataFrame):
+        train, held = written(sample.where("fold > 0"), "url-train"), sample.where("fold = 0")
+        self.tables = [(c, *_suffix_tables(train, c)) for c in ("suffix", "top")]
+        self.only, self.threshold, self.held_out, self.model = None, 0.5, None, None
+        kinds = [r["label"] for r in train.groupBy("label").count().orderBy(F.desc("count"), "label").collect()]
+        if len(kinds) < 2:
+            self.only = kinds[0] if kinds else None
+            return
+        trees = GBTClassifier(labelCol="label", featuresCol="features", maxIter=12, maxDepth=3, stepSize=0.3, seed=1)
+        self.model = trees.fit(self._featured(train, True).select("label", "features"))
+        scored = written(self.scored(held).select("label", "score"), "url-held-out")
+        at = [k / 50 for k in range(1, 50)]
+        right = scored.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("blocked"), *[F.count_if((F.col("score") > t) == (F.col("label") == 1)).alias(f"at {t}") for t in at]).first()
+        if right["n"] and 0 < right["blocked"] < right["n"]:
+            self.threshold = min(at, key=lambda t: (-right[f"at {t}"], abs(t - 0.5), t))
+            auc = BinaryClassificationEvaluator(rawPredictionCol="score", labelCol="label").evaluate(scored)
+            self.held_out = {"urls": right["n"], "blocked": int(right["blocked"]), "accuracy": right[f"at {self.threshold}"] / right["n"], "auc": auc}
+
+    def _featured(self, frame: DataFrame, own: bool = False) -> DataFrame:
+        for column, whole, others in self.tables:
+            frame = frame.join(F.broadcast(others), [column, "fold"], "left") if own else frame.join(F.broadcast(whole), column, "left")
+        frame = frame.fillna({"suffix_blocked": 0.5, "suffix_count": 0.0, "top_blocked": 0.5, "top_count": 0.0})
+        return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(frame)
 
+    def scored(self, frame: DataFrame) -> DataFrame:
+        """The rows of ``lexical`` with ``score``, the trees' chance that a URL is to be blocked."""
+        if self.model is None:
+            return frame.withColumn("score", F.lit(float(self.only or 0)))
+        return self.model.transform(self._featured(frame)).withColumn("score", vector_to_array("probability")[1])
 
-def judge(pages: DataFrame, rules: list[tuple[str, str]], limit: int = TRAIN_ROWS) -> DataFrame:
-    """page_id, host, path, rule, verdict, score (the trees' chance that a URL is to be blocked)."""
+
+def decided(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
+    """page_id, url, host, path, rule, decision: what the rules alone say."""
     urls = pages.select("page_id", F.col("url").cast("string").alias("url"))
     urls = urls.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
     rule, decision = rule_of(F.col("host"), F.col("path"), rules)
-    urls = urls.withColumns({"rule": rule, "decision": decision})
+    return urls.withColumns({"rule": rule, "decision": decision})
+
 
+def trained(urls: DataFrame, limit: int = TRAIN_ROWS) -> Judge | None:
+    """A judge from the URLs that rules decide, or None where they are all alike or there are none."""
     labelled = urls.where("decision is not null")
     counts = {r["decision"]: r["count"] for r in labelled.groupBy("decision").count().collect()}
     if len(counts) < 2:
-        only = next(iter(counts), "allow")
-        return urls.select("page_id", "host", "path", "rule", F.coalesce("decision", F.lit(only)).alias("verdict"), F.lit(float(only == "block")).alias("score"))
+        return None
     # a share of the labelled URLs by hash, as likely to exceed the bound as not to reach it, hence the limit
     grain = 1 << 30
     share = min(grain, int(grain * limit / sum(counts.values())))
     sample = labelled.where(F.pmod(F.xxhash64("url", "page_id"), F.lit(grain)) < share).limit(limit)
-    sample = written(lexical(sample).withColumn("label", (F.col("decision") == "block").cast("double")), "url-sample")
-    tables = [_suffix_table(sample, c) for c in ("suffix", "top")]
+    folded = lexical(sample).withColumns({"label": (F.col("decision") == "block").cast("double"), "fold": F.pmod(F.xxhash64("host", F.lit("fold")), F.lit(FOLDS))})
+    return Judge(written(folded, "url-sample"))
 
-    def featured(frame: DataFrame) -> DataFrame:
-        for column, stats in zip(("suffix", "top"), tables, strict=True):
-            frame = frame.join(F.broadcast(stats), column, "left")
-        frame = frame.fillna({"suffix_blocked": 0.5, "suffix_count": 0.0, "top_blocked": 0.5, "top_count": 0.0})
-        return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(frame)
 
-    trees = GBTClassifier(labelCol="label", featuresCol="features", maxIter=12, maxDepth=3, stepSize=0.3, seed=1)
-    model = trees.fit(featured(sample).select("label", "features"))
-    scored = model.transform(featured(lexical(urls))).withColumn("score", vector_to_array("probability")[1])
-    verdict = F.coalesce("decision", F.when(F.col("score") > 0.5, "block").otherwise("allow"))
+def judge(pages: DataFrame, rules: list[tuple[str, str]], limit: int = TRAIN_ROWS) -> DataFrame:
+    """page_id, host, path, rule, verdict, score (the trees' chance that a URL is to be blocked)."""
+    urls = decided(pages, rules)
+    found = trained(urls, limit)
+    if found is None:
+        only = next((r["decision"] for r in urls.where("decision is not null").select("decision").limit(1).collect()), "allow")
+        return urls.select("page_id", "host", "path", "rule", F.coalesce("decision", F.lit(only)).alias("verdict"), F.lit(float(only == "block")).alias("score"))
+    scored = found.scored(lexical(urls))
+    verdict = F.coalesce("decision", F.when(F.col("score") > found.threshold, "block").otherwise("allow"))
     return scored.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")

@@ -10,7 +10,7 @@ windows the key word and the value are masked by other characters, so that shape
 carry the decision; so the field also finds secrets that no pattern names.
 
 The windows come from one pass: of the rows with the smallest hashes, each task keeps ``TRAIN_DOCUMENTS`` of
-either kind, and the smallest of all tasks' go on.  A share of all rows by hash is looked at, large enough where one in
+either kind (of those without a match only rows of a small share by hash), and the smallest of all tasks' go on, first of each share of hashes.  A share of all rows by hash is looked at, large enough where one in
 a thousand rows has a match; only if that finds too few, all rows are, in a second pass.
 
 The field's spans mark the secrets themselves, without the key word.  One that is not exactly a pattern's span is
@@ -301,6 +301,7 @@ def windows(docs: DataFrame, limit: int) -> list:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     grain, rows = 1 << 30, docs.count()
     share = lambda often: min(grain, int(grain * often * limit / max(rows, 1)))
+    plain = share(64)  # of rows without a match so many are more than enough
     names = [c for c in ("source", "lang") if c in docs.columns]
     keyed = docs.select(text.alias("text"), *[F.col(c).cast("string").alias(c) for c in names], F.pmod(F.xxhash64("doc_id", text), F.lit(grain)).alias("at"))
 
@@ -310,6 +311,8 @@ def windows(docs: DataFrame, limit: int) -> list:
             data, offsets = arrays.buffer(batch.column("text"))
             found, files = base_spans(data, offsets), file_features(batch, data, offsets)
             for t, at in enumerate(batch.column("at").to_pylist()):
+                if not found[t] and at >= plain:
+                    continue  # beyond the smallest, whatever the other tasks have
                 mine = kept[bool(found[t])]
                 if len(mine) < 2 * limit or at < mine[limit - 1][0]:
                     mine.append((at, int(files[t]), window_of(data[offsets[t] : offsets[t + 1]].tobytes(), found[t], at)))
@@ -324,8 +327,11 @@ def windows(docs: DataFrame, limit: int) -> list:
 
     def taken(often_cued: float) -> DataFrame:
         found = keyed.where(F.col("at") < max(share(often_cued), share(64))).mapInArrow(run, "cued boolean, at long, file long, window binary")
-        place = F.row_number().over(Window.partitionBy("cued").orderBy("at", "window"))
-        return found.withColumn("_n", place).where(F.col("_n") <= limit).drop("_n")
+        # the smallest of each of many shares of the hashes first, so that no task sorts what all tasks have kept
+        for keys in (["cued", F.pmod(F.xxhash64("at"), F.lit(256))], ["cued"]):
+            place = F.row_number().over(Window.partitionBy(*keys).orderBy("at", "window"))
+            found = found.withColumn("_n", place).where(F.col("_n") <= limit).drop("_n")
+        return found
 
     some = taken(1000).collect()
     if share(1000) < grain and sum(r.cued for r in some) < limit // 4:  # matches are rarer: look at every row

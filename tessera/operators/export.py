@@ -30,6 +30,22 @@ def relation_documents(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     )
 
 
+def graph_documents(nodes: DataFrame, edges: DataFrame, part: int = 1000) -> DataFrame:
+    """A tenant's whole structure as search documents of the kind 'graph': names with their types, and pairs of names with the weight 1.
+
+    Each document holds at most about ``part`` nodes or edges, dealt by hash, so that no row grows with the tenant; ``part_no`` tells a tenant's documents apart.
+    Edges need a name at both ends; entries are in the order of their text.
+    """
+    typed = nodes.select("tenant", F.struct(F.col("label").alias("id"), type_name(F.col("class_label")).alias("entity_type")).alias("node"), F.lit(None).alias("edge"))
+    found = with_ends(edges, nodes).where("source_label <> '' and target_label <> ''")
+    linked = found.select("tenant", F.lit(None).alias("node"), F.struct(F.col("source_label").alias("source"), F.col("target_label").alias("target"), F.lit(1).alias("weight")).alias("edge"))
+    rows = typed.unionByName(linked)
+    parts = rows.groupBy("tenant").agg(F.ceil(F.count(F.lit(1)) / part).alias("_parts"))
+    dealt = rows.join(parts, "tenant").withColumn("part_no", F.pmod(F.xxhash64("node", "edge"), F.col("_parts")))
+    whole = dealt.groupBy("tenant", "part_no").agg(F.array_sort(F.collect_list("node")).alias("nodes"), F.array_sort(F.collect_list("edge")).alias("edges"))
+    return whole.select(F.lit("graph").alias("knowledge_graph_kwd"), "tenant", "part_no", F.to_json(F.struct("nodes", "edges")).alias("content"))
+
+
 def type_entities(nodes: DataFrame) -> DataFrame:
     """(class_label, names): the names of each class, sorted."""
     return nodes.groupBy("class_label").agg(F.array_sort(F.collect_list("label")).alias("names"))

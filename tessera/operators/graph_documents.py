@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.graph import METADATA_KEYS, with_ends
+
 NODE = {"id": "string", "label": "string", "kind": "string", "class_label": "string", "properties": "map<string,string>"}
 EDGE = {"src": "string", "dst": "string", "relation": "string", "label": "string"}
 
@@ -71,3 +73,24 @@ def counts(documents: DataFrame) -> DataFrame:
 def schema(documents: DataFrame) -> str:
     """The schema that all the documents together have, as one text."""
     return parsed(documents).where("v is not null").agg(F.schema_of_variant_agg("v")).first()[0]
+
+
+def project_schemas(documents: DataFrame, nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(tenant, class, properties, cached) and (tenant, relation, domain, range, cached) of every tenant: the schema that its document keeps, else what its graph shows.
+
+    documents: tenant, document (with ``schema``, its ``classes`` and ``object_properties``); nodes: tenant, class_label, id, properties; edges: tenant, src, dst, relation.  A
+    kept schema counts if it has a class.  A kept class goes by its label, else its id, else 'Unknown', as do relations and their ends; a class of the graph has the
+    property names that its nodes use.
+    """
+    v = parsed(documents).where("v is not null").select("tenant", F.try_variant_get("v", "$.schema.classes", "array<variant>").alias("c"), F.try_variant_get("v", "$.schema.object_properties", "array<variant>").alias("r"))
+    kept = v.where(F.size("c") > 0)
+    text = lambda x, *names: F.coalesce(*[F.try_variant_get(x, f"$.{n}", "string") for n in names], F.lit("Unknown"))
+    classes = kept.select("tenant", F.explode("c").alias("x")).select("tenant", text("x", "label", "id").alias("class"), F.coalesce(F.try_variant_get("x", "$.data_properties", "array<string>"), F.array().cast("array<string>")).alias("properties"), F.lit(True).alias("cached"))
+    relations = kept.select("tenant", F.explode("r").alias("x")).select("tenant", text("x", "label", "id").alias("relation"), text("x", "domain").alias("domain"), text("x", "range").alias("range"), F.lit(True).alias("cached"))
+    have = kept.select("tenant").distinct()
+    rest, links = nodes.join(have, "tenant", "left_anti"), edges.join(have, "tenant", "left_anti")
+    named = rest.select("tenant", F.col("class_label").alias("class"), F.explode_outer(F.map_keys("properties")).alias("k"))
+    used = F.array_sort(F.collect_set(F.when(~F.col("k").isin(*METADATA_KEYS), F.col("k"))))
+    inferred = named.where("class is not null").groupBy("tenant", "class").agg(used.alias("properties")).withColumn("cached", F.lit(False))
+    found = with_ends(links, rest).select("tenant", "relation", F.col("source_class").alias("domain"), F.col("target_class").alias("range")).distinct().withColumn("cached", F.lit(False))
+    return classes.unionByName(inferred), relations.unionByName(found)

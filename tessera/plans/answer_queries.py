@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera import model
 from tessera.functions import text
-from tessera.operators import answering, answers, listings, merging, questions
+from tessera.operators import answering, answers, export, graph_documents, listings, merging, questions
 from tessera.plans.catalog import query
 from tessera.storage import table
 
@@ -238,12 +238,50 @@ GRAPH_SCHEMA_SQL = """WITH RECURSIVE up AS (SELECT p_partkey AS child, p_partkey
 )
 def graph_schema(spark, sf):
     """The properties of a tree of classes, of which every part is one."""
+    return _graph_schema(spark, sf)[1]
+
+
+@query("graph_schema_classes", "SELECT 'C_' || p_partkey AS id, p_name AS label, CASE WHEN p_partkey > 1 THEN 'C_' || p_partkey // 2 ELSE '' END AS parents FROM part WHERE p_partkey % 13 > 0")
+def graph_schema_classes(spark, sf):
+    """The classes themselves, with their parents; every thirteenth part is an action."""
+    return _graph_schema(spark, sf, True)[0].select("id", "label", F.array_join("parents", ",").alias("parents"))
+
+
+@query(
+    "graph_schema_relations",
+    "SELECT 'e_uses' AS id, 'uses' AS label, p_name AS domain, s_name AS range FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_partkey % 13 > 0) JOIN part ON p_partkey = l_partkey JOIN (SELECT p_partkey AS k, p_name AS s_name FROM part) ON k = l_suppkey",
+)
+def graph_schema_relations(spark, sf):
+    """What relations between classes the lines state."""
+    return _graph_schema(spark, sf, True)[2]
+
+
+@query(
+    "graph_schema_actions",
+    """SELECT 'AT_' || p_partkey AS id, p_name AS label, coalesce((SELECT q.p_name FROM (SELECT l_suppkey FROM lineitem WHERE l_partkey = part.p_partkey ORDER BY l_orderkey * 10 + l_linenumber, 'C_' || l_suppkey LIMIT 1) JOIN part q ON q.p_partkey = l_suppkey), '') AS target
+    FROM part WHERE p_partkey % 13 = 0""",
+)
+def graph_schema_actions(spark, sf):
+    """Actions with the class that the first line of each names."""
+    return _graph_schema(spark, sf, True)[3]
+
+
+def _graph_schema(spark, sf, lines=False):
     k = F.col("p_partkey").cast("long")
     parts = table(spark, sf, "part")
     class_id = lambda c: F.concat(F.lit("C_"), c.cast("string"))
     nodes = parts.select(class_id(k).alias("id"), F.lit(None).cast("string").alias("raw_id"), F.col("p_name").alias("label"), F.lit("Class").alias("kind"), F.create_map(F.concat(F.lit("k"), (k % 7).cast("string")), F.lit("x")).alias("properties"), k.alias("pos"))
     up = parts.where("p_partkey > 1").select(class_id(k).alias("src"), class_id(F.floor(k / 2)).alias("dst"), F.lit("subclass_of").alias("relation"), F.lit("subClassOf").alias("label"), F.lit("").alias("prop_id"), k.alias("pos"))
-    return merging.graph_schema(nodes, up)[1]
+    if not lines:
+        return merging.graph_schema(nodes, up)
+    name = lambda c: F.concat(F.when(c % 13 == 0, "AT_").otherwise("C_"), c.cast("string"))
+    nodes = nodes.withColumn("id", F.concat(F.when(F.col("pos") % 13 == 0, "AT_").otherwise("C_"), F.col("pos").cast("string")))
+    up = up.where(F.col("pos") % 13 > 0)
+    line = table(spark, sf, "lineitem")
+    p, q, at = F.col("l_partkey"), F.col("l_suppkey"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("long")
+    uses = line.where(p % 13 > 0).select(name(p).alias("src"), name(q).alias("dst"), F.lit("object_property").alias("relation"), F.lit("uses").alias("label"), F.lit("e_uses").alias("prop_id")).distinct().withColumn("pos", F.lit(0).cast("long"))
+    does = line.where(p % 13 == 0).select(name(p).alias("src"), name(q).alias("dst"), F.lit("action").alias("relation"), F.lit("does").alias("label"), F.lit("").alias("prop_id"), at.alias("pos"))
+    return merging.graph_schema(nodes, up.unionByName(uses).unionByName(does))
 
 
 @query(
@@ -255,6 +293,21 @@ def graph_schema(spark, sf):
 )
 def instances_in_graph(spark, sf):
     """Orders and parts as instances, every other part named by label, and an action for each order: the edges of them all."""
+    return _instances_in_graph(spark, sf)[1]
+
+
+@query(
+    "instance_nodes",
+    """SELECT 'order:' || o_orderkey AS id, 'order ' || o_orderkey AS label, 'order' AS class_label, NULL AS brand FROM orders UNION ALL SELECT 'part:' || p_partkey, p_name, 'part', p_brand FROM part
+    UNION ALL SELECT 'action_Node_' || substr(md5('ship ' || o_orderkey || '::ActionInstance'), 1, 8), min('ship ' || o_orderkey), 'ship', NULL FROM orders GROUP BY 1""",
+)
+def instance_nodes(spark, sf):
+    """The nodes that the same instances and actions add."""
+    found = _instances_in_graph(spark, sf)[0]
+    return found.select("id", "label", "class_label", F.try_element_at("properties", F.lit("品牌")).alias("brand"))
+
+
+def _instances_in_graph(spark, sf):
     line, orders, parts = (table(spark, sf, n) for n in ("lineitem", "orders", "part"))
     named = line.select("l_orderkey", model.key("part", "l_partkey").alias("target")).groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_set("target").alias("targets"))
     none = F.create_map().cast("map<string,array<string>>")
@@ -270,7 +323,7 @@ def instances_in_graph(spark, sf):
     )
     classes = spark.createDataFrame([("C_order", "", "order", None, 0), ("C_part", "", "part", [("p_brand", "品牌")], 1), ("AT_ship", "AT_ship", "ship", None, 2)], "id string, raw_id string, label string, definitions array<struct<name:string,label:string>>, pos int")
     labels = spark.createDataFrame([("OP_contains", "CONTAINS")], "prop_id string, label string")
-    return merging.instances_in_graph(a.unionByName(b), actions, classes, classes.select("id"), labels)[1]
+    return merging.instances_in_graph(a.unionByName(b), actions, classes, classes.select("id"), labels)
 
 
 @query(
@@ -304,6 +357,54 @@ def domains_by_name(spark, sf):
     return listings.by_name(table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))).select("id", "index")
 
 
+@query(
+    "project_schema_classes",
+    """SELECT c_nationkey AS tenant, 'kept ' || c_nationkey AS class, 'a,b' AS properties, true AS cached FROM customer WHERE c_nationkey % 3 = 0 GROUP BY 1, 2
+    UNION ALL SELECT c_nationkey, c_mktsegment, string_agg(DISTINCT CASE WHEN c_custkey % 2 = 0 THEN 'even' ELSE 'odd' END, ',' ORDER BY CASE WHEN c_custkey % 2 = 0 THEN 'even' ELSE 'odd' END), false FROM customer WHERE c_nationkey % 3 > 0 GROUP BY 1, 2""",
+)
+def project_schema_classes(spark, sf):
+    """The classes of every nation's customers: as its document keeps them, which is so for a third, else as the customers show."""
+    return _project_schemas(spark, sf)[0].select("tenant", "class", F.array_join("properties", ",").alias("properties"), "cached")
+
+
+@query(
+    "project_schema_relations",
+    """SELECT c_nationkey AS tenant, 'r' AS relation, 'Unknown' AS domain, 'kept ' || c_nationkey AS range, true AS cached FROM customer WHERE c_nationkey % 3 = 0 GROUP BY 1
+    UNION ALL SELECT DISTINCT a.c_nationkey, 'NEXT', a.c_mktsegment, b.c_mktsegment, false FROM customer a JOIN customer b ON b.c_custkey = a.c_custkey + 25 AND b.c_nationkey = a.c_nationkey WHERE a.c_nationkey % 3 > 0""",
+)
+def project_schema_relations(spark, sf):
+    """Their relations, in the same way."""
+    return _project_schemas(spark, sf)[1]
+
+
+def _project_schemas(spark, sf):
+    c, k = table(spark, sf, "customer"), F.col("c_nationkey").cast("long")
+    props = F.create_map(F.when(F.col("c_custkey") % 2 == 0, "even").otherwise("odd"), F.lit("x"))
+    nodes = c.select(k.alias("tenant"), F.col("c_custkey").cast("long").alias("id"), F.col("c_name").alias("label"), F.col("c_mktsegment").alias("class_label"), props.alias("properties"))
+    edges = nodes.select("tenant", F.col("id").alias("src"), (F.col("id") + 25).alias("dst"), F.lit("NEXT").alias("relation"))
+    kept = F.concat(F.lit('{"schema": {"classes": [{"id": "kept '), k.cast("string"), F.lit('", "data_properties": ["a", "b"]}], "object_properties": [{"label": "r", "range": "kept '), k.cast("string"), F.lit('"}]}}'))
+    documents = c.select(k.alias("tenant"), F.when(k % 3 == 0, kept).when(k % 3 == 1, '{"schema": {"classes": []}}').otherwise("broken").alias("document")).distinct()
+    return graph_documents.project_schemas(documents, nodes, edges)
+
+
+@query(
+    "graph_search_documents",
+    """WITH e AS (SELECT c_nationkey AS tenant, c_name AS a, n_name AS b FROM customer JOIN nation ON n_nationkey = c_nationkey)
+    SELECT tenant, count(*) + 1 AS n_nodes, count(*) AS n_edges, min(a) || '>' || min(b) AS first FROM e GROUP BY tenant""",
+)
+def graph_search_documents(spark, sf):
+    """Each nation's customers as search documents of their structure, told by what they hold."""
+    k = F.col("c_nationkey").cast("long")
+    customers = table(spark, sf, "customer").select(k.alias("tenant"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"), F.col("c_name").alias("label"), F.lit("owl:NamedIndividual").alias("class_label"))
+    used = customers.select("tenant").distinct()
+    nations = table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("tenant"), F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("id"), F.col("n_name").alias("label"), F.lit("owl:Class").alias("class_label")).join(used, "tenant", "left_semi")
+    edges = customers.select("tenant", F.col("id").alias("src"), F.concat(F.lit("n"), F.col("tenant").cast("string")).alias("dst"), F.lit("LIVES_IN").alias("relation"))
+    found = export.graph_documents(customers.unionByName(nations), edges, 50)
+    held = found.select("tenant", F.from_json("content", "nodes array<struct<id:string,entity_type:string>>, edges array<struct<source:string,target:string,weight:int>>").alias("c")).select("tenant", "c.*")
+    first = F.min(F.array_min(F.transform("edges", lambda e: F.concat(e["source"], F.lit(">"), e["target"]))))
+    return held.groupBy("tenant").agg(F.sum(F.size("nodes")).alias("n_nodes"), F.sum(F.size("edges")).alias("n_edges"), first.alias("first"))
+
+
 @query("sorted_projects", "SELECT c_custkey AS id, row_number() OVER (ORDER BY c_name DESC, c_custkey) - 1 AS index FROM customer")
 def sorted_projects(spark, sf):
     return listings.sorted_projects(table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")), "name").select("id", "index")
@@ -360,6 +461,20 @@ def united_graphs(spark, sf):
     return listings.united((a, none), (b, none))[0].select("id", "label")
 
 
+@query(
+    "united_edges",
+    """WITH e AS (SELECT 'order:' || l_orderkey AS src, 'part:' || l_partkey AS dst, l_returnflag AS relation, 0 AS g, l_linenumber AS pos, 'first' AS label FROM lineitem WHERE l_linenumber < 5
+      UNION ALL SELECT 'order:' || l_orderkey, 'part:' || l_partkey, l_returnflag, 1, l_linenumber, 'second' FROM lineitem WHERE l_linenumber > 2)
+    SELECT src, dst, relation, pos::INTEGER AS pos, label FROM e QUALIFY row_number() OVER (PARTITION BY src, dst, relation ORDER BY g, pos) = 1""",
+)
+def united_edges(spark, sf):
+    """Edges of two graphs of lines, each once; those of both as the first has them."""
+    lines = table(spark, sf, "lineitem").select(model.key("order", "l_orderkey").alias("src"), model.key("part", "l_partkey").alias("dst"), F.col("l_returnflag").alias("relation"), F.col("l_linenumber").cast("int").alias("pos"))
+    nodes = table(spark, sf, "part").select(model.key("part", "p_partkey").alias("id"), F.col("p_partkey").alias("pos"))
+    a, b = lines.where("pos < 5").withColumn("label", F.lit("first")), lines.where("pos > 2").withColumn("label", F.lit("second"))
+    return listings.united((nodes, a), (nodes, b))[1].select("src", "dst", "relation", "pos", "label")
+
+
 @query("first_duplicates", "SELECT p_brand, count(*) AS n FROM part GROUP BY p_brand HAVING count(*) > 1 ORDER BY p_brand LIMIT 10")
 def first_duplicates(spark, sf):
     found = table(spark, sf, "part").groupBy("p_brand").agg(F.count(F.lit(1)).alias("n")).where("n > 1")

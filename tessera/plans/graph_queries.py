@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera import model
 from tessera.functions import ids, text
-from tessera.operators import aggregates, ancestry, control, export, extraction, graph, graph_documents, graph_sync, ivf, listings, matching, rdf, retrieval, schema_merge, validation, vector
+from tessera.operators import aggregates, ancestry, control, export, extraction, graph, graph_documents, graph_sync, ivf, listings, matching, ontology, rdf, retrieval, schema_merge, validation, vector
 from tessera.plans.catalog import query
 from tessera.storage import shared_dir, table
 
@@ -343,6 +343,86 @@ def _documents(spark, sf) -> DataFrame:
     return graph_documents.stored(nodes, edges)
 
 
+@query(
+    "typed_instances",
+    """WITH t AS (SELECT DISTINCT p_type AS name FROM part WHERE p_type <> 'ECONOMY') SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_type WHEN 1 THEN 'T_' || p_type ELSE 'label ' || p_type END AS type, 'T_' || name AS type_id, name IS NOT NULL AS known FROM part LEFT JOIN t ON name = p_type""",
+)
+def typed_instances(spark, sf):
+    """Parts as instances whose type is named by id, name or label, and those whose type the schema lacks."""
+    p, k = table(spark, sf, "part"), F.col("p_partkey")
+    text = lambda prefix: F.concat(F.lit(prefix), "p_type")
+    types = p.where("p_type <> 'ECONOMY'").select(text("T_").alias("id"), F.col("p_type").alias("name"), text("label ").alias("label")).distinct().withColumn("pos", F.lit(0))
+    rows = p.select("p_partkey", F.when(k % 3 == 0, F.col("p_type")).when(k % 3 == 1, text("T_")).otherwise(text("label ")).alias("type"))
+    good, bad = extraction.typed_instances(rows, types)
+    return good.select("p_partkey", "type", "type_id", F.lit(True).alias("known")).unionByName(bad.select("p_partkey", "type", F.lit(None).cast("string").alias("type_id"), F.lit(False).alias("known")))
+
+
+@query(
+    "merged_types",
+    """WITH x AS (SELECT p_brand AS id, p_partkey AS pos, unnest(['size', p_type]) AS name, unnest([1, 2]) AS nth, p_partkey FROM part), f AS (SELECT id, name, min(pos * 10 + nth) AS o, min(pos) AS pos FROM x GROUP BY id, name)
+    SELECT id, (SELECT p_name FROM part WHERE p_brand = f.id ORDER BY p_partkey LIMIT 1) AS label, string_agg(name || '=' || pos, ',' ORDER BY o) AS properties FROM f GROUP BY id""",
+)
+def merged_types(spark, sf):
+    """A type for each brand, with the first definition of each property that its parts define."""
+    k = F.col("p_partkey")
+    prop = lambda name: F.struct(name.alias("name"), k.cast("string").alias("data_type"))
+    rows = table(spark, sf, "part").select(F.col("p_brand").alias("id"), F.col("p_name").alias("label"), F.array(prop(F.lit("size")), prop(F.col("p_type"))).alias("properties"), k.alias("pos"))
+    found = extraction.merged_types(rows)
+    return found.select("id", "label", F.array_join(F.transform("properties", lambda q: F.concat(q["name"], F.lit("="), q["data_type"])), ",").alias("properties"))
+
+
+@query(
+    "schema_graph_edges",
+    "SELECT DISTINCT 'T' || l_partkey AS src, 'T' || l_suppkey AS dst, 'R' || l_linenumber AS relation, l_returnflag AS label FROM lineitem WHERE l_linenumber < 7",
+)
+def schema_graph_edges(spark, sf):
+    """A schema of a type for each part and links for each line, by id or name, as a graph; links to a type that doesn't exist are gone."""
+    p, line = table(spark, sf, "part"), table(spark, sf, "lineitem")
+    text = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string"))
+    types = p.select(text("T", "p_partkey").alias("id"), text("name:", "p_partkey").alias("name"), F.lit("").alias("label"), F.lit(None).alias("properties"), F.col("p_partkey").alias("pos"))
+    target = F.when(F.col("l_linenumber") == 7, "nothing").otherwise(text("name:", "l_suppkey"))
+    links = line.select(text("R", "l_linenumber").alias("name"), F.col("l_returnflag").alias("label"), text("T", "l_partkey").alias("source_object_type"), target.alias("target_object_type"))
+    return extraction.schema_graph(types, links)[1]
+
+
+def _schema_triples(spark, sf) -> DataFrame:
+    """A schema as triples: a class for each part, with a superclass and a property, and a relation for each pair of part and supplier's number."""
+    k = F.col("p_partkey")
+    text = lambda prefix, c: F.concat(F.lit(prefix), c.cast("string"))
+    prop = F.struct(text("q", k).alias("name"), F.col("p_brand").alias("label"), F.lit(None).cast("string").alias("description"), F.when(k % 2 == 0, "number").otherwise("date").alias("data_type"))
+    types = table(spark, sf, "part").select(
+        text("C_", k).alias("id"), F.col("p_name").alias("name"), F.when(k % 5 > 0, F.col("p_name")).alias("label"), F.lit("").alias("description"), F.when(k > 1, text("C_", F.floor(k / 2))).alias("sub_class_of"), F.array(prop).alias("properties")
+    )
+    pairs = table(spark, sf, "lineitem").select("l_partkey", "l_suppkey").distinct()
+    links = pairs.select(F.concat(F.lit("OP_"), F.col("l_partkey").cast("string"), F.lit("_"), F.col("l_suppkey").cast("string")).alias("id"), F.lit("by").alias("label"), F.lit(None).cast("string").alias("description"), text("C_", F.col("l_partkey")).alias("source"), text("C_", F.col("l_suppkey")).alias("target"))
+    none = links.limit(0)
+    instances = spark.createDataFrame([], "id string, label string, type string, object_props map<string,array<string>>, data_props map<string,string>")
+    return ontology.ontology_triples(types, links, none.select("id", "label", "description", "target"), instances)
+
+
+@query("class_table", "SELECT 'C_' || p_partkey AS class, CASE WHEN p_partkey % 5 > 0 THEN p_name ELSE 'C_' || p_partkey END AS label, CASE WHEN p_partkey > 1 THEN 'C_' || p_partkey // 2 END AS parent FROM part")
+def class_table(spark, sf):
+    """The classes that triples state, with label and parent."""
+    local = lambda c: F.substring_index(c, "#", -1).alias(c)
+    return rdf.class_table(_schema_triples(spark, sf)).select(local("class"), "label", local("parent"))
+
+
+@query("data_properties", "SELECT 'C_' || p_partkey AS class, 'q' || p_partkey AS property, CASE WHEN p_partkey % 2 = 0 THEN 'number' ELSE 'date' END AS data_type FROM part")
+def data_properties(spark, sf):
+    """The data properties that triples state, by class, with the schema's type."""
+    local = lambda c: F.substring_index(c, "#", -1).alias(c)
+    return rdf.data_properties(_schema_triples(spark, sf)).select(local("class"), local("property"), "data_type")
+
+
+@query(
+    "class_edges",
+    """SELECT 'C_' || p_partkey AS src, 'C_' || p_partkey // 2 AS dst, 'subClassOf' AS relation FROM part WHERE p_partkey > 1 UNION ALL SELECT DISTINCT 'C_' || l_partkey, 'C_' || l_suppkey, 'OP_' || l_partkey || '_' || l_suppkey FROM lineitem""",
+)
+def class_edges(spark, sf):
+    """The edges between classes that triples state."""
+    return ontology.class_edges(_schema_triples(spark, sf)).select("src", "dst", "relation")
+
+
 @query(
     "rows_with_reasons",
     """WITH l AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey % 5 > 0 THEN l_returnflag WHEN l_partkey % 2 = 0 THEN ' ' END AS relation, CASE WHEN l_suppkey % 7 > 0 THEN 's' || l_suppkey ELSE '' END AS source, CASE WHEN l_partkey % 11 > 0 THEN 'p' || l_partkey END AS target FROM lineitem)

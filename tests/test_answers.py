@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import text
-from tessera.operators import answers, containment, listings, merging, questions
+from tessera.operators import answers, containment, graph_documents, listings, merging, questions
 
 NODE = "id string, kind string, label string, class_label string, properties map<string,string>"
 LINK = "src string, dst string, relation string"
@@ -181,3 +181,20 @@ def test_plain_triples_and_download(spark):
     made = spark.createDataFrame([(1, "new"), (2, ""), (3, None)], "project int, content string")
     stored = spark.createDataFrame([(1, "old"), (2, "old"), (4, "old")], "project int, content string")
     assert sorted(map(tuple, merging.download(made, stored).collect())) == [(1, "new", False), (2, "old", True), (4, "old", True)]
+
+
+def test_chinese_names_go_by_pinyin(spark):
+    names = ["张三", "李四", "王五", "阿里", "abc", "赵六", "博时", None, "Zeta"]
+    rows = spark.createDataFrame(list(enumerate(names)), "id int, name string")
+    got = [names[r.id] for r in listings.sorted_projects(rows, "name", False).orderBy("index").collect()]
+    chinese = [n for n in got if n and not n.isascii()]
+    assert chinese == ["阿里", "博时", "李四", "王五", "张三", "赵六"] and got[-1] is None
+
+
+def test_kept_schemas_come_before_inferred_ones(spark):
+    docs = spark.createDataFrame([(1, '{"schema": {"classes": [{"label": "A", "data_properties": ["x"]}, {"id": "B"}, {}], "object_properties": [{"id": "r", "domain": "A"}]}}'), (2, '{"schema": {"classes": []}}'), (3, "cut {"), (4, None)], "tenant int, document string")
+    nodes = spark.createDataFrame([(t, f"n{i}", "l", "C" if i else None, {"p": "1", "id": "x"} if i == 1 else None) for t in (1, 2, 3, 5) for i in range(3)], "tenant int, id string, label string, class_label string, properties map<string,string>")
+    edges = spark.createDataFrame([(t, "n1", "n2", "TO") for t in (1, 2)], "tenant int, src string, dst string, relation string")
+    classes, relations = graph_documents.project_schemas(docs, nodes, edges)
+    assert sorted((r.tenant, r["class"], tuple(r.properties), r.cached) for r in classes.collect()) == [(1, "A", ("x",), True), (1, "B", (), True), (1, "Unknown", (), True), (2, "C", ("p",), False), (3, "C", ("p",), False), (5, "C", ("p",), False)]
+    assert sorted(map(tuple, relations.collect())) == [(1, "r", "A", "Unknown", True), (2, "TO", "C", "C", False)]

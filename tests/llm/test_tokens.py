@@ -111,3 +111,20 @@ def test_automaton_against_greedy_on_random_vocabularies():
         ends = np.cumsum([len(w) for w in words])
         got = linmaxmatch.Automaton(vocabulary).counts(data, ends - [len(w) for w in words], ends)
         assert got.tolist() == [greedy(b" " + w, set(vocabulary)) for w in words]
+
+
+def test_long_words_alone_and_side_by_side_count_alike():
+    """A word of megabytes takes seconds at most, and both ways agree around the length at which they change."""
+    import time
+
+    machine = linmaxmatch.automaton(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    pick = np.random.default_rng(4)
+    words = [bytes(pick.choice(np.frombuffer(b"etaoinshrdlu-_0123\xc3\xa9", np.uint8), n)) for n in (1, 2, 50, linmaxmatch.LONG - 1, linmaxmatch.LONG, linmaxmatch.LONG + 1, 5000)] + [b"a" * 4000, "é".encode() * 3000]
+    data = np.frombuffer(b"".join(words), np.uint8)
+    ends = np.cumsum([len(w) for w in words])
+    starts = ends - [len(w) for w in words]
+    assert machine.counts(data, starts, ends).tolist() == machine._together(data, starts, ends).tolist() == [machine._walk(w) for w in words]
+    began = time.perf_counter()
+    long = np.frombuffer(b"the-quick-brown-fox" * 100_000, np.uint8)
+    assert machine.counts(long, np.array([0]), np.array([len(long)]))[0] > 100_000
+    assert time.perf_counter() - began < 8

@@ -14,6 +14,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: By application, the tables that it has written.
+_written: dict[str, list[str]] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder for written intermediate tables, visible to the driver and all executors."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -30,9 +34,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession) -> int:
+    """Delete the tables that ``written`` has made in this application so far, and say how many.
+
+    For when results that read them have been stored: DataFrames over them can't be computed any more.
+    """
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return len(paths)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables of a scale-factor folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

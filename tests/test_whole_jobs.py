@@ -6,6 +6,7 @@ import operator
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from tessera import storage
 from tessera.operators import graph, vector
 from tessera.plans import catalog
 
@@ -49,3 +50,13 @@ def test_closure_has_no_depth_limit(spark):
     values = spark.createDataFrame([(n, "top")], "node int, value string")
     assert graph.nearest_value(up, values).where("node = 0").first().value == "top"
     assert graph.closure(spark.createDataFrame([(i, i + 1) for i in range(9)], "child int, parent int"), 5).agg(F.max("depth")).first()[0] == 5
+
+
+def test_written_tables_can_be_forgotten(spark):
+    from pathlib import Path
+
+    storage.forget(spark)
+    kept = storage.written(spark.range(5), "five")
+    folder = Path(storage.shared_dir(spark).removeprefix("file://"))
+    assert kept.count() == 5 and len(list(folder.glob("five-*"))) == 1
+    assert storage.forget(spark) == 1 and not list(folder.glob("five-*")) and storage.forget(spark) == 0

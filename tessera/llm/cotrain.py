@@ -5,7 +5,7 @@ by language, and length.  Both are logistic regressions on binned features, fitt
 hash of the doc_id, is held out.  In each of ``ROUNDS`` rounds either labels those documents without labels of which it is most
 confident, a share of all such documents for either class that grows from round to round (``SHARE``), and the other learns from those
 labels too.  They weigh together at most ``PSEUDO_WEIGHT`` of what the labels do, and less the nearer the giving view's order of the held-out rows
-is to chance.  At the end each view is calibrated on the held-out rows, and a last regression on both calibrated views gives the score of every document.
+may be to chance; a view that doesn't surely beat chance there teaches nothing.  At the end each view is calibrated on the held-out rows, and a last regression on both calibrated views gives the score of every document.
 
 The exchange covers all documents.  Their binned features are written once; a round is two passes over them: histograms of both views' scores,
 whose tails are the confident documents (a bin of the histogram is taken whole, so ties are), and the sums of first and second derivatives of
@@ -294,9 +294,11 @@ def held_out(y: np.ndarray, order: np.ndarray) -> np.ndarray:
 
 
 def _skill(score: np.ndarray, y: np.ndarray) -> float:
-    """How far the order of scores beats chance: 1 for a perfect one, 0 for chance or worse."""
+    """How far the order of scores surely beats chance, from 0 to 1: twice the area under the curve less two standard errors of chance, less 1."""
+    no, yes = (y == 0).sum(), (y == 1).sum()
     rank = np.searchsorted(np.sort(score[y == 0]), score[y == 1], "left") + np.searchsorted(np.sort(score[y == 0]), score[y == 1], "right")
-    return max(0.0, rank.mean() / max((y == 0).sum(), 1) - 1)
+    area, error = rank.mean() / (2 * no), np.sqrt((no + yes + 1) / (12 * no * yes))
+    return float(max(0.0, 2 * (area - 2 * error) - 1))
 
 
 def _edges(x: np.ndarray) -> np.ndarray:
@@ -324,12 +326,14 @@ def fit(content: np.ndarray, page: np.ndarray, y: np.ndarray, order: np.ndarray,
     logits = [x @ b[:-1] + b[-1] for x, b in zip(views, fitted, strict=True)]
     if not both:
         return Model(edges, *fitted, (np.array([1.0, 0.0]),) * 2, np.array([0.5, 0.5, 0.0]), given)
-    # few rows are held out where labels are few: towards unchanged views, equally combined, and to chances short of 0 and 1
+    # few rows are held out where labels are few: towards unchanged views, combined by how surely each beats chance, and to chances short of 0 and 1
+    skill = np.array([_skill(v[held], y[held]) for v in logits])
+    near = np.array([*(skill / skill.sum() if skill.sum() else (0.5, 0.5)), 0.0])
     yes, no = (y[held] == 1).sum(), (y[held] == 0).sum()
     goal, ones = np.where(y[held] == 1, (yes + 1) / (yes + 2), 1 / (no + 2)), np.ones(int(held.sum()))
     calibration = tuple(regression(v[held, None], goal, ones, np.array([1.0, 0.1]), near=np.array([1.0, 0.0])) for v in logits)
     joined = np.column_stack([c[0] * v + c[1] for c, v in zip(calibration, logits, strict=True)])
-    return Model(edges, *fitted, calibration, regression(joined[held], goal, ones, np.array([1.0, 1.0, 0.1]), near=np.array([0.5, 0.5, 0.0])), given)
+    return Model(edges, *fitted, calibration, regression(joined[held], goal, ones, np.array([1.0, 1.0, 0.1]), near=near), given)
 
 
 def _inputs(docs: DataFrame) -> list[Column]:

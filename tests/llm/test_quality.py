@@ -85,18 +85,21 @@ def brute(rows, labels, key_of):
         return newton([(vector(view, i), q) for i, q in taught], np.zeros(width), np.zeros(width), ridge, extra)
 
     fitted = [learn(0), learn(1)]
+    def surely(view):
+        score = {i: vector(view, i) @ fitted[view] for i, _ in tested}
+        pairs = [(score[i] > score[j]) + 0.5 * (score[i] == score[j]) for i, p in tested for j, q in tested if p == 1 and q == 0]
+        ones = sum(q == 1 for _, q in tested)
+        return max(0.0, 2 * (sum(pairs) / len(pairs) - 2 * math.sqrt((len(tested) + 1) / (12 * ones * (len(tested) - ones)))) - 1)
+
     share = sum(q for _, q in taught) / len(taught)
     for turn in range(cotrain.ROUNDS):
-        said, skill = [], []
+        said, skill = [], [surely(0), surely(1)]
         for view in (0, 1):
             bin_of = {i: min(cotrain.STEPS - 1, max(0, int((vector(view, i) @ fitted[view] + 35) * (cotrain.STEPS / 70)))) for i in pool}
             part = (turn + 1) * cotrain.SHARE
             low = sorted(bin_of.values())[max(1, int(part * len(pool) * (1 - share))) - 1]
             high = sorted(bin_of.values(), reverse=True)[max(1, int(part * len(pool) * share)) - 1]
             said.append({i: float(b >= high) for i, b in bin_of.items() if low < high and (b <= low or b >= high)})
-            score = {i: vector(view, i) @ fitted[view] for i, _ in tested}
-            pairs = [(score[i] > score[j]) + 0.5 * (score[i] == score[j]) for i, p in tested for j, q in tested if p == 1 and q == 0]
-            skill.append(max(0.0, 2 * sum(pairs) / len(pairs) - 1))
         new = []
         for view in (0, 1):
             told = said[1 - view]
@@ -113,14 +116,16 @@ def brute(rows, labels, key_of):
     logit = lambda view, i: vector(view, i) @ fitted[view]
     tuned = [newton([(np.array([logit(v, i), 1]), goal[q]) for i, q in tested], [1, 0], np.array([1, 0]), np.array([1.0, 0.1])) for v in (0, 1)]
     both = lambda i: np.array([*(tuned[v][0] * logit(v, i) + tuned[v][1] for v in (0, 1)), 1])
-    joint = newton([(both(i), goal[q]) for i, q in tested], [0.5, 0.5, 0], np.array([0.5, 0.5, 0]), np.array([1.0, 1.0, 0.1]))
+    skill = [surely(0), surely(1)]
+    near = [s / sum(skill) for s in skill] + [0] if sum(skill) else [0.5, 0.5, 0]
+    joint = newton([(both(i), goal[q]) for i, q in tested], near, np.array(near), np.array([1.0, 1.0, 0.1]))
     return {i: (chance(both(i)[0]), chance(both(i)[1]), chance(both(i) @ joint)) for i in by_id}
 
 
 def test_against_co_training_by_loops(spark):
-    docs, labels, _ = corpus(21, 160)
+    docs, labels, _ = corpus(21, 220)
     rows = [tuple(d[:5]) for d in docs]
-    labels = [(i, q) for i, q, _ in labels if i < 90]
+    labels = [(i, q) for i, q, _ in labels if i < 140]
     frame, known = spark.createDataFrame(rows, KIND).repartition(3), spark.createDataFrame(labels, "doc_id long, quality int")
     key_of = {r.doc_id: r.key for r in cotrain._picked(known, "quality").collect()}
     want = brute(rows, labels, key_of)

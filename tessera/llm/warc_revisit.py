@@ -31,6 +31,8 @@ PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "va
 #: Query parameters that don't name a page.
 TRACKING = r"^(utm_[a-z]+|ref|fbclid|gclid)(=|$)"
 BUCKET_SECONDS = 3600
+#: Shares of the rows without URL or time.
+LONE_SHARES = 1024
 
 
 def canonical_url(url: Column) -> Column:
@@ -61,14 +63,17 @@ def resolve(records: DataFrame, bucket_seconds: int = BUCKET_SECONDS) -> DataFra
         F.floor(F.unix_timestamp("ts") / bucket_seconds).alias("bucket"), F.when(full, response).alias("response"),
     )
     rows = rows.where((F.col("kind") == "revisit") | F.col("response").isNotNull())
+    # what has no URL or time finds nothing: dealt by its identifier, so that such rows don't meet in one task
+    lone = F.col("canonical_url").isNull() | F.col("ts").isNull()
+    rows = rows.withColumn("deal", F.when(lone, F.pmod(F.xxhash64("record_id"), F.lit(LONE_SHARES))).otherwise(F.lit(-1).cast("long")))
     order = [F.col("ts"), (F.col("kind") == "response").cast("int"), F.col("record_id")]
-    within = Window.partitionBy("canonical_url", "bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("canonical_url", "bucket", "deal").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     near = rows.withColumn("near", F.last("response", ignorenulls=True).over(within)).where("kind = 'revisit'")
     # the last full response of each bucket; ties go to the largest record_id as the order of fields in the struct says
-    last = rows.groupBy("canonical_url", "bucket").agg(F.max_by("response", F.when(F.col("response").isNotNull(), F.struct("ts", "record_id"))).alias("last"))
-    across = Window.partitionBy("canonical_url").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    carried = last.select("canonical_url", "bucket", F.last("last", ignorenulls=True).over(across).alias("far"))
-    found = near.join(carried, ["canonical_url", "bucket"], "left").withColumn("r", F.coalesce("near", "far"))
+    last = rows.groupBy("canonical_url", "bucket", "deal").agg(F.max_by("response", F.when(F.col("response").isNotNull(), F.struct("ts", "record_id"))).alias("last"))
+    across = Window.partitionBy("canonical_url", "deal").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.select("canonical_url", "bucket", "deal", F.last("last", ignorenulls=True).over(across).alias("far"))
+    found = near.join(carried, ["canonical_url", "bucket", "deal"], "left").withColumn("r", F.coalesce("near", "far"))
 
     checks = [_same(F.col(c), F.col(f"r.{c}")) for c in ("etag", "last_modified", "digest")]
     agree = F.coalesce(*checks)  # the strongest validator that both have decides

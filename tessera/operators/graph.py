@@ -90,20 +90,20 @@ def closure(pairs: DataFrame, depth: int | None = None) -> DataFrame:
     """(child, ancestor, depth): all ancestors with their least distance, each node its own at 0; with ``depth``, none further.
 
     Pairs are (child, parent).  Distances double from round to round, so rounds grow with the logarithm of
-    the longest chain; cycles end because only shorter distances replace longer ones.
+    the longest chain, and a round joins only pairs at the distance reached, so the work grows with the result; cycles end because only shorter distances replace longer ones.
     """
     own = pairs.select(F.col("child").alias("n")).union(pairs.select("parent")).distinct()
     known = pairs.where("child is not null and parent is not null").select("child", F.col("parent").alias("ancestor"), F.lit(1).alias("depth")).where("child <> ancestor").distinct()
-    known = written(known, "closure")
-    seen, reach = None, 1
+    known, reach = written(known, "closure"), 1
     while depth is None or reach < depth:
-        state = tuple(known.agg(F.count(F.lit(1)), F.sum("depth")).first())
-        if state == seen:
+        # what lies further than ``reach`` lies beyond a node at exactly that distance
+        edge = known.where(F.col("depth") == reach)
+        if edge.isEmpty():
             break
-        seen, reach = state, reach * 2
         up = known.select(F.col("child").alias("ancestor"), F.col("ancestor").alias("_far"), F.col("depth").alias("_more"))
-        steps = known.join(up, "ancestor").select("child", F.col("_far").alias("ancestor"), (F.col("depth") + F.col("_more")).alias("depth")).where("child <> ancestor")
+        steps = edge.join(up, "ancestor").select("child", F.col("_far").alias("ancestor"), (F.col("depth") + F.col("_more")).alias("depth")).where("child <> ancestor")
         known = written(known.unionByName(steps).groupBy("child", "ancestor").agg(F.min("depth").alias("depth")), "closure")
+        reach *= 2
     known = known if depth is None else known.where(F.col("depth") <= depth)
     return known.unionByName(own.where("n is not null").select(F.col("n").alias("child"), F.col("n").alias("ancestor"), F.lit(0).alias("depth")))
 

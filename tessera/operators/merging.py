@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions.ids import action_instance_id
 from tessera.operators import extraction, graph
 from tessera.operators.rdf import BASE, OWL, RDF, RDFS
+from tessera.storage import written
 
 #: Relations and labels that aren't relations of a schema.
 TYPE_RELATIONS, SUBCLASS = ("rdf:type", "type", "subClassOf", "subclass_of"), ("subClassOf", "subclass_of")
@@ -183,6 +184,7 @@ def instances_in_graph(instances: DataFrame, actions: DataFrame, classes: DataFr
     own = F.map_filter("properties", lambda k, v: ~k.isin(*ACTION_KEYS))
     bare = F.col("_named").isNotNull() & F.col("_old").isNull() & (F.size(own) == 0) & (F.coalesce(F.size("object_props"), F.lit(0)) <= 0)
     kept = placed.join(names, "label", "left").join(old, "id", "left").where(~bare)
+    kept = written(kept.select("id", "label", "pos", "class_id", "class_label", "definitions", "properties", "object_props", "_old"), "kept")  # read by five branches
     keyed = F.when(F.col("definitions").isNull(), F.col("properties")).otherwise(labelled_keys(F.col("properties"), F.col("definitions")))
     fresh = graph.first_by(kept.where("_old is null").select("id", "pos", "label", F.coalesce("class_label", F.lit("")).alias("class_label"), keyed.alias("properties")), ["id"], ["pos"])
     nodes = fresh.select("id", "label", "class_label", "properties")

@@ -138,3 +138,15 @@ def collection(spark: SparkSession, name: str, size: int) -> DataFrame:
 def collections(spark: SparkSession, prefix: str = "") -> list[str]:
     """The names of the vector collections, sorted."""
     return sorted(t.name for t in spark.catalog.listTables() if not t.isTemporary and t.name.startswith(prefix))
+
+
+def domain_stats(domains: DataFrame, projects: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(domain, n_projects, n_filled, n_nodes, n_edges): for every domain its projects, those with a node, and what their graphs hold.
+
+    domains: id; projects: id, domain; nodes: tenant (the project); edges: tenant.  A domain without projects has zeros; projects of no known domain count for none.
+    """
+    counted = lambda rows, n: rows.groupBy(F.col("tenant").alias("project")).agg(F.count(F.lit(1)).alias(n))
+    mine = projects.select(F.col("id").alias("project"), "domain").join(counted(nodes, "n_nodes"), "project", "left").join(counted(edges, "n_edges"), "project", "left")
+    by = mine.groupBy("domain").agg(F.count(F.lit(1)).alias("n_projects"), F.count("n_nodes").alias("n_filled"), F.sum("n_nodes").alias("n_nodes"), F.sum("n_edges").alias("n_edges"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return domains.select(F.col("id").alias("domain")).join(by, "domain", "left").select("domain", *[zero(c) for c in ("n_projects", "n_filled", "n_nodes", "n_edges")])

@@ -68,6 +68,17 @@ def type_counts(triples: DataFrame) -> DataFrame:
     return typed.groupBy("source", F.substring_index("o", "#", -1).alias("type")).agg(F.count_distinct("s").alias("n"))
 
 
+def type_pivot(triples: DataFrame, sources: list[str]) -> DataFrame:
+    """(type, a column for each of some sources, total): how many subjects of each type every file declares; 0 where a file has none.
+
+    A subject counts once for each file that declares it; ``total`` counts it once, whatever the files, also those not asked for.
+    """
+    said = triples.where(F.col("p") == RDF + "type").select("source", "s", F.regexp_extract("o", "([^#/]*)$", 1).alias("type")).distinct()
+    by = said.groupBy("type").pivot("source", sources).agg(F.count(F.lit(1)))
+    whole = said.select("type", "s").distinct().groupBy("type").agg(F.count(F.lit(1)).alias("total"))
+    return whole.join(by, "type").select("type", *[F.coalesce(F.col(f"`{x}`"), F.lit(0)).alias(x) for x in sources], "total")
+
+
 def conflicts(triples: DataFrame) -> DataFrame:
     """(s, p, n_sources, n_versions): properties for which sources give different sets of values."""
     literal = triples.where("o_kind = 'literal'")

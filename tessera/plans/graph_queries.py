@@ -302,6 +302,29 @@ def triple_type_counts(spark, sf):
     return rdf.type_counts(_all_triples(spark, sf))
 
 
+@query(
+    "triple_type_pivot",
+    "WITH t AS (SELECT l_returnflag AS source, l_partkey AS s, 'T' || l_linenumber % 3 AS type FROM lineitem) SELECT type, count(DISTINCT CASE WHEN source = 'A' THEN s END) AS A, count(DISTINCT CASE WHEN source = 'R' THEN s END) AS R, count(DISTINCT CASE WHEN source = 'X' THEN s END) AS X, count(DISTINCT s) AS total FROM t GROUP BY type",
+)
+def triple_type_pivot(spark, sf):
+    """The types that three files declare for parts, one of which has none."""
+    n = F.col("l_linenumber") % 3
+    rows = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("source"), model.key("part", "l_partkey").alias("s"), F.lit(rdf.RDF + "type").alias("p"), F.concat(F.lit(rdf.BASE + "T"), n.cast("string")).alias("o"))
+    return rdf.type_pivot(rows, ["A", "R", "X"])
+
+
+@query(
+    "domain_stats",
+    f"""WITH {NODES_SQL}, p AS (SELECT n_nationkey AS project, n_regionkey AS domain, (SELECT count(*) FROM nodes WHERE tenant = n_nationkey) AS n, (SELECT count(*) FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_nationkey = n_nationkey) AS e FROM nation WHERE n_regionkey > 0)
+    SELECT r_regionkey AS domain, count(project) AS n_projects, count(CASE WHEN n > 0 THEN 1 END) AS n_filled, coalesce(sum(n), 0)::BIGINT AS n_nodes, coalesce(sum(e), 0)::BIGINT AS n_edges FROM region LEFT JOIN p ON domain = r_regionkey GROUP BY 1""",
+)
+def domain_stats(spark, sf):
+    """Regions as domains, nations as projects, and what their graphs hold; one region has no projects."""
+    projects = table(spark, sf, "nation").where("n_regionkey > 0").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_regionkey").cast("long").alias("domain"))
+    edges = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_nationkey").cast("long").alias("tenant"))
+    return listings.domain_stats(table(spark, sf, "region").select(F.col("r_regionkey").cast("long").alias("id")), projects, model.nodes(spark, sf), edges)
+
+
 @query("turtle_lines", f"{_LINES_SQL} SELECT value FROM line")
 def turtle_lines(spark, sf):
     """The whole graph written as lines."""

@@ -878,7 +878,7 @@ _STOP = ", ".join(f"'{c}'" for c in matching.STOP)
     "fuzzy_attributes",
     f"""WITH known AS (SELECT p_partkey AS pos, CASE p_partkey % 3 WHEN 0 THEN p_brand || ' ' || p_partkey WHEN 1 THEN p_type || p_size ELSE means || p_partkey END AS name
       FROM part JOIN (SELECT means, row_number() OVER (ORDER BY means) - 1 AS r FROM (SELECT DISTINCT means FROM {_NAMES})) ON r = p_partkey % (SELECT count(DISTINCT means) FROM {_NAMES})),
-    asked AS (SELECT DISTINCT CASE p_partkey % 5 WHEN 0 THEN p_brand || ' ' || p_partkey WHEN 1 THEN substr(p_brand, 2) WHEN 2 THEN p_type || p_size || (SELECT ending FROM {_ENDINGS} WHERE i = p_partkey % {len(matching.ENDINGS)})
+    asked AS (SELECT DISTINCT CASE p_partkey % 5 WHEN 0 THEN CASE WHEN p_partkey % 3 = 0 THEN p_brand || ' ' || p_partkey ELSE p_brand END WHEN 1 THEN substr(p_brand, 2) WHEN 2 THEN p_type || p_size || (SELECT ending FROM {_ENDINGS} WHERE i = p_partkey % {len(matching.ENDINGS)})
       WHEN 3 THEN (SELECT list(also ORDER BY also) FROM {_NAMES})[p_partkey % {len(matching.ATTRIBUTE_NAMES)} + 1] ELSE 'x' || reverse(p_brand) END AS asked FROM part),
     stem AS (SELECT asked, i, left(asked, len(asked) - len(ending)) AS stem FROM asked JOIN {_ENDINGS} ON ends_with(asked, ending)),
     letters AS (SELECT asked, list_filter(string_split(asked, ''), lambda c: c NOT IN ('', {_STOP})) AS t FROM asked),
@@ -894,7 +894,7 @@ def fuzzy_attributes(spark, sf):
     listed = lambda words, at: F.get(F.array(*[F.lit(w) for w in words]), at.cast("int"))
     p = table(spark, sf, "part")
     name = F.when(k % 3 == 0, F.concat_ws(" ", "p_brand", k.cast("string"))).when(k % 3 == 1, F.concat("p_type", F.col("p_size").cast("string"))).otherwise(F.concat(listed(means, k % len(means)), k.cast("string")))
-    said = F.when(k % 5 == 0, F.concat_ws(" ", "p_brand", k.cast("string"))).when(k % 5 == 1, F.substring("p_brand", 2, 99)).when(k % 5 == 2, F.concat("p_type", F.col("p_size").cast("string"), listed(matching.ENDINGS, k % len(matching.ENDINGS))))
+    said = F.when(k % 15 == 0, F.concat_ws(" ", "p_brand", k.cast("string"))).when(k % 5 == 0, F.col("p_brand")).when(k % 5 == 1, F.substring("p_brand", 2, 99)).when(k % 5 == 2, F.concat("p_type", F.col("p_size").cast("string"), listed(matching.ENDINGS, k % len(matching.ENDINGS))))
     said = said.when(k % 5 == 3, listed(sorted(matching.ATTRIBUTE_NAMES), k % len(matching.ATTRIBUTE_NAMES))).otherwise(F.concat(F.lit("x"), F.reverse("p_brand")))
     return matching.attributes(p.select(said.alias("asked")), p.select(name.alias("name"), k.alias("pos")))
 

@@ -41,10 +41,10 @@ def property_uri(name: Column, always_hash: bool = False) -> Column:
     return F.when(name.rlike("^[a-zA-Z][a-zA-Z0-9_]*$"), name).otherwise(F.concat(F.lit("DP_"), short_md5(name)))
 
 
-def node_uri(id_: Column) -> Column:
-    """As property_uri, but the hash keeps the id's category prefix."""
+def node_uri(id_: Column, digits: int = 8) -> Column:
+    """As property_uri, but the hash keeps the id's category prefix; of eight digits, some 100,000 ids have two with the same."""
     prefix = F.regexp_extract(id_, "^(C|AT|I|OP|DP)_", 1)
-    return F.when(id_.rlike("^[a-zA-Z][a-zA-Z0-9_]*$"), id_).otherwise(F.concat(F.when(prefix == "", OTHER_PREFIX).otherwise(prefix), F.lit("_"), short_md5(id_)))
+    return F.when(id_.rlike("^[a-zA-Z][a-zA-Z0-9_]*$"), id_).otherwise(F.concat(F.when(prefix == "", OTHER_PREFIX).otherwise(prefix), F.lit("_"), short_md5(id_, digits)))
 
 
 def import_node_id(name: Column) -> Column:

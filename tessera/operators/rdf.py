@@ -19,10 +19,13 @@ XSD_TYPES = {"string": "string", "number": "decimal", "boolean": "boolean", "dat
 TRIPLE = ["s", "p", "o", "o_kind", "lang", "datatype"]
 
 
-def graph_triples(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """A property graph as triples: types, labels, properties and relations."""
+def graph_triples(nodes: DataFrame, edges: DataFrame, digits: int = 8) -> DataFrame:
+    """A property graph as triples: types, labels, properties and relations.
+
+    ``digits`` of a hash name a node: with 8, as written graphs have it, nodes of a large graph meet; with 32 each stays itself.
+    """
     none = F.lit(None).cast("string")
-    uri = lambda c: F.concat(F.lit(BASE), node_uri(F.col(c)))
+    uri = lambda c: F.concat(F.lit(BASE), node_uri(F.col(c), digits))
     triple = lambda p, o, kind, lang=none: F.struct(p.alias("p"), o.alias("o"), F.lit(kind).alias("o_kind"), lang.alias("lang"), none.alias("datatype"))
     fixed = F.array(
         triple(F.lit(RDF + "type"), F.when(F.col("kind") == "Class", OWL + "Class").otherwise(OWL + "NamedIndividual"), "iri"),

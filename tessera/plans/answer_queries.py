@@ -303,11 +303,12 @@ def instances_in_graph(spark, sf):
 )
 def instance_nodes(spark, sf):
     """The nodes that the same instances and actions add."""
-    found = _instances_in_graph(spark, sf)[0]
+    found = _instances_in_graph(spark, sf, "label")[0]  # of actions whose hashes meet, the one with the smallest label
     return found.select("id", "label", "class_label", F.try_element_at("properties", F.lit("品牌")).alias("brand"))
 
 
-def _instances_in_graph(spark, sf):
+def _instances_in_graph(spark, sf, first="pos"):
+    """Nodes and edges; of actions with one id the one with the smallest pos or label counts."""
     line, orders, parts = (table(spark, sf, n) for n in ("lineitem", "orders", "part"))
     named = line.select("l_orderkey", model.key("part", "l_partkey").alias("target")).groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_set("target").alias("targets"))
     none = F.create_map().cast("map<string,array<string>>")
@@ -321,6 +322,7 @@ def _instances_in_graph(spark, sf):
         F.concat(F.lit("ship "), F.col("o_orderkey").cast("string")).alias("label"), F.lit("ship").alias("action_type"), F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("target"),
         F.lit("C_order").alias("target_type"), empty.alias("parameters"), F.col("o_orderkey").cast("long").alias("pos"),
     )
+    actions = actions.withColumn("pos", F.col(first))
     classes = spark.createDataFrame([("C_order", "", "order", None, 0), ("C_part", "", "part", [("p_brand", "品牌")], 1), ("AT_ship", "AT_ship", "ship", None, 2)], "id string, raw_id string, label string, definitions array<struct<name:string,label:string>>, pos int")
     labels = spark.createDataFrame([("OP_contains", "CONTAINS")], "prop_id string, label string")
     return merging.instances_in_graph(a.unionByName(b), actions, classes, classes.select("id"), labels)

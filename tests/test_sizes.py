@@ -42,6 +42,11 @@ def test_triple_type_counts_where_hashes_meet(spark, tmp_path):
     assert {r.source: r.n for r in graph(spark, tmp_path)("triple_type_counts")} == {"region": 1, "nation": 1, "customer": 2, "supplier": 1, "part": 1}
 
 
+def test_turtle_lines_where_hashes_meet(spark, tmp_path):
+    lines = [r.value for r in graph(spark, tmp_path)("turtle_lines")]
+    assert len([x for x in lines if "Node_2945568b" in x]) == 8 and len(lines) == 6 * 2 + 2 + 2 + 5
+
+
 def test_instance_nodes_where_hashes_meet(spark, tmp_path):
     found = {r.id: r.label for r in graph(spark, tmp_path)("instance_nodes")}
     assert sorted(x for i, x in found.items() if i.startswith("action_")) == ["ship 102418", "ship 226956"] and len(found) == 6

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tessera.functions.text import PRODUCT_CODE, keywords_in, quoted
 from tessera.operators import containment, matching
 from tessera.operators.retrieval import edge_facts, top
+from tessera.storage import written
 
 #: The forms of product codes, the strictest first.
 CODES = (PRODUCT_CODE, "[A-Z]{1,2}[0-9]{5,6}", "[0-9]{5,7}")
@@ -89,7 +90,8 @@ def ladder(questions: DataFrame, nodes: DataFrame, edges: DataFrame, number: str
     with the relations of the labels; entities in labels or the ``share`` property; keywords in labels; and at last (rung 4) the
     first individuals of all.  All but keywords find individuals only.  Each gives the first rows by id.  A question with null text has rung 4; without nodes there are no facts.
     """
-    terms = search_terms(questions)
+    asked = written(search_terms(questions), "asked")
+    terms = asked.select("rung", "term").distinct()  # each search is made once, however many questions want it
     prop = lambda key: F.try_element_at("properties", F.lit(key))
     single = F.coalesce(F.col("kind") == "NamedIndividual", F.lit(False))
     texts = nodes.select("id", single.alias("single"), F.inline(F.array(*[F.struct(F.lit(f).alias("field"), c.alias("text")) for f, c in (("label", F.col("label")), ("id", F.col("id")), ("number", prop(number)), ("share", prop(share)))])))
@@ -99,14 +101,18 @@ def ladder(questions: DataFrame, nodes: DataFrame, edges: DataFrame, number: str
     for rung, fields in fits.items():
         ok = ok | (F.col("rung") == rung) & F.col("field").isin(*fields) & (F.lit(rung == 3) | F.col("single"))
     hits = terms.join(found, "term").where(ok)
-    named = hits.select("question", "rung", "term", "id").distinct()
-    few = _first(named.where("rung < 3"), ["question", "rung", "term"], NODES, "id").unionByName(_first(named.where("rung = 3").select("question", "rung", "id").distinct().withColumn("term", F.lit("")), ["question"], ANY, "id"))
+    named = hits.select("rung", "term", "id").distinct()
+    # the first of a question's keywords together are among the first of each
+    firsts = written(_first(named.where("rung < 3"), ["rung", "term"], NODES, "id").unionByName(_first(named.where("rung = 3"), ["rung", "term"], ANY, "id")), "firsts")
+    few = asked.join(firsts, ["rung", "term"]).select("question", "rung", "id").distinct()
+    few = few.where("rung < 3").unionByName(_first(few.where("rung = 3"), ["question"], ANY, "id"))
     label = nodes.select("id", F.coalesce("label", "id").alias("subject"))
     none = F.lit(None).cast("string")
-    node_rows = few.select("question", "rung", "id").distinct().join(label, "id").select("question", "rung", F.lit("node").alias("type"), "subject", none.alias("predicate"), none.alias("object"))
-    starts = hits.where("rung = 1 and field = 'label'").select("question", "term", F.col("id").alias("src"))
+    labelled = written(firsts.select("id").distinct().join(label, "id"), "labelled")
+    node_rows = few.join(labelled, "id").select("question", "rung", F.lit("node").alias("type"), "subject", none.alias("predicate"), none.alias("object")).distinct()
+    starts = hits.where("rung = 1 and field = 'label'").select("term", F.col("id").alias("src"))
     linked = starts.join(edges.select("src", "dst", "relation"), "src").join(nodes.select(F.col("id").alias("dst"), F.col("label").alias("object")), "dst")
-    linked = _first(linked, ["question", "term"], LINKS, "src", "relation", "dst").join(nodes.select(F.col("id").alias("src"), F.col("label").alias("subject")), "src")
+    linked = _first(linked, ["term"], LINKS, "src", "relation", "dst").join(asked.where("rung = 1").select("question", "term"), "term").join(nodes.select(F.col("id").alias("src"), F.col("label").alias("subject")), "src")
     facts = node_rows.unionByName(linked.select("question", F.lit(1).alias("rung"), F.lit("edge").alias("type"), "subject", F.col("relation").alias("predicate"), "object").distinct())
     best = facts.groupBy("question").agg(F.min("rung").alias("rung"))
     rest = questions.select("question").distinct().join(best, "question", "left_anti")

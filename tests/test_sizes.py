@@ -50,3 +50,11 @@ def test_turtle_lines_where_hashes_meet(spark, tmp_path):
 def test_instance_nodes_where_hashes_meet(spark, tmp_path):
     found = {r.id: r.label for r in graph(spark, tmp_path)("instance_nodes")}
     assert sorted(x for i, x in found.items() if i.startswith("action_")) == ["ship 102418", "ship 226956"] and len(found) == 6
+
+
+def test_searches_are_made_once_for_all_questions(spark):
+    asked = spark.createDataFrame([(i, 'about "BIG"') for i in range(50)] + [(99, "风险等级 of all")], "question long, text string")
+    nodes = spark.range(300).select(F.format_string("n%03d", "id").alias("id"), F.lit("NamedIndividual").alias("kind"), F.concat(F.lit("BIG 风险等级 "), (F.col("id") / 2).cast("int").cast("string")).alias("label"), F.create_map().cast("map<string,string>").alias("properties"))
+    got = questions.ladder(asked, nodes, spark.createDataFrame([], "src string, dst string, relation string")).collect()
+    # the first ten and twenty nodes, of which two each say the same
+    assert sorted((r.question, r.rung, r.subject) for r in got) == sorted([(i, 2, f"BIG 风险等级 {k}") for i in range(50) for k in range(5)] + [(99, 3, f"BIG 风险等级 {k}") for k in range(10)])

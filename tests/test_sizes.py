@@ -58,3 +58,10 @@ def test_searches_are_made_once_for_all_questions(spark):
     got = questions.ladder(asked, nodes, spark.createDataFrame([], "src string, dst string, relation string")).collect()
     # the first ten and twenty nodes, of which two each say the same
     assert sorted((r.question, r.rung, r.subject) for r in got) == sorted([(i, 2, f"BIG 风险等级 {k}") for i in range(50) for k in range(5)] + [(99, 3, f"BIG 风险等级 {k}") for k in range(10)])
+
+
+def test_letters_of_names_are_not_broadcast(spark):
+    names = spark.range(200).select(F.concat(F.lit("name "), F.col("id").cast("string")).alias("name"), F.col("id").alias("pos"))
+    found = matching.attributes(spark.range(3).select(F.concat(F.lit("eman"), F.col("id").cast("string")).alias("asked")), names)
+    assert re.search(r"SortMergeJoin \[c#", plan(found)) and not re.search(r"BroadcastHashJoin \[c#", plan(found))
+    assert sorted(map(tuple, found.collect())) == [("eman0", "name 0", 6), ("eman1", "name 1", 6), ("eman2", "name 2", 6)]

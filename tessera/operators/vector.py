@@ -48,7 +48,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, where: Column | No
         shares = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         spread = packs.withColumn("_share", F.pmod(F.xxhash64("_v_pack"), F.lit(shares)).cast("int"))
         every = written(asked, "queries").withColumn("_to", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
-        blocks = spread.join(every, (F.col("_v_size") == F.col("_q_size")) & (F.col("_share") == F.col("_to")))
+        # never broadcast: exploded queries are many more bytes than Spark reckons
+        blocks = spread.hint("merge").join(every, (F.col("_v_size") == F.col("_q_size")) & (F.col("_share") == F.col("_to")))
     schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("vec_id", vectors.schema["vec_id"].dataType), T.StructField("similarity", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -65,3 +65,11 @@ def test_letters_of_names_are_not_broadcast(spark):
     found = matching.attributes(spark.range(3).select(F.concat(F.lit("eman"), F.col("id").cast("string")).alias("asked")), names)
     assert re.search(r"SortMergeJoin \[c#", plan(found)) and not re.search(r"BroadcastHashJoin \[c#", plan(found))
     assert sorted(map(tuple, found.collect())) == [("eman0", "name 0", 6), ("eman1", "name 1", 6), ("eman2", "name 2", 6)]
+
+
+def test_many_queries_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(vector, "MOST_QUERIES", 3)
+    e = spark.range(40).select("id", F.array(F.col("id") % 7 + 1.0, F.col("id") % 3 + 0.0).alias("embedding"))
+    found = vector.top_k(e.withColumnRenamed("id", "vec_id"), e.where("id % 3 = 0").withColumnRenamed("id", "query_id"), 2)
+    assert "SortMergeJoin" in plan(found) and "BroadcastHashJoin" not in plan(found)
+    assert found.count() == 28

@@ -73,3 +73,9 @@ def test_many_queries_are_not_broadcast(spark, monkeypatch):
     found = vector.top_k(e.withColumnRenamed("id", "vec_id"), e.where("id % 3 = 0").withColumnRenamed("id", "query_id"), 2)
     assert "SortMergeJoin" in plan(found) and "BroadcastHashJoin" not in plan(found)
     assert found.count() == 28
+
+
+def test_actions_take_the_first_of_types_with_one_name(spark):
+    types = spark.createDataFrame([("b big", None, 2), ("b big", "拒绝申请", 1), ("a", "b big", 0), ("c", "拒绝申请", 3)], "name string, label string, pos long")
+    got = matching.actions(spark.createDataFrame([("the b big one",), ("b big",), ("拒绝赎回",)], "action string"), types)
+    assert sorted(map(tuple, got.collect())) == [("b big", "a", 1), ("the b big one", "a", 2), ("拒绝赎回", "b big", 3)]

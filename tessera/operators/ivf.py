@@ -166,7 +166,8 @@ def search(index: Index, queries: DataFrame, k: int = 5, nprobe: int = NPROBE, w
     split = spark.createDataFrame([(c, s) for c, n in enumerate(index.shares.tolist()) for s in range(n)], "cell int, share int")
     probes = _vectors(queries, "query_id").mapInArrow(probe, asked).join(split, "cell")
     counts = (F.transform("payload", where) if where is not None else F.lit(None)).cast("array<boolean>").alias("counts")
-    found = index.packs.select("cell", "share", "ids", counts, "data").join(probes, ["cell", "share"]).select("ids", "counts", "data", "query_ids", "query_data").mapInArrow(compare, schema)
+    # never broadcast: a query goes to many cells, which Spark doesn't reckon
+    found = index.packs.select("cell", "share", "ids", counts, "data").hint("merge").join(probes, ["cell", "share"]).select("ids", "counts", "data", "query_ids", "query_data").mapInArrow(compare, schema)
     best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
     return found.select(*schema.names).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).withColumn("similarity", F.round("similarity", 6))
 

@@ -98,6 +98,23 @@ def _tour(tree: DataFrame, nodes: DataFrame) -> DataFrame:
     return down.unionByName(up)
 
 
+def _stabbed(points: DataFrame, intervals: DataFrame) -> DataFrame:
+    """Points (root, at, and more) with each different interval (_root, _low, _high) of intervals (root, low, high) that holds them.
+
+    An interval is the union of blocks of 2^level places, at most two a level, and a point lies in one block a level: equality of blocks finds
+    what a range would have to be compared for.
+    """
+    spans = intervals.select("root", "low", "high").distinct()
+    longest = spans.agg(F.max(F.col("high") - F.col("low") + 1)).first()[0] or 1
+    levels = F.explode(F.sequence(F.lit(0), F.lit(int(longest).bit_length() - 1))).alias("level")
+    each = spans.select("root", "low", "high", levels).withColumns({"_unit": F.expr("shiftleft(1L, level)"), "_to": F.expr("shiftright(high + 1, level)")})
+    each = each.withColumn("_from", F.expr("shiftright(low + _unit - 1, level)")).withColumn("_after", F.col("_from") + F.abs(F.col("_from") % 2))
+    ends = F.array(F.when((F.col("_from") % 2 != 0) & (F.col("_from") < F.col("_to")), F.col("_from")), F.when((F.col("_to") % 2 != 0) & (F.col("_after") < F.col("_to")), F.col("_to") - 1))
+    blocks = each.select("root", "level", F.explode(F.array_compact(ends)).alias("block"), F.col("root").alias("_root"), F.col("low").alias("_low"), F.col("high").alias("_high"))
+    dealt = points.select("*", levels).withColumn("block", F.expr("shiftright(at, level)"))
+    return dealt.hint("merge").join(blocks, ["root", "level", "block"]).drop("level", "block")
+
+
 def build(pairs: DataFrame, local: int | None = None) -> Ancestry:
     """Labels of all classes of pairs (child, parent)."""
     text = lambda c: F.col(c).cast("string").alias(c)
@@ -118,14 +135,21 @@ def build(pairs: DataFrame, local: int | None = None) -> Ancestry:
     beside = edges.join(tree, ["child", "parent"], "left_anti")
     to = labels.select(F.col("node").alias("parent"), F.col("root").alias("to_root"), F.col("low").alias("to_low"))
     extra = written(beside.join(labels.withColumnRenamed("node", "child"), "child").join(to, "parent").select("root", "low", "high", "to_root", "to_low").distinct(), "extra")
-    size = extra.count()
-    while size:  # doubling: what stands somewhere also stands where the edges from there on lead
-        on = extra.select(F.col("root").alias("to_root"), F.col("low").alias("_low"), F.col("high").alias("_high"), F.col("to_root").alias("_root"), F.col("to_low").alias("_to"))
-        further = extra.join(on, "to_root").where("to_low between _low and _high").select("root", "low", "high", F.col("_root").alias("to_root"), F.col("_to").alias("to_low"))
-        extra = written(extra.unionByName(further).distinct(), "extra")
-        before, size = size, extra.count()
+    # where what stands at one place also stands: through the edges whose intervals hold the place; closed by doubling, over places alone
+    places = extra.select(F.col("to_root").alias("root"), F.col("to_low").alias("at")).distinct()
+    ways = _stabbed(places, extra).select(F.col("root").alias("to_root"), F.col("at").alias("to_low"), *[F.col(f"_{c}").alias(c) for c in ("root", "low", "high")])
+    edge = extra.select("root", "low", "high", F.col("to_root").alias("_root"), F.col("to_low").alias("_low"))
+    ways = written(ways.join(edge, ["root", "low", "high"]).select("to_root", "to_low", "_root", "_low").distinct(), "ways")
+    size = ways.count()
+    while size:
+        on = ways.select(F.col("to_root").alias("_root"), F.col("to_low").alias("_low"), F.col("_root").alias("_next_root"), F.col("_low").alias("_next_low"))
+        further = ways.join(on, ["_root", "_low"]).select("to_root", "to_low", F.col("_next_root").alias("_root"), F.col("_next_low").alias("_low"))
+        ways = written(ways.unionByName(further).distinct(), "ways")
+        before, size = size, ways.count()
         if size == before:
             break
+    beyond = extra.join(ways, ["to_root", "to_low"]).select("root", "low", "high", F.col("_root").alias("to_root"), F.col("_low").alias("to_low"))
+    extra = written(extra.unionByName(beyond).distinct(), "extra")
     return Ancestry(labels, extra)
 
 
@@ -137,7 +161,11 @@ def holds(pairs: DataFrame, ancestry: Ancestry) -> DataFrame:
     above = labels.select(F.col("node").alias("ancestor"), F.col("root").alias("_to_root"), F.col("low").alias("_low"), F.col("high").alias("_high"))
     placed = written(asked.where("child <> ancestor").join(own, "child").join(above, "ancestor"), "asked")
     inside = placed.where("_root = _to_root and _at between _low and _high").select("child", "ancestor")
-    around = placed.join(extra, (F.col("_root") == F.col("root")) & (F.col("_to_root") == F.col("to_root"))).where("_at between low and high and to_low between _low and _high").select("child", "ancestor")
+    # the places where a child also stands are found once for each, not for each pair
+    points = placed.select("child", F.col("_root").alias("root"), F.col("_at").alias("at")).distinct()
+    edge = extra.select(F.col("root").alias("_root"), F.col("low").alias("_low"), F.col("high").alias("_high"), F.col("to_root").alias("_to_root"), "to_low")
+    stands = written(_stabbed(points, extra).join(edge, ["_root", "_low", "_high"]).select("child", "_to_root", "to_low").distinct(), "stands")
+    around = placed.hint("merge").join(stands, ["child", "_to_root"]).where("to_low between _low and _high").select("child", "ancestor")
     return asked.where("child = ancestor").unionByName(inside).unionByName(around).distinct()
 
 

@@ -49,6 +49,16 @@ def test_trees_with_second_parents(spark):
     check(spark, [], 10)
 
 
+def test_points_meet_intervals_by_blocks(spark):
+    pick = random.Random(5)
+    spans = [(pick.choice("ab"), low, low + pick.randrange(60)) for low in (pick.randrange(-150, 0) for _ in range(60))]
+    points = [(r, at) for r in "ab" for at in range(-160, 70)]
+    found = ancestry._stabbed(spark.createDataFrame(points, "root string, at long"), spark.createDataFrame(spans, "root string, low long, high long"))
+    want = sorted({(r, at, low, high) for r, at in points for t, low, high in spans if r == t and low <= at <= high})
+    assert sorted((r.root, r["at"], r._low, r._high) for r in found.collect()) == want
+    assert "block" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 @pytest.mark.parametrize(("n", "local"), [(100_000, 10**6), (2_000, 100)])
 def test_long_chain(spark, n, local):
     pairs = spark.range(1, n + 1).select(F.col("id").alias("child"), (F.col("id") - 1).alias("parent"))

@@ -75,6 +75,14 @@ def test_many_queries_are_not_broadcast(spark, monkeypatch):
     assert found.count() == 28
 
 
+def test_many_queries_of_filtered_rows_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(vector, "MOST_QUERIES", 3)
+    e = spark.range(40).select("id", F.array(F.col("id") % 7 + 1.0, F.col("id") % 3 + 0.0).alias("embedding"))
+    found = vector.top_k(e.withColumnRenamed("id", "vec_id"), e.where("id % 3 = 0").withColumnRenamed("id", "query_id"), 2, F.col("vec_id") % 2 == 1)
+    assert "SortMergeJoin" in plan(found) and "BroadcastHashJoin" not in plan(found)
+    assert all(r.vec_id % 2 == 1 for r in found.collect()) and found.count() == 28
+
+
 def test_actions_take_the_first_of_types_with_one_name(spark):
     types = spark.createDataFrame([("b big", None, 2), ("b big", "拒绝申请", 1), ("a", "b big", 0), ("c", "拒绝申请", 3)], "name string, label string, pos long")
     got = matching.actions(spark.createDataFrame([("the b big one",), ("b big",), ("拒绝赎回",)], "action string"), types)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.ids import node_uri, property_uri
@@ -105,11 +107,12 @@ def classes(triples: DataFrame) -> DataFrame:
     return declared.unionAll(tree.select("s")).unionAll(tree.select(F.col("o").alias("s"))).unionAll(ends).distinct()
 
 
-def schema_links(triples: DataFrame) -> DataFrame:
-    """(property, domain, range): object properties with both ends."""
-    end = lambda name: triples.where(F.col("p") == RDFS + name).select(F.col("s").alias("property"), F.col("o").alias(name))
-    objects = triples.where((F.col("p") == RDF + "type") & (F.col("o") == OWL + "ObjectProperty")).select(F.col("s").alias("property"))
-    return objects.join(end("domain"), "property").join(end("range"), "property")
+def schema_links(triples: DataFrame, named: Callable[[Column], Column] = lambda c: c) -> DataFrame:
+    """(property, domain, range): object properties with both ends, each once; the ends as ``named`` makes them."""
+    p = F.col("p")
+    objects = triples.where((p == RDF + "type") & (F.col("o") == OWL + "ObjectProperty")).select(F.col("s").alias("property"))
+    end = lambda name: triples.where(p == RDFS + name).select(F.col("s").alias("property"), named(F.col("o")).alias(name)).distinct()
+    return end("domain").join(end("range"), "property").join(objects, "property", "left_semi")
 
 
 def to_graph(triples: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -124,18 +127,22 @@ def to_graph(triples: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def class_table(triples: DataFrame) -> DataFrame:
-    """(class, label, parent): every class with a label, its own name if it has none, and a parent."""
+    """(class, label, parent): every class with a label, its own name if it has none, and a parent.  Repeated triples count once."""
+    known = classes(triples)
     parents = triples.where(F.col("p") == RDFS + "subClassOf").groupBy("s").agg(F.min("o").alias("parent"))
-    found = classes(triples).join(labels(triples), "s", "left").join(parents, "s", "left")
+    # most labels may be those of properties, which aren't sorted and grouped
+    named = labels(triples.where(F.col("p") == RDFS + "label").select("s", "p", "o", "lang").join(known, "s", "left_semi"))
+    found = known.join(named, "s", "left").join(parents, "s", "left")
     return found.select(F.col("s").alias("class"), F.coalesce("label", F.substring_index("s", "#", -1)).alias("label"), "parent")
 
 
 def data_properties(triples: DataFrame) -> DataFrame:
-    """(class, property, data_type): literal properties by their domain; the type as in a schema."""
+    """(class, property, data_type): literal properties by their domain; the type as in a schema.  Repeated triples count once."""
     p = F.col("p")
-    end = lambda name: triples.where(p == RDFS + name).select(F.col("s").alias("property"), F.col("o").alias(name))
     declared = triples.where((p == RDF + "type") & F.col("o").isin(OWL + "DatatypeProperty", RDF + "Property")).select(F.col("s").alias("property")).distinct()
-    found = declared.join(end("domain"), "property").join(end("range"), "property", "left")
+    # ends of what isn't declared as such go before anything is made one
+    end = lambda name: triples.where(p == RDFS + name).select(F.col("s").alias("property"), F.col("o").alias(name)).join(declared, "property", "left_semi").distinct()
+    found = end("domain").join(end("range"), "property", "left")
     literal = found.where(F.col("range").isNull() | F.col("range").startswith(XSD))
     kind = F.lit("string")
     for name, xsd in reversed([("number", "decimal"), ("number", "integer"), ("boolean", "boolean"), ("date", "date"), ("datetime", "dateTime")]):

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from tessera.operators import ontology, rdf
 from tessera.sources import files
 
@@ -44,3 +46,20 @@ def test_edges_between_classes(spark):
     assert {tuple(r) for r in got.collect()} == {("C_1", "C_2", "subClassOf", "schema"), ("C_2", "C_1", "OP_1", "schema"), ("I_1", "C_1", "type", "schema"), ("I_2", "C_2", "type", "schema"), ("C_1", "C_2", "OP_1", "instances")}
     none = ontology.ontology_triples(*[d.limit(0) for d in made(spark)])
     assert none.count() == 0 and ontology.class_edges(none).count() == 0
+
+
+def test_what_is_said_twice_counts_once(spark):
+    types, links, actions, instances = made(spark)
+    twice = ontology.statements(types.union(types), links.union(links), actions, instances)
+    once = ontology.ontology_triples(*made(spark))
+    for read in (rdf.data_properties, rdf.schema_links):  # which gave a row for each time that something was said
+        assert sorted(map(str, read(twice).collect())) == sorted(map(str, read(once).collect())), read.__name__
+
+
+def test_frequent_types_are_sent_to_all_tasks(spark, monkeypatch):
+    monkeypatch.setattr(ontology, "HOT", 1)
+    typed = spark.createDataFrame([(f"I_{i}", "Often") for i in range(9)] + [("I_1", "Seldom"), ("I_2", "Nothing"), ("I_3", None)], "src string, dst string")
+    known = lambda *names: spark.createDataFrame([(n,) for n in names], "class string")
+    count = lambda rows: {r.dst: r["count"] for r in rows.groupBy("dst").count().collect()}
+    assert count(ontology._of_classes(typed, known("Often", "Seldom"))) == {"Often": 9, "Seldom": 1}
+    assert count(ontology._of_classes(typed, known("Seldom"))) == {"Seldom": 1}

@@ -1,4 +1,4 @@
-"""Whole graphs as stored documents: one JSON document a tenant, read as variants.
+"""Whole graphs as stored documents: JSON documents, one a tenant or several of a large one, read as variants.
 
 A document is ``{"nodes": […], "edges": […]}``.  It is parsed once; nodes and edges come out of the variant by ``variant_explode``, counts are the lengths of
 its arrays without taking them apart, and the schema that a set of documents has is gathered by an aggregate of variants, which keeps one schema for
@@ -17,25 +17,34 @@ from tessera.operators.graph import METADATA_KEYS, with_ends
 
 NODE = {"id": "string", "label": "string", "kind": "string", "class_label": "string", "properties": "map<string,string>"}
 EDGE = {"src": "string", "dst": "string", "relation": "string", "label": "string"}
+#: Entries in a document at about the most: a variant of 128 MB can't be read.
+MOST = 20_000
 
 
-def stored(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(tenant, document): each tenant's nodes and edges as one JSON text, in order of their ids; columns as in ``NODE`` and ``EDGE``, those that are missing left out."""
-    entry = lambda rows, known: F.struct(*[F.col(c) for c in known if c in rows.columns])
-    parts = nodes.select("tenant", entry(nodes, NODE).alias("n"), F.lit(None).alias("e")).unionByName(edges.select("tenant", F.lit(None).alias("n"), entry(edges, EDGE).alias("e")))
-    whole = parts.groupBy("tenant").agg(F.collect_list("n").alias("nodes"), F.collect_list("e").alias("edges"))
-    ordered = lambda c, keys: F.array_sort(c, lambda a, b: F.when(_key(a, keys) < _key(b, keys), -1).when(_key(a, keys) > _key(b, keys), 1).otherwise(0))
-    return whole.select("tenant", F.to_json(F.struct(ordered("nodes", ("id",)).alias("nodes"), ordered("edges", ("src", "relation", "dst")).alias("edges"))).alias("document"))
+def stored(nodes: DataFrame, edges: DataFrame, most: int | None = None) -> DataFrame:
+    """(tenant, document): each tenant's nodes and edges as JSON text, in order of their ids; columns as in ``NODE`` and ``EDGE``, those that are missing left out.
 
-
-def _key(entry: Column, keys: tuple[str, ...]) -> Column:
-    return F.struct(*[entry[k] for k in keys])
+    A tenant with more than ``most`` entries (``MOST``) has several documents, among which a hash deals them, so that no text, list or task grows with a tenant.
+    """
+    most = most or MOST
+    entry = lambda rows, known: F.to_json(F.struct(*[F.col(c) for c in known if c in rows.columns])).alias("text")
+    at = lambda a, b, c: F.struct(a.alias("a"), b.alias("b"), c.alias("c")).alias("at")
+    none = F.lit(None).cast("string")
+    parts = nodes.select("tenant", F.lit(False).alias("edge"), at(F.col("id"), none, none), entry(nodes, NODE)).unionByName(
+        edges.select("tenant", F.lit(True).alias("edge"), at(F.col("src"), F.col("relation"), F.col("dst")), entry(edges, EDGE))
+    )
+    large = parts.groupBy(F.col("tenant").alias("_t")).count().where(F.col("count") > most).select("_t", F.ceil(F.col("count") / most).alias("_n"))
+    share = F.pmod(F.xxhash64("text"), F.coalesce("_n", F.lit(1))).alias("share")
+    dealt = parts.join(F.broadcast(large), F.col("tenant").eqNullSafe(F.col("_t")), "left").select("tenant", share, "edge", "at", "text")
+    listed = lambda kind: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(kind, F.struct("at", "text")))), lambda x: x["text"]), ",")
+    whole = dealt.groupBy("tenant", "share").agg(listed(~F.col("edge")).alias("nodes"), listed(F.col("edge")).alias("edges"))
+    return whole.select("tenant", F.concat(F.lit('{"nodes":['), "nodes", F.lit('],"edges":['), "edges", F.lit("]}")).alias("document"))
 
 
 def parsed(documents: DataFrame) -> DataFrame:
     """(tenant, document, v): the documents as variants; v is null for what isn't a JSON object."""
     v = F.try_parse_json("document")
-    return documents.select("tenant", "document", F.when(F.schema_of_variant(v).startswith("OBJECT"), v).alias("v"))
+    return documents.select("tenant", "document", F.when(F.try_variant_get(v, "$", "map<string,variant>").isNotNull(), v).alias("v"))
 
 
 def errors(documents: DataFrame) -> DataFrame:
@@ -45,7 +54,7 @@ def errors(documents: DataFrame) -> DataFrame:
 
 def _entries(documents: DataFrame, name: str, fields: dict[str, str], needs: tuple[str, ...]) -> DataFrame:
     listed = parsed(documents).where("v is not null").select("tenant", F.try_variant_get("v", f"$.{name}", "variant").alias("list"))
-    listed = listed.where(F.schema_of_variant("list").startswith("ARRAY"))
+    listed = listed.where(F.try_variant_get("list", "$", "array<variant>").isNotNull())
     tvf = documents.sparkSession.tvf.variant_explode(F.col("list").outer())
     each = listed.lateralJoin(tvf).select("tenant", "value")
     found = each.select("tenant", *[F.try_variant_get("value", f"$.{f}", kind).alias(f) for f, kind in fields.items()])

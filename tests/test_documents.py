@@ -50,3 +50,15 @@ def test_rows_with_their_reasons(spark):
         assert all(r.reasons for r in validation.checked(rows.select("n"), validation.rules_of(rows.select("n"), kind)).collect())
     empty = validation.split(rows.limit(0), rules)
     assert set(empty.counts.values()) == {0} and empty.accepted.count() == empty.refused.count() == 0
+
+
+def test_large_graphs_have_several_documents(spark, monkeypatch):
+    monkeypatch.setattr(graph_documents, "MOST", 10)
+    nodes = spark.range(100).select(F.when(F.col("id") % 2 == 0, 1).alias("tenant"), F.format_string("n%03d", "id").alias("id"), F.lit("x").alias("label"))
+    edges = spark.range(3).select(F.lit(2).alias("tenant"), F.lit("a").alias("src"), F.lit("b").alias("dst"), F.col("id").cast("string").alias("relation"))
+    docs = graph_documents.stored(nodes, edges).collect()
+    many = {t: [d.document for d in docs if d.tenant == t] for t in (1, None, 2)}
+    assert len(many[2]) == 1 and all(len(many[t]) > 1 and max(x.count('"id"') for x in many[t]) < 30 for t in (1, None))
+    docs = spark.createDataFrame(docs, "tenant int, document string")
+    assert {tuple(r) for r in graph_documents.counts(docs).collect()} == {(1, 50, 0), (None, 50, 0), (2, 0, 3)}
+    assert sorted(r.id for r in graph_documents.nodes(docs).collect()) == [f"n{i:03d}" for i in range(100)]

@@ -14,6 +14,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows that a task gets of a table too large for Spark's own number of partitions.
+TASK_ROWS = 1 << 20
 #: By application, the tables that it has written.
 _written: dict[str, list[str]] = {}
 
@@ -50,6 +52,15 @@ def forget(spark: SparkSession) -> int:
     return len(paths)
 
 
+def dealt(rows: DataFrame, n: int, *keys: str) -> DataFrame:
+    """``rows``, of which there are ``n``, dealt by keys among so many tasks that each gets ``TASK_ROWS`` on average; few rows are left to Spark.
+
+    Spark's own number of partitions is fixed, and a task's share would grow with the input.
+    """
+    tasks = -(-n // TASK_ROWS)
+    return rows.repartition(tasks, *keys) if tasks > rows.sparkSession.sparkContext.defaultParallelism else rows
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables of a scale-factor folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

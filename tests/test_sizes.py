@@ -5,6 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from tessera import storage
 from tessera.operators import matching, questions, vector
 
 
@@ -87,3 +88,15 @@ def test_actions_take_the_first_of_types_with_one_name(spark):
     types = spark.createDataFrame([("b big", None, 2), ("b big", "拒绝申请", 1), ("a", "b big", 0), ("c", "拒绝申请", 3)], "name string, label string, pos long")
     got = matching.actions(spark.createDataFrame([("the b big one",), ("b big",), ("拒绝赎回",)], "action string"), types)
     assert sorted(map(tuple, got.collect())) == [("b big", "a", 1), ("the b big one", "a", 2), ("拒绝赎回", "b big", 3)]
+
+
+def test_flagship_is_dealt_by_its_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(storage, "TASK_ROWS", 2, raising=False)
+    tables(
+        spark, tmp_path,
+        customer=([(1, "a"), (2, "b")], "c_custkey long, c_name string"), part=([(7, "p"), (8, "p"), (9, "q")], "p_partkey long, p_name string"),
+        orders=([(i, i % 2 + 1) for i in range(10)], "o_orderkey long, o_custkey long"), lineitem=([(i, k, 1.0) for i in range(10) for k in (7, 8, 9)], "l_orderkey long, l_partkey long, l_quantity double"),
+    )
+    found = __spark_entry__.queries()["relation_facts_all"](spark, str(tmp_path))
+    assert plan(found).count("REPARTITION_BY_NUM") >= 2
+    assert sorted((r.subject, r.object, r.customer, r.quantity) for r in found.collect()) == sorted((f"order {i}", o, "ab"[i % 2], n) for i in range(10) for o, n in (("p", 2), ("q", 1)))

@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import name_key, version_stem
 from tessera.operators import containment
+from tessera.storage import dealt, written
+
+#: So many of the most frequent references are sent to all tasks.
+HOT = 1000
 
 NEW_SCHEMA = "struct<object_types:array<struct<name:string,label:string,sub_class_of:string,properties:array<struct<name:string,data_type:string>>>>,link_types:array<struct<name:string,label:string,source_object_type:string,target_object_type:string>>>"
 OLD_SCHEMA = "struct<classes:array<struct<id:string,label:string,sub_class_of:string,data_properties:array<struct<name:string,data_type:string>>>>,object_properties:array<struct<id:string,label:string,domain:string,range:string>>>"
@@ -150,7 +154,23 @@ def schema_graph(types: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFra
     """A schema as class nodes and relation edges; links with an end that names no type are dropped."""
     nodes = types.select("id", "label", F.lit("Class").alias("kind"), "properties")
     ends = links.select("name", "label", "source_object_type", "target_object_type")
-    found = resolve_references(ends.select(F.explode(F.array("source_object_type", "target_object_type")).alias("ref")), types)
-    s = found.select(F.col("ref").alias("source_object_type"), F.col("type_id").alias("src"))
-    t = found.select(F.col("ref").alias("target_object_type"), F.col("type_id").alias("dst"))
-    return nodes, ends.join(s, "source_object_type").join(t, "target_object_type").select("src", "dst", F.col("name").alias("relation"), "label").distinct()
+    refs = written(ends.select(F.explode(F.array("source_object_type", "target_object_type")).alias("ref")).groupBy("ref").agg(F.count(F.lit(1)).alias("n")), "refs")
+    n = (refs.agg(F.sum("n")).first()[0] or 0) // 2
+    found = written(resolve_references(refs, types), "resolved").select("ref", "type_id")
+    often = written(refs.orderBy(F.desc("n"), "ref").limit(HOT).select("ref").join(found, "ref", "left"), "often")
+    for end, name in (("source_object_type", "src"), ("target_object_type", "dst")):
+        ends = _resolved(ends, end, name, found, often, n)
+    return nodes, dealt(ends.select("src", "dst", F.col("name").alias("relation"), "label"), n, "src", "dst", "relation", "label").distinct()
+
+
+def _resolved(links: DataFrame, end: str, name: str, found: DataFrame, often: DataFrame, n: int) -> DataFrame:
+    """The ``n`` links with the id of the type at an end as ``name``; those that name none are gone.
+
+    References that many links have would go to one task each: ``often`` has them with their types, or null, and goes to all tasks, and their links are spread.
+    """
+    known = F.broadcast(often.select(F.col("ref").alias(end), F.col("type_id").alias("_known"), F.lit(True).alias("_often")))
+    told = links.where(F.col(end).isNotNull()).join(known, end, "left").where("_often is null or _known is not null")
+    place = F.when(F.col("_often"), 1 + F.pmod(F.xxhash64(*links.columns), F.lit(HOT))).otherwise(0).cast("int")
+    rest = found.select(F.col("ref").alias(end), F.lit(0).alias("_place"), F.col("type_id").alias("_id"))
+    joined = dealt(told.withColumn("_place", place), n, end, "_place").join(rest, [end, "_place"], "left")
+    return joined.withColumn(name, F.coalesce("_known", "_id")).where(F.col(name).isNotNull()).drop(end, "_place", "_known", "_often", "_id")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from tessera import storage
-from tessera.operators import matching, questions, vector
+from tessera.operators import extraction, matching, questions, vector
 
 
 def tables(spark, folder, **rows):
@@ -100,3 +100,13 @@ def test_flagship_is_dealt_by_its_rows(spark, tmp_path, monkeypatch):
     found = __spark_entry__.queries()["relation_facts_all"](spark, str(tmp_path))
     assert plan(found).count("REPARTITION_BY_NUM") >= 2
     assert sorted((r.subject, r.object, r.customer, r.quantity) for r in found.collect()) == sorted((f"order {i}", o, "ab"[i % 2], n) for i in range(10) for o, n in (("p", 2), ("q", 1)))
+
+
+def test_links_with_frequent_ends_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(extraction, "HOT", 2, raising=False)
+    monkeypatch.setattr(storage, "TASK_ROWS", 10, raising=False)
+    types = spark.createDataFrame([(f"T{i}", f"name {i}", "", None, i) for i in range(9)], "id string, name string, label string, properties string, pos long")
+    rows = [(f"R{i}", "x", f"T{i % 9}", ("nothing", "name 1", "name 2")[i % 3]) for i in range(90)] + [("R", "y", None, "T1"), ("R", "y", "", "T1"), ("R", "y", "name 3", "T4")] * 2
+    found = extraction.schema_graph(types, spark.createDataFrame(rows, "name string, label string, source_object_type string, target_object_type string"))[1]
+    assert "_place" in plan(found)
+    assert sorted(map(tuple, found.collect())) == sorted([(f"T{i % 9}", f"T{i % 3}", f"R{i}", "x") for i in range(90) if i % 3] + [("T3", "T4", "R", "y")])

@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 from tessera.functions.text import PRODUCT_CODE
 from tessera.operators import containment
 from tessera.operators.graph import undirected, with_ends
+from tessera.storage import written
 
 #: How many facts, references of a kind and characters a context takes.
 FACTS, REFERENCES, QUOTE, SAME_QUOTE = 20, 5, 300, 50
+#: Shares to which the nodes that go by a name are dealt.
+SHARES = 64
 
 
 def named(nodes: DataFrame, text: str) -> Column:
@@ -47,10 +50,22 @@ def going_by(nodes: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def attributes(nodes: DataFrame, asked: DataFrame) -> DataFrame:
-    """(question, id, label, value): the property asked for of all nodes that go by the name asked for; asked: question, entity, attribute."""
-    by = going_by(nodes, asked.select(F.col("entity").alias("name")))
-    found = asked.select("question", F.col("entity").alias("name"), "attribute").join(by, "name").join(nodes.select("id", "label", "properties"), "id")
-    return found.select("question", "id", "label", F.try_element_at("properties", F.col("attribute")).alias("value"))
+    """(question, id, label, value): the property asked for of all nodes that go by the name asked for; asked: question, entity, attribute.
+
+    Where many ask for what many nodes go by, the result is quadratic.  Values are looked up once for a name and attribute, and the nodes of either
+    dealt to ``SHARES`` shares, each of which gets the questions, so that what grows as the product is made in many tasks and never shuffled.
+    """
+    wanted = asked.select("question", F.col("entity").alias("name"), "attribute")
+    by = going_by(nodes, wanted.select("name")).join(nodes.select("id", "label", "properties"), "id")
+    said = by.join(wanted.select("name", "attribute").distinct(), "name").select("name", "attribute", "id", "label", F.try_element_at("properties", F.col("attribute")).alias("value"))
+    key = F.struct("name", "attribute", "_share").alias("_key")  # null attributes are equal in it
+    told = written(said.withColumn("_share", F.pmod(F.xxhash64("id"), F.lit(SHARES)).cast("int")).select(key, "id", "label", "value"), "told")
+    parts = told.select("_key", F.col("_key.name").alias("_name"), F.col("_key.attribute").alias("_attribute")).distinct()
+    questions = wanted.join(parts, (F.col("name") == F.col("_name")) & F.col("attribute").eqNullSafe(F.col("_attribute"))).select("question", "_key")
+    # so many tasks as Spark has for shuffles, though what they read is little
+    tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = questions.repartition(tasks, "_key").hint("merge").join(told, "_key")
+    return found.select("question", "id", "label", "value")
 
 
 def with_attribute(nodes: DataFrame, name: str) -> DataFrame:

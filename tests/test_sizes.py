@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from tessera import storage
-from tessera.operators import extraction, matching, questions, vector
+from tessera.operators import extraction, matching, questions, retrieval, vector
 
 
 def tables(spark, folder, **rows):
@@ -110,3 +110,12 @@ def test_links_with_frequent_ends_are_spread(spark, monkeypatch):
     found = extraction.schema_graph(types, spark.createDataFrame(rows, "name string, label string, source_object_type string, target_object_type string"))[1]
     assert "_place" in plan(found)
     assert sorted(map(tuple, found.collect())) == sorted([(f"T{i % 9}", f"T{i % 3}", f"R{i}", "x") for i in range(90) if i % 3] + [("T3", "T4", "R", "y")])
+
+
+def test_what_many_ask_for_is_dealt_to_shares(spark):
+    nodes = spark.range(200).select(F.concat(F.lit("n"), F.col("id")).alias("id"), F.lit("BIG one").alias("label"), F.create_map(F.lit("a"), F.col("id").cast("string")).alias("properties"))
+    rows = [(i, "BIG", "a") for i in range(30)] + [(90, "BIG", "b"), (91, "BIG", None), (92, "n7", "a"), (93, "none", "a"), (94, None, "a"), (95, "n7", "a")]
+    found = retrieval.attributes(nodes, spark.createDataFrame(rows, "question long, entity string, attribute string"))
+    assert "_share" in plan(found)
+    want = [(i, f"n{k}", "BIG one", str(k) if i < 30 else None) for i in [*range(30), 90, 91] for k in range(200)] + [(i, "n7", "BIG one", "7") for i in (92, 95)]
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, want))

@@ -40,20 +40,19 @@ class TaskStates(StatefulProcessor):
         self.now = handle.getValueState("now", STATE)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        self.waiting.appendList([(r.event_id, r.us, r.status, r.progress) for r in rows if r.us is not None])
-        self._wake()
+        new = [(r.event_id, r.us, r.status, r.progress) for r in rows if r.us is not None]
+        if new:
+            self.waiting.appendList(new)
+            self._wake(min(us for _, us, *_ in new) // 1000 + 1)
         return iter(())
 
-    def _wake(self) -> None:
-        """One timer: behind the first event that waits, or where an ended task is forgotten."""
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        times = [us // 1000 + 1 for _, us, *_ in self.waiting.get()]
-        now = self.now.get() if self.now.exists() else None
-        if now is not None and now[4] is not None:
-            times.append(now[4] + self.keep_ms + 1)
-        if times:
-            self.handle.registerTimer(min(times))
+    def _wake(self, at: int) -> None:
+        """One timer: behind the first event that waits, or where an ended task is forgotten.  What waits isn't read for it: the timer there is stands for that."""
+        timers = list(self.handle.listTimers())
+        if not timers or at < min(timers):
+            for timer in timers:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(at)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         mark = timerValues.getCurrentWatermarkInMs()
@@ -76,9 +75,12 @@ class TaskStates(StatefulProcessor):
         if known and ended is not None and ended + self.keep_ms < mark:
             out.append(said(True))
             self.now.clear()
+            ended = None
         elif known:
             self.now.update((status, progress, taken, refused, ended))
-        self._wake()
+        times = [us // 1000 + 1 for _, us, *_ in rest] + ([ended + self.keep_ms + 1] if ended is not None else [])
+        if times:  # later than the timer that has expired, which Spark deletes
+            self.handle.registerTimer(min(times))
         return iter(out)
 
     def close(self) -> None:

@@ -113,3 +113,16 @@ def test_chunks_and_cancellations(spark, tmp_path):
         q.awaitTermination()
         assert sorted(r.chunk_id for r in spark.table(f"split{i}").collect() if r.chunk_id >= 0) == sorted(want)
         assert sum(s["numRowsTotal"] for s in q.lastProgress["stateOperators"]) <= 8  # what is far ahead, and nothing else
+
+
+def test_new_events_do_not_read_what_waits():
+    from types import SimpleNamespace
+
+    from tessera.streaming.expiry import TaskStates
+
+    timers, states = [], TaskStates(1)
+    states.handle = SimpleNamespace(listTimers=lambda: list(timers), deleteTimer=timers.remove, registerTimer=timers.append)
+    states.waiting, states.now = SimpleNamespace(appendList=lambda rows: None), SimpleNamespace()
+    for us in (5_000_000, 9_000_000, 2_000_000):
+        list(states.handleInputRows((1,), iter([SimpleNamespace(event_id=1, us=us, status="running", progress=None)]), None))
+    assert timers == [2001]

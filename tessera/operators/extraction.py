@@ -8,13 +8,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions.text import name_key, version_stem
 from tessera.operators import containment
-from tessera.storage import dealt, written
+from tessera.storage import TASK_ROWS, dealt, written
 
 #: So many of the most frequent references are sent to all tasks.
 HOT = 1000
+#: So many of a task's rows are looked at to find what most rows are versions of.
+SAMPLED = 64
 
 NEW_SCHEMA = "struct<object_types:array<struct<name:string,label:string,sub_class_of:string,properties:array<struct<name:string,data_type:string>>>>,link_types:array<struct<name:string,label:string,source_object_type:string,target_object_type:string>>>"
 OLD_SCHEMA = "struct<classes:array<struct<id:string,label:string,sub_class_of:string,data_properties:array<struct<name:string,data_type:string>>>>,object_properties:array<struct<id:string,label:string,domain:string,range:string>>>"
@@ -94,13 +97,43 @@ def collapsed_versions(instances: DataFrame) -> DataFrame:
     The one with most properties stays (of equals the first), its values kept and missing ones filled in from the others.
     An instance without a label is a version of none and stays; a null type is a type like any other.
     instances: id, label, type_id, props (map), pos.  Returns stem, type_id, id, label, props, n.
+
+    Rows are dealt once, by what they are versions of; what has more versions than a task's rows is summed up before it is dealt.
     """
-    rows = instances.withColumns({"stem": version_stem(F.col("label")), "order": F.struct((-F.coalesce(F.size("props"), F.lit(0))).alias("rich"), F.col("pos").alias("pos"))})
+    rows = instances.select("id", "label", "type_id", "props", "pos", version_stem(F.col("label")).alias("stem"))
     rows = rows.withColumn("alone", F.when(F.col("stem").isNull(), F.col("pos")))
     keys = ["stem", "type_id", "alone"]
-    none = F.struct(F.lit(None).cast("string").alias("key"), F.lit(None).cast(instances.schema["props"].dataType.valueType).alias("value"))
-    parts = rows.select(*keys, "order", F.struct("id", "label").alias("h"), F.explode(F.concat(F.array(none), F.coalesce(F.map_entries("props"), F.array()))).alias("p"))
-    once = parts.groupBy(*keys, F.col("p.key").alias("k")).agg(F.min_by("p.value", "order").alias("v"), F.min_by("h", "order").alias("h"), F.count(F.lit(1)).alias("n"))
+    n = instances.count()
+    if n <= TASK_ROWS:
+        return _collapsed(rows.repartition(*keys), keys)
+    seen = instances.select("label", F.col("type_id").alias("_type")).sample(SAMPLED / TASK_ROWS, 1).select(version_stem(F.col("label")).alias("_stem"), "_type")
+    many = written(seen.where("_stem is not null").groupBy("_stem", "_type").count().where(F.col("count") > SAMPLED // 2).drop("count"), "many")
+    if many.isEmpty():
+        return _collapsed(_by_group(rows, n, keys), keys)
+    same = F.col("stem").eqNullSafe(F.col("_stem")) & F.col("type_id").eqNullSafe(F.col("_type"))
+    rest, often = (rows.join(F.broadcast(many), same, how) for how in ("left_anti", "left_semi"))
+    return _collapsed(_by_group(rest, n, keys), keys).unionByName(_collapsed(often, keys))
+
+
+def _by_group(rows: DataFrame, n: int, keys: list[str]) -> DataFrame:
+    """The ``n`` rows dealt by keys, also where they are few, so that grouping by these keys and others shuffles nothing more."""
+    tasks = -(-n // TASK_ROWS)
+    return rows.repartition(tasks, *keys) if tasks > rows.sparkSession.sparkContext.defaultParallelism else rows.repartition(*keys)
+
+
+def _collapsed(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One row for each of the groups of ``collapsed_versions``.
+
+    Of rows with the same properties only the first can give values, so those of each set of names are made one before they are taken apart.
+    """
+    names = F.coalesce(F.array_sort(F.map_keys("props")), F.array().cast(T.ArrayType(rows.schema["props"].dataType.keyType)))
+    listed = rows.withColumn("names", names).withColumn("w", F.struct("pos", "id", "label", F.transform("names", lambda k: F.col("props")[k]).alias("values")))
+    first = listed.groupBy(*keys, "names").agg(F.min_by("w", F.struct("pos")).alias("w"), F.count(F.lit(1)).alias("n"))
+    none = F.struct(F.lit(None).cast("string").alias("key"), F.lit(None).cast(rows.schema["props"].dataType.valueType).alias("value"))
+    entries = F.transform("names", lambda k, i: F.struct(k.alias("key"), F.get(F.col("w.values"), i).alias("value")))
+    order = F.struct((-F.size("names")).alias("rich"), F.col("w.pos").alias("pos"))
+    parts = first.select(*keys, "n", order.alias("order"), F.struct("w.id", "w.label").alias("h"), F.explode(F.concat(F.array(none), entries)).alias("p"))
+    once = parts.groupBy(*keys, F.col("p.key").alias("k")).agg(F.min_by("p.value", "order").alias("v"), F.min_by("h", "order").alias("h"), F.sum("n").alias("n"))
     head = lambda c: F.max(F.when(F.col("k").isNull(), F.col(c)))
     whole = once.groupBy(*keys).agg(head("h").alias("h"), head("n").alias("n"), F.array_sort(F.collect_list(F.when(F.col("k").isNotNull(), F.struct("k", "v")))).alias("e"))
     return whole.select("stem", "type_id", "h.*", "n", F.when(F.size("e") > 0, F.map_from_entries("e")).alias("props"))

@@ -119,3 +119,27 @@ def test_what_many_ask_for_is_dealt_to_shares(spark):
     assert "_share" in plan(found)
     want = [(i, f"n{k}", "BIG one", str(k) if i < 30 else None) for i in [*range(30), 90, 91] for k in range(200)] + [(i, "n7", "BIG one", "7") for i in (92, 95)]
     assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, want))
+
+
+def test_versions_are_dealt_once_and_summed_first_where_they_are_many(spark, monkeypatch):
+    monkeypatch.setattr(extraction, "TASK_ROWS", 20, raising=False)
+    monkeypatch.setattr(extraction, "SAMPLED", 20, raising=False)
+    few = [(i, f"p{i % 40} V{i}", "ST"[i % 2], {k: f"{k}{i}" for k in "abc"[: i % 4]}, i) for i in range(200)] + [(900 + i, None, "S", {"a": None}, 900 + i) for i in range(3)]
+    many = [(1000 + i, f"often {i}.0", None, {"abcdefgh"[i % 8]: str(i), **({"z": None} if i % 3 == 0 else {})} if i % 5 else None, 1000 + i) for i in range(60)]
+
+    def wanted(rows):
+        groups = {}
+        for id_, label, kind, props, pos in rows:
+            groups.setdefault((label and label.split(" ")[0], kind, label is None and pos), []).append((-len(props or {}), pos, id_, label, props or {}))
+        for (stem, kind, _), them in groups.items():
+            them.sort(key=lambda r: r[:2])
+            whole = {}
+            for r in them:
+                whole = r[4] | whole
+            yield stem, kind, them[0][2], them[0][3], len(them), sorted(whole.items())
+
+    for rows, shuffles in ((few, 1), (few + many, 4)):
+        found = extraction.collapsed_versions(spark.createDataFrame(rows, "id long, label string, type_id string, props map<string,string>, pos long"))
+        assert plan(found).count("Exchange hashpartitioning") == shuffles and "REPARTITION_BY_NUM" in plan(found)
+        got = [(r.stem, r.type_id, r.id, r.label, r.n, sorted((r.props or {}).items())) for r in found.collect()]
+        assert sorted(got, key=str) == sorted(wanted(rows), key=str)

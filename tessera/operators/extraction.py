@@ -192,18 +192,18 @@ def schema_graph(types: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFra
     found = written(resolve_references(refs, types), "resolved").select("ref", "type_id")
     often = written(refs.orderBy(F.desc("n"), "ref").limit(HOT).select("ref").join(found, "ref", "left"), "often")
     for end, name in (("source_object_type", "src"), ("target_object_type", "dst")):
-        ends = _resolved(ends, end, name, found, often, n)
+        ends = resolved(ends, end, name, found, often, n)
     return nodes, dealt(ends.select("src", "dst", F.col("name").alias("relation"), "label"), n, "src", "dst", "relation", "label").distinct()
 
 
-def _resolved(links: DataFrame, end: str, name: str, found: DataFrame, often: DataFrame, n: int) -> DataFrame:
-    """The ``n`` links with the id of the type at an end as ``name``; those that name none are gone.
+def resolved(links: DataFrame, end: str, name: str, found: DataFrame, often: DataFrame, n: int, whole: bool = False) -> DataFrame:
+    """The ``n`` links with the id of the type at an end as ``name``; those that name none are gone, or with ``whole`` stay with null.
 
     References that many links have would go to one task each: ``often`` has them with their types, or null, and goes to all tasks, and their links are spread.
     """
     known = F.broadcast(often.select(F.col("ref").alias(end), F.col("type_id").alias("_known"), F.lit(True).alias("_often")))
-    told = links.where(F.col(end).isNotNull()).join(known, end, "left").where("_often is null or _known is not null")
+    told = links.join(known, end, "left") if whole else links.where(F.col(end).isNotNull()).join(known, end, "left").where("_often is null or _known is not null")
     place = F.when(F.col("_often"), 1 + F.pmod(F.xxhash64(*links.columns), F.lit(HOT))).otherwise(0).cast("int")
     rest = found.select(F.col("ref").alias(end), F.lit(0).alias("_place"), F.col("type_id").alias("_id"))
-    joined = dealt(told.withColumn("_place", place), n, end, "_place").join(rest, [end, "_place"], "left")
-    return joined.withColumn(name, F.coalesce("_known", "_id")).where(F.col(name).isNotNull()).drop(end, "_place", "_known", "_often", "_id")
+    joined = dealt(told.withColumn("_place", place), n, end, "_place").join(rest, [end, "_place"], "left").withColumn(name, F.coalesce("_known", "_id"))
+    return (joined if whole else joined.where(F.col(name).isNotNull())).drop(end, "_place", "_known", "_often", "_id")

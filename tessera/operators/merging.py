@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions.ids import action_instance_id
 from tessera.operators import extraction, graph
 from tessera.operators.rdf import BASE, OWL, RDF, RDFS
-from tessera.storage import written
+from tessera.storage import TASK_ROWS, written
 
 #: Relations and labels that aren't relations of a schema.
 TYPE_RELATIONS, SUBCLASS = ("rdf:type", "type", "subClassOf", "subclass_of"), ("subClassOf", "subclass_of")
@@ -127,41 +127,79 @@ def relation_labels(ids: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def graph_schema(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """The schema that a graph states: classes, their properties, relations and actions.
+    """The schema that a graph states: classes, their properties, relations and actions, each as the function of its name gives it.
 
-    nodes: id, raw_id, label, kind, properties (map), pos; edges: src, dst, relation, label, prop_id, pos.  Gives classes (id, label,
-    parents in the edges' order), properties (class, property, source 'direct' or 'inherited', from: a direct parent's label or null),
-    relations (id, label, domain, range; ends by label, else by id) and actions (id, label, target; by their first action edge).
+    nodes: id, raw_id, label, kind, properties (map), pos; edges: src, dst, relation, label, prop_id, pos.
     Null relations and labels count as empty, a null raw_id as none.
     """
+    return schema_classes(nodes, edges), schema_properties(nodes, edges), schema_relations(nodes, edges), schema_actions(nodes, edges)
+
+
+def _classes(nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Classes, and of these the plain ones and the actions."""
     classes = nodes.where("kind = 'Class'").select("id", F.coalesce("raw_id", F.lit("")).alias("raw_id"), F.coalesce("label", "id").alias("label"), "properties", "pos")
     is_action = F.col("raw_id").startswith("AT_") | F.col("id").startswith("AT_")
-    plain, acting = classes.where(~is_action), classes.where(is_action)
-    links = edges.withColumns({"relation": F.coalesce("relation", F.lit("")), "label": F.coalesce("label", F.lit("")), "prop_id": F.coalesce("prop_id", F.lit(""))})
+    return classes, classes.where(~is_action), classes.where(is_action)
+
+
+def _links(edges: DataFrame) -> DataFrame:
+    return edges.withColumns({"relation": F.coalesce("relation", F.lit("")), "label": F.coalesce("label", F.lit("")), "prop_id": F.coalesce("prop_id", F.lit(""))})
+
+
+def _parents(edges: DataFrame) -> DataFrame:
     up = (F.col("relation") == "subclass_of") | F.col("label").isin(*SUBCLASS)
-    pairs = links.where(up).select(F.col("src").alias("child"), F.col("dst").alias("parent"), "pos")
-    listed = pairs.groupBy(F.col("child").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "parent"))), lambda s: s["parent"]).alias("parents"))
-    found = plain.join(listed, "id", "left").select("id", "label", F.coalesce("parents", F.array().cast("array<string>")).alias("parents"))
+    return _links(edges).where(up).select(F.col("src").alias("child"), F.col("dst").alias("parent"), "pos")
+
+
+def _names(classes: DataFrame) -> DataFrame:
+    """(k, name): a label for each id and raw id."""
+    return classes.select(F.col("id").alias("k"), "label").unionAll(classes.where("raw_id <> ''").select("raw_id", "label")).groupBy("k").agg(F.max("label").alias("name"))
 
+
+def schema_classes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, label, parents in the edges' order) of a graph's classes."""
+    listed = _parents(edges).groupBy(F.col("child").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "parent"))), lambda s: s["parent"]).alias("parents"))
+    return _classes(nodes)[1].join(listed, "id", "left").select("id", "label", F.coalesce("parents", F.array().cast("array<string>")).alias("parents"))
+
+
+def schema_properties(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(class, property, source 'direct' or 'inherited', from: a direct parent's label or null) of a graph's classes."""
+    plain, pairs = _classes(nodes)[1], _parents(edges)
     inside = pairs.join(plain.select(F.col("id").alias("child")), "child", "left_semi").join(plain.select(F.col("id").alias("parent")), "parent", "left_semi")
     own = plain.select(F.col("id").alias("class"), F.explode(F.map_keys("properties")).alias("property")).distinct()
     above = graph.closure(inside.select("child", "parent")).where("depth > 0").select(F.col("child").alias("class"), F.col("ancestor").alias("up"))
     inherited = above.join(own.withColumnRenamed("class", "up"), "up").select("class", "property").distinct().join(own, ["class", "property"], "left_anti")
     labels = plain.select(F.col("id").alias("parent"), F.col("label").alias("_from"))
     giving = inside.join(own.withColumnRenamed("class", "parent"), "parent").join(labels, "parent").groupBy(F.col("child").alias("class"), "property").agg(F.min_by("_from", F.struct("pos", "parent")).alias("from"))
-    properties = own.select("class", "property", F.lit("direct").alias("source"), F.lit(None).cast("string").alias("from")).unionByName(
+    return own.select("class", "property", F.lit("direct").alias("source"), F.lit(None).cast("string").alias("from")).unionByName(
         inherited.join(giving, ["class", "property"], "left").select("class", "property", F.lit("inherited").alias("source"), "from")
     )
 
-    names = classes.select(F.col("id").alias("k"), "label").unionAll(classes.where("raw_id <> ''").select("raw_id", "label")).groupBy("k").agg(F.max("label").alias("name"))
-    end = lambda c, out: names.select(F.col("k").alias(c), F.col("name").alias(out))
-    related = links.where((F.col("relation") != "") & ~F.col("relation").isin("action", *TYPE_RELATIONS) & ~F.col("label").isin(*SUBCLASS))
+
+def schema_relations(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, label, domain, range) of a graph's relations; ends by label, else by id.
+
+    Edges are dealt by their ends; those with an end that a task's rows have are spread.
+    """
+    links = _links(edges)
     key = F.when(F.rtrim(F.col("prop_id"), F.lit("_")) != "", F.col("prop_id")).when(F.col("label") != "", F.col("label")).otherwise(F.col("relation"))
-    related = related.join(end("src", "_s"), "src", "left").join(end("dst", "_d"), "dst", "left")
-    relations = related.select(key.alias("id"), "label", F.coalesce("_s", "src").alias("domain"), F.coalesce("_d", "dst").alias("range"))
-    first = links.where("relation = 'action'").groupBy(F.col("src").alias("id")).agg(F.min_by("dst", F.struct("pos", "dst")).alias("dst"))
-    actions = acting.select("id", "label").join(first, "id", "left").join(end("dst", "_d"), "dst", "left").select("id", "label", F.coalesce("_d", "dst", F.lit("")).alias("target"))
-    return found, properties, relations, actions
+    related = links.where((F.col("relation") != "") & ~F.col("relation").isin("action", *TYPE_RELATIONS) & ~F.col("label").isin(*SUBCLASS))
+    related = written(related.select(key.alias("id"), "label", "src", "dst"), "related")
+    names = _names(_classes(nodes)[0]).select(F.col("k").alias("ref"), F.col("name").alias("type_id"))
+    n = related.count()
+    seen = related.sample(min(1.0, extraction.SAMPLED / TASK_ROWS), 1).select(F.explode(F.array("src", "dst")).alias("ref")).where("ref is not null").groupBy("ref").count()
+    often = written(seen.where(F.col("count") > extraction.SAMPLED // 2).select("ref").join(names, "ref", "left"), "often")
+    for end, name in (("src", "domain"), ("dst", "range")):
+        related = extraction.resolved(related.withColumn(f"_{end}", F.col(end)), end, name, names, often, n, True).withColumn(name, F.coalesce(name, f"_{end}")).drop(f"_{end}")
+    return related.select("id", "label", "domain", "range")
+
+
+def schema_actions(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, label, target) of a graph's actions, by the first action edge of each; the target by label, else by id."""
+    classes, _, acting = _classes(nodes)
+    first = _links(edges).where("relation = 'action'").groupBy(F.col("src").alias("id")).agg(F.min_by("dst", F.struct("pos", "dst")).alias("dst"))
+    ends = _names(classes).select(F.col("k").alias("dst"), F.col("name").alias("_d"))
+    return acting.select("id", "label").join(first, "id", "left").join(ends, "dst", "left").select("id", "label", F.coalesce("_d", "dst", F.lit("")).alias("target"))
 
 
 def instances_in_graph(instances: DataFrame, actions: DataFrame, classes: DataFrame, existing: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:

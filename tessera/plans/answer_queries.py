@@ -9,7 +9,7 @@ from tessera import model
 from tessera.functions import text
 from tessera.operators import answering, answers, export, graph_documents, listings, merging, questions
 from tessera.plans.catalog import query
-from tessera.storage import table
+from tessera.storage import dealt, table
 
 ASKED_SQL = """q AS (SELECT s_suppkey AS question, CASE s_suppkey % 4 WHEN 0 THEN 'what is ' || lpad(s_suppkey::VARCHAR, 6, '0') WHEN 1 THEN 'about "' || ['BUILDING', 'MACHINERY', 'nothing'][s_suppkey % 3 + 1] || '"'
     WHEN 2 THEN '风险等级 of all' ELSE 'hello' END AS text FROM supplier),
@@ -238,13 +238,13 @@ GRAPH_SCHEMA_SQL = """WITH RECURSIVE up AS (SELECT p_partkey AS child, p_partkey
 )
 def graph_schema(spark, sf):
     """The properties of a tree of classes, of which every part is one."""
-    return _graph_schema(spark, sf)[1]
+    return merging.schema_properties(*_graph_schema(spark, sf))
 
 
 @query("graph_schema_classes", "SELECT 'C_' || p_partkey AS id, p_name AS label, CASE WHEN p_partkey > 1 THEN 'C_' || p_partkey // 2 ELSE '' END AS parents FROM part WHERE p_partkey % 13 > 0")
 def graph_schema_classes(spark, sf):
     """The classes themselves, with their parents; every thirteenth part is an action."""
-    return _graph_schema(spark, sf, True)[0].select("id", "label", F.array_join("parents", ",").alias("parents"))
+    return merging.schema_classes(*_graph_schema(spark, sf, True)).select("id", "label", F.array_join("parents", ",").alias("parents"))
 
 
 @query(
@@ -253,7 +253,7 @@ def graph_schema_classes(spark, sf):
 )
 def graph_schema_relations(spark, sf):
     """What relations between classes the lines state."""
-    return _graph_schema(spark, sf, True)[2]
+    return merging.schema_relations(*_graph_schema(spark, sf, True))
 
 
 @query(
@@ -263,25 +263,27 @@ def graph_schema_relations(spark, sf):
 )
 def graph_schema_actions(spark, sf):
     """Actions with the class that the first line of each names."""
-    return _graph_schema(spark, sf, True)[3]
+    return merging.schema_actions(*_graph_schema(spark, sf, True))
 
 
 def _graph_schema(spark, sf, lines=False):
+    """The nodes and edges of the graph of classes."""
     k = F.col("p_partkey").cast("long")
     parts = table(spark, sf, "part")
     class_id = lambda c: F.concat(F.lit("C_"), c.cast("string"))
     nodes = parts.select(class_id(k).alias("id"), F.lit(None).cast("string").alias("raw_id"), F.col("p_name").alias("label"), F.lit("Class").alias("kind"), F.create_map(F.concat(F.lit("k"), (k % 7).cast("string")), F.lit("x")).alias("properties"), k.alias("pos"))
     up = parts.where("p_partkey > 1").select(class_id(k).alias("src"), class_id(F.floor(k / 2)).alias("dst"), F.lit("subclass_of").alias("relation"), F.lit("subClassOf").alias("label"), F.lit("").alias("prop_id"), k.alias("pos"))
     if not lines:
-        return merging.graph_schema(nodes, up)
+        return nodes, up
     name = lambda c: F.concat(F.when(c % 13 == 0, "AT_").otherwise("C_"), c.cast("string"))
     nodes = nodes.withColumn("id", F.concat(F.when(F.col("pos") % 13 == 0, "AT_").otherwise("C_"), F.col("pos").cast("string")))
     up = up.where(F.col("pos") % 13 > 0)
     line = table(spark, sf, "lineitem")
     p, q, at = F.col("l_partkey"), F.col("l_suppkey"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("long")
-    uses = line.where(p % 13 > 0).select(name(p).alias("src"), name(q).alias("dst"), F.lit("object_property").alias("relation"), F.lit("uses").alias("label"), F.lit("e_uses").alias("prop_id")).distinct().withColumn("pos", F.lit(0).cast("long"))
+    pairs = dealt(line.where(p % 13 > 0).select("l_partkey", "l_suppkey"), line.count(), "l_partkey", "l_suppkey").distinct()
+    uses = pairs.select(name(p).alias("src"), name(q).alias("dst"), F.lit("object_property").alias("relation"), F.lit("uses").alias("label"), F.lit("e_uses").alias("prop_id"), F.lit(0).cast("long").alias("pos"))
     does = line.where(p % 13 == 0).select(name(p).alias("src"), name(q).alias("dst"), F.lit("action").alias("relation"), F.lit("does").alias("label"), F.lit("").alias("prop_id"), at.alias("pos"))
-    return merging.graph_schema(nodes, up.unionByName(uses).unionByName(does))
+    return nodes, up.unionByName(uses).unionByName(does)
 
 
 @query(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from tessera import storage
-from tessera.operators import extraction, matching, questions, retrieval, vector
+from tessera.operators import extraction, matching, merging, questions, retrieval, vector
 
 
 def tables(spark, folder, **rows):
@@ -143,3 +143,19 @@ def test_versions_are_dealt_once_and_summed_first_where_they_are_many(spark, mon
         assert plan(found).count("Exchange hashpartitioning") == shuffles and "REPARTITION_BY_NUM" in plan(found)
         got = [(r.stem, r.type_id, r.id, r.label, r.n, sorted((r.props or {}).items())) for r in found.collect()]
         assert sorted(got, key=str) == sorted(wanted(rows), key=str)
+
+
+def test_schema_relations_are_dealt_and_frequent_ends_spread(spark, monkeypatch):
+    for module in (storage, merging):
+        monkeypatch.setattr(module, "TASK_ROWS", 10, raising=False)
+    monkeypatch.setattr(extraction, "SAMPLED", 10, raising=False)
+    monkeypatch.setattr(merging.graph, "closure", None)  # relations don't ask who inherits from whom
+    nodes = spark.createDataFrame([(f"C_{i}", f"R_{i}" if i == 3 else None, f"name {i}" if i != 4 else None, "Class", {}, i) for i in range(9)], "id string, raw_id string, label string, kind string, properties map<string,string>, pos long")
+    ends = [(f"C_{i % 9}", ("nothing", "C_1", "R_3")[i % 3]) for i in range(90)] + [("C_4", "C_5"), (None, "C_5"), ("C_5", None)]
+    other = [("C_1", "C_0", "subclass_of", "", "", 0), ("C_1", "C_2", "action", "does", "", 0), ("C_1", "C_2", None, "x", "p", 0)]
+    edges = spark.createDataFrame([(s, d, "object_property", "uses" if i % 2 else None, "p" if i % 4 else "_", i) for i, (s, d) in enumerate(ends)] + other, "src string, dst string, relation string, label string, prop_id string, pos long")
+    found = merging.schema_relations(nodes, edges)
+    assert "_place" in plan(found) and "REPARTITION_BY_NUM" in plan(found)
+    name = lambda x: {"R_3": "name 3", "C_4": "C_4"}.get(x) or (x.replace("C_", "name ") if x else x)
+    want = [("p" if i % 4 else "uses" if i % 2 else "object_property", "uses" if i % 2 else "", name(s), name(d)) for i, (s, d) in enumerate(ends)]
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(want, key=str)

@@ -40,14 +40,14 @@ def graph_triples(nodes: DataFrame, edges: DataFrame, digits: int = 8) -> DataFr
 
 
 def turtle_lines(triples: DataFrame) -> DataFrame:
-    """Triples as lines of N-Triples, which every Turtle reader takes."""
+    """Triples as lines of N-Triples, which every Turtle reader takes; null for a triple that lacks a part."""
     iri = lambda c: F.concat(F.lit("<"), c, F.lit(">"))
     escaped = F.col("o")
     for plain, code in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
         escaped = F.replace(escaped, F.lit(plain), F.lit(code))
     tag = F.when(F.col("lang").isNotNull(), F.concat(F.lit("@"), F.col("lang"))).when(F.col("datatype").isNotNull(), F.concat(F.lit("^^"), iri(F.col("datatype")))).otherwise("")
     literal = F.concat(F.lit('"'), escaped, F.lit('"'), tag)
-    return triples.select(F.concat_ws(" ", iri(F.col("s")), iri(F.col("p")), F.when(F.col("o_kind") == "iri", iri(F.col("o"))).otherwise(literal), F.lit(".")).alias("value"))
+    return triples.select(F.concat(iri(F.col("s")), F.lit(" "), iri(F.col("p")), F.lit(" "), F.when(F.col("o_kind") == "iri", iri(F.col("o"))).otherwise(literal), F.lit(" .")).alias("value"))
 
 
 def union(triples: DataFrame) -> DataFrame:

@@ -159,3 +159,20 @@ def test_schema_relations_are_dealt_and_frequent_ends_spread(spark, monkeypatch)
     name = lambda x: {"R_3": "name 3", "C_4": "C_4"}.get(x) or (x.replace("C_", "name ") if x else x)
     want = [("p" if i % 4 else "uses" if i % 2 else "object_property", "uses" if i % 2 else "", name(s), name(d)) for i, (s, d) in enumerate(ends)]
     assert sorted(map(tuple, found.collect()), key=str) == sorted(want, key=str)
+
+
+def test_lines_name_only_nodes_that_are_there(spark, tmp_path):
+    tables(
+        spark, tmp_path,
+        region=([(0, "R")], "r_regionkey int, r_name string"), nation=([(1, "N", 0), (2, "M", 9)], "n_nationkey int, n_name string, n_regionkey int"),
+        customer=([(1, "a", 1, "M"), (2, None, 8, None), (3, "c", None, "M")], "c_custkey long, c_name string, c_nationkey int, c_mktsegment string"), supplier=([(7, "S", 1)], "s_suppkey long, s_name string, s_nationkey int"),
+        part=([(3, "P", "B", "T", 1)], "p_partkey long, p_name string, p_brand string, p_type string, p_size int"),
+        lineitem=([(5, 3, 7), (5, 3, 7), (6, 3, 8), (6, 4, 7), (6, None, 7)], "l_orderkey long, l_partkey long, l_suppkey long"),
+    )
+    ask = lambda name: __spark_entry__.queries()[name](spark, str(tmp_path)).collect()
+    lines = [r.value for r in ask("turtle_lines")]
+    # types and labels of 8 nodes, three segments, brand and type, four edges; the second customer has neither name nor segment
+    assert len(lines) == 8 + 8 + 3 + 2 + 4 and lines.count(None) == 2 and not [x for x in lines if x and "  ." in x]
+    relations = sorted(x.split(" ")[1].split("#")[1].rstrip(">") for x in lines if x and x.count("auto_ontology#") == 3)
+    assert relations == ["IN_REGION", "LIVES_IN", "LOCATED_IN", "SUPPLIED_BY"]
+    assert {r.source: r.n for r in ask("triple_type_counts")} == {"region": 1, "nation": 2, "customer": 3, "supplier": 1, "part": 1}

@@ -6,11 +6,13 @@ checked against the whole vocabulary, and another seed is taken if one does.  A
 1. Words are counted by one aggregate.
 2. Level by level, each task over texts maps its occurrences to candidates that are Apriori-safe: a pair only where a bitmap of ``FILTER_BITS``
    says that both words may reach ``LEAST``, a triple only where one says so of both its pairs.  A bitmap may let too much pass, never too little.
-   What passes is summed within the task, ``FLUSH`` occurrences at a time, and dealt to shards by the phrase's hash, one packed row for each shard.
+   What passes is summed within the task, ``FLUSH`` occurrences at a time, and dealt to shards by the phrase's hash, one packed row for each shard;
+   packed rows go to Spark ``BATCH`` keys at a time.
 3. A shard drops phrases whose hash bucket holds fewer than ``LEAST`` occurrences, and builds a minimal perfect hash over the rest (levels of
-   bits: the keys that are alone at their place are numbered by the bits before it, the others go to the next level).  Each packed row is mapped to an
-   array over the slots by one bincount, the stored key of the slot deciding whether it is the phrase, and the arrays are summed by a tree.
-4. A candidate asks the shards of its parts for their counts, which are read at the slot their hash gives, the stored key again deciding.  Its
+   bits: the keys that are alone at their place are numbered by the bits before it, the others go to the next level).  Its packed rows, made one, are mapped
+   ``PIECE`` entries at a time to an array over the slots by one bincount, the stored key of the slot deciding whether it is the phrase, and the arrays are summed by a tree.
+4. A shard of candidates asks the shards of their parts for their counts, each different part once, as plain rows.  They are read at the slot that the part's hash
+   gives, the stored key again deciding, and go back to the shard that asked; a pair that a triple covers is told to its own shard on the way.  A candidate's
    score is the least over its cuts, in whole numbers of 38 digits.
 
 A shard has about ``SHARD_BYTES`` of packed rows, however large the corpus, and since a task sums first, the most common phrase adds one entry for each
@@ -26,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +41,8 @@ FIRST = 2000
 COVERED = 50
 FILTER_BITS = 26
 FLUSH = 2_000_000
+BATCH = 1 << 17
+PIECE = 1 << 18
 SHARD_BYTES = 24 << 20
 SEEDS = 8
 MOST_TASKS = 20_000
@@ -102,8 +107,13 @@ class PerfectHash:
 
 
 def _columns(data: bytes, level: int) -> list[np.ndarray]:
-    flat = np.frombuffer(data, "<u8")
-    return list(flat.reshape(level, -1))
+    rows = np.frombuffer(data, "<u8").reshape(-1, level)
+    return [np.ascontiguousarray(rows[:, k]) for k in range(level)]
+
+
+def _rows(columns: list[np.ndarray]) -> np.ndarray:
+    """The keys of one row after the other, as ``_columns`` reads them."""
+    return np.stack(columns, axis=1).astype("<u8", copy=False)
 
 
 def _same(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -130,22 +140,19 @@ def _tree_sum(parts: list[np.ndarray]) -> np.ndarray:
 
 def counted(rows: list[tuple[bytes, bytes]], level: int, least: int) -> tuple[PerfectHash, list[np.ndarray], np.ndarray] | None:
     """Of packed rows (keys, counts) of one shard: the hash over what may reach ``least``, the stored keys and the exact counts by slot."""
-    chunks = [(_columns(k, level), np.frombuffer(c, "<i8")) for k, c in rows]
-    n = sum(len(c) for _, c in chunks)
-    m = 1 << max(10, (4 * n).bit_length())
-    at = [(tuple_hash(k, 99) % np.uint64(m)).astype(np.int64) for k, _ in chunks]
-    bucket = np.zeros(m)
-    for a, (_, c) in zip(at, chunks, strict=True):
-        bucket += np.bincount(a, c, m)
-    may = [bucket[a] >= least for a in at]
-    kept = [([x[f] for x in k], c[f]) for f, (k, c) in zip(may, chunks, strict=True) if f.any()]
-    if not kept:
+    # as many steps as a shard has entries, however many rows they came in
+    keys, count = _columns(b"".join(k for k, _ in rows), level), np.frombuffer(b"".join(c for _, c in rows), "<i8")
+    m = 1 << max(10, (4 * len(count)).bit_length())
+    at = (tuple_hash(keys, 99) % np.uint64(m)).astype(np.int64)
+    may = np.bincount(at, count, m)[at] >= least
+    if not may.any():
         return None
-    keys = _distinct([np.concatenate(x) for x in zip(*[k for k, _ in kept], strict=True)])
-    found = PerfectHash.build(keys)
-    slot = found.slots(keys)
-    stored = [np.empty_like(k) for k in keys]
-    for s, k in zip(stored, keys, strict=True):
+    keys, count = [k[may] for k in keys], count[may]
+    distinct = _distinct(keys)
+    found = PerfectHash.build(distinct)
+    slot = found.slots(distinct)
+    stored = [np.empty_like(k) for k in distinct]
+    for s, k in zip(stored, distinct, strict=True):
         s[slot] = k
 
     def occurrences(k: list[np.ndarray], c: np.ndarray) -> np.ndarray:
@@ -153,7 +160,7 @@ def counted(rows: list[tuple[bytes, bytes]], level: int, least: int) -> tuple[Pe
         good = _same([s[at] for s in stored], k)
         return np.bincount(at[good], c[good], found.size).astype(np.int64)
 
-    return found, stored, _tree_sum([occurrences(*x) for x in kept])
+    return found, stored, _tree_sum([occurrences([k[i : i + PIECE] for k in keys], count[i : i + PIECE]) for i in range(0, len(count), PIECE)])
 
 
 def _tokens(batch: pa.RecordBatch, seed: int) -> tuple[np.ndarray, ...]:
@@ -206,20 +213,27 @@ def _may(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bits[at >> 3] >> (at & 7)) & 1 == 1
 
 
-def _packed(columns: list[np.ndarray], count: np.ndarray, shards: int) -> Iterator[tuple[int, bytes, bytes]]:
-    """Rows of keys summed and cut into one packed row for each shard that has some."""
+def _packed(columns: list[np.ndarray], count: np.ndarray, shards: int) -> Iterator[pa.RecordBatch]:
+    """Rows of keys summed and cut into one packed row for each shard that has some, ``BATCH`` keys or one longer row at a time."""
     h = tuple_hash(columns)
-    order = np.argsort(h, kind="stable")
+    order = np.argsort(h)
     h, columns, count = h[order], [c[order] for c in columns], count[order]
     new = np.ones(len(h), bool)
     new[1:] = ~_same([c[1:] for c in columns], [c[:-1] for c in columns])
     first = np.flatnonzero(new)
-    columns, count, h = [c[first] for c in columns], np.add.reduceat(count, first) if len(first) else count, h[first]
+    count, h = np.add.reduceat(count, first) if len(first) else count, h[first]
+    keys, count = _rows([c[first] for c in columns]), count.astype("<i8", copy=False)
     shard = ((h >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
     cuts = np.searchsorted(shard, np.arange(shards + 1, dtype=np.uint64))
-    for s in np.flatnonzero(np.diff(cuts)).tolist():
-        a, b = cuts[s], cuts[s + 1]
-        yield s, b"".join(c[a:b].astype("<u8").tobytes() for c in columns), count[a:b].astype("<i8").tobytes()
+    some = np.flatnonzero(np.diff(cuts))
+    ends, low = cuts[some + 1], 0
+    while low < len(some):
+        start = cuts[some[low]]
+        high = max(low + 1, int(np.searchsorted(ends, start + BATCH, "right")))
+        at = np.concatenate([[start], ends[low:high]])
+        packed = [pa.Array.from_buffers(pa.binary(), high - low, [None, pa.py_buffer(((at - start) * x[:1].nbytes).astype(np.int32)), pa.py_buffer(x[start : at[-1]])]) for x in (keys, count)]
+        yield pa.RecordBatch.from_arrays([pa.array(some[low:high].astype(np.int32)), *packed], ["shard", "keys", "counts"])
+        low = high
 
 
 def shard_of(columns: list[np.ndarray], shards: int) -> np.ndarray:
@@ -236,8 +250,7 @@ def _phrases(docs: DataFrame, level: int, seed: int, shards: int, words: np.ndar
         def flush() -> Iterator[pa.RecordBatch]:
             columns = [np.concatenate(x) for x in zip(*held, strict=True)]
             held.clear()
-            for s, k, c in _packed(columns, np.ones(len(columns[0]), np.int64), shards):
-                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([k], pa.binary()), pa.array([c], pa.binary())], ["shard", "keys", "counts"])
+            yield from _packed(columns, np.ones(len(columns[0]), np.int64), shards)
 
         for batch in arrays.slices(batches):
             *_, keys, joined = _tokens(batch, seed)
@@ -267,8 +280,7 @@ _NAMES = ["level", "shard", "hash", "keys", "counts", "langs", "words"]
 
 def _model_row(level: int, shard: int, found: PerfectHash, stored: list[np.ndarray], count: np.ndarray, langs=None, words=None) -> pa.RecordBatch:
     texts = [pa.array([x], pa.list_(pa.string())) for x in (langs, words)]
-    keys = b"".join(k.astype("<u8").tobytes() for k in stored)
-    return pa.RecordBatch.from_arrays([pa.array([level], pa.int32()), pa.array([shard], pa.int32()), *[pa.array([x], pa.binary()) for x in (found.packed(), keys, count.astype("<i8").tobytes())], *texts], _NAMES)
+    return pa.RecordBatch.from_arrays([pa.array([level], pa.int32()), pa.array([shard], pa.int32()), *[pa.array([x], pa.binary()) for x in (found.packed(), _rows(stored).tobytes(), count.astype("<i8").tobytes())], *texts], _NAMES)
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[int, list[tuple]]]:
@@ -330,59 +342,150 @@ def _pair_places(models: DataFrame, least: int) -> DataFrame:
     return models.select("keys", "counts").mapInArrow(run, "place long")
 
 
-#: What a candidate asks for, by level: words of the part, and by which name the answer goes.
-_PARTS = {2: [((0,), "w1"), ((1,), "w2")], 3: [((0,), "w1"), ((1,), "w2"), ((2,), "w3"), ((0, 1), "p12"), ((1, 2), "p23")]}
-
-
 def _requests(models: DataFrame, shards: int, least: int) -> DataFrame:
-    """Packed requests of all candidates for their parts: level and shard of the part, its key, the candidate's own place and count, the part's name."""
+    """What the candidates of each shard (of_level, of_shard) ask of their parts, each different part once: its level, shard and keys, and of pairs the most that one of the triples has."""
+    names = ["level", "shard", "k1", "k2", "most", "of_level", "of_shard"]
+
+    def asked(part: list[np.ndarray], most: np.ndarray, level: int, shard: int) -> Iterator[pa.RecordBatch]:
+        order = np.argsort(tuple_hash(part))
+        part, most = [c[order] for c in part], most[order]
+        new = np.ones(len(order), bool)
+        new[1:] = ~_same([c[1:] for c in part], [c[:-1] for c in part])
+        first = np.flatnonzero(new)
+        part, most = [c[first] for c in part], np.maximum.reduceat(most, first)
+        n, of = len(first), shard_of(part, shards).astype(np.int32)
+        same = lambda x: np.full(n, x, np.int32)
+        k1, k2 = part[0], part[1] if len(part) > 1 else np.zeros(n, np.uint64)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (same(len(part)), of, k1.view(np.int64), k2.view(np.int64), most, same(level), same(shard))], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for level, shard, keys, counts in zip(*(batch.column(c).to_pylist() for c in ("level", "shard", "keys", "counts")), strict=True):
                 a = np.frombuffer(counts, "<i8")
-                slot = np.flatnonzero(a >= least)
-                columns = [k[slot] for k in _columns(keys, level)]
-                for words, name in _PARTS[level]:
-                    part = [columns[w] for w in words]
-                    of = shard_of(part, shards)
-                    order = np.argsort(of, kind="stable")
-                    cuts = np.searchsorted(of[order], np.arange(shards + 1))
-                    for s in np.flatnonzero(np.diff(cuts)).tolist():
-                        i = order[cuts[s] : cuts[s + 1]]
-                        raw = [b"".join(c[i].astype("<u8").tobytes() for c in part), slot[i].astype("<i8").tobytes(), a[slot[i]].astype("<i8").tobytes()]
-                        yield pa.RecordBatch.from_arrays([pa.array([len(words)], pa.int32()), pa.array([s], pa.int32()), *[pa.array([x], pa.binary()) for x in raw], pa.array([name]), pa.array([level], pa.int32()), pa.array([shard], pa.int32())], ["level", "shard", "keys", "slots", "asks", "part", "of_level", "of_shard"])
+                good = a >= least
+                if not good.any():
+                    continue
+                a, columns = a[good], [k[good] for k in _columns(keys, level)]
+                yield from asked([np.concatenate(columns)], np.zeros(level * len(a), np.int64), level, shard)
+                if level == 3:
+                    yield from asked([np.concatenate(columns[:2]), np.concatenate(columns[1:])], np.tile(a, 2), level, shard)
+
+    return models.where("level > 1").select("level", "shard", "keys", "counts").mapInArrow(run, "level int, shard int, k1 long, k2 long, most long, of_level int, of_shard int")
+
+
+def _behind(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict | None, pa.RecordBatch | None]]:
+    """A model row, then the rows behind it in one or more batches, of partitions in which each shard's model comes first."""
+    for batch in batches:
+        at = np.flatnonzero(batch.column("hash").is_valid().to_numpy(zero_copy_only=False))
+        for low, high in zip([0, *(at + 1).tolist()], [*at.tolist(), batch.num_rows], strict=True):
+            if low:
+                yield batch.slice(low - 1, 1).to_pylist()[0], None
+            if low < high:
+                yield None, batch.slice(low, high - low)
+
+
+def _keys(batch: pa.RecordBatch | pa.Table, *names: str) -> list[np.ndarray]:
+    return [np.ascontiguousarray(batch.column(c).to_numpy()).view(np.uint64) for c in names]
 
-    return models.where("level > 1").select("level", "shard", "keys", "counts").mapInArrow(run, "level int, shard int, keys binary, slots binary, asks binary, part string, of_level int, of_shard int")
 
+def _dealt(models: DataFrame, rows: DataFrame, shards: int) -> DataFrame:
+    """Rows behind the model of their level and shard."""
+    both = models.unionByName(rows, allowMissingColumns=True)
+    return both.repartition(min(shards, MOST_TASKS), "level", "shard").sortWithinPartitions("level", "shard", F.col("hash").isNull())
 
-def _answers(models: DataFrame, requests: DataFrame) -> DataFrame:
-    """(of_level, of_shard, of_slot, a, part, f, slot, shard, lang, word): each part's count, read at its slot."""
-    names = ["of_level", "of_shard", "of_slot", "a", "part", "f", "shard", "slot", "lang", "word"]
+
+def _answers(models: DataFrame, requests: DataFrame, shards: int) -> DataFrame:
+    """(level, shard, k1, k2, part, f, lang, word) for the shard that asked: the count f of a part of so many words, read at its slot.  Part 0 tells a pair's shard that a triple covers it."""
+    names = ["level", "shard", "k1", "k2", "part", "f", "lang", "word"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = None
-        for batch in batches:
-            for r in batch.to_pylist():
-                if r["hash"] is not None:
-                    found, stored, count = PerfectHash.unpacked(r["hash"]), _columns(r["keys"], r["level"]), np.frombuffer(r["counts"], "<i8")
-                    texts = [pa.array(r[c], pa.string()) if r[c] is not None else None for c in ("langs", "words")]
-                    continue
-                keys = _columns(r["keys"], r["level"])
-                at = found.slots(keys)
-                if not _same([s[at] for s in stored], keys).all():  # Apriori: a candidate's parts are frequent, so they are stored
-                    raise RuntimeError("a part of a frequent phrase isn't among the frequent ones")
-                n, where = len(at), pa.array(at)
-                same = lambda x, kind, n=n: pa.array(np.full(n, x), kind)
-                said = [t.take(where) if t is not None else pa.nulls(n, pa.string()) for t in texts]
-                yield pa.RecordBatch.from_arrays(
-                    [same(r["of_level"], pa.int32()), same(r["of_shard"], pa.int32()), pa.array(np.frombuffer(r["slots"], "<i8")), pa.array(np.frombuffer(r["asks"], "<i8")),
-                     pa.array([r["part"]] * n), pa.array(count[at]), same(r["shard"], pa.int32()), where, *said], names)
-
-    both = models.unionByName(requests, allowMissingColumns=True)
-    first = F.col("hash").isNull()
-    dealt = both.repartition("level", "shard").sortWithinPartitions("level", "shard", first)
-    return dealt.mapInArrow(run, "of_level int, of_shard int, of_slot long, a long, part string, f long, shard int, slot long, lang string, word string")
+        for model, batch in _behind(batches):
+            if model is not None:
+                level, shard = model["level"], model["shard"]
+                found, stored, count = PerfectHash.unpacked(model["hash"]), _columns(model["keys"], level), np.frombuffer(model["counts"], "<i8")
+                texts = [pa.array(model[c], pa.string()) if model[c] is not None else None for c in ("langs", "words")]
+                continue
+            keys = _keys(batch, "k1", "k2")[:level]
+            at = found.slots(keys)
+            if not _same([s[at] for s in stored], keys).all():  # Apriori: a candidate's parts are frequent, so they are stored
+                raise RuntimeError("a part of a frequent phrase isn't among the frequent ones")
+            where, same = pa.array(at), lambda x, n: pa.array(np.full(n, x, np.int32))
+            said = [t.take(where) if t is not None else pa.nulls(len(at), pa.string()) for t in texts]
+            k1, k2 = batch.column("k1"), batch.column("k2")
+            yield pa.RecordBatch.from_arrays([batch.column("of_level"), batch.column("of_shard"), k1, k2, same(level, len(at)), pa.array(count[at]), *said], names)
+            if level == 2:
+                most = batch.column("most").to_numpy()
+                over = np.flatnonzero(most * 100 >= count[at] * COVERED)
+                n, which = len(over), pa.array(over)
+                yield pa.RecordBatch.from_arrays([same(2, n), same(shard, n), k1.take(which), k2.take(which), same(0, n), pa.array(most[over]), *[pa.nulls(n, pa.string())] * 2], names)
+
+    dealt = _dealt(models.where("level < 3"), requests, shards)
+    return dealt.mapInArrow(run, "level int, shard int, k1 long, k2 long, part int, f long, lang string, word string")
+
+
+def _places(keys: list[np.ndarray], asked: list[np.ndarray]) -> np.ndarray:
+    """Where each row of keys that is asked for stands; each is there."""
+    h = tuple_hash(keys)
+    order = np.argsort(h)
+    at = np.searchsorted(h[order], tuple_hash(asked))
+    while True:  # rows of one hash are gone through
+        if (at >= len(order)).any():
+            raise RuntimeError("a count that was asked for is missing")
+        other = ~_same([k[order[at]] for k in keys], asked)
+        if not other.any():
+            return order[at]
+        at = at + other
+
+
+def _candidates(models: DataFrame, answers: DataFrame, shards: int, least: int) -> DataFrame:
+    """(lang, phrase, words, a, w1, w2, w3, p12, p23): the candidates that no triple covers, with their parts' counts; what has no third word has no count of it nor of pairs."""
+    names = ["lang", "phrase", "words", "a", "w1", "w2", "w3", "p12", "p23"]
+
+    def made(model: dict, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        level, a = model["level"], np.frombuffer(model["counts"], "<i8")
+        good = a >= least
+        if not good.any():
+            return
+        a, columns = a[good], [k[good] for k in _columns(model["keys"], level)]
+        rows = pa.Table.from_batches(held)
+        kinds = rows.column("part").to_numpy()
+        of = lambda kind: rows.take(pa.array(np.flatnonzero(kinds == kind))).combine_chunks()
+        covered = of(0)
+        if covered.num_rows:
+            kept = np.ones(len(a), bool)
+            kept[_places(columns, _keys(covered, "k1", "k2"))] = False
+            a, columns = a[kept], [c[kept] for c in columns]
+            if not len(a):
+                return
+        words = of(1)
+        keys = _keys(words, "k1")
+        at = [_places(keys, [c]) for c in columns]
+        f = words.column("f").to_numpy()
+        counts = [f[x] for x in at]
+        if level == 3:
+            pairs = of(2)
+            keys, f = _keys(pairs, "k1", "k2"), pairs.column("f").to_numpy()
+            counts += [f[_places(keys, columns[k : k + 2])] for k in (0, 1)]
+        lang, word = (words.column(c).combine_chunks() for c in ("lang", "word"))
+        lang, phrase = lang.take(pa.array(at[0])), pc.binary_join_element_wise(*[word.take(pa.array(x)) for x in at], " ")
+        nothing = [pa.nulls(len(a), pa.int64())] * (5 - len(counts))
+        yield pa.RecordBatch.from_arrays([lang, phrase, pa.array(np.full(len(a), level, np.int32)), pa.array(a), *[pa.array(c) for c in counts], *nothing], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for model, batch in _behind(batches):
+            if batch is not None:
+                held.append(batch.select(["part", "k1", "k2", "f", "lang", "word"]))
+                continue
+            if held:
+                yield from made(now, held)
+            now, held = model, []
+        if held:
+            yield from made(now, held)
+        arrays.release()
+
+    dealt = _dealt(models.where("level > 1").drop("langs", "words"), answers, shards)
+    return dealt.mapInArrow(run, "lang string, phrase string, words int, a long, w1 long, w2 long, w3 long, p12 long, p23 long")
 
 
 #: The score of one cut, in whole numbers of 38 digits.
@@ -407,18 +510,11 @@ def mine(docs: DataFrame, least: int = LEAST, first: int | None = FIRST) -> Data
     two = _models(_phrases(texts, 2, seed, shards, may, None), 2, shards, least)
     three = _models(_phrases(texts, 3, seed, shards, may, _bitmap(_pair_places(two, least))), 3, shards, least)
     models = one.unionByName(two).unionByName(three)
-    answers = written(_answers(models, _requests(models, shards, least)), "parts")
-
-    of = lambda name, c: F.max(F.when(F.col("part") == name, F.col(c)))
-    row = answers.groupBy("of_level", "of_shard", "of_slot").agg(
-        F.first("a").alias("a"), of("w1", "lang").alias("lang"), *[of(w, "word").alias(f"{w}_word") for w in ("w1", "w2", "w3")], *[of(p, "f").alias(p) for p in ("w1", "w2", "w3", "p12", "p23")]
-    )
-    # of the pairs within triples, the most that one triple has
-    inside = answers.where("part in ('p12', 'p23')").groupBy(F.col("shard").alias("of_shard"), F.col("slot").alias("of_slot")).agg(F.max("a").alias("most")).withColumn("of_level", F.lit(2))
-    row = row.join(inside, ["of_level", "of_shard", "of_slot"], "left").where(F.coalesce(F.col("most") * 100 < F.col("a") * COVERED, F.lit(True)))
+    answers = _answers(models, _requests(models, shards, least), shards)
+    row = written(_candidates(models, answers, shards, least), "candidates")
     cut = lambda l, r, k: F.struct(F.expr(SCORE.format(l, r)).alias("score"), F.lit(k).alias("k"), F.col(l).alias("l"), F.col(r).alias("r"))  # noqa: E731, E741
-    best = F.when(F.col("of_level") == 2, cut("w1", "w2", 1)).otherwise(F.least(cut("w1", "p23", 1), cut("p12", "w3", 2)))
-    phrases = row.select("lang", F.concat_ws(" ", "w1_word", "w2_word", "w3_word").alias("phrase"), "a", best.alias("c")).select("lang", "phrase", "a", "c.l", "c.r", "c.score")
+    best = F.when(F.col("words") == 2, cut("w1", "w2", 1)).otherwise(F.least(cut("w1", "p23", 1), cut("p12", "w3", 2)))
+    phrases = row.select("lang", "phrase", "a", best.alias("c")).select("lang", "phrase", "a", "c.l", "c.r", "c.score")
     order = [F.desc("score"), F.desc("a"), "phrase"]
     if first is not None:  # in two steps, so that no task ranks a whole language
         salted = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(64))).orderBy(*order)

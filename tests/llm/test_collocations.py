@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.llm import collocations as co
@@ -93,3 +94,26 @@ def test_tables_without_phrases(spark):
 def test_scores_pass_64_bits(spark):
     rows = spark.createDataFrame([(10**12, 10**13 + 7, 10**14 + 9)], "a long, l long, r long")
     assert rows.selectExpr(co.SCORE.format("l", "r")).first()[0] == 10**6 * 10**24 // ((10**13 + 7) * (10**14 + 9))
+
+
+def test_steps_do_not_grow_with_shards_times_tasks(monkeypatch):
+    """Many packed rows of a shard are counted in as many steps as one, and many shards' packed rows go out together."""
+    pick = np.random.default_rng(1)
+    keys = [pick.integers(0, 3000, 40_000).astype(np.uint64), pick.integers(0, 3, 40_000).astype(np.uint64)]
+    batches = list(co._packed(keys, np.ones(40_000, np.int64), 1000))
+    assert len(batches) == 1 and batches[0].num_rows > 990
+    rows = list(zip(*(batches[0].column(c).to_pylist() for c in ("keys", "counts")), strict=True))
+    calls = []
+    monkeypatch.setattr(co.np, "bincount", lambda *a, f=np.bincount, **k: calls.append(0) or f(*a, **k))
+    found, stored, count = co.counted(rows, 2, 3)
+    assert len(calls) < 30
+    want = Counter(zip(*(k.tolist() for k in keys), strict=True))
+    got = dict(zip(zip(*(s.tolist() for s in stored), strict=True), count.tolist(), strict=True))
+    assert all(want[k] == n for k, n in got.items()) and {k for k, n in want.items() if n >= 3} <= set(got)
+
+
+def test_a_shard_asks_for_each_part_once(spark):
+    keys = [np.repeat(np.arange(1, 3, dtype=np.uint64), 500), np.arange(1000, 2000, dtype=np.uint64)]
+    rows = pa.Table.from_batches([co._model_row(2, 4, co.PerfectHash.build(keys), keys, np.full(1000, 10))])
+    asked = co._requests(spark.createDataFrame(rows.to_pandas().drop(columns=["langs", "words"]), "level int, shard int, hash binary, keys binary, counts binary"), 50, 10).collect()
+    assert len(asked) == 1002 == len({r.k1 for r in asked}) and {(r.level, r.of_level, r.of_shard) for r in asked} == {(1, 2, 4)}

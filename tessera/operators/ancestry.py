@@ -6,13 +6,14 @@ intervals of its descendants in the tree.  Each edge outside the forest (second
 also counts as standing where its parent stands, and so on through further such edges, which are closed among themselves beforehand.
 
 ``holds`` answers pairs by equality of the tree and ranges of places.  Pointer jumping takes rounds by the logarithm of the
-longest way, over written tables; what has at most ``LOCAL`` rows is jumped in one task instead.
+longest way, over written tables, of which only the last is kept; what has at most ``LOCAL`` rows is jumped in one task instead.
 
 Defined results: a null end makes no edge, a class is its own ancestor, also one that no edge names; classes on a circle are ancestors of each other.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,11 +23,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import name_key, unicode_trim
-from tessera.storage import written
+from tessera.storage import passing, unneeded, written
 
 #: Rows that one task jumps by itself, and shares of a class's children among which their order is made.
 LOCAL = 200_000
 SHARES = 64
+#: Links are checked in up to so many slices, each of so many at least, so that only one slice's shuffled rows are on disk at a time.
+SLICES = 4
+SLICE_ROWS = 1 << 22
 
 
 @dataclass
@@ -68,10 +72,14 @@ def jumped(pointers: DataFrame, local: int | None = None) -> DataFrame:
     rows = written(pointers.select("node", "next"), "pointers")
     n = rows.count()
     if n <= (LOCAL if local is None else local):
-        return written(rows.coalesce(1).mapInArrow(_jump_here, "node string, end string, steps long, least string, open boolean"), "jumped")
-    now = rows.select("node", F.col("next").alias("hop"), F.col("next").isNotNull().cast("long").alias("steps"), F.when(F.col("next").isNull(), F.col("node")).alias("end"), F.col("node").alias("least"))
+        out = written(rows.coalesce(1).mapInArrow(_jump_here, "node string, end string, steps long, least string, open boolean"), "jumped")
+        unneeded(rows)
+        return out
+    last, now = rows, rows.select("node", F.col("next").alias("hop"), F.col("next").isNotNull().cast("long").alias("steps"), F.when(F.col("next").isNull(), F.col("node")).alias("end"), F.col("node").alias("least"))
     for _ in range(n.bit_length()):
         now = written(now, "jumps")
+        unneeded(last)
+        last = now
         if now.where("hop is not null").isEmpty():
             break
         there = now.select(F.col("node").alias("hop"), F.col("hop").alias("_hop"), F.col("steps").alias("_steps"), F.col("end").alias("_end"), F.col("least").alias("_least"))
@@ -81,7 +89,9 @@ def jumped(pointers: DataFrame, local: int | None = None) -> DataFrame:
             "node", F.col("_hop").alias("hop"), (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps"), F.when(went, F.col("_end")).otherwise(F.col("end")).alias("end"),
             F.when(went, F.least("least", "_least")).otherwise(F.col("least")).alias("least"),
         )
-    return written(now.select("node", F.coalesce("hop", "end").alias("end"), "steps", "least", F.col("hop").isNotNull().alias("open")), "jumped")
+    out = written(now.select("node", F.coalesce("hop", "end").alias("end"), "steps", "least", F.col("hop").isNotNull().alias("open")), "jumped")
+    unneeded(last)
+    return out
 
 
 def _tour(tree: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -117,6 +127,12 @@ def _stabbed(points: DataFrame, intervals: DataFrame) -> DataFrame:
 
 def build(pairs: DataFrame, local: int | None = None) -> Ancestry:
     """Labels of all classes of pairs (child, parent)."""
+    with passing(pairs.sparkSession) as keep:
+        found = _built(pairs, local)
+        return Ancestry(keep(found.labels), keep(found.extra))
+
+
+def _built(pairs: DataFrame, local: int | None) -> Ancestry:
     text = lambda c: F.col(c).cast("string").alias(c)
     edges = written(pairs.select(text("child"), text("parent")).where("child <> parent").distinct(), "edges")
     nodes = written(pairs.select(F.explode(F.array(text("child"), text("parent"))).alias("node")).where("node is not null").distinct(), "classes")
@@ -169,38 +185,58 @@ def holds(pairs: DataFrame, ancestry: Ancestry) -> DataFrame:
     return asked.where("child = ancestor").unionByName(inside).unionByName(around).distinct()
 
 
-def validated_links(links: DataFrame, relations: DataFrame, instances: DataFrame, ancestry: Ancestry) -> DataFrame:
+def _ends(told: DataFrame, instances: DataFrame) -> DataFrame:
+    """What of told (text, and more) names an instance, with its id and type: the first of that label, else the first that is a spelling of it."""
+    named = instances.where(unicode_trim(F.col("label")) != "")
+    pick = F.min_by(F.struct("id", F.col("type_id").cast("string").alias("type")), "pos")
+    exact = named.groupBy(unicode_trim(F.col("label")).alias("_label")).agg(pick.alias("_exact"))
+    alike = named.groupBy(name_key(F.col("label")).alias("_key")).agg(pick.alias("_alike"))
+    texts = told.select("text", unicode_trim(F.col("text")).alias("_label"), name_key(F.col("text")).alias("_key")).distinct()
+    found = texts.join(exact, "_label", "left").join(alike, "_key", "left").select("text", F.coalesce("_exact", "_alike").alias("_found"))
+    return told.join(found.where("_found.id is not null"), "text").select(*told.columns, "_found.id", "_found.type")
+
+
+def validated_links(links: DataFrame, relations: DataFrame, instances: DataFrame, ancestry: Ancestry, columns: list[str] | None = None) -> DataFrame:
     """Extracted links with relation_id, source_id, target_id and ``reasons``: empty where the link is accepted, else all that speaks against it.
 
     links: relation, source, target, and more columns; relations: id, label, domain, range; instances: id, label, type_id, pos.  A relation goes by its id, else by the first
     label; an instance by its label without white space around, else by the first that is a spelling of it.  Reasons, in this order: relation, source,
     target (names nothing known), domain, range (the end's class isn't the one wanted nor below it).  A relation's null domain or range allows all; an
-    instance without a class fits no other; the three columns added are null where nothing was found.
+    instance without a class fits no other; the three columns added are null where nothing was found.  ``columns``: those of links that are returned, else all.
+
+    Links are read several times.
     """
-    kept = [c for c in links.columns if c not in ("relation_id", "source_id", "target_id", "reasons")]
-    rows = links.select(*kept, F.monotonically_increasing_id().alias("_row"))
-    rows = written(rows, "links")
-    by_label = relations.where("label <> ''").groupBy("label").agg(F.min("id").alias("_labelled"))
-    known = rows.join(relations.select(F.col("id").alias("relation"), F.col("id").alias("_id")).distinct(), "relation", "left").join(by_label.withColumnRenamed("label", "relation"), "relation", "left")
-    known = known.withColumn("relation_id", F.coalesce("_id", "_labelled")).drop("_id", "_labelled")
-    wanted = relations.groupBy(F.col("id").alias("relation_id")).agg(F.min(F.struct("domain", "range")).alias("_w")).select("relation_id", F.col("_w.domain").alias("_domain"), F.col("_w.range").alias("_range"))
-    known = known.join(wanted, "relation_id", "left")
-    for end in ("source", "target"):
-        named = instances.where(unicode_trim(F.col("label")) != "")
-        pick = F.min_by(F.struct("id", F.col("type_id").cast("string").alias("type")), "pos")
-        exact = named.groupBy(unicode_trim(F.col("label")).alias("_text")).agg(pick.alias("_exact"))
-        alike = named.groupBy(name_key(F.col("label")).alias("_key")).agg(pick.alias("_alike"))
-        known = known.withColumns({"_text": unicode_trim(F.col(end)), "_key": name_key(F.col(end))}).join(exact, "_text", "left").join(alike, "_key", "left")
-        found = F.coalesce("_exact", "_alike")
-        known = known.withColumns({f"{end}_id": found["id"], f"_{end}_type": found["type"]}).drop("_text", "_key", "_exact", "_alike")
-    known = written(known, "ends")
-    asked = known.select(F.explode(F.array(*[F.struct(F.col(f"_{end}_type").alias("child"), F.col(w).cast("string").alias("ancestor")) for end, w in (("source", "_domain"), ("target", "_range"))])).alias("p")).select("p.*")
-    fits = written(holds(asked, ancestry), "fits")
-    for end, want, mark in (("source", "_domain", "_fits_domain"), ("target", "_range", "_fits_range")):
-        known = known.withColumn(want, F.col(want).cast("string")).join(fits.select(F.col("child").alias(f"_{end}_type"), F.col("ancestor").alias(want), F.lit(True).alias(mark)), [f"_{end}_type", want], "left")
-    against = lambda end, want, mark: F.col("relation_id").isNotNull() & F.col(f"{end}_id").isNotNull() & F.col(want).isNotNull() & F.col(mark).isNull()
-    reasons = [
-        (F.col("relation_id").isNull(), "relation"), (F.col("source_id").isNull(), "source"), (F.col("target_id").isNull(), "target"),
-        (against("source", "_domain", "_fits_domain"), "domain"), (against("target", "_range", "_fits_range"), "range"),
-    ]
-    return known.select(*kept, "relation_id", "source_id", "target_id", F.array_compact(F.array(*[F.when(c, F.lit(r)) for c, r in reasons])).alias("reasons"))
+    made = ("relation_id", "source_id", "target_id", "reasons")
+    kept = [c for c in (links.columns if columns is None else columns) if c not in made]
+    said = relations.where("id is not null").select(F.col("id").cast("string").alias("relation"), F.lit(0).alias("_k"), F.col("id").alias("relation_id"))
+    said = said.unionByName(relations.where("label <> '' and id is not null").select(F.col("label").cast("string").alias("relation"), F.lit(1).alias("_k"), F.col("id").alias("relation_id")))
+    said = said.groupBy("relation").agg(F.min(F.struct("_k", "relation_id"))["relation_id"].alias("relation_id"))
+    wanted = relations.groupBy(F.col("id").alias("relation_id")).agg(F.min(F.struct("domain", "range")).alias("_w"))
+    wanted = wanted.select("relation_id", F.col("_w.domain").cast("string").alias("_domain"), F.col("_w.range").cast("string").alias("_range"))
+    # links are dealt twice, by either end with the class wanted of it, and only to what is already known of that pair
+    known = links.select(*dict.fromkeys([*kept, "relation", "source", "target"])).join(written(said.join(wanted, "relation_id"), "relations"), "relation", "left")
+    pair = lambda end, want: F.struct(F.col(end).alias("text"), F.col(want).alias("want"))
+    with passing(links.sparkSession) as keep:
+        told = known.select(F.explode(F.array(pair("source", "_domain"), pair("target", "_range"))).alias("p")).select("p.*").where("text is not null").distinct()
+        told = keep(written(_ends(written(told, "told"), instances), "told"))
+    with passing(links.sparkSession) as keep:
+        fits = keep(written(holds(told.select(F.col("type").alias("child"), F.col("want").alias("ancestor")), ancestry).select(F.col("child").alias("type"), F.col("ancestor").alias("want"), F.lit(True).alias("fits")), "fits"))
+    ends = written(told.join(fits, ["type", "want"], "left").select("text", "want", "id", (F.col("want").isNotNull() & F.col("fits").isNull()).alias("off")), "ends")
+    unneeded(told, fits)
+
+    def checked(known: DataFrame) -> DataFrame:
+        for end, want, off in (("source", "_domain", "_off_domain"), ("target", "_range", "_off_range")):
+            there = ends.select(F.col("text").alias("_text"), F.col("want").alias("_want"), F.col("id").alias(f"{end}_id"), F.col("off").alias(off))
+            known = known.join(there, (F.col(end) == F.col("_text")) & F.col(want).eqNullSafe(F.col("_want")), "left").drop("_text", "_want")
+        reasons = [
+            (F.col("relation_id").isNull(), "relation"), (F.col("source_id").isNull(), "source"), (F.col("target_id").isNull(), "target"),
+            (F.col("_off_domain"), "domain"), (F.col("_off_range"), "range"),
+        ]
+        return known.select(*kept, "relation_id", "source_id", "target_id", F.array_compact(F.array(*[F.when(c, F.lit(r)) for c, r in reasons])).alias("reasons"))
+
+    n = min(SLICES, -(-links.count() // SLICE_ROWS))
+    if n < 2:
+        return checked(known)
+    slices = [written(checked(known.where(F.pmod(F.xxhash64("source"), F.lit(n)) == k)), "checked") for k in range(n)]
+    unneeded(ends)
+    return functools.reduce(DataFrame.unionByName, slices)

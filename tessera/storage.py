@@ -10,6 +10,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,6 +21,10 @@ from pyspark.sql import DataFrame, SparkSession
 TASK_ROWS = 1 << 20
 #: By application, the tables that it has written.
 _written: dict[str, list[str]] = {}
+#: Where the tables that ``written`` has returned lie.
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+#: Spark's setting by which a query's shuffle files go as soon as it has ended; else they stay until the driver collects its garbage.
+CLEANED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,12 +39,48 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back."""
+    """Write ``df`` as a Parquet table in the shared folder and read it back; what was shuffled for it is deleted."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANED, "false")
+    spark.conf.set(CLEANED, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANED, before)
     _written.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def unneeded(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` has returned and that nothing reads any more."""
+    for t in tables:
+        path = _paths.pop(t)
+        _written[t.sparkSession.sparkContext.applicationId].remove(path)
+        _delete(t.sparkSession, path)
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables written within are deleted at the end, but for those that the function given here is called with."""
+    mine = _written.setdefault(spark.sparkContext.applicationId, [])
+    before, kept = set(mine), set()
+
+    def keep(t: DataFrame) -> DataFrame:
+        kept.add(_paths[t])
+        return t
+
+    yield keep
+    for path in [p for p in mine if p not in before and p not in kept]:
+        mine.remove(path)
+        _delete(spark, path)
 
 
 def forget(spark: SparkSession) -> int:
@@ -47,8 +90,7 @@ def forget(spark: SparkSession) -> int:
     """
     paths = _written.pop(spark.sparkContext.applicationId, [])
     for path in paths:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        _delete(spark, path)
     return len(paths)
 
 

@@ -1,8 +1,10 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from tessera import storage
 from tessera.operators import ancestry
 
 
@@ -84,3 +86,38 @@ def test_links_with_reasons(spark):
     for r in got:
         assert ([r.source_id, r.target_id], r.reasons) == (said[r.n][3], said[r.n][4]), r
     assert ancestry.validated_links(links.limit(0), relations, instances, ancestry.build(classes)).count() == 0
+
+
+def test_tables_on_the_way_are_deleted(spark, monkeypatch):
+    """Rounds of pointer jumping and what links are checked by don't pile up on disk, and shuffled rows go with their step; slices change nothing."""
+    made = storage._written.setdefault(spark.sparkContext.applicationId, [])
+    before = len(made)
+    found = ancestry.build(spark.createDataFrame([(f"n{i}", f"n{i // 2}") for i in range(1, 40)] + [("n7", "n2")], "child string, parent string"), 0)
+    assert len(made) - before == 2 and found.labels.count() == 40 and found.extra.count() >= 1
+    relations = spark.createDataFrame([("R1", "is", "n1", "n3"), ("R2", None, None, "n2")], "id string, label string, domain string, range string")
+    instances = spark.createDataFrame([(f"i{i}", f"Thing{i}", f"n{i}", i) for i in range(1, 40)], "id string, label string, type_id string, pos int")
+    rows = [(i, ["R1", "is", "R2", "R9", None][i % 5], [f"Thing{i % 45}", f" thing_{i % 45}", None][i % 3], f"Thing{i * 7 % 41}") for i in range(300)]
+    links = spark.createDataFrame(rows, "n int, relation string, source string, target string")
+    whole = ancestry.validated_links(links, relations, instances, found, ["n"])
+    assert whole.columns == ["n", "relation_id", "source_id", "target_id", "reasons"]
+    want = sorted(map(str, whole.collect()))
+    assert len(want) == 300 and len({str(r.reasons) for r in whole.collect()}) > 5
+    monkeypatch.setattr(ancestry, "SLICE_ROWS", 100)
+    before = len(made)
+    assert sorted(map(str, ancestry.validated_links(links, relations, instances, found, ["n"]).collect())) == want
+    assert len(made) - before == 4  # the relations and three slices
+
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    there = lambda: {str(f) for f in iter_of(files.getAllFiles()) if "shuffle_" in str(f)}
+    old = there()
+    storage.written(spark.range(10_000).groupBy((F.col("id") % 100).alias("k")).count(), "sums")
+    deadline = time.time() + 20
+    while there() - old and time.time() < deadline:
+        time.sleep(0.2)
+    assert not there() - old
+
+
+def iter_of(found):
+    at = found.iterator()
+    while at.hasNext():
+        yield at.next()

@@ -46,6 +46,8 @@ PIECE = 1 << 18
 SHARD_BYTES = 24 << 20
 SEEDS = 8
 MOST_TASKS = 20_000
+#: Shards that a task goes through one by one where only candidates or words are left of them.
+SMALL = 4
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _BREAKS = np.array([chr(b) in ".,;:!?" or 10 <= b <= 13 for b in range(256)])
 _WORD = ~_BREAKS & np.array([b not in (9, 32) for b in range(256)])
@@ -325,7 +327,7 @@ def _word_models(words: DataFrame, shards: int) -> DataFrame:
             yield _model_row(1, shard, found, [h[order]], n[order], [rows[i][2] for i in order], [rows[i][3] for i in order])
 
     dealt = words.select("h", "n", "lang", "word").mapInArrow(place, "h long, n long, lang string, word string, shard int")
-    return written(dealt.repartition(min(shards, MOST_TASKS), "shard").sortWithinPartitions("shard").mapInArrow(run, _MODEL), "phrases-1")
+    return written(dealt.repartition(min(-(-shards // SMALL), MOST_TASKS), "shard").sortWithinPartitions("shard").mapInArrow(run, _MODEL), "phrases-1")
 
 
 def _pair_places(models: DataFrame, least: int) -> DataFrame:
@@ -391,7 +393,7 @@ def _keys(batch: pa.RecordBatch | pa.Table, *names: str) -> list[np.ndarray]:
 def _dealt(models: DataFrame, rows: DataFrame, shards: int) -> DataFrame:
     """Rows behind the model of their level and shard."""
     both = models.unionByName(rows, allowMissingColumns=True)
-    return both.repartition(min(shards, MOST_TASKS), "level", "shard").sortWithinPartitions("level", "shard", F.col("hash").isNull())
+    return both.repartition(min(-(-shards // SMALL), MOST_TASKS), "level", "shard").sortWithinPartitions("level", "shard", F.col("hash").isNull())
 
 
 def _answers(models: DataFrame, requests: DataFrame, shards: int) -> DataFrame:
